@@ -11,6 +11,7 @@ from readprep.llm.language_id import languages
 from readprep.llm.lm_scoring import lm_scores
 from readprep.llm.mixing import mix
 from readprep.llm.near_dedup import near_duplicates
+from readprep.llm.sentencepiece import encode_texts
 from readprep.llm.substring_dedup import substring_dedup
 
 
@@ -26,6 +27,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -40,6 +45,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
