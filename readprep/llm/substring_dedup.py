@@ -327,11 +327,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     travel = known.mapInArrow(_depart(window, minimiser, repeated, hot), _TRAVEL)
     arrived = travel.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    ranges = cut(arrived.mapInArrow(_arrive(window), _RANGE))
-    n_ranges = ranges.count()
+    ranges = arrived.mapInArrow(_arrive(window), _RANGE)
     by_doc = ranges.groupBy(F.col("doc_id").alias("range_doc"), F.col("text_key").alias("range_key")).agg(F.collect_list(F.struct("from_word", "to_word")).alias("ranges"))
-    if n_ranges <= 2_000_000:  # counted, 16 bytes each; beyond that the join shuffles
-        by_doc = F.broadcast(by_doc)
     joined = rows.join(by_doc, (F.col("doc_id") == F.col("range_doc")) & (F.col("text_key") == F.col("range_key")), "left").select("doc_id", "text", "ranges", *([F.lit(True).alias("with_text")] if with_text else []))
     return joined.mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
 
