@@ -19,6 +19,8 @@ from readprep.llm.common import ascii_lower, carried, partitions, position
 #: A text counts as hot from this many copies on, and from the thousandth part of all rows on: at most 1000 texts are hot.
 HOT_ROWS = 1000
 SALTS = 64
+#: Characters of the text in a splitter.
+PREFIX = 32
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", carry: bool = False, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
@@ -41,12 +43,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = rows.groupBy(F.xxhash64("body").alias("h")).agg(F.count("*").alias("n"))
     total = docs.count()
     hot = [r.h for r in hashes.where(F.col("n") >= max(hot_rows, total // 1000)).select("h").collect()]
-    salt = F.when(F.xxhash64("body").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(F.lit(-1)) if hot else F.lit(-1)
+    salt = F.when(F.xxhash64("body").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).otherwise(F.lit(-1))
 
-    ranged = rows.withColumn("salt", salt).repartitionByRange(partitions(spark), "body", "salt")
-    run = Window.partitionBy("body", "salt")
+    # splitters are sampled rows' keys at the driver, so a key is a short prefix and a hash rather than a whole text; Window
+    # adds the body to the sort, and compares neighbours in full
+    keyed = rows.withColumn("prefix", F.left("body", F.lit(PREFIX))).withColumn("h", F.xxhash64("body"))
+    keys = ["prefix", "h"] + (["salt"] if hot else [])
+    ranged = (keyed.withColumn("salt", salt) if hot else keyed).repartitionByRange(partitions(spark), *keys)
+    run = Window.partitionBy(*keys, "body")
     placed = ranged.select(
-        "doc_id", "salt", *rest,
+        "doc_id", *(["salt"] if hot else []), *rest,
         F.sha2("body", 256).alias("text_sha256"),
         F.row_number().over(run.orderBy(first)).alias("place"),
         best("doc_id").over(run).alias("piece_id"),
