@@ -11,10 +11,15 @@ from readprep.llm.language_id import languages
 from readprep.llm.lm_scoring import lm_scores
 from readprep.llm.mixing import mix
 from readprep.llm.near_dedup import near_duplicates
+from readprep.llm.neighbours import nearest
 from readprep.llm.sentencepiece import encode_texts
 from readprep.llm.substring_dedup import substring_dedup
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
 }
