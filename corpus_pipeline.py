@@ -10,46 +10,58 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprep.llm.common import carried, checkpoint_dir
+from readprep.llm.common import carried, checkpoint_dir, cut, small
 from readprep.llm.exact_dedup import exact_dedup
-from readprep.llm.language_id import languages
+from readprep.llm.language_id import identify, learned
 from readprep.llm.mixing import mix
 from readprep.llm.near_dedup import near_duplicates
 from readprep.llm.sentencepiece import encode_texts
 
 
-def _with_ids(docs: DataFrame, chosen: DataFrame, *extra: str) -> DataFrame:
-    """Rows of docs whose doc_id is in chosen (one row an id, with these columns besides); a null id matches a null one."""
+def _keyed(docs: DataFrame, key: Callable[[Column, Column], Column]) -> tuple[DataFrame, list[str]]:
+    """docs under safe names with a column __key made of id and text, and the original names."""
     safe, names = carried(docs)
-    key = safe[f"__c{names.index('doc_id')}"]
-    joined = safe.join(chosen.select(F.col("doc_id").alias("__id"), *extra), key.eqNullSafe(F.col("__id")), "inner").drop("__id")
-    return joined.select(*(F.col(f"__c{i}").alias(n) for i, n in enumerate(names)), *extra)
+    return safe.withColumn("__key", key(F.col(f"__c{names.index('doc_id')}"), F.col(f"__c{names.index('text')}"))), names
+
+
+def _named(safe: DataFrame, names: list[str]) -> DataFrame:
+    return safe.select(*(F.col(f"__c{i}").alias(n) for i, n in enumerate(names)))
+
+
+def _without(safe: DataFrame, names: list[str], dropped: DataFrame) -> DataFrame:
+    """The rows whose __key isn't the key of dropped; up to a million of these are broadcast, more are joined by a shuffle."""
+    dropped = cut(dropped.distinct())
+    return _named(safe.join(small(dropped, dropped.count()), F.col("__key") == F.col("key"), "left_anti"), names)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in which a language is found; those without a letter go."""
-    return _with_ids(docs, languages(docs).where("lang_pred <> 'und'").select("doc_id").distinct())
+    safe, names = _keyed(docs, lambda id_, text: F.xxhash64(id_, text))
+    found = identify(safe, learned(docs), id_col="__key", text_col=f"__c{names.index('text')}")
+    return _without(safe, names, found.where("lang_pred = 'und'").select(F.col("doc_id").alias("key")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the row with the smallest id."""
     kept = exact_dedup(docs, carry=True).where("kept")
-    return kept.select(*(F.col(f"__c{i}").alias(n) for i, n in enumerate(docs.columns)))
+    return _named(kept, docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near copies; documents without words have none and stay."""
-    return _with_ids(docs, near_duplicates(docs).where("kept").select("doc_id").distinct())
+    safe, names = _keyed(docs, lambda id_, _: id_)
+    return _without(safe, names, near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("key")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, 0 to 3 times."""
-    copies = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = _with_ids(docs, copies, "__copies").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return taken.drop("__copies", "__copy")
+    """Each document as often as the mix takes it, 0 to 3 times; of rows that repeat an id the greatest number holds."""
+    safe, names = _keyed(docs, lambda id_, _: id_)
+    copies = cut(mix(docs).groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").alias("n")).where("n > 0"))
+    taken = safe.join(small(copies, copies.count()), F.col("__key").eqNullSafe(F.col("key")))
+    return _named(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))), names)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
