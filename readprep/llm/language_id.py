@@ -295,8 +295,11 @@ def remainder(id_: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
+def learned(docs: DataFrame, folds: int = 5) -> Model:
+    """A model from the labelled rows of docs (doc_id, text, lang) whose crc32 remainder isn't 0."""
+    return fit(pick(docs, doc_id="doc_id", text="text", lang="lang").where(remainder(F.col("doc_id"), folds) != 0))
+
+
 def languages(docs: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learns from labelled rows whose crc32 remainder isn't 0 and labels all rows."""
-    labelled = pick(docs, doc_id="doc_id", text="text", lang="lang").where(remainder(F.col("doc_id"), folds) != 0)
-    found = identify(docs, fit(labelled))
-    return found.select("doc_id", (remainder(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score")
+    return identify(docs, learned(docs, folds)).select("doc_id", (remainder(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score")
