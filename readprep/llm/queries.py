@@ -12,8 +12,18 @@ from readprep.llm.lm_scoring import lm_scores
 from readprep.llm.mixing import mix
 from readprep.llm.near_dedup import near_duplicates
 from readprep.llm.neighbours import nearest
+from readprep.llm.quotes import link_quotes
 from readprep.llm.sentencepiece import encode_texts
 from readprep.llm.substring_dedup import substring_dedup
+from readprep.llm.warc import derivatives, responses_from_pages
+
+
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses_from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_quotation_linking": op6_quotation_linking,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
