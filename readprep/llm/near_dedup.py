@@ -6,9 +6,11 @@ Jaccard similarity. Bands of BAND_ROWS values name candidates, and every candida
 
 Steps: (1) one pass over the texts gives each document the size and a 128-bit digest of its shingle set and its band
 keys. (2) Documents with the same set form a class; only one row of each class goes on. (3) Each bucket of a band links its
-members to hubs rather than to each other; confirmed links are joined into components. (4) Buckets whose members are still
-in different components compare what is left, pair by pair across components, so no candidate link between different
-texts is lost while a bucket of many near copies costs its size, not its square.
+members to hubs rather than to each other; confirmed links are joined into components. (4) Where a bucket's members are
+still in different components, small buckets compare what is left pair by pair, and members of larger ones meet by rare
+shingles: two sets of that similarity share one of their first n - o + 1 shingles in any common order, o being the overlap
+they need, so by rising frequency they meet in short lists. No candidate link between different texts is lost, while a
+bucket of many near copies costs about its size, not its square.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprep.llm import bytetext
@@ -31,6 +33,8 @@ PERCENT = 75
 PERMUTATIONS = 64
 BAND_ROWS = 4
 STAR_ROUNDS = 2
+#: Members up to which a bucket that is still split compares all pairs of different components.
+PAIRWISE = 8
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 2**64, 256, U64) | U64(1)
 _ADD = _rng.integers(0, 2**64, 256, U64)
@@ -123,26 +127,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
 
     filed = classes.select("id", "n", F.explode("bands").alias("band"))
-    shared = filed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", F.xxhash64("id", F.col("band").bitwiseAND(3))).alias("hub")).where("lo < hi")
-    members = cut(filed.join(shared.select("band", "hub"), "band"))
+    shared = filed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("bucket")).where("lo < hi")
+    members = cut(filed.join(shared.select("band", "bucket"), "band"))
+    # the member that shares the most buckets with the most others is nearest to a common origin
+    central = members.groupBy("id").agg(F.sum("bucket").alias("degree"))
+    ranked = members.join(central, "id")
+    hubs = ranked.groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
     wanted = cut(members.select("id").distinct())
     n_wanted = wanted.count()
     texts = rows_in.join(small(wanted.withColumnRenamed("id", "doc_id"), n_wanted, 4_000_000), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets(words), "id long, shingles array<long>").distinct() if _repeats(classes) else texts.mapInArrow(_sets(words), "id long, shingles array<long>"))
 
-    pairs = cut(members.where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
+    pairs = cut(members.join(hubs, "band").where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
     tried, links = pairs, cut(confirm(pairs, sets, percent))
     groups = cut(components(links))
     for step in range(star_rounds):
-        known = members.select("band", "id", "n").join(groups, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        known = members.join(groups, F.col("id") == F.col("node"), "left").select("band", "id", "n", "bucket", F.coalesce("component", "id").alias("component"))
         split = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component", "n"), F.xxhash64("id", F.lit(step + 17))).alias("hub")).where("lo < hi")
         left = cut(known.join(split.select("band", "hub"), "band"))
-        last = step == star_rounds - 1
-        if last:
-            a, b = left.select("band", *(F.col(c).alias(f"{c}_u") for c in ("id", "component", "n"))), left.select("band", *(F.col(c).alias(f"{c}_v") for c in ("id", "component", "n")))
-            found = a.join(b, "band").where((F.col("component_u") != F.col("component_v")) & (F.col("id_u") < F.col("id_v")) & _sizes_fit(F.col("n_u"), F.col("n_v"), percent)).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
-        else:
+        if step < star_rounds - 1:
             found = left.where((F.col("component") != F.col("hub.component")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent)).select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v"))
+        else:
+            few = left.where(F.col("bucket") <= PAIRWISE)
+            found = _across(few.select(F.col("band").alias("key"), "id", "component", "n"), _sizes_fit(F.col("n_u"), F.col("n_v"), percent))
+            many = left.where(F.col("bucket") > PAIRWISE).select("id", "component").distinct()
+            found = found.union(_rare_pairs(many, sets, percent))
         pairs = cut(found.distinct().join(tried, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             continue
@@ -156,10 +165,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = groups.select(F.col("node").alias("rep"), "component")
     found = sketch.drop("bands").join(small(merged, merged.count()), ["set_a", "set_b"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     full = found.join(small(linked, groups.count()), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return full.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _across(members: DataFrame, fit) -> DataFrame:
+    """(u, v) of different components under the same key, for keys that several components share."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rows = members.join(mixed, "key", "left_semi")
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "key")) for side in "uv")
+    return a.join(b, "key").where((F.col("component_u") != F.col("component_v")) & (F.col("id_u") < F.col("id_v")) & fit).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+
+
+def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components among members (id, component) that can reach the similarity, found by rare shingles."""
+    shingles = members.join(sets, "id").select("id", F.xxhash64("shingles").alias("set"), "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    often = shingles.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    by_rarity = Window.partitionBy("id", "set").orderBy(F.coalesce("df", F.lit(1)), "g")
+    placed = shingles.join(often, "g", "left").withColumn("place", F.row_number().over(by_rarity)).where((100 - percent) * F.col("n") >= 100 * (F.col("place") - 1))
+    listed = cut(placed.where("df > 1").select(F.col("g").alias("key"), "id", "component", "n", "place"))
+    # 100 * o >= percent * (n_u + n_v - o), and a place beyond n - o + 1 can't be the first in common
+    need = F.ceil(percent * (F.col("n_u") + F.col("n_v")) / F.lit(100.0 + percent) - 1e-9)
+    return _across(listed, (F.col("place_u") <= F.col("n_u") - need + 1) & (F.col("place_v") <= F.col("n_v") - need + 1))
+
+
 def _sizes_fit(a, b, percent: int):
     """Sets whose sizes differ by more than this can't reach the similarity."""
     return (100 * a >= percent * b) & (100 * b >= percent * a)
