@@ -15,8 +15,8 @@ CLASSES = 48
 SIZE = 48
 VOCAB = CLASSES * SIZE
 #: Steps of truncated backpropagation, and parallel streams, of one update.
-STEPS, LANES = 16, 256
-RATE = 0.01
+STEPS, LANES = 16, 512
+RATE = 0.015
 LOG10 = float(np.log(10))
 _SHAPES = {"emb": (VOCAB, HIDDEN), "win": (HIDDEN, 3 * HIDDEN), "bin": (3 * HIDDEN,), "rec": (HIDDEN, 3 * HIDDEN), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,), "out": (VOCAB, HIDDEN), "out_b": (VOCAB,)}
 LENGTH = sum(int(np.prod(s)) for s in _SHAPES.values())
@@ -48,35 +48,54 @@ def initial(counts: np.ndarray, seed: int = 1) -> np.ndarray:
     return theta
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.clip(x, -30, 30, out=x)
+#: Gate values are kept times these factors, so that 1 / (1 + exp(value)) is the sigmoid of a gate, or of twice a candidate.
+_FACTOR = np.concatenate([np.full(2 * HIDDEN, -1, F32), np.full(HIDDEN, -2, F32)])
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)) in place; an overflow of exp is 0 as it should be."""
     np.exp(x, out=x)
     x += 1
-    np.reciprocal(x, out=x)
-    return x
+    return np.reciprocal(x, out=x)
 
 
 def step(x: np.ndarray, h: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(new state, gates, candidate, candidate's recurrent part) from input gate values x (overwritten) and state h."""
+    """(new state, gates, candidate, candidate's recurrent part) from input gate values x and state h; both scaled by _FACTOR."""
     r = h @ rec
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + r[:, : 2 * HIDDEN])
     part = r[:, 2 * HIDDEN :]
-    cand = _sigmoid(2 * (x[:, 2 * HIDDEN :] + gates[:, HIDDEN:] * part))
+    gates = _logistic(x[:, : 2 * HIDDEN] + r[:, : 2 * HIDDEN])
+    cand = gates[:, HIDDEN:] * part
+    cand += x[:, 2 * HIDDEN :]
+    _logistic(cand)
     cand *= 2
     cand -= 1
-    new = cand + gates[:, :HIDDEN] * (h - cand)
+    new = h - cand
+    new *= gates[:, :HIDDEN]
+    new += cand
     return new, gates, cand, part
 
 
-def _normalised(logits: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log probability of the wanted column, probabilities); logits are overwritten."""
-    logits -= logits.max(1, keepdims=True)
+def _log_softmax(logits: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Log probability of the wanted column; logits are overwritten. Values too large for exp are shifted first."""
     chosen = logits[np.arange(len(want)), want]
+    top = float(logits.max(initial=0))
+    if top > 60:
+        shift = logits.max(1)
+        logits -= shift[:, None]
+        chosen = chosen - shift
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(1))
+
+
+def _slopes(logits: np.ndarray, want: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """(sum of log probabilities of the wanted columns, (probabilities - wanted) / n); logits are overwritten."""
+    rows = np.arange(len(want))
+    chosen = logits[rows, want].sum()
     np.exp(logits, out=logits)
     total = logits.sum(1)
-    logits /= total[:, None]
-    return chosen - np.log(total), logits
+    logits *= (1 / (total * n))[:, None]
+    logits[rows, want] -= F32(1 / n)
+    return chosen - np.log(total).sum(), logits
 
 
 def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +106,18 @@ def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def log_probs(h: np.ndarray, y: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
     """Natural log probability of each token y from its state h."""
-    out, _ = _normalised(h @ p["cls"] + p["cls_b"], y // SIZE)
+    logits = h @ p["cls"]
+    logits += p["cls_b"]
+    out = _log_softmax(logits, y // SIZE)
     order, edge = _by_class(y)
     h, y, within = h[order], y[order], np.empty(len(y), F32)
     for c in range(CLASSES):
         i, j = edge[c], edge[c + 1]
         if i < j:
             words = slice(c * SIZE, (c + 1) * SIZE)
-            within[i:j], _ = _normalised(h[i:j] @ p["out"][words].T + p["out_b"][words], y[i:j] - c * SIZE)
+            logits = h[i:j] @ p["out"][words].T
+            logits += p["out_b"][words]
+            within[i:j] = _log_softmax(logits, y[i:j] - c * SIZE)
     out[order] += within
     return out
 
@@ -107,22 +130,24 @@ def gradients(x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, p
     steps, lanes = x.shape
     n = steps * lanes
     emb = p["emb"][x.reshape(-1)]
-    gates_in = (emb @ p["win"] + p["bin"]).reshape(steps, lanes, 3 * HIDDEN)
-    keep = (~fresh).astype(F32)[:, :, None]
+    gates_in = (emb @ (p["win"] * _FACTOR) + p["bin"] * _FACTOR).reshape(steps, lanes, 3 * HIDDEN)
+    rec = p["rec"] * _FACTOR
+    starts = [np.flatnonzero(f) for f in fresh]
     h, saved, states = h0, [], np.empty((steps, lanes, HIDDEN), F32)
     for t in range(steps):
-        h = h * keep[t]
-        new, gates, cand, part = step(gates_in[t], h, p["rec"])
+        if len(starts[t]):
+            h = h.copy()
+            h[starts[t]] = 0
+        new, gates, cand, part = step(gates_in[t], h, rec)
         saved.append((h, gates, cand, part))
         states[t] = h = new
     flat, target = states.reshape(n, HIDDEN), y.reshape(-1)
     for a in g.values():
         a[...] = 0
     # output layer
-    logp, prob = _normalised(flat @ p["cls"] + p["cls_b"], target // SIZE)
-    loss = logp.sum()
-    prob[np.arange(n), target // SIZE] -= 1
-    prob /= n
+    logits = flat @ p["cls"]
+    logits += p["cls_b"]
+    loss, prob = _slopes(logits, target // SIZE, n)
     g["cls"][...], g["cls_b"][...] = flat.T @ prob, prob.sum(0)
     d_states = prob @ p["cls"].T
     order, edge = _by_class(target)
@@ -132,11 +157,10 @@ def gradients(x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, p
         i, j = edge[c], edge[c + 1]
         if i < j:
             words = slice(c * SIZE, (c + 1) * SIZE)
-            want = sorted_y[i:j] - c * SIZE
-            logp, prob = _normalised(sorted_h[i:j] @ p["out"][words].T + p["out_b"][words], want)
-            loss += logp.sum()
-            prob[np.arange(j - i), want] -= 1
-            prob /= n
+            logits = sorted_h[i:j] @ p["out"][words].T
+            logits += p["out_b"][words]
+            more, prob = _slopes(logits, sorted_y[i:j] - c * SIZE, n)
+            loss += more
             g["out"][words], g["out_b"][words] = prob.T @ sorted_h[i:j], prob.sum(0)
             d_sorted[i:j] = prob @ p["out"][words]
     d_states[order] += d_sorted
@@ -148,15 +172,25 @@ def gradients(x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, p
     for t in range(steps - 1, -1, -1):
         h, gates, cand, part = saved[t]
         update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        d = d_states[t] + carry
-        d_cand = d * (1 - update) * (1 - cand * cand)
-        d_in[t, :, :HIDDEN] = d * (h - cand) * update * (1 - update)
-        d_in[t, :, HIDDEN : 2 * HIDDEN] = d_cand * part * reset * (1 - reset)
+        d = d_states[t]
+        d += carry
+        keep = d * update
+        d_cand = d - keep
+        d_cand *= 1 - cand * cand
+        both = gates - gates * gates  # slopes of the gates
+        both[:, :HIDDEN] *= d
+        both[:, :HIDDEN] *= h - cand
+        both[:, HIDDEN:] *= d_cand
+        both[:, HIDDEN:] *= part
+        both[:, HIDDEN:] *= F32(-0.5)  # part is kept times -2
+        d_in[t, :, : 2 * HIDDEN] = d_rec[:, : 2 * HIDDEN] = both
         d_in[t, :, 2 * HIDDEN :] = d_cand
-        d_rec[:, : 2 * HIDDEN] = d_in[t, :, : 2 * HIDDEN]
-        d_rec[:, 2 * HIDDEN :] = d_cand * reset
+        np.multiply(d_cand, reset, out=d_rec[:, 2 * HIDDEN :])
         g["rec"] += h.T @ d_rec
-        carry = (d * update + d_rec @ p["rec"].T) * keep[t]
+        carry = d_rec @ p["rec"].T
+        carry += keep
+        if len(starts[t]):
+            carry[starts[t]] = 0
     flat_in = d_in.reshape(n, 3 * HIDDEN)
     g["win"][...], g["bin"][...] = emb.T @ flat_in, flat_in.sum(0)
     d_emb = flat_in @ p["win"].T
@@ -209,10 +243,14 @@ class Trainer:
         self.theta -= rate * self.m / (np.sqrt(self.v) + 1e-8)
 
 
-def score(ids: np.ndarray, first: np.ndarray, start: int, theta: np.ndarray, window: int = 32) -> np.ndarray:
-    """log10 probability of each whole document ids[first[r]:first[r + 1]]; the state is carried from window to window."""
+def score(ids: np.ndarray, first: np.ndarray, start: int, theta: np.ndarray, window: int = 32, together: int = 65_536) -> np.ndarray:
+    """log10 probability of each whole document ids[first[r]:first[r + 1]]; the state is carried from window to window.
+
+    A window has fewer steps where many documents run side by side, so that about `together` states are held at once.
+    """
     p = views(theta)
-    gates_in = p["emb"] @ p["win"] + p["bin"]
+    gates_in = (p["emb"] @ p["win"] + p["bin"]) * _FACTOR
+    rec = p["rec"] * _FACTOR
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     begin, lengths = first[order], lengths[order]
@@ -222,11 +260,13 @@ def score(ids: np.ndarray, first: np.ndarray, start: int, theta: np.ndarray, win
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right").tolist()
     h = np.zeros((len(order), HIDDEN), F32)
     last = np.full(len(order), start, np.int64)
-    for t0 in range(0, len(active), window):
+    t0 = 0
+    while t0 < len(active):
         states, targets, docs = [], [], []
-        for t in range(t0, min(t0 + window, len(active))):
+        upto = min(t0 + max(1, min(window, together // active[t0])), len(active))
+        for t in range(t0, upto):
             n = active[t]
-            h = step(gates_in[last[:n]], h[:n], p["rec"])[0]
+            h = step(gates_in[last[:n]], h[:n], rec)[0]
             last = ids[begin[:n] + t]
             states.append(h)
             targets.append(last)
@@ -236,6 +276,7 @@ def score(ids: np.ndarray, first: np.ndarray, start: int, theta: np.ndarray, win
         for n in docs:
             total[:n] += got[at : at + n]
             at += n
+        t0 = upto
     out = np.empty(len(order))
     out[order] = total / LOG10
     return out

@@ -7,8 +7,7 @@ their tokens, in ROUNDS rounds of growing share so that the tasks of the last st
 is scored from its first word to its end with carried state.
 
 Words outside the network's vocabulary are one token to it; which of them it is has the smoothed unigram probability among
-them, so the score is a probability of the text itself. Counts of the HEAD most frequent words are broadcast (a fixed
-bound); the counts of all others are joined by word.
+them, so the score is a probability of the text itself. Counts of the most frequent words, HEAD at most, are broadcast; the counts of all others are joined by word.
 """
 
 from __future__ import annotations
@@ -64,13 +63,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in bytetext.row_slices(batch["text"], GROUP):
             w = bytetext.words(batch["text"].slice(lo, hi - lo), lower=True)
-            _, at, n = np.unique(w.hash, return_index=True, return_counts=True)
+            at, n = _distinct(w.hash)
             yield pa.RecordBatch.from_arrays([_strings(w, at), pa.array(n)], schema=schema)
 
 
 def _strings(w: bytetext.Words, at: np.ndarray) -> pa.Array:
-    data = bytetext.LOWER[w.data].tobytes()
-    return pa.array([data[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    """The lower-cased words at these places."""
+    start, size = w.start[at], w.end[at] - w.start[at]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    data = bytetext.LOWER[w.data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]]
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+
+
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct value, how often it occurs)."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(order) else order
+    return order[first], np.diff(np.append(first, len(order)))
 
 
 def make_head(top: list[tuple[str, int]], total_words: int, docs: int) -> Head:
@@ -99,6 +109,23 @@ def tokens(column: pa.Array, head: Head) -> tuple[np.ndarray, np.ndarray, np.nda
     return out, first, at, w
 
 
+def most_frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[str, int]]:
+    """The words (word, c) of the highest classes of counts that have at most so many words in all, by falling count.
+
+    A sixty-fourth of a doubling is a class, so small counts are classes of their own; the driver gets a few thousand class
+    sizes and then no more words than asked for.
+    """
+    level = F.floor(F.log2(F.col("c")) * 64)
+    least, n = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if n + r.n > most:
+            break
+        least, n = r.level, n + r.n
+    if least is None:
+        return []
+    return sorted(((r.word, r.c) for r in counts.where(level >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def _train(shared, theta: np.ndarray):
     schema = pa.schema([("block", pa.int64()), ("weight", pa.float64()), ("values", pa.list_(pa.float32()))])
 
@@ -113,7 +140,8 @@ def _train(shared, theta: np.ndarray):
                 fresh = np.zeros(len(ids), bool)
                 fresh[first[:-1]] = True
                 before[fresh] = head.end
-                trainer.feed(before, ids, fresh)
+                with np.errstate(over="ignore"):
+                    trainer.feed(before, ids, fresh)
         if trainer.tokens and np.isfinite(trainer.theta).all():
             for k, i in enumerate(range(0, gru.LENGTH, _BLOCK)):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([float(trainer.tokens)]), pa.array([trainer.theta[i : i + _BLOCK]], pa.list_(pa.float32()))], schema=schema)
@@ -171,7 +199,8 @@ def _score(shared, theta: np.ndarray):
                 base = per(row[inside], log) + end_log
                 rare_sum = per(row[inside][rare], log[rare])
                 unknown = np.add.reduceat(ids == head.unknown, first[:-1], dtype=np.int64)
-                net = gru.score(ids, first, head.end, theta)
+                with np.errstate(over="ignore"):
+                    net = gru.score(ids, first, head.end, theta)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, rows), batch["text_key"].slice(lo, rows), *(pa.array(x) for x in (np.diff(first), known.astype(np.int64), unknown, base, rare_sum, net))], schema=schema)
 
     return run
@@ -219,7 +248,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts = cut(learn.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")))
     n_docs = learn.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = [(r.word, r.c) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    top = most_frequent(counts)
     head = make_head(top, total.n, n_docs)
     n_all, v_all = total.n + n_docs, total.v + (n_docs > 0)
     base_log = math.log10(n_all + 0.1 * (v_all + 1))
