@@ -335,7 +335,7 @@ def _encode(shared):
         is_byte = np.zeros(len(m.first) - 1, bool)
         is_byte[m.byte_id[m.byte_id != m.unknown_id]] = True
         for batch in batches:
-            for lo, hi in bytetext.row_slices(batch["text"]):
+            for lo, hi in bytetext.row_slices(batch["text"], 1 << 20):
                 column = batch["text"].slice(lo, hi - lo)
                 ids, first = encode(column, m)
                 back, ends = decode(ids, first, m)
