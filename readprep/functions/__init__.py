@@ -75,7 +75,12 @@ def ramp(x: Column, low: float, high: float) -> Column:
 
 def fraction(x: Column) -> Column:
     """Percentages over 1 up to 100 become shares; all else is kept within 0 and 1."""
-    return F.when((x > 1) & (x <= 100), x / 100).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return F.when((x > 1) & (x <= 100), x / 100).otherwise(clamp(x))
+
+
+def clamp(x: Column) -> Column:
+    """x within 0 and 1; null stays null, which greatest and least alone would not do."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def report_number(text: Column) -> Column:

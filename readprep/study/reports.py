@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readprep.functions import fraction, normal_name, report_number
+from readprep.functions import clamp, fraction, normal_name, report_number
 
 
 def lines(reports: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def fastp(reports: DataFrame) -> DataFrame:
     """trimmed_read_fraction, discarded_read_fraction."""
     at = lambda p: F.get_json_object("content", p).try_cast("double")
     before, after = at("$.summary.before_filtering.total_reads"), F.coalesce(at("$.summary.after_filtering.total_reads"), at("$.filtering_result.passed_filter_reads"))
-    share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x, before)))
+    share = lambda x: clamp(F.try_divide(x, before))
     return reports.select("path", share(at("$.adapter_cutting.adapter_trimmed_reads")).alias("trimmed_read_fraction"), share(before - after).alias("discarded_read_fraction"))
 
 
@@ -67,7 +67,7 @@ def picard(reports: DataFrame) -> DataFrame:
     first = rows.groupBy("path").agg(F.min_by(F.struct("names", "cells"), "pos").alias("r")).select("path", "r.*")
     zero = lambda n: F.coalesce(number(n), F.lit(0.0))
     counted = F.try_divide(zero("unpairedreadduplicates") + 2 * zero("readpairduplicates"), zero("unpairedreadsexamined") + 2 * zero("readpairsexamined"))
-    return first.select("path", F.coalesce(fraction(number("percentduplication")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), counted))).alias("duplicate_rate"))
+    return first.select("path", F.coalesce(fraction(number("percentduplication")), clamp(counted)).alias("duplicate_rate"))
 
 
 def mosdepth(reports: DataFrame) -> DataFrame:
@@ -89,9 +89,8 @@ def samtools_coverage(reports: DataFrame) -> DataFrame:
     of = lambda c: F.sum(F.when(part, c))
     sums = rows.groupBy("path").agg(
         F.max(total.cast("int")).alias("has_total"), best.alias("best"), of(F.col("len")).alias("len"), of(F.col("depth") * F.col("len")).alias("depth"),
-        of(F.greatest(F.lit(0.0), F.least(F.col("covered"), F.col("len")))).alias("covered"), of(F.when(F.col("covered").isNull(), F.col("breadth") * F.col("len"))).alias("breadth"),
+        of(F.when(F.col("covered").isNotNull(), F.greatest(F.lit(0.0), F.least(F.col("covered"), F.col("len"))))).alias("covered"), of(F.when(F.col("covered").isNull(), F.col("breadth") * F.col("len"))).alias("breadth"),
     )
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     own = F.coalesce(clamp(F.try_divide("covered", "len")), clamp(F.try_divide("breadth", "len")))
     return sums.select("path", F.when(F.col("has_total") == 1, F.col("best.depth")).otherwise(F.try_divide("depth", "len")).alias("mean_coverage"), F.when(F.col("has_total") == 1, F.col("best.breadth")).otherwise(own).alias("coverage_breadth"))
 
@@ -101,7 +100,6 @@ def f1() -> Column:
     p, r = fraction(number("metricprecision", "precision")), fraction(number("metricrecall", "recall", "sensitivity"))
     tp = F.coalesce(number("querytp", "truepositives", "truepositivescall"), number("truthtp", "truepositivesbaseline"))
     counted = 2 * tp + F.coalesce(number("queryfp", "falsepositives"), F.lit(0.0)) + F.coalesce(number("truthfn", "falsenegatives"), F.lit(0.0))
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     mean = F.when(p + r > 0, clamp(2 * p * r / F.nullif(p + r, F.lit(0.0))))
     return F.coalesce(fraction(number("metricf1score", "f1", "f1score", "fmeasure")), mean, F.when(counted > 0, clamp(F.try_divide(2 * tp, counted))))
 
