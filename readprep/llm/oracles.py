@@ -27,4 +27,16 @@ select t.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component, t.doc_id)
 from t left join n using (doc_id) left join c on c.node = t.doc_id
 """
 
-ORACLES = {"op5_minhash_near_dedup": OP5, "op10_exact_dedup": OP10}
+OP3 = r"""
+with t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from t where len(w) >= 20)),
+f as (select s, min({'d': doc_id, 'i': i}) as first from g group by s),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from g join f using (s) where {'d': doc_id, 'i': i} <> first),
+k as (select doc_id, p, w[p] as x from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from t)),
+kept as (select doc_id, string_agg(x, ' ' order by p) as body from k anti join gone using (doc_id, p) group by doc_id),
+n as (select doc_id, count(*) as n from gone group by doc_id)
+select t.doc_id, len(w) as n_words, coalesce(n.n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from t left join n using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLES = {"op3_substring_dedup": OP3, "op5_minhash_near_dedup": OP5, "op10_exact_dedup": OP10}
