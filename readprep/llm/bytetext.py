@@ -83,6 +83,24 @@ def row_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, in
         lo = hi
 
 
+def regroup(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many bytes, the last one excepted."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
 def words(column: pa.Array, lower: bool = False) -> Words:
     """The words of each row of a string column."""
     data, ends = string_buffers(column)

@@ -71,12 +71,19 @@ def either(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+#: Rows of an Arrow batch, where the session has the default. Batches hold whole texts, so rows bound them, and operators
+#: put small ones together again by bytes.
+BATCH_ROWS = 512
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session.
+    """Send this package to the executors' Python workers, once a session, and keep Arrow batches of texts small.
 
     Workers unpickle functions by module name, so they need the package also where the driver found it by sys.path alone.
     """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_readprep_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -173,7 +173,7 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of n-grams (bucket >= 0) and of words by script (bucket < 0) for each language."""
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in bytetext.regroup(batches):
         langs = batch["lang"].to_pylist()
         for lang in sorted(set(langs)):
             rows = batch["text"].filter(pa.array([x == lang for x in langs]))
@@ -229,7 +229,7 @@ def _label(shared, switch: float, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         n_lang = len(model.languages)
-        for batch in batches:
+        for batch in bytetext.regroup(batches, 8 << 20):
             for lo, hi in bytetext.row_slices(batch["text"], 8 << 20):
                 column = batch["text"].slice(lo, hi - lo)
                 parts, firsts, sizes, words = [], [], [], 0

@@ -60,7 +60,7 @@ def word_hash(words: list[str]) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
-    for batch in batches:
+    for batch in bytetext.regroup(batches, GROUP):
         for lo, hi in bytetext.row_slices(batch["text"], GROUP):
             w = bytetext.words(batch["text"].slice(lo, hi - lo), lower=True)
             at, n = _distinct(w.hash)
@@ -132,7 +132,7 @@ def _train(shared, theta: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = shared.value
         trainer = gru.Trainer(theta)
-        for batch in batches:
+        for batch in bytetext.regroup(batches, GROUP):
             for lo, hi in bytetext.row_slices(batch["text"], GROUP):
                 ids, first, _, _ = tokens(batch["text"].slice(lo, hi - lo), head)
                 before = np.empty_like(ids)
@@ -188,7 +188,7 @@ def _score(shared, theta: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = shared.value
         end_log = math.log10(head.end_count + 0.1)
-        for batch in batches:
+        for batch in bytetext.regroup(batches, GROUP):
             for lo, hi in bytetext.row_slices(batch["text"], GROUP):
                 ids, first, at, w = tokens(batch["text"].slice(lo, hi - lo), head)
                 inside, row, rows = at >= 0, w.row, hi - lo
@@ -212,7 +212,7 @@ def _tail(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = shared.value
-        for batch in batches:
+        for batch in bytetext.regroup(batches, GROUP):
             for lo, hi in bytetext.row_slices(batch["text"], GROUP):
                 w = bytetext.words(batch["text"].slice(lo, hi - lo), lower=True)
                 out = np.flatnonzero(head.find(w.hash) < 0)

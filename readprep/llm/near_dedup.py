@@ -76,7 +76,7 @@ def _sketch(words: int, permutations: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             for lo, hi in bytetext.row_slices(batch["text"]):
                 value, first = bytetext.shingle_sets(bytetext.words(batch["text"].slice(lo, hi - lo), lower=True), words)
                 n = np.diff(first)
@@ -93,7 +93,7 @@ def _sets(words: int):
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             for lo, hi in bytetext.row_slices(batch["text"]):
                 value, first = bytetext.shingle_sets(bytetext.words(batch["text"].slice(lo, hi - lo), lower=True), words)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))

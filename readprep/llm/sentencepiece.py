@@ -334,7 +334,7 @@ def _encode(shared):
         m: Pieces = shared.value
         is_byte = np.zeros(len(m.first) - 1, bool)
         is_byte[m.byte_id[m.byte_id != m.unknown_id]] = True
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             for lo, hi in bytetext.row_slices(batch["text"], 1 << 20):
                 column = batch["text"].slice(lo, hi - lo)
                 ids, first = encode(column, m)
@@ -357,7 +357,7 @@ def _decode(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Pieces = shared.value
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             lists = batch["ids"].fill_null([]) if batch["ids"].null_count else batch["ids"]
             ids = lists.flatten().to_numpy()
             first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])

@@ -104,7 +104,7 @@ def _count(window: int, minimiser: int):
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             for lo, hi in bytetext.row_slices(batch["text"]):
                 _, _, _, key, weight = super_kmers(bytetext.words(batch["text"].slice(lo, hi - lo)), window, minimiser)
                 order = np.argsort(key)
@@ -142,7 +142,7 @@ def _depart(window: int, minimiser: int, repeated, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(repeated.value, np.uint8)
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             doc_id, text_key = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy()
             for lo, hi in bytetext.row_slices(batch["text"]):
                 w = bytetext.words(batch["text"].slice(lo, hi - lo))
@@ -193,7 +193,7 @@ def _arrive(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             if not batch.num_rows:
                 continue
             bucket = batch["bucket"].to_numpy()
@@ -285,7 +285,7 @@ def _ranges(doc: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarr
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-    for batch in batches:
+    for batch in bytetext.regroup(batches):
         with_text = batch.schema.get_field_index("with_text") >= 0
         for lo, hi in bytetext.row_slices(batch["text"], 1 << 24):
             n, gone, sha, kept_text = [], [], [], []
