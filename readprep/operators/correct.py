@@ -1,8 +1,8 @@
 """Per-read correction against the trusted part of a spectrum; the one operator whose steps depend on each other.
 
 Every edit is seen by later positions of the same read, which no join expresses, so reads pass through one Arrow function
-with the spectrum as broadcast arrays. Before any edit, support is looked up for all windows of a batch at once; reads
-without a position that needs attention leave unchanged at that point.
+with the spectrum as broadcast arrays. Reads without a poor quality never enter it. The alternatives at a position are
+looked up together.
 
 Substitutions go left to right. Insertions and deletions of 1 to 5 bases follow, at most one in 50 positions, on stronger
 evidence. Regions of 2 to 10 low qualities are then replaced by the best path of the De Bruijn graph between their anchors.
@@ -47,54 +47,66 @@ class Spectrum:
     graph: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.up = 4 ** np.arange(self.k - 1, -1, -1, dtype=np.int64)
         self.mask = (1 << 2 * (self.k - 1)) - 1
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of canonical codes: exact if trusted, else the filter's, else 0."""
+        """Counts of canonical codes: exact if trusted, else the filter's, else 0; -1 (an unknown base) counts 0."""
         found = np.zeros(len(keys), np.int64)
+        hit = keys < 0
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            found[hit] = self.counts[at[hit]]
-        else:
-            hit = np.zeros(len(keys), bool)
-        if self.counters is not None and not hit.all():
-            other = keys[~hit].astype(U64)
-            least = np.full(len(other), 15, np.int64)
-            for seed in range(self.hashes):
-                h = other ^ U64(seed * S.SEED % 2**64)
+            exact = self.keys[at] == keys
+            found[exact] = self.counts[at[exact]]
+            hit |= exact
+        if self.counters is not None:
+            rest = np.flatnonzero(~hit)
+            least = np.full(len(keys), 15, np.int64)
+            for seed in range(self.hashes):  # most absent keys meet an empty counter soon
+                h = keys[rest].astype(U64) ^ U64(seed * S.SEED % 2**64)
                 h = h * U64(S.MULTIPLY_1)
                 h ^= h >> U64(S.SHIFT)
                 h = h * U64(S.MULTIPLY_2)
                 h ^= h >> U64(S.SHIFT)
-                np.minimum(least, self.counters[(h % U64(len(self.counters))).astype(np.int64)], out=least)
-            found[~hit] = least
+                least[rest] = np.minimum(least[rest], self.counters[(h % U64(len(self.counters))).astype(np.int64)])
+                rest = rest[least[rest] > 0]
+                if not len(rest):
+                    break
+            found[rest] = least[rest]
         return found
 
-    def window_counts(self, bases: np.ndarray) -> np.ndarray:
-        """Counts of all windows of base codes (4: unknown); windows with an unknown base count 0."""
-        if len(bases) < self.k:
-            return np.zeros(0, np.int64)
-        view = np.lib.stride_tricks.sliding_window_view(bases, self.k).astype(np.int64)
-        forward, backward = view @ self.up, (3 - view) @ self.up[::-1]
-        out = self.count(np.minimum(forward, backward))
-        out[(view == 4).any(1)] = 0
+    def codes(self, bases: list[int], at: int) -> list[int]:
+        """Canonical codes of the windows that cover a position; -1 for windows with an unknown base."""
+        k, full, top = self.k, (1 << 2 * self.k) - 1, 2 * (self.k - 1)
+        lo, hi = max(0, at - k + 1), min(at, len(bases) - k)
+        out, forward, backward, unknown = [], 0, 0, -1
+        for i in range(lo, hi + k if hi >= lo else lo):
+            b = bases[i]
+            if b > 3:
+                unknown, b = i, 0
+            forward = (forward << 2 | b) & full
+            backward = backward >> 2 | (3 - b) << top
+            if i >= lo + k - 1:
+                out.append(-1 if unknown > i - k else forward if forward < backward else backward)
         return out
 
-    def support(self, bases: np.ndarray, at: int) -> tuple[int, int, int]:
-        """(least, total, windows) over the windows that cover a position."""
-        lo, hi = max(0, at - self.k + 1), min(at, len(bases) - self.k)
-        if hi < lo:
-            return 0, 0, 0
-        c = self.window_counts(bases[lo : hi + self.k])
-        return int(c.min()), int(c.sum()), len(c)
+    def supports(self, tried: list[tuple[list[int], int]]) -> list[tuple[int, int, int]]:
+        """(least, total, windows) over the windows that cover a position, for several sequences in one look-up."""
+        codes = [self.codes(bases, at) for bases, at in tried]
+        counts = self.count(np.array([c for x in codes for c in x], np.int64)).tolist()
+        out, at = [], 0
+        for x in codes:
+            part = counts[at : at + len(x)]
+            at += len(x)
+            out.append((min(part), sum(part), len(part)) if part else (0, 0, 0))
+        return out
 
 
 @dataclass
 class Read:
-    bases: np.ndarray
-    quality: np.ndarray
+    """Base codes (4: unknown) and qualities of a read, and the edits so far."""
+
+    bases: list[int]
+    quality: list[int]
     positions: list[int] = field(default_factory=list)
     indels: list[tuple[int, str, str]] = field(default_factory=list)
 
@@ -102,52 +114,42 @@ class Read:
 def substitute(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
     """Tries the three other bases wherever quality or support is poor, from left to right."""
     for at in range(min(limit, len(read.bases))):
-        quality = int(read.quality[at]) if at < len(read.quality) else 0
+        quality = read.quality[at] if at < len(read.quality) else 0
         if quality > min_quality + GRACE:
             continue
-        now = s.support(read.bases, at)
+        (now,) = s.supports([(read.bases, at)])
         if now[2] == 0 or not (quality < min_quality or now[0] < s.floor):
             continue
         own = read.bases[at]
+        others = [b for b in range(4) if b != own]
         best, chosen = now, own
-        for base in range(4):
-            if base != own:
-                read.bases[at] = base
-                tried = s.support(read.bases, at)
-                if tried[:2] > best[:2]:
-                    best, chosen = tried, base
-        read.bases[at] = own
+        for base, tried in zip(others, s.supports([(read.bases[:at] + [b] + read.bases[at + 1 :], at) for b in others]), strict=True):
+            if tried[:2] > best[:2]:
+                best, chosen = tried, base
         gained = best[1] >= now[1] + max(s.floor, 1) * max(now[2], 1)
         if chosen != own and ((best[0] >= s.floor and best[0] > now[0]) or gained):
             read.bases[at] = chosen
             read.positions.append(at)
 
 
-def _best_indel(bases: np.ndarray, at: int, now: tuple[int, int, int], s: Spectrum) -> tuple[str, np.ndarray, int] | None:
+def _best_indel(bases: list[int], at: int, now: tuple[int, int, int], s: Spectrum) -> tuple[str, list[int], int] | None:
     """(kind, bases, least support) of the indel that raises (least, total) the most, tried in a fixed order."""
-    best, found = now[:2], None
+    tries = []
     for n in range(1, LONGEST_INDEL + 1):
         if at + n > len(bases) or len(bases) <= s.k + (n if n > 1 else 0):
             break
-        rest = np.concatenate([bases[:at], bases[at + n :]])
-        tried = s.support(rest, min(at, len(rest) - 1))[:2]
-        if tried > best:
-            best, found = tried, ("deletion", bases[at : at + n].copy(), tried[0])
-    for base in range(4):
-        tried = s.support(np.concatenate([bases[:at], [base], bases[at:]]).astype(np.uint8), at)[:2]
-        if tried > best:
-            best, found = tried, ("insertion", np.array([base], np.uint8), tried[0])
-    if found and found[0] == "insertion":
-        for _ in range(LONGEST_INDEL - 1):
-            start, more = found[1], None
-            for base in range(4):
-                longer = np.append(start, base).astype(np.uint8)
-                tried = s.support(np.concatenate([bases[:at], longer, bases[at:]]), at)[:2]
-                if tried > best:
-                    best, more = tried, longer
-            if more is None:
-                break
-            found = ("insertion", more, best[0])
+        rest = bases[:at] + bases[at + n :]
+        tries.append((("deletion", bases[at : at + n]), (rest, min(at, len(rest) - 1))))
+    tries += [(("insertion", [b]), (bases[:at] + [b] + bases[at:], at)) for b in range(4)]
+    best, found = now[:2], None
+    while tries:
+        grown = False
+        for (kind, what), got in zip((t[0] for t in tries), s.supports([t[1] for t in tries]), strict=True):
+            if got[:2] > best:
+                best, found, grown = got[:2], (kind, what, got[0]), True
+        if not grown or found[0] == "deletion" or len(found[1]) == LONGEST_INDEL:
+            break
+        tries = [(("insertion", found[1] + [b]), (bases[:at] + found[1] + [b] + bases[at:], at)) for b in range(4)]
     return found
 
 
@@ -155,11 +157,11 @@ def mend_indels(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
     """Inserts or deletes where quality and support are still poor; one edit in each stretch of 50 positions."""
     at, used = 0, None
     while at < min(limit, len(read.bases)):
-        quality = int(read.quality[at]) if at < len(read.quality) else 0
+        quality = read.quality[at] if at < len(read.quality) else 0
         if quality >= min_quality or used == at // INDEL_BUCKET:
             at += 1
             continue
-        now = s.support(read.bases, at)
+        (now,) = s.supports([(read.bases, at)])
         found = _best_indel(read.bases, at, now, s) if now[2] and now[0] < s.floor else None
         if found is None or found[2] < 2 * s.floor:
             at += 1
@@ -168,10 +170,10 @@ def mend_indels(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
         used, n = at // INDEL_BUCKET, len(bases)
         read.indels.append((at, kind, _text(bases)))
         if kind == "deletion":
-            read.bases, read.quality = np.delete(read.bases, slice(at, at + n)), np.delete(read.quality, slice(at, at + n))
+            del read.bases[at : at + n], read.quality[at : at + n]
         else:
-            read.bases = np.concatenate([read.bases[:at], bases, read.bases[at:]])
-            read.quality = np.concatenate([read.quality[:at], np.full(n, INSERTED_QUALITY - 33, np.uint8), read.quality[at:]])
+            read.bases[at:at] = bases
+            read.quality[at:at] = [INSERTED_QUALITY - 33] * n
             at += n + 1
 
 
@@ -190,16 +192,16 @@ def best_path(graph: dict, start: int, end: int, length: int, branches: int) ->
     return best
 
 
-def _node(bases: np.ndarray) -> int | None:
-    if (bases == 4).any():
+def _node(bases: list[int]) -> int | None:
+    if 4 in bases:
         return None
     code = 0
-    for b in bases.tolist():
+    for b in bases:
         code = code << 2 | b
     return code
 
 
-def better_region(bases: np.ndarray, start: int, end: int, s: Spectrum) -> list[int] | None:
+def better_region(bases: list[int], start: int, end: int, s: Spectrum) -> list[int] | None:
     """Other bases for a region between two anchors of k - 1 bases, of its length or up to five shorter or longer."""
     k, n = s.k, end - start
     if start < k - 1 or end + k - 1 > len(bases):
@@ -213,7 +215,7 @@ def better_region(bases: np.ndarray, start: int, end: int, s: Spectrum) -> list[
             tried = best_path(s.graph, before, after, length, BRANCHES_OTHER) if length <= REGION[1] + LONGEST_INDEL else None
             if tried and tried[1] > (best[1] if best else 0):
                 best = tried
-    return best[0] if best and best[0] != bases[start:end].tolist() else None
+    return best[0] if best and best[0] != bases[start:end] else None
 
 
 def mend_regions(read: Read, min_quality: int, s: Spectrum, parity: bool) -> None:
@@ -222,11 +224,11 @@ def mend_regions(read: Read, min_quality: int, s: Spectrum, parity: bool) -> Non
     A replacement of another length leaves the qualities alone if parity is asked for, as tools did that this one is
     compared with; else qualities of new bases are inserted, and of lost bases dropped, so that both stay of one length.
     """
-    quality = read.quality
-    low = np.concatenate([[False], quality[: len(read.bases)] < min_quality, np.ones(max(0, len(read.bases) - len(quality)), bool), [False]])
-    edge = np.flatnonzero(low[1:] != low[:-1])
+    quality = list(read.quality)
+    low = [q < min_quality for q in quality[: len(read.bases)]] + [True] * max(0, len(read.bases) - len(quality))
+    edge = [i for i, (a, b) in enumerate(zip([False, *low], [*low, False], strict=True)) if a != b]
     shift = 0
-    for start, end in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+    for start, end in zip(edge[0::2], edge[1::2], strict=True):
         n = end - start
         at = start if parity else start + shift
         if not REGION[0] <= n <= REGION[1] or at + n > len(read.bases):
@@ -234,40 +236,37 @@ def mend_regions(read: Read, min_quality: int, s: Spectrum, parity: bool) -> Non
         new = better_region(read.bases, at, at + n, s)
         if new is None:
             continue
-        old = read.bases[at : at + n].tolist()
+        old = read.bases[at : at + n]
         changed = [at + j for j, b in enumerate(new) if j >= n or b != old[j]]
-        read.bases = np.concatenate([read.bases[:at], np.array(new, np.uint8), read.bases[at + n :]])
+        read.bases[at : at + n] = new
         if len(new) != n and not parity:
-            held = quality[start:end][: len(new)]
-            filled = np.concatenate([held, np.full(max(0, len(new) - n), INSERTED_QUALITY - 33, np.uint8)])
-            read.quality = np.concatenate([read.quality[:at], filled, read.quality[at + n :]])
+            read.quality[at : at + n] = quality[start:end][: len(new)] + [INSERTED_QUALITY - 33] * max(0, len(new) - n)
             shift += len(new) - n
         read.positions.extend(p for p in changed if p not in read.positions)
 
 
-def _text(bases: np.ndarray) -> str:
-    return bytes(b"ACGTN"[b] for b in bases.tolist()).decode()
+def _text(bases: list[int]) -> str:
+    return "".join("ACGTN"[b] for b in bases)
 
 
 def process_read(sequence: str, qualities: str, limit: int | None, min_quality: int, s: Spectrum, parity: bool = False, indels: bool = True) -> tuple:
     """(sequence, qualities, positions, indels, trimmed bases) of a read whose adapter starts at limit, if it has one."""
-    raw = np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)
-    read = Read(_CODE[raw].copy(), np.maximum(np.frombuffer(qualities.encode("latin-1", "replace"), np.uint8).astype(np.int16) - 33, 0).astype(np.uint8))
+    read = Read(_CODE[np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)].tolist(), [max(ord(c) - 33, 0) for c in qualities])
     fixed = len(sequence) if limit is None else limit
     substitute(read, fixed, min_quality, s)
     if indels:
         mend_indels(read, fixed, min_quality, s)
     if not parity and limit is None:
         fixed = len(read.bases)  # a read that gained bases keeps them
-    stop = min(fixed, len(read.quality))
-    low = np.flatnonzero(read.quality[:stop].astype(np.int16) + 2 >= min_quality)
-    end = int(low[-1]) + 1 if len(low) else 0
+    stop = end = min(fixed, len(read.quality))
+    while end and read.quality[end - 1] + 2 < min_quality:
+        end -= 1
     cut = end if stop - end >= 3 else fixed
     trimmed = max(0, len(read.bases) - cut)
-    read.bases, read.quality = read.bases[:cut], read.quality[:cut]
+    del read.bases[cut:], read.quality[cut:]
     if s.graph:
         mend_regions(read, min_quality, s, parity)
-    return _text(read.bases), (read.quality + 33).tobytes().decode("latin-1"), read.positions, read.indels, trimmed
+    return _text(read.bases), "".join(chr(q + 33) for q in read.quality), read.positions, read.indels, trimmed
 
 
 _OUT = "read_ix long, header string, sequence string, qualities string, corrected_positions array<int>, indels array<struct<position: int, kind: string, bases: string>>, trimmed_bases long, trimmed_adapter string"

@@ -185,7 +185,7 @@ hit_v as (select read_ix, name as adapter_name, start as adapter_start, score as
 
 @query(f"{W}, {HITS} select read_ix, adapter_name, adapter_start, adapter_score from hit_v")
 def adapter_best_hit(spark, sf_dir):
-    rows = reads(spark, sf_dir)
+    rows = reads(spark, sf_dir).persist()
     return best_hit(rows, found_adapters(rows)).where("adapter_name is not null").select("read_ix", "adapter_name", "adapter_start", "adapter_score")
 
 
@@ -209,14 +209,14 @@ _PROFILE_DOUBLES = ["mean_length", "sd_length", "mean_phred", "tail_drop", "illu
 
 @query(f"{W}, {PROFILE} select n_reads, median_length, umi_bases, platform, experiment, {', '.join(f'round({c}, 8) as {c}' for c in _PROFILE_DOUBLES)} from profile_v")
 def auto_profile(spark, sf_dir):
-    return rounded(P.auto_profile(reads(spark, sf_dir)), *_PROFILE_DOUBLES, digits=8)
+    return rounded(P.auto_profile(reads(spark, sf_dir).persist()), *_PROFILE_DOUBLES, digits=8)
 
 
 @query(f"""{W}, {PROFILE} select platform, experiment, case when platform in ('ONT', 'PacBio') then 11 when mean_length < 75 then 13 else 15 end as kmer_size, case platform when 'ONT' then 10 when 'PacBio' then 15 else 20 end as min_quality,
   case when experiment like '10x%' then 3 when experiment = 'Long Read' then 2 else 4 end as trusted_floor, case when experiment like '10x%' then 20 when experiment = 'Long Read' then 200 else 35 end as min_length,
   platform in ('Illumina', 'MGI') and mean_length >= 75 as zero_copy, case when platform in ('Illumina', 'MGI') and mean_length >= 75 then 3 else 1 end as overlap_depth from profile_v""")
 def execution_plan(spark, sf_dir):
-    return P.execution_plan(P.auto_profile(reads(spark, sf_dir)), accelerated=True)
+    return P.execution_plan(P.auto_profile(reads(spark, sf_dir).persist()), accelerated=True)
 
 
 # --- spectrum --------------------------------------------------------------------------------------------------------
@@ -351,7 +351,7 @@ trim_v as (select read_ix, header, n, adapter_name as trimmed_adapter, substr(se
 
 
 def trimmed(spark, sf_dir):
-    rows = reads(spark, sf_dir)
+    rows = reads(spark, sf_dir).persist()
     return T.trim(rows, found_adapters(rows), MIN_QUALITY)
 
 
@@ -386,21 +386,21 @@ def interleaved(spark, sf_dir):
 
 @query()
 def corrected_reads(spark, sf_dir):
-    rows = reads(spark, sf_dir)
+    rows = reads(spark, sf_dir).persist()
     plan = P.Plan(K, MIN_QUALITY, FLOOR, MIN_LENGTH, found_adapters(rows))
     return keep(prepare(rows, plan), plan)
 
 
 @query()
 def pipeline_report(spark, sf_dir):
-    rows = reads(spark, sf_dir)
+    rows = reads(spark, sf_dir).persist()
     plan = P.Plan(K, MIN_QUALITY, FLOOR, MIN_LENGTH, found_adapters(rows))
     return report(prepare(rows, plan), plan)
 
 
 @query()
 def corrected_pairs(spark, sf_dir):
-    first, second = mates(spark, sf_dir)
+    first, second = (side.persist() for side in mates(spark, sf_dir))
     plan = P.Plan(K, MIN_QUALITY, FLOOR, MIN_LENGTH, found_adapters(first))
     return T.filter_pairs(prepare_pairs(first, second, plan), MIN_LENGTH)
 

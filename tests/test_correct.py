@@ -99,8 +99,8 @@ def test_regions_need_anchors():
     from readprep.operators.correct import Spectrum
 
     s = Spectrum(5, 1, np.zeros(0, np.int64), np.zeros(0, np.int64), graph={0: []})
-    assert better_region(np.zeros(10, np.uint8), 2, 4, s) is None
-    assert better_region(np.full(20, 4, np.uint8), 8, 10, s) is None
+    assert better_region([0] * 10, 2, 4, s) is None
+    assert better_region([4] * 20, 8, 10, s) is None
 
 
 def test_truth_scenarios_reach_the_gates(spark):
