@@ -74,10 +74,9 @@ class Spectrum:
             found[rest] = least[rest]
         return found
 
-    def codes(self, bases: list[int], at: int) -> list[int]:
-        """Canonical codes of the windows that cover a position; -1 for windows with an unknown base."""
+    def codes(self, bases: list[int], lo: int, hi: int) -> list[int]:
+        """Canonical codes of the windows that start at lo to hi; -1 for windows with an unknown base."""
         k, full, top = self.k, (1 << 2 * self.k) - 1, 2 * (self.k - 1)
-        lo, hi = max(0, at - k + 1), min(at, len(bases) - k)
         out, forward, backward, unknown = [], 0, 0, -1
         for i in range(lo, hi + k if hi >= lo else lo):
             b = bases[i]
@@ -89,9 +88,18 @@ class Spectrum:
                 out.append(-1 if unknown > i - k else forward if forward < backward else backward)
         return out
 
+    def every(self, bases: list[int]) -> list[int]:
+        """Counts of all windows of a read."""
+        return self.count(np.array(self.codes(bases, 0, len(bases) - self.k), np.int64)).tolist()
+
+    def over(self, counts: list[int], at: int) -> tuple[int, int, int]:
+        """(least, total, windows) of the windows over a position, from the counts of all."""
+        part = counts[max(0, at - self.k + 1) : at + 1]
+        return (min(part), sum(part), len(part)) if part else (0, 0, 0)
+
     def supports(self, tried: list[tuple[list[int], int]]) -> list[tuple[int, int, int]]:
         """(least, total, windows) over the windows that cover a position, for several sequences in one look-up."""
-        codes = [self.codes(bases, at) for bases, at in tried]
+        codes = [self.codes(bases, max(0, at - self.k + 1), min(at, len(bases) - self.k)) for bases, at in tried]
         counts = self.count(np.array([c for x in codes for c in x], np.int64)).tolist()
         out, at = [], 0
         for x in codes:
@@ -113,11 +121,12 @@ class Read:
 
 def substitute(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
     """Tries the three other bases wherever quality or support is poor, from left to right."""
+    counts = s.every(read.bases)
     for at in range(min(limit, len(read.bases))):
         quality = read.quality[at] if at < len(read.quality) else 0
         if quality > min_quality + GRACE:
             continue
-        (now,) = s.supports([(read.bases, at)])
+        now = s.over(counts, at)
         if now[2] == 0 or not (quality < min_quality or now[0] < s.floor):
             continue
         own = read.bases[at]
@@ -130,6 +139,8 @@ def substitute(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
         if chosen != own and ((best[0] >= s.floor and best[0] > now[0]) or gained):
             read.bases[at] = chosen
             read.positions.append(at)
+            lo, hi = max(0, at - s.k + 1), min(at, len(read.bases) - s.k)
+            counts[lo : hi + 1] = s.count(np.array(s.codes(read.bases, lo, hi), np.int64)).tolist()
 
 
 def _best_indel(bases: list[int], at: int, now: tuple[int, int, int], s: Spectrum) -> tuple[str, list[int], int] | None:
@@ -155,13 +166,13 @@ def _best_indel(bases: list[int], at: int, now: tuple[int, int, int], s: Spectru
 
 def mend_indels(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
     """Inserts or deletes where quality and support are still poor; one edit in each stretch of 50 positions."""
-    at, used = 0, None
+    at, used, counts = 0, None, s.every(read.bases)
     while at < min(limit, len(read.bases)):
         quality = read.quality[at] if at < len(read.quality) else 0
         if quality >= min_quality or used == at // INDEL_BUCKET:
             at += 1
             continue
-        (now,) = s.supports([(read.bases, at)])
+        now = s.over(counts, at)
         found = _best_indel(read.bases, at, now, s) if now[2] and now[0] < s.floor else None
         if found is None or found[2] < 2 * s.floor:
             at += 1
@@ -175,6 +186,7 @@ def mend_indels(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
             read.bases[at:at] = bases
             read.quality[at:at] = [INSERTED_QUALITY - 33] * n
             at += n + 1
+        counts = s.every(read.bases)
 
 
 def best_path(graph: dict, start: int, end: int, length: int, branches: int) -> tuple[list[int], int] | None:
