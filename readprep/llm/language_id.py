@@ -123,6 +123,8 @@ def gram_buckets(stream: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def word_scores(x: Letters, model: Model) -> np.ndarray:
     """(words, languages): log scores, the best candidate of a word at 0; words without candidates are 0 throughout."""
+    if not model.languages:
+        return np.zeros((len(x.start), 0), np.float32)
     total = np.zeros((len(x.stream), len(model.languages)), np.float32)
     for at, bucket in gram_buckets(x.stream):
         total[at] += model.grams[bucket]

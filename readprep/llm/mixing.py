@@ -61,8 +61,10 @@ def balance(sizes: DataFrame, targets: DataFrame, tolerance: float = 1e-9, most_
     n = now.count()
     for _ in range(most_steps):
         tilted = terms.alias("t").join(small(now, n).alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")))
-        word = F.col("size") * F.col("n") * F.exp("lam")
-        sums = tilted.groupBy(F.col("l.source").alias("source"), "target", "lam").agg(F.sum(word).alias("given"), F.sum(word).alias("curve"))
+        # the tilt is one factor for a source, so its words add up as integers and reruns agree to the last bit
+        words = tilted.groupBy(F.col("l.source").alias("source"), "target", "lam").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+        given = F.col("words") * F.exp("lam")
+        sums = words.withColumns({"given": given, "curve": given})
         step = (F.col("target") - F.col("given")) / F.col("curve")
         now = cut(sums.select("source", "target", (F.col("lam") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step))).alias("lam"), (F.abs(F.col("target") - F.col("given")) / F.col("target")).alias("miss")))
         worst = now.agg(F.max("miss")).first()[0]
