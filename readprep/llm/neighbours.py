@@ -10,7 +10,7 @@ pairs with an edge that is new since the last round are compared. Codes of one b
 
 Search: all queries advance together. A round expands the EXPAND best nodes of each query's beam that it hasn't expanded,
 joins their neighbours with the vectors, scores them exactly against a bounded block of query vectors that is broadcast,
-and keeps the BEAM best. The result's scores are inner products of the original vectors in double precision.
+and keeps the BEAM best, until none of these is left to expand. The result's scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readprep.llm import bytetext
 from readprep.llm.common import cut, partitions, pick, ship, small
 
 NEIGHBOURS = 24
@@ -33,10 +34,12 @@ LEAF = 96
 LEAF_PART = 512
 #: Partners that a node reports for each of its neighbours.
 REPORTS = 6
-ROUNDS = 6
+ROUNDS = 10
 #: Updates, as a share of all edges, below which building stops.
-SETTLED = 0.01
-BEAM, EXPAND, WALKS = 160, 32, 5
+SETTLED = 0.02
+BEAM, EXPAND, WALKS = 400, 128, 40
+#: Bytes up to which codes, lists or vectors are broadcast, by their counted rows.
+SHARED = 8 << 20
 #: Queries of a block, whose vectors are broadcast.
 BLOCK = 50_000
 
@@ -67,7 +70,7 @@ def _encode(longest: float):
     schema = pa.schema([("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             if not batch.num_rows:
                 continue
             x = matrix(batch["vector"]).astype(np.float64)
@@ -87,7 +90,7 @@ def _leaves(tables: int, bits: int):
     schema = pa.schema([("id", pa.int64()), ("tree", pa.int64()), ("leaf", pa.int64()), ("code", pa.binary()), ("scale", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             if not batch.num_rows:
                 continue
             x = _decode(batch["code"].to_pylist(), batch["scale"].to_numpy())
@@ -128,7 +131,7 @@ def _nearest(ids: np.ndarray, sims: np.ndarray, k: int) -> pa.Table:
 def _join_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (v, u, new, code, scale, kth) sorted by v: for each u of a v, the nearest other u's that beat its worst neighbour."""
     held = None
-    for batch in batches:
+    for batch in bytetext.regroup(batches):
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
@@ -168,34 +171,46 @@ def _reports(table: pa.Table) -> pa.RecordBatch:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best of each src, old edges before new ones of the same pair."""
-    pairs = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))).where(F.col("place") <= k).drop("place")
+    """The k best of each src, old edges before new ones of the same pair; kth is what a better one has to beat.
+
+    One shuffle: by src, which the pairs and the ranking share.
+    """
+    pairs = edges.repartition(partitions(edges.sparkSession), "src").groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    of = Window.partitionBy("src")
+    kept = pairs.withColumn("place", F.row_number().over(of.orderBy(F.desc("sim"), "dst"))).where(F.col("place") <= k)
+    return kept.withColumn("kth", F.when(F.count("*").over(of) >= k, F.min("sim").over(of)).otherwise(F.lit(-2.0)).cast("float"))
 
 
-def _reversed(edges: DataFrame, most: int, seed: int) -> DataFrame:
-    """(src, dst, new) from dst to src, a sample of so many for each."""
-    place = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("new"), F.xxhash64("src", "dst", F.lit(seed))))
-    return edges.withColumn("place", place).where(F.col("place") <= most).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "new")
+def _around(graph: DataFrame, most: int, seed: int) -> DataFrame:
+    """(v, u, new): every node with its neighbours and a sample of the nodes whose neighbour it is; one shuffle, by v."""
+    n = partitions(graph.sparkSession)
+    ahead = graph.select(F.col("src").alias("v"), F.col("dst").alias("u"), "new", F.lit(False).alias("back"))
+    back = graph.select(F.col("dst").alias("v"), F.col("src").alias("u"), "new", F.lit(True).alias("back"))
+    rows = ahead.union(back).repartition(n, "v")
+    place = F.row_number().over(Window.partitionBy("v", "back").orderBy(F.desc("new"), F.xxhash64("v", "u", F.lit(seed))))
+    return rows.withColumn("place", place).where(~F.col("back") | (F.col("place") <= most)).groupBy("v", "u").agg(F.max("new").alias("new"))
 
 
-def build(codes: DataFrame, n: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph (src, dst, sim, new) of codes (id, code, scale)."""
-    spark = codes.sparkSession
+def build(codes: DataFrame, n: int, width: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+    """The neighbour graph (src, dst, sim, new, kth) of n codes (id, code, scale) of so many bytes.
+
+    Codes up to SHARED bytes in all are broadcast to the local joins; beyond that they are joined by a shuffle.
+    """
     bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
     leaves = cut(codes.mapInArrow(_leaves(TABLES, bits), "id long, tree long, leaf long, code binary, scale float"))
     large = cut(leaves.groupBy("tree", "leaf").count().where(F.col("count") > LEAF_PART))
     parts = leaves.join(small(large, large.count()), ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.coalesce("count", F.lit(1)) / F.lit(LEAF_PART))))
     first = parts.select("id", "tree", "leaf", "part", "code", "scale").groupBy("tree", "leaf", "part").applyInArrow(_within(k), "src long, dst long, sim float")
     graph = cut(_best(first.withColumn("new", F.lit(True)), k))
+    limit = SHARED // (width + 24)
     for r in range(rounds):
-        both = graph.select("src", "dst", "new").union(_reversed(graph, REVERSE, r)).groupBy("src", "dst").agg(F.max("new").alias("new"))
-        worst = graph.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("least")).select(F.col("src").alias("id"), F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("kth"))
-        known = codes.join(worst, "id", "left").select(F.col("id").alias("u"), "code", "scale", F.coalesce("kth", F.lit(-2.0).cast("float")).alias("kth"))
-        placed = both.select(F.col("src").alias("v"), F.col("dst").alias("u"), "new").join(known, "u").select("v", "u", "new", "code", "scale", "kth")
-        told = placed.repartition(partitions(spark), "v").sortWithinPartitions("v").mapInArrow(_join_local, "src long, dst long, sim float")
-        merged = cut(_best(graph.withColumn("new", F.lit(False)).union(told.withColumn("new", F.lit(True))), k))
-        graph = merged
+        worst = graph.groupBy(F.col("src").alias("u")).agg(F.first("kth").alias("kth"))
+        known = codes.withColumnRenamed("id", "u").join(small(worst, n, limit), "u", "left").select("u", "code", "scale", F.coalesce("kth", F.lit(-2.0).cast("float")).alias("kth"))
+        placed = _around(graph, REVERSE, r).join(small(known, n, limit), "u").select("v", "u", "new", "code", "scale", "kth")
+        if n > limit:
+            placed = placed.repartition(partitions(graph.sparkSession), "v")
+        told = placed.sortWithinPartitions("v").mapInArrow(_join_local, "src long, dst long, sim float")
+        graph = cut(_best(graph.select("src", "dst", "sim").withColumn("new", F.lit(False)).union(told.withColumn("new", F.lit(True))), k))
         if graph.where("new").count() <= SETTLED * n * k:
             break
     return graph
@@ -209,7 +224,7 @@ def _score(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
-        for batch in batches:
+        for batch in bytetext.regroup(batches):
             if not batch.num_rows:
                 continue
             at = np.searchsorted(ids, batch["q"].to_numpy())
@@ -219,24 +234,32 @@ def _score(shared):
     return run
 
 
-def search(queries: DataFrame, table: DataFrame, around: DataFrame, beam: int = BEAM, expand: int = EXPAND, walks: int = WALKS) -> DataFrame:
-    """(q, id, score): the best nodes found for queries (q, id of its node, vector) by walks over around (id, next)."""
+def search(queries: DataFrame, table: DataFrame, around: DataFrame, limit: int, n: int, beam: int = BEAM, expand: int = EXPAND, walks: int = WALKS) -> DataFrame:
+    """(q, id, score): the best nodes found for queries (q, id of its node, vector) by walks over around (id, next).
+
+    Rows stay partitioned by query through a round. The n nodes' lists and vectors are broadcast up to the limit of rows,
+    and joined by shuffles beyond it.
+    """
     spark = queries.sparkSession
     rows = sorted((r.q, r.vector) for r in queries.select("q", "vector").collect())  # a block of bounded size
     shared = spark.sparkContext.broadcast((np.array([q for q, _ in rows]), np.array([v for _, v in rows], np.float64)))
+    vectors, lists = small(table.select("id", "vector"), n, limit), small(around, n, limit)
 
     def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(table.select("id", "vector"), "id").select("id", "vector", "q").mapInArrow(_score(shared), "q long, id long, score double")
+        return pairs.join(vectors, "id").select("id", "vector", "q").mapInArrow(_score(shared), "q long, id long, score double")
 
     state = cut(scored(queries.select("q", "id")).withColumn("done", F.lit(False)))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     for _ in range(walks):
-        turn = state.withColumn("turn", F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "id")))
+        placed = state.repartition(partitions(spark), "q")
+        turn = placed.withColumn("turn", F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "id")))
         turn = turn.withColumn("now", ~F.col("done") & (F.col("turn") <= expand))
-        reached = turn.where("now").select("q", "id").join(around, "id").select("q", F.explode("next").alias("id")).distinct()
-        fresh = scored(reached.join(state.select("q", "id"), ["q", "id"], "left_anti")).withColumn("done", F.lit(False))
+        reached = turn.where("now").select("q", "id").join(lists, "id").select("q", F.explode("next").alias("id")).distinct()
+        fresh = scored(reached.join(placed.select("q", "id"), ["q", "id"], "left_anti")).withColumn("done", F.lit(False))
         every = turn.select("q", "id", "score", (F.col("done") | F.col("now")).alias("done")).union(fresh)
         state = cut(every.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= beam).drop("place"))
+        if state.where("not done").isEmpty():
+            break
     return state.select("q", "id", "score")
 
 
@@ -254,15 +277,16 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     n = table.count()
     longest = table.select(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 1.0
     codes = cut(table.select("id", "vector").mapInArrow(_encode(longest), "id long, code binary, scale float"))
-    graph = build(codes, n, neighbours)
-    edges = graph.select("src", "dst").union(_reversed(graph, 2 * REVERSE, 99).select("src", "dst")).distinct()
-    around = cut(edges.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("next")))
+    width = (vectors.select(F.max(F.size("vector"))).first()[0] or 0) + 1
+    graph = build(codes, n, width, neighbours)
+    around = cut(_around(graph, 2 * REVERSE, 99).groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("next")))
+    limit = SHARED // (8 * max(width, 3 * REVERSE))
 
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).join(table.select("id", F.col("vector").alias("v2")), F.col("vector") == F.col("v2")).select(F.col("vec_id").alias("q"), "id", "vector")
     blocks = max(1, math.ceil(asked.count() / BLOCK))
     found = None
     for b in range(blocks):
-        part = search(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked, table, around, max(beam, k + 1))
+        part = search(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked, table, around, limit, n, max(beam, k + 1))
         found = part if found is None else found.union(part)
     top = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
     full = top.join(table.select("id", "members"), "id").select("q", F.explode("members").alias("vec_id"), "score").where(F.col("q") != F.col("vec_id"))
