@@ -253,7 +253,7 @@ def study_ingest(spark, args) -> dict:
     from readprep.study import reports as R
     from readprep.study import text as X
 
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(args.results).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    files = spark.read.text(args.results, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     side = X.metric_side(F.col("path"))
     name = F.coalesce(X.dataset_hint(F.col("label")), X.dataset_hint(F.regexp_extract("path", "([^/]*)$", 1)))
     long = R.read_all(files.persist()).select(name.alias("dataset_id"), side["side"].alias("side"), side["tool"].alias("tool"), "metric", "value").where("dataset_id is not null")

@@ -67,7 +67,7 @@ def read_table(spark: SparkSession, path: str, columns: list[str] = MANIFEST, re
 
 def as_table(df: DataFrame, mark: str = "\t") -> DataFrame:
     """One column of lines, the header first: numbers with six digits, blanks for nulls, quoted where the mark occurs."""
-    cell = lambda c, t: F.coalesce(F.format_string("%.6f", F.col(c)) if t == "double" else F.col(c).cast("string"), F.lit(""))
+    cell = lambda c, t: F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.6f", F.col(c)) if t == "double" else F.col(c).cast("string"))
     quoted = lambda v: F.when(v.rlike('["\\n\\r' + ("\\t" if mark == "\t" else ",") + "]"), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
     rows = df.select(F.lit(1).alias("part"), F.concat_ws(mark, *(quoted(cell(c, t)) for c, t in df.dtypes)).alias("value"))
     head = df.sparkSession.createDataFrame([(0, mark.join(df.columns))], "part int, value string")

@@ -17,6 +17,7 @@ RESULT_WORDS = ["happy", "vcfeval", "fastp", "flagstat", "markdup", "markduplica
 RESULT_ENDINGS = ["txt", "log", "json", "csv", "tsv"]
 GENERIC = ["fastp", "quast", "report", "results", "result", "structuredresults", "structuredresult", "baseline", "metrics", "annotations", "summary", "txt", "log", "flagstat", "markdup", "markduplicates", "duplication", "picardmarkduplicates", "picard", "duplicationmetrics", "samtools", "samtoolscoverage", "coverage", "mosdepth", "happy", "happysummary", "vcfeval", "dataset", "assembly", "assemblies", "contigs", "contigs1", "contigs2", "scaffolds", "scaffold"]
 TOOLS = {"fastp": "fastp", "cutadapt": "cutadapt", "trimgalore": "trim-galore", "trimmomatic": "trimmomatic", "bbduk": "bbduk", "adapterremoval": "adapterremoval", "skewer": "skewer"}
+#: What stands for the tool under study in names of columns and paths.
 OWN = ["own", "readprep", "echo"]
 
 ACCESSION = f"^({'|'.join(PREFIXES)})[0-9]+$"
