@@ -26,13 +26,16 @@ def build_spectrum(reads: DataFrame, plan: Plan, sample: int = SAMPLE):
     return counts, row.floor
 
 
-def prepare(reads: DataFrame, plan: Plan | None = None, sample: int = SAMPLE, parity: bool = False, hybrid: bool = True) -> DataFrame:
-    """All reads, corrected and trimmed, those to be discarded too; keep() drops them."""
+def prepare(reads: DataFrame, plan: Plan | None = None, sample: int = SAMPLE, parity: bool = False, hybrid: bool = True, indels: bool = True) -> DataFrame:
+    """All reads, corrected and trimmed, those to be discarded too; keep() drops them.
+
+    hybrid=False, indels=False is the mode of accelerators: trusted k-mers only, and substitutions only.
+    """
     plan = plan or plan_of(reads, sample)
     counts, floor = build_spectrum(reads, plan, sample)
     s = collect_spectrum(counts, plan.kmer_size, floor, hybrid)
     counts.unpersist()
-    return process_reads(best_hit(reads, plan.adapters), s, plan.min_quality, parity)
+    return process_reads(best_hit(reads, plan.adapters), s, plan.min_quality, parity, indels)
 
 
 def keep(prepared: DataFrame, plan: Plan) -> DataFrame:
@@ -43,7 +46,7 @@ def prepare_pairs(first: DataFrame, second: DataFrame, plan: Plan | None = None,
     """Pairs of prepared mates, columns with 1 and 2; the plan follows the first mates, the spectrum counts both."""
     pairs = T.pair_up(first, second)
     mate = lambda n: pairs.select("read_ix", *(F.col(f"{c}{n}").alias(c) for c in ("header", "sequence", "qualities")))
-    plan = plan or plan_of(mate(1), (max(sample, 2) + 1) // 2)
+    plan = plan or plan_of(mate(1), (max(sample, 2) + 1) // 2, mates=mate(2))
     both = T.interleave(mate(1), mate(2))
     done = prepare(both, plan, sample, parity)
     one = done.withColumn("mate", F.pmod("read_ix", F.lit(2)) + 1).withColumn("read_ix", F.floor(F.col("read_ix") / 2))

@@ -216,11 +216,29 @@ class Plan:
     experiment: str = "Unknown"
 
 
-def plan_of(reads: DataFrame, sample: int = 100_000, adapter: str | None = None, min_quality: int | None = None, kmer_size: int | None = None, platform_: str | None = None, experiment_: str | None = None) -> Plan:
-    """Profiles the first reads and plans; a forced adapter stands first with the sample as its support."""
+def boosted_by_mates(profile: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """The profile of first mates, as RNA if it says WGS but second mates have more poly tails and both together say RNA.
+
+    Second mates of poly-A selected libraries begin with runs that first mates lack. Only the experiment changes. The second
+    profile is made only where the first row asks for it.
+    """
+    row = profile.first()
+    if row.experiment != "WGS" or second.isEmpty() or poly_tail(second).first().rate <= row.poly_tail_rate:
+        return profile
+    both = auto_profile(first.unionByName(second)).first()
+    return profile.withColumn("experiment", F.lit("RNA-seq")) if both.experiment == "RNA-seq" else profile
+
+
+def plan_of(reads: DataFrame, sample: int = 100_000, adapter: str | None = None, min_quality: int | None = None, kmer_size: int | None = None, platform_: str | None = None, experiment_: str | None = None, mates: DataFrame | None = None) -> Plan:
+    """Profiles the first reads and plans; a forced adapter stands first with the sample as its support.
+
+    Second mates, if given, can only turn WGS into RNA.
+    """
     rows = head(reads, sample).persist()
     try:
         profile = auto_profile(rows)
+        if mates is not None:
+            profile = boosted_by_mates(profile, rows, head(mates, sample // 2))
         if platform_:
             profile = profile.withColumn("platform", F.lit(platform_))
         if experiment_:

@@ -461,3 +461,37 @@ def study_comparison(spark, sf_dir):
 def study_aggregate(spark, sf_dir):
     out = M.aggregate(M.compare(_datasets(spark, sf_dir))).select("datasets", "mean_input_bases_per_sec", "mean_trimmed_read_fraction", "platform_accuracy", "compared", "mean_input_speedup")
     return rounded(rounded(out, "mean_trimmed_read_fraction", "mean_input_speedup"), "mean_input_bases_per_sec", digits=6)
+
+
+# --- accession manifests ----------------------------------------------------------------------------------------------
+
+REQUESTS = [(1, "SRR5", None, "SRP1"), (2, None, "GSE7 GSM8", "SRP1"), (3, None, None, "SRP2/SRR5"), (4, "", "", "")]
+_REQUEST_NAMES = "run_accession, geo_accession, study_accession"
+
+
+@query(f"""with w as (select id, case when regexp_matches(run_accession, '[A-Z]+[0-9]') then run_accession when regexp_matches(study_accession, '[A-Z]+[0-9]') then study_accession else geo_accession end as t from {values(REQUESTS, 'id, ' + _REQUEST_NAMES)}),
+k as (select id, unnest(string_split_regex(upper(t), '[^A-Z0-9]+')) as accession, generate_subscripts(string_split_regex(upper(t), '[^A-Z0-9]+'), 1) as nth from w where t is not null),
+f as (select accession, min(id * 1000 + nth) as f from k where regexp_matches(accession, '{X.ACCESSION}') group by accession) select row_number() over (order by f)::int as "at", accession from f""")
+def requested_accessions(spark, sf_dir):
+    return M.requested(spark.createDataFrame(REQUESTS, "at int, run_accession string, geo_accession string, study_accession string"), _REQUEST_NAMES.split(", "))
+
+
+PUBLIC = [("SRR1", "PAIRED", "h/x/SRR1_2.fastq.gz;h/x/SRR1_1.fastq.gz", "ILLUMINA", "RNA-Seq", "SRP1", "A study"), ("SRR2", "SINGLE", "h/y/reads.fq.gz", "OXFORD_NANOPORE", "WGS", "SRP1", "SRP1"), ("SRR3", "PAIRED", "a;b;c", "PACBIO_SMRT", "other", None, None), ("SRR4", None, "", "DNBSEQ", "ATAC-seq", "", "T")]
+
+
+@query()
+def accession_manifest(spark, sf_dir):
+    names = ["run_accession", "library_layout", "fastq_ftp", "instrument_platform", "library_strategy", "study_accession", "study_title"]
+    df = spark.createDataFrame(PUBLIC, ", ".join(f"{n} string" for n in names))
+    for c in ("submitted_ftp", "instrument_model", "library_source", "library_selection", "experiment_title", "sample_title"):
+        df = df.withColumn(c, F.lit("").cast("string"))
+    return M.from_metadata(df, "root")
+
+
+@query()
+def backend_parity(spark, sf_dir):
+    truth = E.single_truth(spark, PER_SCENARIO)
+    cut = _simple(truth).where("length(output) >= 35").select("read_ix", "header", F.col("output").alias("sequence"))
+    right = truth.where("expected is not null").select("read_ix", "header", F.col("expected").alias("sequence"))
+    a, b = (E.summarise(E.scored(truth, E.last_by(x, F.col("header"), "read_ix"))) for x in (cut, right))
+    return E.parity(a, b)

@@ -183,6 +183,57 @@ def group_files(paths: DataFrame) -> DataFrame:
     return sets.withColumn("input2", F.when(F.col("input2") != F.col("input1"), F.col("input2")))
 
 
+#: Columns of a table of requests, the first with an accession in a row is what the row asks for.
+ASKED_BY = ["run_accession", "experiment_accession", "sample_accession", "study_accession", "geo_accession", "bioproject"]
+
+
+def requested(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(at, accession) asked for by a table (at, columns...) or by free text (at, text), each once, in order."""
+    if columns is None:
+        tokens = accessions(F.col("text"))
+    else:
+        have = [c for c in ASKED_BY if c in columns]
+        found = [accessions(F.coalesce(F.col(c), F.lit(""))) for c in have]
+        rest = accessions(F.concat_ws(" ", *(F.col(c) for c in columns)))
+        tokens = F.coalesce(*(F.when(F.size(t) > 0, t) for t in found), rest)
+    flat = rows.select("at", F.posexplode(tokens).alias("nth", "accession"))
+    return flat.groupBy("accession").agg(F.min(F.struct("at", "nth")).alias("f")).select(F.row_number().over(Window.orderBy("f")).alias("at"), "accession")
+
+
+def input_paths(rows: DataFrame, root: str) -> DataFrame:
+    """input1, input2 for metadata (dataset_id, paired, locations): the remote names under the root, or names that stand for them.
+
+    Two names of a pair are put in order by their mates; one name serves a single file; anything else is assumed to be
+    merged into files named after the data set.
+    """
+    folder = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(F.trim("dataset_id"), "[^0-9A-Za-z_.-]", "_"))
+    base = F.regexp_extract(folder, "([^/]*)$", 1)
+    names = F.array_distinct(F.filter(F.transform("locations", lambda x: F.regexp_extract(F.rtrim(F.trim(x), F.lit("/")), "([^/?]*)([?].*)?$", 1)), lambda x: x != ""))
+    rows = rows.withColumns({"__f": folder, "__b": base, "__n": names})
+    mates = F.transform("__n", lambda x: mate_number(fastq_stem(x)))
+    of = lambda m: F.get("__n", F.array_position(mates, F.lit(m)).cast("int") - 1)
+    both = of(1).isNotNull() & of(2).isNotNull()
+    two, one = F.col("paired") & (F.size("__n") == 2), ~F.col("paired") & (F.size("__n") == 1)
+    at = lambda x: F.concat("__f", F.lit("/"), x)
+    first = F.when(two, F.when(both, of(1)).otherwise(F.get("__n", F.lit(0)))).when(one, F.get("__n", F.lit(0))).when(F.col("paired"), F.concat("__b", F.lit("_1.fastq.gz"))).otherwise(F.concat("__b", F.lit(".fastq.gz")))
+    second = F.when(two, F.when(both, of(2)).otherwise(F.get("__n", F.lit(1)))).when(F.col("paired"), F.concat("__b", F.lit("_2.fastq.gz")))
+    return rows.withColumns({"input1": at(first), "input2": F.when(second.isNotNull(), at(second))}).drop("__f", "__b", "__n")
+
+
+def from_metadata(rows: DataFrame, root: str) -> DataFrame:
+    """A manifest of public run metadata (19 columns of text): names, platform, experiment, citation and inputs inferred."""
+    from readprep.study import text as X
+
+    locations = F.filter(F.split(F.coalesce(F.nullif(F.trim("fastq_ftp"), F.lit("")), F.nullif(F.trim("submitted_ftp"), F.lit("")), F.lit("")), "[;,]"), lambda x: F.trim(x) != "")
+    label = X.platform(F.array("instrument_platform", "instrument_model"))
+    words = F.array(*(F.coalesce(F.col(c), F.lit("")) for c in ("library_strategy", "library_source", "library_selection", "experiment_title", "sample_title", "study_title")))
+    read = rows.select(
+        F.col("run_accession").alias("dataset_id"), F.col("run_accession").alias("accession"), X.citation(F.array("study_accession", "study_title")).alias("citation"),
+        label.alias("expected_platform"), X.experiment(words, label).alias("expected_experiment"), F.coalesce(X.boolish(F.col("library_layout")), X.locations_paired(locations)).alias("paired"), locations.alias("locations"),
+    )
+    return input_paths(read, root).drop("paired", "locations")
+
+
 MATCHED_BY = ["run_accession", "study_accession", "experiment_accession", "sample_accession", "bioproject"]
 
 

@@ -119,3 +119,23 @@ def test_history_gates(spark):
     assert {r.line_no: r.baseline_line for r in H.latest_passing(df, H.Gates(50, 0.6)).collect()}[3] == 2
     assert H.labelled_baseline(df, label="v1").first().relation == "not_comparable"
     assert H.labelled_baseline(df, label="none").first().relation == "no_baseline"
+
+
+def test_manifest_of_public_metadata(spark):
+    from readprep.plans.study_queries import accession_manifest
+
+    got = {r.dataset_id: r for r in accession_manifest(spark, "").collect()}
+    assert (got["SRR1"].input1, got["SRR1"].input2) == ("root/SRR1/SRR1_1.fastq.gz", "root/SRR1/SRR1_2.fastq.gz")
+    assert (got["SRR2"].input1, got["SRR2"].input2) == ("root/SRR2/reads.fq.gz", None)
+    assert (got["SRR3"].input1, got["SRR3"].input2) == ("root/SRR3/SRR3_1.fastq.gz", "root/SRR3/SRR3_2.fastq.gz")
+    assert (got["SRR4"].input1, got["SRR4"].input2) == ("root/SRR4/SRR4.fastq.gz", None)
+    assert [got[f"SRR{i}"].expected_platform for i in range(1, 5)] == ["Illumina", "ONT", "PacBio", "MGI"]
+    assert [got[f"SRR{i}"].expected_experiment for i in range(1, 5)] == ["RNA-seq", "WGS", "Long Read", "ATAC-seq"]
+    assert (got["SRR1"].citation, got["SRR2"].citation, got["SRR3"].citation) == ("SRP1 | A study", "SRP1", None)
+
+
+def test_parity_of_equal_outputs_is_zero(spark):
+    from readprep.plans.study_queries import backend_parity
+
+    rows = {r.scenario: r.largest for r in backend_parity(spark, "").collect()}
+    assert rows["clean_retention"] == 0 and rows["adapter_trim"] == 0 and rows["single_error_repair"] == 1
