@@ -26,7 +26,7 @@ from readprep.llm.bytetext import U64
 from readprep.llm.common import cut, partitions, pick, ship
 from readprep.llm.language_id import remainder
 
-HEAD = 1 << 16
+HEAD = 1 << 18
 #: Shares of the training documents that the rounds learn from; every document is learned from once.
 ROUNDS = (0.125, 0.875)
 #: Bytes of text that are worked through together.
@@ -123,7 +123,8 @@ def most_frequent(counts: DataFrame, most: int = HEAD) -> list[tuple[str, int]]:
         least, n = r.level, n + r.n
     if least is None:
         return []
-    return sorted(((r.word, r.c) for r in counts.where(level >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+    found = counts.where(level >= least).select("word", "c").toArrow()
+    return sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
 def _train(shared, theta: np.ndarray):
