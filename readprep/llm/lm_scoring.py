@@ -32,6 +32,7 @@ ROUNDS = (0.125, 0.875)
 #: Bytes of text that are worked through together.
 GROUP = 12 << 20
 _BLOCK = 4096
+_TOP = 20
 
 
 @dataclass
@@ -46,12 +47,24 @@ class Head:
     counts: np.ndarray
     end_count: int
 
+    def __post_init__(self):
+        #: where the hashes with each value of their highest bits start; a few share one
+        self.start = np.searchsorted(self.hash >> U64(64 - _TOP), np.arange((1 << _TOP) + 1, dtype=U64)).astype(np.int32)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of each word in the head, or -1."""
+        """Index of each word in the head, or -1: the place that its highest bits give, then the next of the same bits."""
+        found = np.full(len(hashes), -1, np.int32)
         if not len(self.hash):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, at, -1)
+            return found
+        top = (hashes >> U64(64 - _TOP)).astype(np.int32)
+        at, stop, rest = self.start[top], self.start[top + 1], np.arange(len(hashes), dtype=np.int32)
+        while len(rest):
+            inside = at < stop
+            at, stop, rest = at[inside], stop[inside], rest[inside]
+            same = self.hash[at] == hashes[rest]
+            found[rest[same]] = at[same]
+            at, stop, rest = at[~same] + 1, stop[~same], rest[~same]
+        return found
 
 
 def word_hash(words: list[str]) -> np.ndarray:
