@@ -1,14 +1,14 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a neighbour graph, queries walk it greedily.
 
 Equal vectors form one node, so a vector that a large part of the table repeats is one node with its smallest ids as
-members. To search by inner product with a graph of a metric, every node's vector gets one more component that brings all
-to the same length; nearness to a query, whose extra component is 0, then orders as the inner product does.
+members. Edges go to the nodes of the largest inner products of the original vectors, so they lead to longer vectors too.
 
 Build: random-hyperplane leaves give first neighbours; then, in rounds, every node joins its neighbours and its reverse
 neighbours (of them a sample of REVERSE) with their vectors, and tells each of them of nearer ones among the others. Only
 pairs with an edge that is new since the last round are compared. Codes of one byte a component travel in these joins.
 
-Search: all queries advance together. A round expands the EXPAND best nodes of each query's beam that it hasn't expanded,
+Search: all queries advance together. A walk starts at the query's own node and at the best of the entry nodes, which are
+the longest of every band of length and are compared with all queries in blocks. A round expands the EXPAND best nodes of each query's beam that it hasn't expanded,
 joins their neighbours with the vectors, scores them exactly against a bounded block of query vectors that is broadcast,
 and keeps the BEAM best, until none of these is left to expand. The result's scores are inner products of the original vectors in double precision.
 """
@@ -42,6 +42,11 @@ BEAM, EXPAND, WALKS = 400, 128, 40
 SHARED = 8 << 20
 #: Queries of a block, whose vectors are broadcast.
 BLOCK = 50_000
+#: Entry nodes of a band of length (at least; the square root of the nodes counts beyond), a band's share of an octave, the
+#: number of bands, of which the last holds all shorter vectors, and the best entries at which a walk starts.
+ENTRIES, BANDS_OCTAVE, BANDS, STARTS = 1024, 2, 16, 64
+#: Queries and vectors that are compared at once by blocks.
+SLICE = 512, 4096
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -66,15 +71,14 @@ def nodes(vectors: DataFrame, members: int) -> DataFrame:
 
 
 def _encode(longest: float):
-    """Codes of the vectors brought to one length, with leaves of each table."""
+    """Codes of the vectors as shares of the greatest length, each with a scale of its own."""
     schema = pa.schema([("id", pa.int64()), ("code", pa.binary()), ("scale", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bytetext.regroup(batches):
             if not batch.num_rows:
                 continue
-            x = matrix(batch["vector"]).astype(np.float64)
-            x = np.hstack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))[:, None]]) / longest
+            x = matrix(batch["vector"]).astype(np.float64) / longest
             scale = np.abs(x).max(1) / 127
             code = np.round(x / scale[:, None]).astype(np.int8)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale.astype(np.float32))], schema=schema)
@@ -234,21 +238,80 @@ def _score(shared):
     return run
 
 
-def search(queries: DataFrame, table: DataFrame, around: DataFrame, limit: int, n: int, beam: int = BEAM, expand: int = EXPAND, walks: int = WALKS) -> DataFrame:
+def _compare(shared, k: int):
+    """Rows (id, vector) to the k best of a task for each of the block's query vectors; ties go to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, queries = shared.value
+        held, score = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
+        for batch in bytetext.regroup(batches):
+            every, own = matrix(batch["vector"]).astype(np.float64), batch["id"].to_numpy()
+            for i in range(0, len(own), SLICE[1]):
+                x, ids = every[i : i + SLICE[1]], own[i : i + SLICE[1]]
+                take = min(k, len(ids))
+                width = min(k, held.shape[1] + take)
+                next_held, next_score = np.empty((len(asked), width), np.int64), np.empty((len(asked), width))
+                for lo in range(0, len(asked), SLICE[0]):
+                    part = slice(lo, lo + SLICE[0])
+                    q = queries[part]
+                    s = q @ x.T
+                    best = np.argpartition(-s, take - 1, axis=1)[:, :take]
+                    worst = np.take_along_axis(s, best, 1).min(1)
+                    for r in np.flatnonzero((s >= worst[:, None]).sum(1) > take):  # equal ones at the border
+                        best[r] = np.lexsort((ids, -s[r]))[:take]
+                    exact = np.einsum("ij,ij->i", x[best.reshape(-1)], np.repeat(q, take, 0)).reshape(-1, take)
+                    both_id, both = np.hstack([held[part], ids[best]]), np.hstack([score[part], exact])
+                    order = np.lexsort((both_id, -both))[:, :width]
+                    next_held[part], next_score[part] = np.take_along_axis(both_id, order, 1), np.take_along_axis(both, order, 1)
+                held, score = next_held, next_score
+        if held.shape[1]:
+            for lo in range(0, len(asked), 8 * SLICE[0]):
+                part = slice(lo, lo + 8 * SLICE[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[part], held.shape[1])), pa.array(held[part].reshape(-1)), pa.array(score[part].reshape(-1))], schema=_SCORED)
+
+    return run
+
+
+def _vectors(queries: DataFrame):
+    """The ids and vectors of a block of queries, broadcast."""
+    rows = sorted((r.q, r.vector) for r in queries.select("q", "vector").collect())  # a block of bounded size
+    return queries.sparkSession.sparkContext.broadcast((np.array([q for q, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)))
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+
+def exact(shared, table: DataFrame, k: int) -> DataFrame:
+    """(q, id, score): of all nodes of table the k best for each query of a block, compared with every one."""
+    return _first(table.select("id", "vector").mapInArrow(_compare(shared, k), "q long, id long, score double"), k)
+
+
+def entries(table: DataFrame, n: int, longest: float) -> DataFrame:
+    """(id, vector): the longest nodes of every band of length."""
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    band = F.least(F.floor(F.log2(F.lit(longest) / F.col("length")) * BANDS_OCTAVE), F.lit(BANDS - 1))
+    banded = table.select("id", "vector", length.alias("length")).withColumn("band", F.coalesce(band, F.lit(BANDS - 1)))
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("length"), "id"))
+    return banded.withColumn("place", place).where(F.col("place") <= max(ENTRIES, math.isqrt(n))).select("id", "vector")
+
+
+def search(queries: DataFrame, table: DataFrame, around: DataFrame, starts: DataFrame, limit: int, n: int, beam: int = BEAM, expand: int = EXPAND, walks: int = WALKS) -> DataFrame:
     """(q, id, score): the best nodes found for queries (q, id of its node, vector) by walks over around (id, next).
 
-    Rows stay partitioned by query through a round. The n nodes' lists and vectors are broadcast up to the limit of rows,
+    Walks start at the query's own node and the best of starts (id, vector). Rows stay partitioned by query through a round. The n nodes' lists and vectors are broadcast up to the limit of rows,
     and joined by shuffles beyond it.
     """
     spark = queries.sparkSession
-    rows = sorted((r.q, r.vector) for r in queries.select("q", "vector").collect())  # a block of bounded size
-    shared = spark.sparkContext.broadcast((np.array([q for q, _ in rows]), np.array([v for _, v in rows], np.float64)))
+    shared = _vectors(queries)
     vectors, lists = small(table.select("id", "vector"), n, limit), small(around, n, limit)
 
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.join(vectors, "id").select("id", "vector", "q").mapInArrow(_score(shared), "q long, id long, score double")
 
-    state = cut(scored(queries.select("q", "id")).withColumn("done", F.lit(False)))
+    begin = scored(queries.select("q", "id")).union(exact(shared, starts, STARTS))
+    state = cut(begin.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("done", F.lit(False)))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     for _ in range(walks):
         placed = state.repartition(partitions(spark), "q")
@@ -277,7 +340,8 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     n = table.count()
     longest = table.select(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 1.0
     codes = cut(table.select("id", "vector").mapInArrow(_encode(longest), "id long, code binary, scale float"))
-    width = (vectors.select(F.max(F.size("vector"))).first()[0] or 0) + 1
+    width = (vectors.select(F.max(F.size("vector"))).first()[0] or 0)
+    starts = cut(entries(table, n, longest))
     graph = build(codes, n, width, neighbours)
     around = cut(_around(graph, 2 * REVERSE, 99).groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("next")))
     limit = SHARED // (8 * max(width, 3 * REVERSE))
@@ -286,7 +350,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     blocks = max(1, math.ceil(asked.count() / BLOCK))
     found = None
     for b in range(blocks):
-        part = search(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked, table, around, limit, n, max(beam, k + 1))
+        part = search(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked, table, around, starts, limit, n, max(beam, k + 1))
         found = part if found is None else found.union(part)
     top = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
     full = top.join(table.select("id", "members"), "id").select("q", F.explode("members").alias("vec_id"), "score").where(F.col("q") != F.col("vec_id"))

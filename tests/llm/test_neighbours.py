@@ -61,3 +61,21 @@ def test_joins_without_broadcast(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert N.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def scattered(spark, lengths, seed, d=16):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(len(lengths), d))
+    x *= (lengths / np.linalg.norm(x, axis=1))[:, None]
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+
+
+def share(got, want):
+    return sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / sum(map(len, want.values()))
+
+
+def test_few_long_vectors_are_found(spark):
+    lengths = np.where(np.arange(1500) % 100 == 7, 10.0, 1.0)
+    rows, df = scattered(spark, lengths, 11)
+    assert share(N.nearest(df, beam=40).collect(), brute(rows)) >= 0.95
