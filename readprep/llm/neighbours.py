@@ -3,14 +3,15 @@
 Equal vectors form one node, so a vector that a large part of the table repeats is one node with its smallest ids as
 members. Edges go to the nodes of the largest inner products of the original vectors, so they lead to longer vectors too.
 
-Build: random-hyperplane leaves give first neighbours; then, in rounds, every node joins its neighbours and its reverse
+Build: random-hyperplane leaves give first neighbours, wider leaves those of nodes that stood alone; then, in rounds, every node joins its neighbours and its reverse
 neighbours (of them a sample of REVERSE) with their vectors, and tells each of them of nearer ones among the others. Only
 pairs with an edge that is new since the last round are compared. Codes of one byte a component travel in these joins.
 
 Search: all queries advance together. A walk starts at the query's own node and at the best of the entry nodes, which are
-the longest of every band of length and are compared with all queries in blocks. A round expands the EXPAND best nodes of each query's beam that it hasn't expanded,
+the longest of every band of length and are compared with all queries in blocks; nodes that no list names are entries too. A round expands the EXPAND best nodes of each query's beam that it hasn't expanded,
 joins their neighbours with the vectors, scores them exactly against a bounded block of query vectors that is broadcast,
-and keeps the BEAM best, until none of these is left to expand. The result's scores are inner products of the original vectors in double precision.
+and keeps the BEAM best, until none of these is left to expand. A query
+left with too few rows is compared with all nodes. The result's scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -195,17 +196,32 @@ def _around(graph: DataFrame, most: int, seed: int) -> DataFrame:
     return rows.withColumn("place", place).where(~F.col("back") | (F.col("place") <= most)).groupBy("v", "u").agg(F.max("new").alias("new"))
 
 
+_LEAVES = "id long, tree long, leaf long, code binary, scale float"
+
+
+def _firsts(leaves: DataFrame, k: int) -> DataFrame:
+    """First neighbours (src, dst, sim) of the nodes of leaves."""
+    large = cut(leaves.groupBy("tree", "leaf").count().where(F.col("count") > LEAF_PART))
+    parts = leaves.join(small(large, large.count()), ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.coalesce("count", F.lit(1)) / F.lit(LEAF_PART))))
+    return parts.select("id", "tree", "leaf", "part", "code", "scale").groupBy("tree", "leaf", "part").applyInArrow(_within(k), "src long, dst long, sim float")
+
+
 def build(codes: DataFrame, n: int, width: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
     """The neighbour graph (src, dst, sim, new, kth) of n codes (id, code, scale) of so many bytes.
 
     Codes up to SHARED bytes in all are broadcast to the local joins; beyond that they are joined by a shuffle.
     """
     bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
-    leaves = cut(codes.mapInArrow(_leaves(TABLES, bits), "id long, tree long, leaf long, code binary, scale float"))
-    large = cut(leaves.groupBy("tree", "leaf").count().where(F.col("count") > LEAF_PART))
-    parts = leaves.join(small(large, large.count()), ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.coalesce("count", F.lit(1)) / F.lit(LEAF_PART))))
-    first = parts.select("id", "tree", "leaf", "part", "code", "scale").groupBy("tree", "leaf", "part").applyInArrow(_within(k), "src long, dst long, sim float")
-    graph = cut(_best(first.withColumn("new", F.lit(True)), k))
+    leaves = cut(codes.mapInArrow(_leaves(TABLES, bits), _LEAVES))
+    graph = cut(_best(_firsts(leaves, k).withColumn("new", F.lit(True)), k))
+    while bits:  # nodes alone in their leaves get wider ones, at last one of all nodes
+        few = cut(codes.select("id").join(graph.groupBy(F.col("src").alias("id")).count().where(F.col("count") >= min(k, n - 1)), "id", "left_anti"))
+        if few.isEmpty():
+            break
+        bits = max(0, bits - 3)
+        leaves = cut(codes.mapInArrow(_leaves(1, bits), _LEAVES))
+        leaves = leaves.join(leaves.join(few, "id").select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
+        graph = cut(_best(graph.select("src", "dst", "sim").union(_firsts(leaves, k)).withColumn("new", F.lit(True)), k))
     limit = SHARED // (width + 24)
     for r in range(rounds):
         worst = graph.groupBy(F.col("src").alias("u")).agg(F.first("kth").alias("kth"))
@@ -341,18 +357,27 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     longest = table.select(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 1.0
     codes = cut(table.select("id", "vector").mapInArrow(_encode(longest), "id long, code binary, scale float"))
     width = (vectors.select(F.max(F.size("vector"))).first()[0] or 0)
-    starts = cut(entries(table, n, longest))
     graph = build(codes, n, width, neighbours)
     around = cut(_around(graph, 2 * REVERSE, 99).groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("next")))
     limit = SHARED // (8 * max(width, 3 * REVERSE))
+    reached = around.select(F.explode("next").alias("id")).distinct()
+    starts = cut(entries(table, n, longest).union(table.select("id", "vector").join(reached, "id", "left_anti")).dropDuplicates(["id"]))
 
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).join(table.select("id", F.col("vector").alias("v2")), F.col("vector") == F.col("v2")).select(F.col("vec_id").alias("q"), "id", "vector")
     blocks = max(1, math.ceil(asked.count() / BLOCK))
+    enough = min(k + 1, vectors.count())
+    held = table.select("id", F.size("members").alias("rows"))
+
+    def walked(some: DataFrame) -> DataFrame:
+        top = _first(search(some, table, around, starts, limit, n, max(beam, k + 1)), k + 1)
+        whole = top.join(held, "id").groupBy("q").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= enough).select("q")
+        short = cut(some.join(whole, "q", "left_anti"))
+        return top if short.isEmpty() else top.join(whole, "q", "left_semi").union(exact(_vectors(short), table, k + 1))
+
     found = None
     for b in range(blocks):
-        part = search(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked, table, around, starts, limit, n, max(beam, k + 1))
+        part = walked(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked)
         found = part if found is None else found.union(part)
-    top = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
-    full = top.join(table.select("id", "members"), "id").select("q", F.explode("members").alias("vec_id"), "score").where(F.col("q") != F.col("vec_id"))
+    full = found.join(table.select("id", "members"), "id").select("q", F.explode("members").alias("vec_id"), "score").where(F.col("q") != F.col("vec_id"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return full.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")

@@ -79,3 +79,17 @@ def test_few_long_vectors_are_found(spark):
     lengths = np.where(np.arange(1500) % 100 == 7, 10.0, 1.0)
     rows, df = scattered(spark, lengths, 11)
     assert share(N.nearest(df, beam=40).collect(), brute(rows)) >= 0.95
+
+
+def test_a_node_alone_in_its_leaves_is_linked_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 2)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 0.02, (600, 8)) + np.eye(8)[0], -np.eye(8)[:1]])  # one vector away from all others
+    x[[0, 600]] = x[[600, 0]]
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = N.nearest(df, every=40).collect()
+    assert sorted(r["rank"] for r in got if r.query_id == 0) == list(range(1, 21))
+    codes = df.selectExpr("vec_id as id", "embedding as vector").mapInArrow(N._encode(2.0), "id long, code binary, scale float")
+    graph = N.build(N.cut(codes), 601, 8)
+    assert graph.where("src = 0").count() == N.NEIGHBOURS and graph.select("src").distinct().count() == 601
