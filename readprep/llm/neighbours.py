@@ -11,13 +11,16 @@ Search: all queries advance together. A walk starts at the query's own node and
 the longest of every band of length and are compared with all queries in blocks; nodes that no list names are entries too. A round expands the EXPAND best nodes of each query's beam that it hasn't expanded,
 joins their neighbours with the vectors, scores them exactly against a bounded block of query vectors that is broadcast,
 and keeps the BEAM best, until none of these is left to expand. A query
-left with too few rows is compared with all nodes. The result's scores are inner products of the original vectors in double precision.
+left with too few rows is compared with all nodes. A sample of queries is checked against exact search by blocks; the beam
+widens until it reaches RECALL, and where that costs more than exact search, exact search answers. The result's scores are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,13 @@ TABLES = 4
 LEAF = 96
 #: Rows of a leaf that are compared at once; larger leaves are dealt into parts by a hash.
 LEAF_PART = 512
-#: Partners that a node reports for each of its neighbours.
+#: Partners that a node reports for each of its neighbours until edges settle; then all that can be among its best.
 REPORTS = 6
-ROUNDS = 10
-#: Updates, as a share of all edges, below which building stops.
+#: Updates, as a share of all edges, below which edges count as settled.
 SETTLED = 0.02
+#: Recall that a sample of so many queries has to reach against exact search. The beam is doubled until it does; from a
+#: width of 1/READ of all nodes on, a walk costs more than exact search, which then answers all queries.
+RECALL, CHECKED, READ = 0.95, 200, 100
 BEAM, EXPAND, WALKS = 400, 128, 40
 #: Bytes up to which codes, lists or vectors are broadcast, by their counted rows.
 SHARED = 8 << 20
@@ -133,25 +138,29 @@ def _nearest(ids: np.ndarray, sims: np.ndarray, k: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[best].reshape(-1)), pa.array(np.take_along_axis(sims, best, 1).reshape(-1).astype(np.float32))], schema=_EDGES)
 
 
-def _join_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (v, u, new, code, scale, kth) sorted by v: for each u of a v, the nearest other u's that beat its worst neighbour."""
-    held = None
-    for batch in bytetext.regroup(batches):
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
+def _join_local(reports: int):
+    """Rows (v, u, new, code, scale, kth) sorted by v: for each u of a v, so many of the nearest other u's that beat its worst neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in bytetext.regroup(batches):
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table]).combine_chunks()
+            v = table["v"].to_numpy()
+            split = int(np.searchsorted(v, v[-1], "left"))
+            if split:
+                yield _reports(table.slice(0, split), reports)
+            held = table.slice(split)
         if held is not None:
-            table = pa.concat_tables([held, table]).combine_chunks()
-        v = table["v"].to_numpy()
-        split = int(np.searchsorted(v, v[-1], "left"))
-        if split:
-            yield _reports(table.slice(0, split))
-        held = table.slice(split)
-    if held is not None:
-        yield _reports(held)
+            yield _reports(held, reports)
+
+    return run
 
 
-def _reports(table: pa.Table) -> pa.RecordBatch:
+def _reports(table: pa.Table, reports: int) -> pa.RecordBatch:
     v, u, new, kth = (table[c].to_numpy() for c in ("v", "u", "new", "kth"))
     x = _decode(table["code"].to_pylist(), table["scale"].to_numpy())
     edge = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
@@ -164,7 +173,7 @@ def _reports(table: pa.Table) -> pa.RecordBatch:
         s[~(fresh[:, None] | fresh[None, :])] = -np.inf
         np.fill_diagonal(s, -np.inf)
         s[s <= kth[i:j, None]] = -np.inf
-        k = min(REPORTS, j - i - 1)
+        k = min(reports, j - i - 1)
         best = np.argpartition(-s, k - 1, axis=1)[:, :k]
         value = np.take_along_axis(s, best, 1)
         row, col = np.nonzero(value > -np.inf)
@@ -206,7 +215,7 @@ def _firsts(leaves: DataFrame, k: int) -> DataFrame:
     return parts.select("id", "tree", "leaf", "part", "code", "scale").groupBy("tree", "leaf", "part").applyInArrow(_within(k), "src long, dst long, sim float")
 
 
-def build(codes: DataFrame, n: int, width: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def build(codes: DataFrame, n: int, width: int, k: int = NEIGHBOURS) -> DataFrame:
     """The neighbour graph (src, dst, sim, new, kth) of n codes (id, code, scale) of so many bytes.
 
     Codes up to SHARED bytes in all are broadcast to the local joins; beyond that they are joined by a shuffle.
@@ -223,16 +232,19 @@ def build(codes: DataFrame, n: int, width: int, k: int = NEIGHBOURS, rounds: int
         leaves = leaves.join(leaves.join(few, "id").select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
         graph = cut(_best(graph.select("src", "dst", "sim").union(_firsts(leaves, k)).withColumn("new", F.lit(True)), k))
     limit = SHARED // (width + 24)
-    for r in range(rounds):
+    reports = min(REPORTS, k)
+    for r in itertools.count():
         worst = graph.groupBy(F.col("src").alias("u")).agg(F.first("kth").alias("kth"))
         known = codes.withColumnRenamed("id", "u").join(small(worst, n, limit), "u", "left").select("u", "code", "scale", F.coalesce("kth", F.lit(-2.0).cast("float")).alias("kth"))
         placed = _around(graph, REVERSE, r).join(small(known, n, limit), "u").select("v", "u", "new", "code", "scale", "kth")
         if n > limit:
             placed = placed.repartition(partitions(graph.sparkSession), "v")
-        told = placed.sortWithinPartitions("v").mapInArrow(_join_local, "src long, dst long, sim float")
+        told = placed.sortWithinPartitions("v").mapInArrow(_join_local(reports), "src long, dst long, sim float")
         graph = cut(_best(graph.select("src", "dst", "sim").withColumn("new", F.lit(False)).union(told.withColumn("new", F.lit(True))), k))
         if graph.where("new").count() <= SETTLED * n * k:
-            break
+            if reports == k:  # of more partners at one node none could stay among the k best
+                break
+            reports, graph = k, graph.withColumn("new", F.lit(True))
     return graph
 
 
@@ -304,6 +316,14 @@ def exact(shared, table: DataFrame, k: int) -> DataFrame:
     return _first(table.select("id", "vector").mapInArrow(_compare(shared, k), "q long, id long, score double"), k)
 
 
+def recall(found: DataFrame, truth: DataFrame) -> float:
+    """The share of truth (q, id, score) that found has too, or equals in score; 1 without any."""
+    least = truth.groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("wanted"))
+    hits = least.join(found, "q", "left").groupBy("q", "wanted").agg(F.count(F.when(F.col("score") >= F.col("least") - F.abs("least") * 1e-9, 1)).alias("hits"))
+    total = hits.agg(F.sum(F.least("hits", "wanted")), F.sum("wanted")).first()
+    return total[0] / total[1] if total[1] else 1.0
+
+
 def entries(table: DataFrame, n: int, longest: float) -> DataFrame:
     """(id, vector): the longest nodes of every band of length."""
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -368,16 +388,25 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     enough = min(k + 1, vectors.count())
     held = table.select("id", F.size("members").alias("rows"))
 
-    def walked(some: DataFrame) -> DataFrame:
-        top = _first(search(some, table, around, starts, limit, n, max(beam, k + 1)), k + 1)
+    def walked(some: DataFrame, width: int) -> DataFrame:
+        top = _first(search(some, table, around, starts, limit, n, width), k + 1)
         whole = top.join(held, "id").groupBy("q").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= enough).select("q")
         short = cut(some.join(whole, "q", "left_anti"))
         return top if short.isEmpty() else top.join(whole, "q", "left_semi").union(exact(_vectors(short), table, k + 1))
 
-    found = None
-    for b in range(blocks):
-        part = walked(asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else asked)
-        found = part if found is None else found.union(part)
+    def answered(width: int) -> DataFrame:
+        parts = [asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [asked]
+        return cut(reduce(DataFrame.union, [walked(part, width) if width else exact(_vectors(part), table, k + 1) for part in parts]))
+
+    width = max(beam, k + 1)
+    found = answered(width)
+    sample = cut(asked.orderBy(F.xxhash64("q", F.lit(7)), "q").limit(CHECKED))
+    truth = cut(exact(_vectors(sample), table, k + 1))
+    if recall(found, truth) < RECALL:
+        width *= 2
+        while width * READ < n and recall(walked(sample, width), truth) < RECALL:
+            width *= 2
+        found = answered(width if width * READ < n else 0)
     full = found.join(table.select("id", "members"), "id").select("q", F.explode("members").alias("vec_id"), "score").where(F.col("q") != F.col("vec_id"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return full.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")

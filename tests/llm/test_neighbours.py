@@ -93,3 +93,9 @@ def test_a_node_alone_in_its_leaves_is_linked_both_ways(spark, monkeypatch):
     codes = df.selectExpr("vec_id as id", "embedding as vector").mapInArrow(N._encode(2.0), "id long, code binary, scale float")
     graph = N.build(N.cut(codes), 601, 8)
     assert graph.where("src = 0").count() == N.NEIGHBOURS and graph.select("src").distinct().count() == 601
+
+
+def test_recall_is_checked_and_made_up_for(spark, monkeypatch):
+    monkeypatch.setattr(N, "STARTS", 1)
+    rows, df = scattered(spark, np.ones(400), 5, 48)
+    assert share(N.nearest(df, neighbours=2, beam=1).collect(), brute(rows)) >= 0.95
