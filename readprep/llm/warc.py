@@ -34,6 +34,9 @@ _SPACE = uuid.UUID("8f1d2c0e-5a37-4b8e-9b35-0c6c0f0d7a11")
 _SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "head", "textarea", "select")
 _RAW = ("script", "style", "textarea", "iframe", "noscript", "template")
 _BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
+#: Elements that can stand in a head, and hidden ones that a block's tag ends where their own end is missing.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_ENDED = ("select", "svg")
 _LINKS = {"a": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action", "area": "href", "source": "src", "video": "src", "audio": "src"}
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 
@@ -116,15 +119,21 @@ def read_page(page: str) -> tuple[str, dict]:
     in_title = False
     for kind, name, more in tags(page):
         if kind == "text":
+            if hidden and hidden[-1] == "head" and not in_title and name.strip():
+                hidden.pop()
             if in_title:
                 title.append(name)
             elif not hidden:
                 parts.append(html.unescape(name).replace("\n", " "))
         elif kind == "open":
+            while hidden and (hidden[-1] == "head" and name not in _IN_HEAD or hidden[-1] in _ENDED and name in _BLOCK and name not in ("hr", "title")):
+                hidden.pop()
             if name == "title":
                 in_title = True
             elif name in _SKIPPED and not more.rstrip().endswith("/"):
                 hidden.append(name)
+            elif name == "foreignobject" and hidden and hidden[-1] == "svg":  # blocks belong to the drawing
+                hidden.append(name)
             elif name == "body":
                 hidden.clear()
             if name == "meta":
@@ -138,6 +147,8 @@ def read_page(page: str) -> tuple[str, dict]:
             if name in _BLOCK:
                 parts.append("\n")
         else:
+            while hidden and hidden[-1] in _ENDED and name in _BLOCK and name != "title":
+                hidden.pop()
             if name == "title":
                 in_title = False
             elif name in hidden:

@@ -15,6 +15,18 @@ def test_read_page():
     assert found == {"title": "A & B", "metas": [{"name": "k", "content": "v"}], "links": [{"path": "a@/href", "url": "/x?a=1&b=2"}]}
 
 
+def test_omitted_ends_hide_no_text():
+    for page, want in (
+        ("<html><head><title>x</title><p>text <b>more</b>", "text more"),
+        ("<head><title>x</title><meta name=a><style>p{}</style> bare text", "bare text"),
+        ("<div><select><option>no</div><p>yes", "yes"),
+        ("<svg><title>no</title><path d=x><p>yes</p>", "yes"),
+        ("<svg><foreignObject><div>no</div></foreignObject></svg>yes", "yes"),
+        ("<head><script>var a</script><noscript>no</noscript></head>yes", "yes"),
+    ):
+        assert warc.read_page(page)[0] == want
+
+
 def test_malformed_pages_end():
     for page in ("<", "<a", "<!--", "<script>", "a<b", "<p" * 50_000, "<!--" * 50_000, "<script>x" * 20_000, "</" * 50_000, "<a href='" * 20_000):
         warc.read_page(page)
