@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from readprep.llm import bytetext
 from readprep.llm import language_id as L
 
 
@@ -33,7 +34,7 @@ def test_labels_spans_and_odd_texts(spark, model):
 
 
 def test_scripts_narrow_candidates(model):
-    x = L.letters(pa.array(["слово λόγος word"]))
+    x = L.letters(*bytetext.string_buffers(pa.array(["слово λόγος word"])))
     assert [L.NAMES[s] for s in x.script] == ["Cyrillic", "Greek", "Latin"]
     allowed = [[lang for lang, ok in zip(model.languages, model.candidates[s], strict=True) if ok] for s in x.script]
     assert allowed == [["ru"], ["el"], ["de", "en"]]
@@ -69,3 +70,42 @@ def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [x.lang_pred for x in L.languages(df).collect()] == ["und"]
     assert L.languages(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 3 + j, f"{'abcdefghijkl'[i % 12]}{'qxyz'[i // 12 % 4]}{'mnop'[i // 48 % 4]}o " * 12, f"l{i:03d}") for i in range(150) for j in range(3)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 150
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {d: lang for d, _, lang in rows}
+
+
+def test_a_rare_language_is_learned_beside_a_large_one(spark):
+    r = random.Random(3)
+    rows = [(i, sentence(r, "en", 6), "en") for i in range(400)] + [(1000, sentence(r, "ru", 20), "ru")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=40)
+    assert model.languages == ["en", "ru"]
+
+
+def test_pieces_of_a_long_text_give_the_same_labels(model):
+    r = random.Random(9)
+    text = " ".join(sentence(r, lang, r.randrange(5, 40)) for lang in r.choices(["en", "de", "ru", "el"], k=60))
+    column = pa.array([text])
+    whole, _, sizes = L._words_of(column, model, L.SWITCH, 1 << 20)
+    cut, first, cut_sizes = L._words_of(column, model, L.SWITCH, 300)
+    assert whole.tolist() == cut.tolist() and sizes.tolist() == cut_sizes.tolist() and first.tolist() == [0, len(whole)]
+    run = np.frombuffer(("日" * 50_000).encode(), np.uint8)
+    assert [b for _, b in L.text_pieces(run, 1000)][-1] == len(run) and all(a % 3 == 0 for a, _ in L.text_pieces(run, 1000))
+
+
+def test_signs_beyond_ascii_are_no_words():
+    x = L.letters(*bytetext.string_buffers(pa.array(["“the — 😀 end”", "हिन्दी"])))
+    assert np.diff(x.first).tolist() == [2, 1]
+
+
+def test_rows_keep_their_columns(spark):
+    df = spark.createDataFrame([(1, "the and of", "en", 5.0), (1, "12", "en", 6.0), (None, None, None, None)], "doc_id long, text string, lang string, LANG_PRED double")
+    none = L.Model([], np.zeros((L.BUCKETS, 0), np.float32), np.zeros((L.OTHER + 1, 0), bool), np.zeros(0))
+    for model in (L.fit(df), none):
+        got = L.keep_identified(df, model)
+        assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(1, "the and of", "en", 5.0)]
