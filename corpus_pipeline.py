@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from readprep.llm.common import carried, checkpoint_dir, cut, small
 from readprep.llm.exact_dedup import exact_dedup
-from readprep.llm.language_id import identify, learned
+from readprep.llm.language_id import keep_identified, learned
 from readprep.llm.mixing import mix
 from readprep.llm.near_dedup import near_duplicates
 from readprep.llm.sentencepiece import encode_texts
@@ -38,10 +38,12 @@ def _without(safe: DataFrame, names: list[str], dropped: DataFrame) -> DataFrame
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is found; those without a letter go."""
-    safe, names = _keyed(docs, lambda id_, text: F.xxhash64(id_, text))
-    found = identify(safe, learned(docs), id_col="__key", text_col=f"__c{names.index('text')}")
-    return _without(safe, names, found.where("lang_pred = 'und'").select(F.col("doc_id").alias("key")))
+    """Keeps documents in which a language is found; those without a letter go, null and empty texts among them.
+
+    Rows are judged one by one, so null or repeated ids and equal rows need no rule. Where no row has a language to learn
+    from, all rows with a letter stay. An empty table stays empty.
+    """
+    return keep_identified(docs, learned(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
