@@ -16,6 +16,8 @@ SIZE = 48
 VOCAB = CLASSES * SIZE
 #: Steps of truncated backpropagation, and parallel streams, of one update.
 STEPS, LANES = 16, 512
+#: Tokens before a stream's first one that its state is carried from.
+BEFORE = 32
 RATE = 0.015
 LOG10 = float(np.log(10))
 _SHAPES = {"emb": (VOCAB, HIDDEN), "win": (HIDDEN, 3 * HIDDEN), "bin": (3 * HIDDEN,), "rec": (HIDDEN, 3 * HIDDEN), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,), "out": (VOCAB, HIDDEN), "out_b": (VOCAB,)}
@@ -90,6 +92,8 @@ def _log_softmax(logits: np.ndarray, want: np.ndarray) -> np.ndarray:
 def _slopes(logits: np.ndarray, want: np.ndarray, n: int) -> tuple[float, np.ndarray]:
     """(sum of log probabilities of the wanted columns, (probabilities - wanted) / n); logits are overwritten."""
     rows = np.arange(len(want))
+    if float(logits.max(initial=0)) > 60:
+        logits -= logits.max(1)[:, None]
     chosen = logits[rows, want].sum()
     np.exp(logits, out=logits)
     total = logits.sum(1)
@@ -122,13 +126,14 @@ def log_probs(h: np.ndarray, y: np.ndarray, p: dict[str, np.ndarray]) -> np.ndar
     return out
 
 
-def gradients(x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
+def gradients(x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, p: dict[str, np.ndarray], g: dict[str, np.ndarray], real: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Fills g with the gradients of the mean loss over (steps, lanes) of inputs x and targets y; (last state, loss).
 
-    fresh marks where a document starts, at which the state is 0.
+    fresh marks where a document starts, at which the state is 0. Where real is false nothing is to be learned.
     """
     steps, lanes = x.shape
     n = steps * lanes
+    counted = np.arange(n) if real is None else np.flatnonzero(real.reshape(-1))
     emb = p["emb"][x.reshape(-1)]
     gates_in = (emb @ (p["win"] * _FACTOR) + p["bin"] * _FACTOR).reshape(steps, lanes, 3 * HIDDEN)
     rec = p["rec"] * _FACTOR
@@ -141,15 +146,17 @@ def gradients(x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, p
         new, gates, cand, part = step(gates_in[t], h, rec)
         saved.append((h, gates, cand, part))
         states[t] = h = new
-    flat, target = states.reshape(n, HIDDEN), y.reshape(-1)
+    every = states.reshape(n, HIDDEN)
+    whole = len(counted) == n
+    flat, target, m = (every, y.reshape(-1), n) if whole else (every[counted], y.reshape(-1)[counted], len(counted))
     for a in g.values():
         a[...] = 0
     # output layer
     logits = flat @ p["cls"]
     logits += p["cls_b"]
-    loss, prob = _slopes(logits, target // SIZE, n)
+    loss, prob = _slopes(logits, target // SIZE, m)
     g["cls"][...], g["cls_b"][...] = flat.T @ prob, prob.sum(0)
-    d_states = prob @ p["cls"].T
+    d_flat = prob @ p["cls"].T
     order, edge = _by_class(target)
     sorted_h, sorted_y = flat[order], target[order]
     d_sorted = np.empty_like(sorted_h)
@@ -159,11 +166,15 @@ def gradients(x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, p
             words = slice(c * SIZE, (c + 1) * SIZE)
             logits = sorted_h[i:j] @ p["out"][words].T
             logits += p["out_b"][words]
-            more, prob = _slopes(logits, sorted_y[i:j] - c * SIZE, n)
+            more, prob = _slopes(logits, sorted_y[i:j] - c * SIZE, m)
             loss += more
             g["out"][words], g["out_b"][words] = prob.T @ sorted_h[i:j], prob.sum(0)
             d_sorted[i:j] = prob @ p["out"][words]
-    d_states[order] += d_sorted
+    d_flat[order] += d_sorted
+    d_states = d_flat
+    if not whole:
+        d_states = np.zeros((n, HIDDEN), F32)
+        d_states[counted] = d_flat
     d_states = d_states.reshape(steps, lanes, HIDDEN)
     # back through the steps
     d_in = np.empty((steps, lanes, 3 * HIDDEN), F32)
@@ -198,7 +209,7 @@ def gradients(x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h0: np.ndarray, p
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
     g["emb"][ids[order][first]] = np.add.reduceat(d_emb[order], first, axis=0)
-    return states[-1], float(-loss / n)
+    return states[-1], float(-loss / m)
 
 
 @dataclass
@@ -218,19 +229,37 @@ class Trainer:
         self.m, self.v, self.n = np.zeros(LENGTH, F32), np.zeros(LENGTH, F32), 0
 
     def feed(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray) -> None:
-        """Learns from one stream of tokens: it is cut into LANES stretches that run side by side, with carried state."""
-        lanes = int(min(LANES, max(1, len(x) // STEPS)))
-        length = len(x) // lanes
-        if not length:
+        """Learns from every token of one stream: it is cut into LANES stretches that run side by side, with carried state.
+
+        A stretch starts with the state that the BEFORE tokens in front of it lead to. The last may be shorter than the others;
+        what fills it up counts for nothing.
+        """
+        if not len(x):
             return
-        used = lanes * length
-        x, y, fresh = (np.ascontiguousarray(a[:used].reshape(lanes, length).T) for a in (x, y, fresh))
-        h = np.zeros((lanes, HIDDEN), F32)
+        lanes = int(min(LANES, max(1, len(x) // STEPS)))
+        length = -(-len(x) // lanes)
+        lanes = -(-len(x) // length)
+        h = self._before(x, fresh, lanes, length)
+        real = (np.arange(lanes * length) < len(x)).reshape(lanes, length).T
+        x, y, fresh = (np.ascontiguousarray(np.append(a, np.zeros(lanes * length - len(a), a.dtype)).reshape(lanes, length).T) for a in (x, y, fresh))
         for t in range(0, length, STEPS):
-            h, loss = gradients(x[t : t + STEPS], y[t : t + STEPS], fresh[t : t + STEPS], h, self.p, self.g)
+            part = slice(t, t + STEPS)
+            h, loss = gradients(x[part], y[part], fresh[part], h, self.p, self.g, None if real[part].all() else real[part])
             self.update()
             self.losses.append(loss)
-        self.tokens += used
+        self.tokens += int(real.sum())
+
+    def _before(self, x: np.ndarray, fresh: np.ndarray, lanes: int, length: int) -> np.ndarray:
+        """The state of each stretch from the tokens in front of it; the first has none."""
+        h = np.zeros((lanes, HIDDEN), F32)
+        rec = self.p["rec"] * _FACTOR
+        for t in range(min(BEFORE, length), 0, -1):
+            at = np.arange(1, lanes) * length - t
+            own = h[1:]
+            own[fresh[at]] = 0
+            gates_in = self.p["emb"][x[at]] @ (self.p["win"] * _FACTOR) + self.p["bin"] * _FACTOR
+            h[1:] = step(gates_in, own, rec)[0]
+        return h
 
     def update(self) -> None:
         self.n += 1

@@ -2,8 +2,8 @@
 
 Counts of all words of the training documents are gathered first: they give the smoothed unigram score (base_score), the
 vocabulary, its classes and the model's starting distribution. A gated recurrent network (gru.py) is then trained on all
-training documents: every task learns from its own share in truncated windows, and the tasks' parameters are averaged by
-their tokens, in ROUNDS rounds of growing share so that the tasks of the last start close together. Finally every document
+training documents, each token once: every task learns from its own share in truncated windows, a task whose parameters
+diverge fails rather than leave its share out, and the tasks' parameters are averaged by their tokens, in ROUNDS rounds of growing share so that the tasks of the last start close together. Finally every document
 is scored from its first word to its end with carried state.
 
 Words outside the network's vocabulary are one token to it; which of them it is has the smoothed unigram probability among
@@ -156,7 +156,9 @@ def _train(shared, theta: np.ndarray):
                 before[fresh] = head.end
                 with np.errstate(over="ignore"):
                     trainer.feed(before, ids, fresh)
-        if trainer.tokens and np.isfinite(trainer.theta).all():
+        if not np.isfinite(trainer.theta).all():
+            raise FloatingPointError("training diverged: parameters are not finite after %d tokens" % trainer.tokens)
+        if trainer.tokens:
             for k, i in enumerate(range(0, gru.LENGTH, _BLOCK)):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([float(trainer.tokens)]), pa.array([trainer.theta[i : i + _BLOCK]], pa.list_(pa.float32()))], schema=schema)
 
@@ -196,8 +198,8 @@ def train(docs: DataFrame, head: Head) -> np.ndarray:
 
 
 def _score(shared, theta: np.ndarray):
-    names = ["n_tokens", "known", "unknown", "base_sum", "rare_sum", "net"]
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), *((n, pa.int64()) for n in names[:3]), *((n, pa.float64()) for n in names[3:])])
+    names = ["n_tokens", "known", "unknown", "outside", "base_sum", "rare_sum", "net"]
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), *((n, pa.int64()) for n in names[:4]), *((n, pa.float64()) for n in names[4:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: Head = shared.value
@@ -215,13 +217,13 @@ def _score(shared, theta: np.ndarray):
                 unknown = np.add.reduceat(ids == head.unknown, first[:-1], dtype=np.int64)
                 with np.errstate(over="ignore"):
                     net = gru.score(ids, first, head.end, theta)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, rows), batch["text_key"].slice(lo, rows), *(pa.array(x) for x in (np.diff(first), known.astype(np.int64), unknown, base, rare_sum, net))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, rows), batch["text_key"].slice(lo, rows), *(pa.array(x) for x in (np.diff(first), known.astype(np.int64), unknown, per(row[~inside]), base, rare_sum, net))], schema=schema)
 
     return run
 
 
 def _tail(shared):
-    """Words outside the head: (doc_id, text_key, word, n); a row with an empty word for each input row."""
+    """Words outside the head: (doc_id, text_key, word, n)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +242,12 @@ def _tail(shared):
                 keys = [batch[c].slice(lo, hi - lo) for c in ("doc_id", "text_key")]
                 picked = pa.array(row[at])
                 yield pa.RecordBatch.from_arrays([keys[0].take(picked), keys[1].take(picked), _strings(w, out[at]), pa.array(n)], schema=schema)
-                yield pa.RecordBatch.from_arrays([*keys, pa.array([""] * (hi - lo), pa.string()), pa.array(np.ones(hi - lo, np.int64))], schema=schema)
 
     return run
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and both by token.
 
     Learns from rows whose crc32 of the id as text isn't 0 modulo folds (a null id counts as the empty text, and is held
     out). Words are lower-cased (A-Z); a null text counts as empty and has only its end. Rows that repeat an id are scored
@@ -272,21 +273,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     theta = train(learn, head)
     shared = spark.sparkContext.broadcast(head)
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    scored = keyed.mapInArrow(_score(shared, theta), "doc_id long, text_key long, n_tokens long, known long, unknown long, base_sum double, rare_sum double, net double")
+    scored = keyed.mapInArrow(_score(shared, theta), "doc_id long, text_key long, n_tokens long, known long, unknown long, outside long, base_sum double, rare_sum double, net double")
     tail = keyed.mapInArrow(_tail(shared), "doc_id long, text_key long, word string, n long").join(counts, "word", "left")
-    word = F.col("word") != ""
     log = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))
     parts = tail.groupBy(F.col("doc_id").alias("d2"), F.col("text_key").alias("t2")).agg(
-        F.sum(F.when(word, F.col("n") * log).otherwise(0.0)).alias("tail_sum"),
-        F.sum(F.when(word & F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
-        F.sum(F.when(word, 0).otherwise(F.col("n"))).alias("copies"),  # equal rows with one id add up alike
-    )
-    joined = scored.join(parts, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_key") == F.col("t2")))
-    tail_sum = F.col("tail_sum") / F.col("copies")
+        F.sum(F.col("n") * log).alias("tail_sum"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"), F.sum("n").alias("tail_n")
+    )
+    joined = scored.join(parts, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_key") == F.col("t2")), "left")
+    own = F.coalesce(F.col("outside") / F.col("tail_n"), F.lit(0.0))  # equal rows with one id add up alike
+    tail_sum = F.coalesce(F.col("tail_sum") * own, F.lit(0.0))
+    base = F.col("base_sum") + tail_sum - F.col("n_tokens") * F.lit(base_log)
+    score = F.col("net") + F.col("rare_sum") + tail_sum - F.col("unknown") * F.lit(rare_log)
     return joined.select(
         "doc_id", held_out.alias("held_out"), "n_tokens",
-        (F.col("known") + (F.col("tail_known") / F.col("copies")).cast("long")).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base_sum") + tail_sum - F.col("n_tokens") * F.lit(base_log)).alias("base_score"),
-        (F.col("net") + F.col("rare_sum") + tail_sum - F.col("unknown") * F.lit(rare_log)).alias("score"),
+        (F.col("known") + F.round(F.coalesce(F.col("tail_known") * own, F.lit(0.0))).cast("long")).alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
+        (base / F.col("n_tokens")).alias("base_per_token"), (score / F.col("n_tokens")).alias("score_per_token"),
     )
