@@ -48,10 +48,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where the session names none, as in tests."""
+    """The shared folder named by spark.checkpoint.dir. A local one only where none is named and all runs on one machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="readprep-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -10,7 +10,11 @@ members to hubs rather than to each other; confirmed links are joined into compo
 still in different components, small buckets compare what is left pair by pair, and members of larger ones meet by rare
 shingles: two sets of that similarity share one of their first n - o + 1 shingles in any common order, o being the overlap
 they need, so by rising frequency they meet in short lists. No candidate link between different texts is lost, while a
-bucket of many near copies costs about its size, not its square.
+bucket of many near copies costs about its size, not its square. Sets of up to TINY shingles, in which minimum and maximum
+of a permutation depend on each other so that bands miss more, all meet by rare shingles.
+
+Bands and shingles that over HOT rows share are joined apart from the others, so that their rows stay spread over tasks;
+long lists of a shingle are compared block by block.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ BAND_ROWS = 4
 STAR_ROUNDS = 2
 #: Members up to which a bucket that is still split compares all pairs of different components.
 PAIRWISE = 8
+#: Shingles up to which a set is compared by rare shingles whatever its bands say.
+TINY = 20
+#: Rows of a key from which on they are joined apart, and rows of a block of a long list.
+HOT, LIST_BLOCK = 500, 250
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 2**64, 256, U64) | U64(1)
 _ADD = _rng.integers(0, 2**64, 256, U64)
@@ -127,30 +135,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
 
     filed = classes.select("id", "n", F.explode("bands").alias("band"))
-    shared = filed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("bucket")).where("lo < hi")
-    members = cut(filed.join(shared.select("band", "bucket"), "band"))
+    shared = cut(filed.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("bucket")).where("lo < hi").select("band", "bucket"))
+    hot = Hot(shared, "band", F.col("bucket") > HOT)
+    members = cut(hot.join(filed, shared))
     # the member that shares the most buckets with the most others is nearest to a common origin
     central = members.groupBy("id").agg(F.sum("bucket").alias("degree"))
     ranked = members.join(central, "id")
-    hubs = ranked.groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
-    wanted = cut(members.select("id").distinct())
+    hubs = cut(ranked.groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub")))
+    tiny = cut(classes.where(F.col("n") <= TINY).select("id"))
+    wanted = cut(members.select("id").union(tiny).distinct())
     n_wanted = wanted.count()
     texts = rows_in.join(small(wanted.withColumnRenamed("id", "doc_id"), n_wanted, 4_000_000), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets(words), "id long, shingles array<long>").distinct() if _repeats(classes) else texts.mapInArrow(_sets(words), "id long, shingles array<long>"))
 
-    pairs = cut(members.join(hubs, "band").where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
-    tried, links = pairs, cut(confirm(pairs, sets, percent))
+    pairs = cut(hot.join(members, hubs).where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
+    tried, links = pairs, cut(confirm(pairs, sets, percent).union(_one_document(usable, classes)))
     groups = cut(components(links))
     for step in range(star_rounds):
         known = members.join(groups, F.col("id") == F.col("node"), "left").select("band", "id", "n", "bucket", F.coalesce("component", "id").alias("component"))
         split = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component", "n"), F.xxhash64("id", F.lit(step + 17))).alias("hub")).where("lo < hi")
-        left = cut(known.join(split.select("band", "hub"), "band"))
+        left = cut(hot.join(known, cut(split.select("band", "hub"))))
         if step < star_rounds - 1:
             found = left.where((F.col("component") != F.col("hub.component")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent)).select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v"))
         else:
             few = left.where(F.col("bucket") <= PAIRWISE)
             found = _across(few.select(F.col("band").alias("key"), "id", "component", "n"), _sizes_fit(F.col("n_u"), F.col("n_v"), percent))
-            many = left.where(F.col("bucket") > PAIRWISE).select("id", "component").distinct()
+            alone = tiny.join(groups, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+            many = left.where(F.col("bucket") > PAIRWISE).select("id", "component").union(alone).distinct()
             found = found.union(_rare_pairs(many, sets, percent))
         pairs = cut(found.distinct().join(tried, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
@@ -169,12 +180,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return full.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+class Hot:
+    """The keys of a counted table that many rows share. Their rows meet them by a broadcast, all others by a shuffle.
+
+    If there are too many hot keys for a broadcast, all rows are shuffled, and adaptive execution splits the large ones.
+    """
+
+    def __init__(self, keys: DataFrame, key: str, hot):
+        self.key, self.table = key, cut(keys.where(hot).select(key))
+        n = self.table.count()
+        self.apart = 0 < n <= 1_000_000
+
+    def join(self, rows: DataFrame, by_key: DataFrame) -> DataFrame:
+        """rows joined with one row for each key."""
+        if not self.apart:
+            return rows.join(by_key, self.key)
+        few = F.broadcast(by_key.join(F.broadcast(self.table), self.key, "left_semi"))
+        return rows.join(F.broadcast(self.table), self.key, "left_anti").join(by_key, self.key).unionByName(rows.join(few, self.key))
+
+
 def _across(members: DataFrame, fit) -> DataFrame:
     """(u, v) of different components under the same key, for keys that several components share."""
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = members.join(mixed, "key", "left_semi")
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "key")) for side in "uv")
-    return a.join(b, "key").where((F.col("component_u") != F.col("component_v")) & (F.col("id_u") < F.col("id_v")) & fit).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+    mixed = cut(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows"))
+    rows = Hot(mixed, "key", F.col("rows") > HOT).join(members, mixed)
+    # block x of a list meets block y once, as part (x, y); rows of one block meet in part (x, x)
+    blocks = F.when(F.col("rows") > HOT, F.ceil(F.col("rows") / LIST_BLOCK)).otherwise(F.lit(1))
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    meet = ["key", "x", "y"]
+    a, b = (dealt.select(*meet, *(F.col(c).alias(f"{c}_{side}") for c in [*members.columns, "own"] if c != "key")) for side in "uv")
+    once = (F.col("own_u") != F.col("own_v")) | (F.col("x") == F.col("y"))
+    return a.join(b, meet).where(once & (F.col("component_u") != F.col("component_v")) & (F.col("id_u") < F.col("id_v")) & fit).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+
+
+def _one_document(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes that hold rows of one id."""
+    repeated = cut(usable.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    rows = usable.select("doc_id", "set_a", "set_b").join(small(repeated, repeated.count()), "doc_id")
+    held = rows.join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"]).select("doc_id", "id").distinct()
+    least = held.groupBy("doc_id").agg(F.min("id").alias("u"))
+    return held.join(least, "doc_id").where(F.col("id") != F.col("u")).select("u", F.col("id").alias("v"))
 
 
 def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

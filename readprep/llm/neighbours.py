@@ -43,7 +43,7 @@ SETTLED = 0.02
 #: Recall that a sample of so many queries has to reach against exact search. The beam is doubled until it does; from a
 #: width of 1/READ of all nodes on, a walk costs more than exact search, which then answers all queries.
 RECALL, CHECKED, READ = 0.95, 200, 100
-BEAM, EXPAND, WALKS = 400, 128, 40
+BEAM, EXPAND = 400, 128
 #: Bytes up to which codes, lists or vectors are broadcast, by their counted rows.
 SHARED = 8 << 20
 #: Queries of a block, whose vectors are broadcast.
@@ -333,10 +333,11 @@ def entries(table: DataFrame, n: int, longest: float) -> DataFrame:
     return banded.withColumn("place", place).where(F.col("place") <= max(ENTRIES, math.isqrt(n))).select("id", "vector")
 
 
-def search(queries: DataFrame, table: DataFrame, around: DataFrame, starts: DataFrame, limit: int, n: int, beam: int = BEAM, expand: int = EXPAND, walks: int = WALKS) -> DataFrame:
+def search(queries: DataFrame, table: DataFrame, around: DataFrame, starts: DataFrame, limit: int, n: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """(q, id, score): the best nodes found for queries (q, id of its node, vector) by walks over around (id, next).
 
-    Walks start at the query's own node and the best of starts (id, vector). Rows stay partitioned by query through a round. The n nodes' lists and vectors are broadcast up to the limit of rows,
+    Walks start at the query's own node and the best of starts (id, vector). They end when nothing is left to expand; a node
+    that falls out of a beam can't come back, since the beam's worst only gets better, so they do end. Rows stay partitioned by query through a round. The n nodes' lists and vectors are broadcast up to the limit of rows,
     and joined by shuffles beyond it.
     """
     spark = queries.sparkSession
@@ -349,7 +350,7 @@ def search(queries: DataFrame, table: DataFrame, around: DataFrame, starts: Data
     begin = scored(queries.select("q", "id")).union(exact(shared, starts, STARTS))
     state = cut(begin.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("done", F.lit(False)))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    for _ in range(walks):
+    while True:
         placed = state.repartition(partitions(spark), "q")
         turn = placed.withColumn("turn", F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "id")))
         turn = turn.withColumn("now", ~F.col("done") & (F.col("turn") <= expand))

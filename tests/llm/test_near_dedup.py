@@ -94,3 +94,22 @@ def test_bands_catch_pairs_at_the_threshold():
         keys = N.band_keys(N.signatures(np.concatenate([a, b]), np.array([0, 300, 600])))
         met += bool((keys[0] == keys[1]).any())
     assert met == 300
+
+
+def test_small_sets_and_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 6)
+    monkeypatch.setattr(N, "LIST_BLOCK", 3)
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(160):  # short texts that differ at their ends, so that many sets share rare shingles
+        rows.append((i, " ".join(base[: r.randrange(6, 26)] + [f"x{r.randrange(4)}" for _ in range(r.randrange(0, 3))])))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == brute(rows)
+
+
+def test_rows_of_one_id_share_their_links(spark):
+    words = [f"a{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (2, "something else that stands alone here"), (3, "something else that stands alone here"), (4, "q r s t u v")]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == brute(rows)
