@@ -10,10 +10,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprep.llm.common import carried, checkpoint_dir, cut, small
+from readprep.llm.common import carried, checkpoint_dir, cut, position, small
 from readprep.llm.exact_dedup import exact_dedup
 from readprep.llm.language_id import keep_identified, learned
 from readprep.llm.mixing import mix
@@ -21,20 +21,14 @@ from readprep.llm.near_dedup import near_duplicates
 from readprep.llm.sentencepiece import encode_texts
 
 
-def _keyed(docs: DataFrame, key: Callable[[Column, Column], Column]) -> tuple[DataFrame, list[str]]:
-    """docs under safe names with a column __key made of id and text, and the original names."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs under safe names with the id as __key, and the original names."""
     safe, names = carried(docs)
-    return safe.withColumn("__key", key(F.col(f"__c{names.index('doc_id')}"), F.col(f"__c{names.index('text')}"))), names
+    return safe.withColumn("__key", F.col(f"__c{position(names, 'doc_id')}").cast("long")), names
 
 
 def _named(safe: DataFrame, names: list[str]) -> DataFrame:
-    return safe.select(*(F.col(f"__c{i}").alias(n) for i, n in enumerate(names)))
-
-
-def _without(safe: DataFrame, names: list[str], dropped: DataFrame) -> DataFrame:
-    """The rows whose __key isn't the key of dropped; up to a million of these are broadcast, more are joined by a shuffle."""
-    dropped = cut(dropped.distinct())
-    return _named(safe.join(small(dropped, dropped.count()), F.col("__key") == F.col("key"), "left_anti"), names)
+    return safe.select(*(f"__c{i}" for i in range(len(names)))).toDF(*names)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,27 +41,45 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the row with the smallest id."""
+    """Keeps of equal texts the row with the smallest id; null counts as the empty text, and a null id comes last.
+
+    Of rows equal in both one stays. An empty table stays empty.
+    """
     kept = exact_dedup(docs, carry=True).where("kept")
     return _named(kept, docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies; documents without words have none and stay."""
-    safe, names = _keyed(docs, lambda id_, _: id_)
-    return _without(safe, names, near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("key")))
+    """Keeps the first document of each group of near copies; documents without words have none and stay.
+
+    Where ids are null or repeat, each row is a document of its own, and the first row of the table stays. An empty table
+    stays empty.
+    """
+    safe, names = _keyed(docs)
+    if not safe.groupBy("__key").count().where("count > 1 or __key is null").isEmpty():
+        safe = cut(safe.withColumn("__key", F.monotonically_increasing_id()))  # fixed by being written
+    found = near_duplicates(safe, id_col="__key", text_col=f"__c{position(names, 'text')}")
+    dropped = cut(found.where("not kept").select(F.col("doc_id").alias("key")))
+    return _named(safe.join(small(dropped, dropped.count()), F.col("__key") == F.col("key"), "left_anti"), names)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, 0 to 3 times; of rows that repeat an id the greatest number holds."""
-    safe, names = _keyed(docs, lambda id_, _: id_)
-    copies = cut(mix(docs).groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").alias("n")).where("n > 0"))
-    taken = safe.join(small(copies, copies.count()), F.col("__key").eqNullSafe(F.col("key")))
+    """Each document as often as the mix takes it, 0 to 3 times; a null source is a source of its own.
+
+    Where ids are null or repeat, each row is a document of its own. Documents without words are taken by rate alone. An
+    empty table stays empty.
+    """
+    safe, names = _keyed(docs)
+    if not safe.groupBy("__key").count().where("count > 1 or __key is null").isEmpty():
+        safe = cut(safe.withColumn("__key", F.monotonically_increasing_id()))  # fixed by being written
+    mixed = mix(safe, id_col="__key", text_col=f"__c{position(names, 'text')}", source_col=f"__c{position(names, 'source')}")
+    copies = cut(mixed.where("copies > 0").select(F.col("doc_id").alias("key"), F.col("copies").alias("n")))
+    taken = safe.join(small(copies, copies.count()), F.col("__key") == F.col("key"))
     return _named(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))), names)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' piece ids; the last stage."""
+    """The documents' piece ids, row by row; a null text has none. The last stage."""
     return encode_texts(docs).select("doc_id", "n_pieces", "n_bytes", "round_trip", "ids")
 
 
