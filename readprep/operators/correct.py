@@ -1,8 +1,9 @@
 """Per-read correction against the trusted part of a spectrum; the one operator whose steps depend on each other.
 
 Every edit is seen by later positions of the same read, which no join expresses, so reads pass through one Arrow function
-with the spectrum as broadcast arrays. Reads without a poor quality never enter it. The alternatives at a position are
-looked up together.
+with the spectrum as broadcast arrays. Reads without a poor quality never enter it. Within it the reads of a batch stand in
+one matrix and take each step together: a position, a round of indels, or a region is one step, and all windows that it
+asks about are looked up at once. No Python code runs per base.
 
 Substitutions go left to right. Insertions and deletions of 1 to 5 bases follow, at most one in 50 positions, on stronger
 evidence. Regions of 2 to 10 low qualities are then replaced by the best path of the De Bruijn graph between their anchors.
@@ -11,7 +12,7 @@ evidence. Regions of 2 to 10 low qualities are then replaced by the best path of
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,22 +22,58 @@ from pyspark.sql import functions as F
 
 from readprep.operators import spectrum as S
 
-BASES = b"ACGT"
 GRACE = 5
-LONGEST_INDEL, INDEL_BUCKET, INSERTED_QUALITY = 5, 50, 63
+LONGEST_INDEL, INDEL_BUCKET, INSERTED_QUALITY = 5, 50, 30
 REGION = (2, 10)
 POPS, BRANCHES, BRANCHES_OTHER = 1000, 4, 3
-#: Distinct k-mers up to which a spectrum is broadcast: 12 bytes a trusted one and some 10 counters a k-mer.
+#: Distinct k-mers up to which a spectrum is broadcast: 32 bytes a trusted one and some 10 counters a k-mer.
 MOST_KMERS = 64_000_000
-U64 = np.uint64
-_CODE = np.full(256, 4, np.uint8)
+#: Bases of the matrix that is worked through at once, and places of an indel that are tried at once.
+CELLS, PLACES = 1 << 20, 1 << 15
+U64, I64 = np.uint64, np.int64
+UNKNOWN, BEYOND = 4, 5
+HUGE = np.iinfo(np.int64).max // 4
+_CODE = np.full(256, UNKNOWN, np.uint8)
 _CODE[[65, 67, 71, 84]] = [0, 1, 2, 3]
 _CODE[[97, 99, 103, 116]] = [0, 1, 2, 3]
+_LETTER = np.frombuffer(b"ACGTNN", np.uint8)
+
+
+class Table:
+    """Values of distinct keys (0 or more), looked up many at a time: open addressing in two arrays, at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -2, I64), np.zeros(1 << self.bits, I64)
+        rest, slot = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            free = self.keys[slot] == -2
+            self.keys[slot[free]] = keys[rest[free]]
+            placed = self.keys[slot] == keys[rest]
+            self.values[slot[placed]] = values[rest[placed]]
+            rest, slot = rest[~placed], self._next(slot[~placed])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(U64) * U64(0x9E3779B97F4A7C15) >> U64(64 - self.bits)).astype(I64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return slot + 1 & (1 << self.bits) - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for those that aren't there."""
+        out, rest, slot, wanted = np.full(len(keys), -1, I64), np.arange(len(keys)), self._slot(keys), keys
+        while len(rest):
+            here = self.keys[slot]
+            same = here == wanted
+            out[rest[same]] = self.values[slot[same]]
+            more = ~same & (here != -2)
+            rest, slot, wanted = rest[more], self._next(slot[more]), wanted[more]
+        return out
 
 
 @dataclass
 class Spectrum:
-    """Trusted counts by sorted key, a counting filter for all others (or none), and the graph's edges."""
+    """Trusted counts by sorted key, a counting filter for all others (or none), and the De Bruijn edges of the trusted."""
 
     k: int
     floor: int
@@ -44,154 +81,277 @@ class Spectrum:
     counts: np.ndarray
     counters: np.ndarray | None = None
     hashes: int = 0
-    graph: dict[int, list[tuple[int, int, int]]] = field(default_factory=dict)
+    graph: bool = False
+    table: Table = field(init=False, repr=False)
 
     def __post_init__(self):
-        self.mask = (1 << 2 * (self.k - 1)) - 1
+        self.table = Table(self.keys, self.counts)
+        if self.graph:  # an edge leads from the first k - 1 bases to the last; of a node the strongest edges come first
+            order = np.lexsort((self.keys & 3, -self.counts, self.keys >> 2))
+            edges, self.strength = self.keys[order], self.counts[order]
+            source, self.target, self.label = edges >> 2, edges & ((1 << 2 * (self.k - 1)) - 1), edges & 3
+            first = np.flatnonzero(np.append(True, source[1:] != source[:-1])) if len(source) else np.zeros(0, I64)
+            self.first = np.append(first, len(source))
+            self.nodes = Table(source[first], np.arange(len(first)))
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of canonical codes: exact if trusted, else the filter's, else 0; -1 (an unknown base) counts 0."""
-        found = np.zeros(len(keys), np.int64)
-        hit = keys < 0
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            exact = self.keys[at] == keys
-            found[exact] = self.counts[at[exact]]
-            hit |= exact
+        found = self.table.find(keys)
         if self.counters is not None:
-            rest = np.flatnonzero(~hit)
-            least = np.full(len(keys), 15, np.int64)
+            rest = np.flatnonzero((found < 0) & (keys >= 0))
+            raw, least = keys[rest].astype(U64), np.full(len(rest), S.CEILING, I64)
             for seed in range(self.hashes):  # most absent keys meet an empty counter soon
-                h = keys[rest].astype(U64) ^ U64(seed * S.SEED % 2**64)
+                h = raw ^ U64(seed * S.SEED % 2**64)
                 h = h * U64(S.MULTIPLY_1)
                 h ^= h >> U64(S.SHIFT)
                 h = h * U64(S.MULTIPLY_2)
                 h ^= h >> U64(S.SHIFT)
-                least[rest] = np.minimum(least[rest], self.counters[(h % U64(len(self.counters))).astype(np.int64)])
-                rest = rest[least[rest] > 0]
+                least = np.minimum(least, self.counters[(h % U64(len(self.counters))).astype(I64)])
+                there = least > 0
+                rest, raw, least = rest[there], raw[there], least[there]
                 if not len(rest):
                     break
-            found[rest] = least[rest]
-        return found
-
-    def codes(self, bases: list[int], lo: int, hi: int) -> list[int]:
-        """Canonical codes of the windows that start at lo to hi; -1 for windows with an unknown base."""
-        k, full, top = self.k, (1 << 2 * self.k) - 1, 2 * (self.k - 1)
-        out, forward, backward, unknown = [], 0, 0, -1
-        for i in range(lo, hi + k if hi >= lo else lo):
-            b = bases[i]
-            if b > 3:
-                unknown, b = i, 0
-            forward = (forward << 2 | b) & full
-            backward = backward >> 2 | (3 - b) << top
-            if i >= lo + k - 1:
-                out.append(-1 if unknown > i - k else forward if forward < backward else backward)
-        return out
+            found[rest] = least
+        return np.maximum(found, 0)
 
-    def every(self, bases: list[int]) -> list[int]:
-        """Counts of all windows of a read."""
-        return self.count(np.array(self.codes(bases, 0, len(bases) - self.k), np.int64)).tolist()
-
-    def over(self, counts: list[int], at: int) -> tuple[int, int, int]:
-        """(least, total, windows) of the windows over a position, from the counts of all."""
-        part = counts[max(0, at - self.k + 1) : at + 1]
-        return (min(part), sum(part), len(part)) if part else (0, 0, 0)
-
-    def supports(self, tried: list[tuple[list[int], int]]) -> list[tuple[int, int, int]]:
-        """(least, total, windows) over the windows that cover a position, for several sequences in one look-up."""
-        codes = [self.codes(bases, max(0, at - self.k + 1), min(at, len(bases) - self.k)) for bases, at in tried]
-        counts = self.count(np.array([c for x in codes for c in x], np.int64)).tolist()
-        out, at = [], 0
-        for x in codes:
-            part = counts[at : at + len(x)]
-            at += len(x)
-            out.append((min(part), sum(part), len(part)) if part else (0, 0, 0))
-        return out
+    def edges_from(self, node: int) -> list[tuple[int, int, int]]:
+        """(target, label, count) of a node's edges, the strongest first."""
+        at = int(self.nodes.find(np.array([node], I64))[0])
+        own = slice(self.first[at], self.first[at + 1]) if at >= 0 else slice(0)
+        return list(zip(self.target[own].tolist(), self.label[own].tolist(), self.strength[own].tolist(), strict=True))
 
 
 @dataclass
-class Read:
-    """Base codes (4: unknown) and qualities of a read, and the edits so far."""
+class Reads:
+    """Reads side by side: base codes and qualities (0 where a read has none), lengths, and the edits so far."""
+
+    bases: np.ndarray
+    quality: np.ndarray
+    length: np.ndarray
+    q_length: np.ndarray
+    #: rows and positions of changed bases, in the order of the changes
+    changed: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    indels: dict[int, list[dict]] = field(default_factory=dict)
+
+    def room(self, width: int) -> None:
+        """At least so many columns."""
+        more = width - self.bases.shape[1]
+        if more > 0:
+            self.bases = np.pad(self.bases, ((0, 0), (0, more)), constant_values=BEYOND)
+            self.quality = np.pad(self.quality, ((0, 0), (0, more)))
+
+    def within(self) -> np.ndarray:
+        return np.arange(self.bases.shape[1]) < self.length[:, None]
+
+
+def window_codes(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all windows of the rows, read forward and as their reverse complement, and their unknown bases."""
+    n = bases.shape[1] - k + 1
+    plain, odd = (bases & 3).astype(I64), bases > 3
+    forward, backward, unknown = np.zeros((len(bases), n), I64), np.zeros((len(bases), n), I64), np.zeros((len(bases), n), np.int16)
+    for j in range(k):
+        part = plain[:, j : j + n]
+        forward <<= 2
+        forward |= part
+        backward |= 3 - part << 2 * j
+        unknown += odd[:, j : j + n]
+    return forward, backward, unknown
+
+
+def _better(least: np.ndarray, total: np.ndarray, than_least: np.ndarray, than_total: np.ndarray) -> np.ndarray:
+    return (least > than_least) | (least == than_least) & (total > than_total)
+
+
+def _covering(counts: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, total) over the last axis; without a valid window 0 and 0."""
+    least = np.where(valid, counts, HUGE).min(-1)
+    return np.where(least == HUGE, 0, least), np.where(valid, counts, 0).sum(-1)
+
+
+def substitute(reads: Reads, limit: np.ndarray, min_quality: int, s: Spectrum) -> None:
+    """Tries the three other bases wherever quality or support is poor, from left to right in all reads together."""
+    k, width = s.k, reads.bases.shape[1]
+    if width < k:
+        return
+    forward, backward, unknown = window_codes(reads.bases, k)
+    last = reads.length - k
+    known = (unknown == 0) & (np.arange(width - k + 1) <= last[:, None])
+    counts = s.count(np.where(known, np.minimum(forward, backward), -1).reshape(-1)).reshape(forward.shape)
+    poor = (reads.quality <= min_quality + GRACE) & (np.arange(width) < np.minimum(limit, reads.length)[:, None])
+    for at in np.flatnonzero(poor.any(0)).tolist():
+        lo, hi = max(0, at - k + 1), min(at, width - k)
+        over = slice(lo, hi + 1)
+        starts = np.arange(lo, hi + 1)
+        rows = np.flatnonzero(poor[:, at] & (last >= lo))
+        valid = starts <= last[rows, None]
+        least, total = _covering(counts[rows, over], valid)
+        tried = (reads.quality[rows, at] < min_quality) | (least < s.floor)
+        if not tried.any():
+            continue
+        rows, valid, least, total = rows[tried], valid[tried], least[tried], total[tried]
+        own = reads.bases[rows, at].astype(I64)
+        stored = (own & 3)[:, None]
+        usable = valid & (unknown[rows, over] - (own > 3)[:, None] == 0)
+        f, r, up, down = forward[rows, over], backward[rows, over], 2 * (k - 1 - at + starts), 2 * (at - starts)
+        keys = np.stack([np.where(usable & (own != b)[:, None], np.minimum(f + (b - stored << up), r + (stored - b << down)), -1) for b in range(4)])
+        got = s.count(keys.reshape(-1)).reshape(keys.shape)
+        all_least, all_total = _covering(got, valid)
+        best_least, best_total, chosen = least.copy(), total.copy(), own.copy()
+        for b in range(4):
+            better = (own != b) & _better(all_least[b], all_total[b], best_least, best_total)
+            best_least[better], best_total[better], chosen[better] = all_least[b][better], all_total[b][better], b
+        gained = best_total >= total + max(s.floor, 1) * valid.sum(1)
+        edit = np.flatnonzero((chosen != own) & ((best_least >= s.floor) & (best_least > least) | gained))
+        if not len(edit):
+            continue
+        where, base, before = rows[edit], chosen[edit], stored[edit]
+        forward[where, over] += base[:, None] - before << up
+        backward[where, over] += before - base[:, None] << down
+        unknown[where, over] -= (own[edit] > 3)[:, None]
+        counts[where, over] = got[base, edit]
+        reads.bases[where, at] = base
+        reads.changed.append((where, np.full(len(where), at)))
+
+
+def _around(context: np.ndarray, s: Spectrum) -> tuple[np.ndarray, np.ndarray]:
+    """(least, total) over the windows that cover the middle of contexts (2k - 1, places); 0 and 0 if there is none."""
+    k = s.k
+    plain, odd, there = (context & 3).astype(I64), context == UNKNOWN, context != BEYOND
+    forward, backward, unknown = np.zeros(context.shape[1], I64), np.zeros(context.shape[1], I64), odd[:k].sum(0)
+    for j in range(k):
+        forward = forward << 2 | plain[j]
+        backward |= 3 - plain[j] << 2 * j
+    keys, valid, mask, top = np.empty((k, context.shape[1]), I64), there[:k] & there[k - 1 :], (1 << 2 * k) - 1, 2 * (k - 1)
+    for j in range(k):
+        keys[j] = np.where(valid[j] & (unknown == 0), np.minimum(forward, backward), -1)
+        if j < k - 1:
+            forward = (forward << 2 | plain[j + k]) & mask
+            backward = backward >> 2 | 3 - plain[j + k] << top
+            unknown = unknown + odd[j + k] - odd[j]
+    least, total = _covering(s.count(keys.reshape(-1)).reshape(keys.shape).T, valid.T)
+    return least, total
 
-    bases: list[int]
-    quality: list[int]
-    positions: list[int] = field(default_factory=list)
-    indels: list[tuple[int, str, str]] = field(default_factory=list)
 
+@dataclass
+class Indels:
+    """The best indel of each place: least support, kind (0 none, 1 deletion, 2 insertion), size, inserted bases."""
 
-def substitute(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
-    """Tries the three other bases wherever quality or support is poor, from left to right."""
-    counts = s.every(read.bases)
-    for at in range(min(limit, len(read.bases))):
-        quality = read.quality[at] if at < len(read.quality) else 0
-        if quality > min_quality + GRACE:
-            continue
-        now = s.over(counts, at)
-        if now[2] == 0 or not (quality < min_quality or now[0] < s.floor):
-            continue
-        own = read.bases[at]
-        others = [b for b in range(4) if b != own]
-        best, chosen = now, own
-        for base, tried in zip(others, s.supports([(read.bases[:at] + [b] + read.bases[at + 1 :], at) for b in others]), strict=True):
-            if tried[:2] > best[:2]:
-                best, chosen = tried, base
-        gained = best[1] >= now[1] + max(s.floor, 1) * max(now[2], 1)
-        if chosen != own and ((best[0] >= s.floor and best[0] > now[0]) or gained):
-            read.bases[at] = chosen
-            read.positions.append(at)
-            lo, hi = max(0, at - s.k + 1), min(at, len(read.bases) - s.k)
-            counts[lo : hi + 1] = s.count(np.array(s.codes(read.bases, lo, hi), np.int64)).tolist()
-
-
-def _best_indel(bases: list[int], at: int, now: tuple[int, int, int], s: Spectrum) -> tuple[str, list[int], int] | None:
-    """(kind, bases, least support) of the indel that raises (least, total) the most, tried in a fixed order."""
-    tries = []
-    for n in range(1, LONGEST_INDEL + 1):
-        if at + n > len(bases) or len(bases) <= s.k + (n if n > 1 else 0):
+    least: np.ndarray
+    total: np.ndarray
+    kind: np.ndarray
+    size: np.ndarray
+    inserted: np.ndarray
+
+    def offer(self, places: np.ndarray, got: tuple[np.ndarray, np.ndarray], kind: int, size: int, inserted: np.ndarray | None = None) -> np.ndarray:
+        """Takes over what is better than the best so far; which places it was."""
+        better = _better(*got, self.least[places], self.total[places])
+        at = places[better]
+        self.least[at], self.total[at], self.kind[at], self.size[at] = got[0][better], got[1][better], kind, size
+        if inserted is not None:
+            self.inserted[at] = inserted[better]
+        return at
+
+
+def best_indels(padded: np.ndarray, pad: int, length: np.ndarray, row: np.ndarray, at: np.ndarray, least: np.ndarray, total: np.ndarray, s: Spectrum) -> Indels:
+    """The indel of each place (row, at) that raises (least, total) the most, tried in a fixed order.
+
+    padded holds the reads' bases from column pad on, with BEYOND on both sides.
+    """
+    k, n = s.k, len(row)
+    found = Indels(least.copy(), total.copy(), np.zeros(n, np.int8), np.zeros(n, np.int8), np.zeros((n, LONGEST_INDEL), np.uint8))
+    around = np.arange(-k + 1, k)[:, None]
+    for size in range(1, LONGEST_INDEL + 1):
+        own = length[row]
+        places = np.flatnonzero((at + size <= own) & (own > k + (size if size > 1 else 0)))
+        if not len(places):
             break
-        rest = bases[:at] + bases[at + n :]
-        tries.append((("deletion", bases[at : at + n]), (rest, min(at, len(rest) - 1))))
-    tries += [(("insertion", [b]), (bases[:at] + [b] + bases[at:], at)) for b in range(4)]
-    best, found = now[:2], None
-    while tries:
-        grown = False
-        for (kind, what), got in zip((t[0] for t in tries), s.supports([t[1] for t in tries]), strict=True):
-            if got[:2] > best:
-                best, found, grown = got[:2], (kind, what, got[0]), True
-        if not grown or found[0] == "deletion" or len(found[1]) == LONGEST_INDEL:
+        left = np.minimum(at[places], own[places] - size - 1) + around
+        source = left + size * (left >= at[places])
+        found.offer(places, _around(padded[row[places], source + pad], s), 1, size)
+
+    def insert(places: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        """Tries the inserted bases start and each base behind them; the places that gained by it."""
+        behind = at[places] + around
+        context = padded[row[places], np.where(around < 0, behind, np.where(around < size, 0, behind - size)) + pad]
+        stop = min(k - 1 + size, 2 * k - 1)
+        gained = []
+        for base in range(4):
+            more = start.copy()
+            more[:, size - 1] = base
+            context[k - 1 : stop] = more[:, : stop - k + 1].T
+            gained.append(found.offer(places, _around(context, s), 2, size, more))
+        return np.unique(np.concatenate(gained))
+
+    places = insert(np.arange(n), np.zeros((n, LONGEST_INDEL), np.uint8), 1)
+    for size in range(2, LONGEST_INDEL + 1):
+        if not len(places):
             break
-        tries = [(("insertion", found[1] + [b]), (bases[:at] + found[1] + [b] + bases[at:], at)) for b in range(4)]
+        places = insert(places, found.inserted[places], size)
     return found
 
 
-def mend_indels(read: Read, limit: int, min_quality: int, s: Spectrum) -> None:
-    """Inserts or deletes where quality and support are still poor; one edit in each stretch of 50 positions."""
-    at, used, counts = 0, None, s.every(read.bases)
-    while at < min(limit, len(read.bases)):
-        quality = read.quality[at] if at < len(read.quality) else 0
-        if quality >= min_quality or used == at // INDEL_BUCKET:
-            at += 1
-            continue
-        now = s.over(counts, at)
-        found = _best_indel(read.bases, at, now, s) if now[2] and now[0] < s.floor else None
-        if found is None or found[2] < 2 * s.floor:
-            at += 1
-            continue
-        kind, bases, _ = found
-        used, n = at // INDEL_BUCKET, len(bases)
-        read.indels.append((at, kind, _text(bases)))
-        if kind == "deletion":
-            del read.bases[at : at + n], read.quality[at : at + n]
-        else:
-            read.bases[at:at] = bases
-            read.quality[at:at] = [INSERTED_QUALITY - 33] * n
-            at += n + 1
-        counts = s.every(read.bases)
-
-
-def best_path(graph: dict, start: int, end: int, length: int, branches: int) -> tuple[list[int], int] | None:
+def mend_indels(reads: Reads, limit: np.ndarray, min_quality: int, s: Spectrum) -> None:
+    """Inserts or deletes where quality and support are still poor; one edit in each stretch of 50 positions.
+
+    A round finds the first edit of every read; reads that have one go on behind it in the next round.
+    """
+    k, rows = s.k, np.flatnonzero(reads.length >= s.k)
+    begin, used = np.zeros(len(reads.length), I64), np.full(len(reads.length), -1, I64)
+    while len(rows):
+        reads.room(int(reads.length[rows].max()) + LONGEST_INDEL + 1)
+        length, width = reads.length[rows], reads.bases.shape[1]
+        bases = np.where(np.arange(width) < length[:, None], reads.bases[rows], BEYOND).astype(np.uint8)
+        forward, backward, unknown = window_codes(bases, k)
+        starts, places = np.arange(width - k + 1), np.arange(width)
+        valid = starts <= (length - k)[:, None]
+        counts = s.count(np.where(valid & (unknown == 0), np.minimum(forward, backward), -1).reshape(-1)).reshape(forward.shape)
+        lows, sums = np.full((len(rows), width + k - 1), HUGE, I64), np.zeros((len(rows), width + k - 1), I64)
+        lows[:, k - 1 : width][valid], sums[:, k - 1 : width][valid] = counts[valid], counts[valid]
+        least, total = np.full((len(rows), width), HUGE, I64), np.zeros((len(rows), width), I64)
+        for j in range(k):
+            np.minimum(least, lows[:, j : j + width], out=least)
+            total += sums[:, j : j + width]
+        open_ = (places >= begin[rows, None]) & (places < np.minimum(limit[rows], length)[:, None]) & (reads.quality[rows] < min_quality)
+        row, at = np.nonzero(open_ & (least < s.floor) & (used[rows, None] != places // INDEL_BUCKET))
+        pad = k + LONGEST_INDEL + 1
+        padded = np.pad(bases, ((0, 0), (pad, pad)), constant_values=BEYOND)
+        edited = []
+        for i in range(0, len(row), PLACES):
+            r, a = row[i : i + PLACES], at[i : i + PLACES]
+            found = best_indels(padded, pad, length, r, a, least[r, a], total[r, a], s)
+            good = np.flatnonzero((found.kind > 0) & (found.least >= 2 * s.floor))
+            for j in good[np.unique(r[good], return_index=True)[1]].tolist():
+                if edited and edited[-1] == rows[r[j]]:
+                    continue  # a read whose places fill two portions: the first edit was in the one before
+                edited.append(int(rows[r[j]]))
+                _apply(reads, edited[-1], int(a[j]), int(found.kind[j]), found.inserted[j, : found.size[j]] if found.kind[j] == 2 else int(found.size[j]), begin)
+                used[edited[-1]] = a[j] // INDEL_BUCKET
+        rows = np.array(edited, I64)
+
+
+def _apply(reads: Reads, row: int, at: int, kind: int, what: np.ndarray | int, begin: np.ndarray) -> None:
+    """One indel in one read."""
+    bases, quality, n, q = reads.bases[row], reads.quality[row], int(reads.length[row]), int(reads.q_length[row])
+    if kind == 1:
+        text = bases[at : at + what].copy()
+        bases[at : n - what], bases[n - what : n] = bases[at + what : n].copy(), BEYOND
+        gone = max(0, min(at + what, q) - at)
+        quality[at : max(at, q - gone)], quality[max(at, q - gone) : max(at, q)] = quality[at + gone : max(at + gone, q)].copy(), 0
+        reads.length[row], reads.q_length[row], begin[row] = n - what, q - gone, at
+    else:
+        text, size = what, len(what)
+        bases[at + size : n + size] = bases[at:n].copy()
+        bases[at : at + size] = what
+        place = min(at, q)
+        quality[place + size : q + size] = quality[place:q].copy()
+        quality[place : place + size] = INSERTED_QUALITY
+        reads.length[row], reads.q_length[row], begin[row] = n + size, q + size, at + size + 1
+    reads.indels.setdefault(row, []).append({"position": at, "kind": "deletion" if kind == 1 else "insertion", "bases": _LETTER[text].tobytes().decode()})
+
+
+def best_path(edges_from: Callable, start: int, end: int, length: int, branches: int) -> tuple[list[int], int] | None:
     """The path of so many edges whose weakest edge is strongest; the search is cut after POPS states, the first best wins."""
-    best, stack = None, [(start, (), math.inf)]
+    best, stack, known = None, [(start, (), math.inf)], {}
     for _ in range(POPS):
         if not stack:
             break
@@ -200,104 +360,236 @@ def best_path(graph: dict, start: int, end: int, length: int, branches: int) ->
             if node == end and (best is None or least > best[1]):
                 best = (list(labels), least)
             continue
-        stack.extend((dst, (*labels, label), min(least, cnt)) for dst, label, cnt in graph.get(node, ())[:branches])
+        if node not in known:
+            known[node] = edges_from(node)[:branches]
+        stack.extend((dst, (*labels, label), min(least, cnt)) for dst, label, cnt in known[node])
     return best
 
 
-def _node(bases: list[int]) -> int | None:
-    if 4 in bases:
-        return None
-    code = 0
-    for b in bases:
-        code = code << 2 | b
-    return code
+def best_paths(s: Spectrum, start: np.ndarray, end: np.ndarray, wanted: np.ndarray, branches: int) -> tuple[np.ndarray, np.ndarray]:
+    """best_path for many pairs of nodes and several lengths of each: wanted[i, n] asks for n edges.
 
+    Returns (least, labels) of wanted's shape, two bits a label, and least 0 where there is no path. All searches go on
+    edge by edge together. The last edge of a node is explored first, so of equal paths the one with the greatest ranks of
+    edges wins. A search of more than POPS states is left to best_path, which cuts it.
+    """
+    n, longest = len(start), wanted.shape[1] - 1
+    least, labels = np.zeros(wanted.shape, I64), np.zeros(wanted.shape, I64)
+    states = np.ones(n, I64)
+    of, node, weak, code, rank = np.arange(n), start, np.full(n, HUGE, I64), np.zeros(n, I64), np.zeros(n, I64)
+    for level in range(1, longest + 1):
+        at = s.nodes.find(node)
+        some = at >= 0
+        of, weak, code, rank, at = of[some], weak[some], code[some], rank[some], at[some]
+        first, many = s.first[at], np.minimum(s.first[at + 1] - s.first[at], branches)
+        up = np.repeat(np.arange(len(of)), many)
+        child = np.arange(len(up)) - np.repeat(np.cumsum(many) - many, many)
+        edge = first[up] + child
+        of, node, weak = of[up], s.target[edge], np.minimum(weak[up], s.strength[edge])
+        code, rank = code[up] << 2 | s.label[edge], rank[up] << 2 | child
+        states += np.bincount(of, minlength=n)
+        for i in np.flatnonzero((states > POPS) & wanted[:, level]).tolist():
+            path = best_path(s.edges_from, int(start[i]), int(end[i]), level, branches)
+            if path:
+                least[i, level], labels[i, level] = path[1], sum(x << 2 * j for j, x in enumerate(reversed(path[0])))
+        keep = (states[of] <= POPS) & wanted[of, level:].any(1)
+        of, node, weak, code, rank = of[keep], node[keep], weak[keep], code[keep], rank[keep]
+        hit = np.flatnonzero((node == end[of]) & wanted[of, level])
+        order = hit[np.lexsort((rank[hit], weak[hit], of[hit]))]
+        winner = order[np.append(of[order][1:] != of[order][:-1], True)] if len(order) else order
+        least[of[winner], level], labels[of[winner], level] = weak[winner], code[winner]
+        if not len(of) and not (wanted[:, level + 1 :].any(1) & (states > POPS)).any():
+            break
+    return least, labels
 
-def better_region(bases: list[int], start: int, end: int, s: Spectrum) -> list[int] | None:
-    """Other bases for a region between two anchors of k - 1 bases, of its length or up to five shorter or longer."""
-    k, n = s.k, end - start
-    if start < k - 1 or end + k - 1 > len(bases):
-        return None
-    before, after = _node(bases[start - k + 1 : start]), _node(bases[end : end + k - 1])
-    if before is None or after is None:
-        return None
-    best = best_path(s.graph, before, after, n, BRANCHES)
-    for delta in range(1, min(LONGEST_INDEL, n - 1) + 1):
-        for length in (n - delta, n + delta):
-            tried = best_path(s.graph, before, after, length, BRANCHES_OTHER) if length <= REGION[1] + LONGEST_INDEL else None
-            if tried and tried[1] > (best[1] if best else 0):
-                best = tried
-    return best[0] if best and best[0] != bases[start:end] else None
 
+def better_regions(reads: Reads, row: np.ndarray, start: np.ndarray, size: np.ndarray, s: Spectrum) -> tuple[np.ndarray, np.ndarray]:
+    """(length, labels) of other bases for regions between two anchors of k - 1 bases, length 0 for none.
 
-def mend_regions(read: Read, min_quality: int, s: Spectrum, parity: bool) -> None:
-    """Runs of low quality are replaced by paths of the graph.
+    They are of the region's length or up to five shorter or longer; of equal ones the nearest in length, shorter first.
+    """
+    k, n = s.k, len(row)
+    fits = (start >= k - 1) & (start + size + k - 1 <= reads.length[row])
+    sides = np.arange(k - 1)
+    anchors = [np.where(fits[:, None], reads.bases[row[:, None], np.where(fits, at, 0)[:, None] + sides], UNKNOWN) for at in (start - k + 1, start + size)]
+    fits &= ~(anchors[0] > 3).any(1) & ~(anchors[1] > 3).any(1)
+    weights = 1 << 2 * sides[::-1].astype(I64)
+    before, after = ((a.astype(I64) * weights).sum(1) for a in anchors)
+    lengths = np.arange(REGION[1] + LONGEST_INDEL + 1)
+    off = np.abs(lengths - size[:, None])
+    same = (off == 0) & fits[:, None]
+    other = (off > 0) & (off <= np.minimum(LONGEST_INDEL, size - 1)[:, None]) & fits[:, None]
+    least, labels = best_paths(s, before, after, same, BRANCHES)
+    more_least, more_labels = best_paths(s, before, after, other, BRANCHES_OTHER)
+    least, labels = np.where(other, more_least, least), np.where(other, more_labels, labels)
+    best, chosen, every = np.zeros(n, I64), np.zeros(n, I64), np.arange(n)
+    for delta in range(LONGEST_INDEL + 1):
+        for length in (size - delta, size + delta):
+            inside = (length >= 0) & (length < len(lengths))
+            value = np.where(inside, least[every, np.where(inside, length, 0)], 0)
+            better = value > best
+            best[better], chosen[better] = value[better], length[better]
+    return chosen, labels[every, chosen]
+
+
+def mend_regions(reads: Reads, min_quality: int, s: Spectrum, parity: bool) -> None:
+    """Runs of low quality are replaced by paths of the graph; the first run of every read, then the second, and so on.
 
     A replacement of another length leaves the qualities alone if parity is asked for, as tools did that this one is
     compared with; else qualities of new bases are inserted, and of lost bases dropped, so that both stay of one length.
     """
-    quality = list(read.quality)
-    low = [q < min_quality for q in quality[: len(read.bases)]] + [True] * max(0, len(read.bases) - len(quality))
-    edge = [i for i, (a, b) in enumerate(zip([False, *low], [*low, False], strict=True)) if a != b]
-    shift = 0
-    for start, end in zip(edge[0::2], edge[1::2], strict=True):
-        n = end - start
-        at = start if parity else start + shift
-        if not REGION[0] <= n <= REGION[1] or at + n > len(read.bases):
-            continue
-        new = better_region(read.bases, at, at + n, s)
-        if new is None:
+    low = np.pad((reads.quality < min_quality) & reads.within(), ((0, 0), (1, 1)))
+    row, edge = np.nonzero(low[:, 1:] != low[:, :-1])
+    row, start, size = row[0::2], edge[0::2], edge[1::2] - edge[0::2]
+    fits = (size >= REGION[0]) & (size <= REGION[1])
+    row, start, size = row[fits], start[fits], size[fits]
+    turn = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    shift, quality = np.zeros(len(reads.length), I64), reads.quality.copy()
+    wide = 1 << 32
+    have = np.sort(np.concatenate([r.astype(I64) * wide + p for r, p in reads.changed])) if reads.changed else np.zeros(0, I64)
+    for t in range(int(turn.max(initial=-1)) + 1):
+        now = np.flatnonzero(turn == t)
+        r, n = row[now], size[now]
+        at = start[now] if parity else start[now] + shift[r]
+        inside = at + n <= reads.length[r]
+        now, r, n, at = now[inside], r[inside], n[inside], at[inside]
+        if not len(now):
             continue
-        old = read.bases[at : at + n]
-        changed = [at + j for j, b in enumerate(new) if j >= n or b != old[j]]
-        read.bases[at : at + n] = new
-        if len(new) != n and not parity:
-            read.quality[at : at + n] = quality[start:end][: len(new)] + [INSERTED_QUALITY - 33] * max(0, len(new) - n)
-            shift += len(new) - n
-        read.positions.extend(p for p in changed if p not in read.positions)
-
-
-def _text(bases: list[int]) -> str:
-    return "".join("ACGTN"[b] for b in bases)
-
-
-def process_read(sequence: str, qualities: str, limit: int | None, min_quality: int, s: Spectrum, parity: bool = False, indels: bool = True) -> tuple:
-    """(sequence, qualities, positions, indels, trimmed bases) of a read whose adapter starts at limit, if it has one."""
-    read = Read(_CODE[np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)].tolist(), [max(ord(c) - 33, 0) for c in qualities])
-    fixed = len(sequence) if limit is None else limit
-    substitute(read, fixed, min_quality, s)
+        length, labels = better_regions(reads, r, at, n, s)
+        places = np.arange(REGION[1] + LONGEST_INDEL)
+        new = labels[:, None] >> 2 * np.maximum(length[:, None] - 1 - places, 0) & 3
+        old = reads.bases[r[:, None], np.minimum(at[:, None] + places, reads.bases.shape[1] - 1)]
+        differs = (places < length[:, None]) & ((places >= n[:, None]) | (new != old))
+        changed = (length > 0) & (differs.any(1) | (length != n))
+        i, j = np.nonzero(differs & changed[:, None])
+        keys = r[i].astype(I64) * wide + at[i] + j
+        keys = keys[~np.isin(keys, have)]
+        if len(keys):
+            reads.changed.append((keys // wide, keys % wide))
+            have = np.concatenate([have, keys])
+        alike = np.flatnonzero(changed & (length == n))
+        for p in range(REGION[1]):
+            some = alike[n[alike] > p]
+            reads.bases[r[some], at[some] + p] = new[some, p]
+        for i in np.flatnonzero(changed & (length != n)).tolist():
+            _replace(reads, int(r[i]), int(at[i]), int(n[i]), new[i, : length[i]], None if parity else quality[r[i], start[now[i]] : start[now[i]] + n[i]])
+            if not parity:
+                shift[r[i]] += length[i] - n[i]
+
+
+def _replace(reads: Reads, row: int, at: int, n: int, new: np.ndarray, quality: np.ndarray | None) -> None:
+    """Bases of one read by others of another length, with the qualities given for the old ones, or with qualities as they are."""
+    more, length, q = len(new) - n, int(reads.length[row]), int(reads.q_length[row])
+    reads.room(max(length, q) + max(more, 0))
+    bases = reads.bases[row]
+    rest = bases[at + n : length].copy()
+    bases[at : at + len(new)], bases[at + len(new) : length + more] = new, rest
+    bases[length + more : max(length, length + more)] = BEYOND
+    reads.length[row] = length + more
+    if quality is not None:
+        own = reads.quality[row]
+        kept = np.concatenate([own[:at], quality[: len(new)], np.full(max(more, 0), INSERTED_QUALITY, own.dtype), own[at + n : q]])
+        own[: len(kept)], own[len(kept) :] = kept, 0
+        reads.q_length[row] = len(kept)
+
+
+def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(character codes, offsets) of a string column; null is empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, I64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    if not (raw > 127).any():
+        return raw, ends - ends[0]
+    texts = column.to_pylist()
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
+def _matrix(codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, width: int, fill: int, kind: type) -> np.ndarray:
+    """The characters of some rows side by side."""
+    size = np.diff(offsets)[rows]
+    out = np.full((len(rows), width), fill, kind)
+    inside = np.arange(width) < size[:, None]
+    out[inside] = codes[np.repeat(offsets[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    return out
+
+
+def _strings(matrix: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Rows of characters as strings."""
+    values = matrix[np.arange(matrix.shape[1]) < length[:, None]]
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(I64)
+    if values.max(initial=0) > 127:
+        text = "".join(map(chr, values.tolist()))
+        return pa.array([text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+    return pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(ends), pa.py_buffer(values.astype(np.uint8))).cast(pa.string())
+
+
+def process(sequences: pa.Array, qualities: pa.Array, adapter_start: np.ndarray, min_quality: int, s: Spectrum, parity: bool = False, indels: bool = True) -> list[pa.Array]:
+    """Sequences, qualities, changed positions, indels and trimmed bases of reads whose adapter starts there, -1 for none."""
+    codes, ends = characters(sequences)
+    codes, (marks, q_ends) = _CODE[np.minimum(codes, 255)], characters(qualities)
+    marks = np.maximum(marks.astype(np.int32) - 33, 0)
+    sizes = np.diff(ends)
+    order, out = np.argsort(sizes, kind="stable"), []
+    i = 0
+    while i < len(order):  # reads of like length together
+        j = i + 1
+        while j < len(order) and (j - i + 1) * (sizes[order[min(2 * j - i, len(order) - 1)]] + 16) <= CELLS:
+            j = min(2 * j - i, len(order))
+        rows = order[i:j]
+        out.append(_process(codes, ends, marks, q_ends, rows, adapter_start[rows], min_quality, s, parity, indels))
+        i = j
+    back = pa.array(np.argsort(order, kind="stable"))
+    return [pa.concat_arrays([part[c] for part in out]).take(back) for c in range(5)]
+
+
+_INDEL = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("bases", pa.string())])
+
+
+def _process(codes, ends, marks, q_ends, rows, start, min_quality, s, parity, indels) -> list[pa.Array]:
+    size, q_size = np.diff(ends)[rows].astype(I64), np.diff(q_ends)[rows].astype(I64)
+    width = int(max(size.max(initial=0), q_size.max(initial=0))) + 1
+    reads = Reads(_matrix(codes, ends, rows, width, BEYOND, np.uint8), _matrix(marks, q_ends, rows, width, 0, np.int32), size.copy(), q_size.copy())
+    fixed = np.where(start < 0, size, start)
+    substitute(reads, fixed, min_quality, s)
     if indels:
-        mend_indels(read, fixed, min_quality, s)
-    if not parity and limit is None:
-        fixed = len(read.bases)  # a read that gained bases keeps them
-    stop = end = min(fixed, len(read.quality))
-    while end and read.quality[end - 1] + 2 < min_quality:
-        end -= 1
-    cut = end if stop - end >= 3 else fixed
-    trimmed = max(0, len(read.bases) - cut)
-    del read.bases[cut:], read.quality[cut:]
+        mend_indels(reads, fixed, min_quality, s)
+    if not parity:
+        fixed = np.where(start < 0, reads.length, fixed)  # a read that gained bases keeps them
+    stop = np.minimum(fixed, reads.q_length)
+    sound = (reads.quality + 2 >= min_quality) & (np.arange(reads.quality.shape[1]) < stop[:, None])
+    end = np.where(sound.any(1), reads.quality.shape[1] - np.argmax(sound[:, ::-1], 1), 0)
+    cut = np.where(stop - end >= 3, end, fixed)
+    trimmed = np.maximum(reads.length - cut, 0)
+    reads.length, reads.q_length = np.minimum(reads.length, cut), np.minimum(reads.q_length, cut)
+    reads.quality[np.arange(reads.quality.shape[1]) >= reads.q_length[:, None]] = 0
     if s.graph:
-        mend_regions(read, min_quality, s, parity)
-    return _text(read.bases), "".join(chr(q + 33) for q in read.quality), read.positions, read.indels, trimmed
+        mend_regions(reads, min_quality, s, parity)
+    row, at = (np.concatenate(x) for x in zip(*reads.changed, strict=True)) if reads.changed else (np.zeros(0, I64), np.zeros(0, I64))
+    by_row = np.argsort(row, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))]).astype(np.int32)
+    return [
+        _strings(_LETTER[np.minimum(reads.bases, BEYOND)], reads.length), _strings(reads.quality + 33, reads.q_length),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[by_row].astype(np.int32))),
+        pa.array([reads.indels.get(i, []) for i in range(len(rows))], pa.list_(_INDEL)), pa.array(trimmed, pa.int64()),
+    ]
 
 
 _OUT = "read_ix long, header string, sequence string, qualities string, corrected_positions array<int>, indels array<struct<position: int, kind: string, bases: string>>, trimmed_bases long, trimmed_adapter string"
 
 
 def _run(shared, min_quality: int, parity: bool, indels: bool):
-    indel = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("bases", pa.string())])
-    schema = pa.schema([("read_ix", pa.int64()), *((n, pa.string()) for n in ("header", "sequence", "qualities")), ("corrected_positions", pa.list_(pa.int32())), ("indels", pa.list_(indel)), ("trimmed_bases", pa.int64()), ("trimmed_adapter", pa.string())])
+    schema = pa.schema([("read_ix", pa.int64()), *((n, pa.string()) for n in ("header", "sequence", "qualities")), ("corrected_positions", pa.list_(pa.int32())), ("indels", pa.list_(_INDEL)), ("trimmed_bases", pa.int64()), ("trimmed_adapter", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Spectrum = shared.value
         for batch in batches:
-            rows = []
-            for sequence, qualities, start in zip(batch["sequence"].to_pylist(), batch["qualities"].to_pylist(), batch["adapter_start"].to_pylist(), strict=True):
-                rows.append(process_read(sequence or "", qualities or "", start, min_quality, s, parity, indels))
-            columns = [[r[i] for r in rows] for i in range(5)]
-            columns[3] = [[{"position": p, "kind": kind, "bases": b} for p, kind, b in x] for x in columns[3]]
-            arrays = [batch["read_ix"], batch["header"], pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[3], pa.list_(indel)), pa.array(columns[4], pa.int64()), batch["adapter_name"]]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            if not batch.num_rows:
+                continue
+            start = batch["adapter_start"].fill_null(-1).to_numpy(zero_copy_only=False).astype(I64)
+            done = process(batch["sequence"], batch["qualities"], start, min_quality, s, parity, indels)
+            yield pa.RecordBatch.from_arrays([batch["read_ix"], batch["header"], *done, batch["adapter_name"]], schema=schema)
 
     return run
 
@@ -319,12 +611,7 @@ def collect_spectrum(counts: DataFrame, k: int, floor: int, hybrid: bool = True,
         counters = np.zeros(shape.slots, np.uint8)
         counters[slots["slot"].to_numpy()] = slots["cnt"].to_numpy()
     keys, cnt = kept["kmer"].to_numpy(), kept["cnt"].to_numpy()
-    s = Spectrum(k, floor, keys, cnt, counters, shape.hashes)
-    if graph:
-        order = np.lexsort((keys & 3, -cnt, keys >> 2))
-        for key, c in zip(keys[order].tolist(), cnt[order].tolist(), strict=True):
-            s.graph.setdefault(key >> 2, []).append((key & s.mask, key & 3, c))
-    return s
+    return Spectrum(k, floor, keys, cnt, counters, shape.hashes, graph)
 
 
 def process_reads(hits: DataFrame, s: Spectrum, min_quality: int, parity: bool = False, indels: bool = True) -> DataFrame:
@@ -335,7 +622,8 @@ def process_reads(hits: DataFrame, s: Spectrum, min_quality: int, parity: bool =
     """
     spark: SparkSession = hits.sparkSession
     shared = spark.sparkContext.broadcast(s)
-    weak = hits["qualities"].rlike("[\\x{0}-\\x{%x}]" % (33 + min_quality + GRACE))
+    hits = hits.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("sequence", "qualities")})  # a missing quality is the poorest
+    weak = (F.length("qualities") < F.length("sequence")) | F.col("qualities").rlike("[\\x{0}-\\x{%x}]" % (33 + min_quality + GRACE))
     names = ["read_ix", "header", "sequence", "qualities", "adapter_start", "adapter_name"]
     edited = hits.where(weak).select(*names).mapInArrow(_run(shared, min_quality, parity, indels), _OUT)
     cut = F.coalesce("adapter_start", F.length("sequence"))

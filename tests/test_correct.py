@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 
+from readprep.operators import correct as C
 from readprep.operators import spectrum as S
 from readprep.operators.adapters import best_hit
-from readprep.operators.correct import best_path, better_region, collect_spectrum, process_reads
+from readprep.operators.correct import best_path, collect_spectrum, process_reads
 from readprep.operators.evaluate import last_by, paired_truth, scored, single_truth, summarise
 from readprep.operators.pipeline import benchmark, keep, prepare, prepare_pairs, report
 from readprep.operators.profile import Plan
@@ -46,8 +48,10 @@ def damaged_reads(seed, n=220, length=60, k=9):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_the_plain_model(spark, seed):
+@pytest.mark.parametrize("seed", [1, 2, 6])
+def test_matches_the_plain_model(spark, seed, monkeypatch):
+    monkeypatch.setattr(C, "CELLS", 1 << 12 if seed == 2 else 1 << 20)
+    monkeypatch.setattr(C, "PLACES", 7 if seed == 6 else 1 << 15)
     k, floor, q = 9, 3, 20
     rows = damaged_reads(seed)
     df = spark.createDataFrame(rows, "read_ix long, header string, sequence string, qualities string").repartition(3)
@@ -69,8 +73,6 @@ def test_hybrid_lookup_matches_the_filter(spark):
     df = spark.createDataFrame(damaged_reads(3), "read_ix long, header string, sequence string, qualities string")
     counts = S.kmer_counts(df, k, 0).persist()
     s = collect_spectrum(counts, k, floor)
-    import numpy as np
-
     shape = S.bloom_shape(counts)
     got = {r.kmer: r.support for r in S.hybrid_lookup(counts, S.trusted(counts, floor), S.bloom(counts), shape).collect()}
     keys = np.array(sorted(got), np.int64)
@@ -88,19 +90,42 @@ def test_default_mode_keeps_lengths_equal(spark):
 
 def test_search_keeps_the_first_best_path():
     graph = {0: [(1, 0, 9), (2, 1, 5)], 1: [(3, 0, 5)], 2: [(3, 1, 5)]}
-    assert best_path(graph, 0, 3, 2, 4) == ([1, 1], 5)  # the weaker first edge is explored first
-    assert best_path(graph, 0, 3, 3, 4) is None
+    edges = lambda node: graph.get(node, [])
+    assert best_path(edges, 0, 3, 2, 4) == ([1, 1], 5)  # the weaker first edge is explored first
+    assert best_path(edges, 0, 3, 3, 4) is None
     assert canonical("ACN") is None
 
 
+@pytest.mark.parametrize(("k", "n", "pops"), [(4, 60, 1000), (3, 64, 1000), (5, 300, 40)])
+def test_paths_together_match_paths_alone(monkeypatch, k, n, pops):
+    monkeypatch.setattr(C, "POPS", pops)
+    rng = np.random.default_rng(k)
+    keys = np.sort(rng.choice(4**k, min(n, 4**k), replace=False))
+    s = C.Spectrum(k, 1, keys, rng.integers(1, 4, len(keys)), graph=True)
+    start, end = rng.integers(0, 4 ** (k - 1), (2, 150))
+    wanted = rng.random((150, 12)) < 0.5
+    wanted[:, 0] = False
+    for branches in (3, 4):
+        least, labels = C.best_paths(s, start, end, wanted, branches)
+        for i, length in zip(*np.nonzero(wanted), strict=True):
+            path = best_path(s.edges_from, int(start[i]), int(end[i]), int(length), branches)
+            got = [int(labels[i, length]) >> 2 * (length - 1 - j) & 3 for j in range(length)], int(least[i, length])
+            assert (path or None) == (got if least[i, length] else None)
+
+
 def test_regions_need_anchors():
-    import numpy as np
+    s = C.Spectrum(5, 1, np.zeros(0, np.int64), np.zeros(0, np.int64), graph=True)
+    reads = C.Reads(np.array([[0] * 10 + [5] * 10, [4] * 20], np.uint8), np.zeros((2, 20), np.int32), np.array([10, 20]), np.array([10, 20]))
+    assert C.better_regions(reads, np.array([0, 1]), np.array([2, 8]), np.array([2, 2]), s)[0].tolist() == [0, 0]
 
-    from readprep.operators.correct import Spectrum
 
-    s = Spectrum(5, 1, np.zeros(0, np.int64), np.zeros(0, np.int64), graph={0: []})
-    assert better_region([0] * 10, 2, 4, s) is None
-    assert better_region([4] * 20, 8, 10, s) is None
+def test_odd_reads_pass(spark):
+    rows = [(0, "a", "", ""), (1, "b", None, None), (2, "c", "ACG", "!!!"), (3, "d", "ACGTACGTACGTA" * 9, "5" * 40), (4, "e", "acgtnRYacgtacgtacgt", "#" + "\u00e9" * 18), (5, "f", "ACGT" * 2000, "#" * 8000), (6, "g", "ACGTTGCA", "#" * 20)]
+    df = spark.createDataFrame(rows, "read_ix long, header string, sequence string, qualities string")
+    plan = Plan(9, 20, 3, 1, ADAPTERS)
+    got = {r.read_ix: r for r in prepare(df, plan).collect()}
+    assert set(got) == set(range(7)) and got[4].sequence.startswith("ACGTN") and got[4].qualities == "#" + "\u00e9" * 18
+    assert prepare(df.limit(0), plan).count() == 0
 
 
 def test_truth_scenarios_reach_the_gates(spark):
