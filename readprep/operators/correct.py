@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readprep.functions.packed import characters
 from readprep.operators import spectrum as S
 
 GRACE = 5
@@ -101,12 +102,7 @@ class Spectrum:
             rest = np.flatnonzero((found < 0) & (keys >= 0))
             raw, least = keys[rest].astype(U64), np.full(len(rest), S.CEILING, I64)
             for seed in range(self.hashes):  # most absent keys meet an empty counter soon
-                h = raw ^ U64(seed * S.SEED % 2**64)
-                h = h * U64(S.MULTIPLY_1)
-                h ^= h >> U64(S.SHIFT)
-                h = h * U64(S.MULTIPLY_2)
-                h ^= h >> U64(S.SHIFT)
-                least = np.minimum(least, self.counters[(h % U64(len(self.counters))).astype(I64)])
+                least = np.minimum(least, self.counters[S.slots_of(raw, seed, len(self.counters))])
                 there = least > 0
                 rest, raw, least = rest[there], raw[there], least[there]
                 if not len(rest):
@@ -493,19 +489,6 @@ def _replace(reads: Reads, row: int, at: int, n: int, new: np.ndarray, quality:
         reads.q_length[row] = len(kept)
 
 
-def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(character codes, offsets) of a string column; null is empty."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.fill_null("").cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, I64)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
-    if not (raw > 127).any():
-        return raw, ends - ends[0]
-    texts = column.to_pylist()
-    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-
-
 def _matrix(codes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, width: int, fill: int, kind: type) -> np.ndarray:
     """The characters of some rows side by side."""
     size = np.diff(offsets)[rows]
@@ -604,13 +587,12 @@ def collect_spectrum(counts: DataFrame, k: int, floor: int, hybrid: bool = True,
     unique = counts.count()
     if unique > MOST_KMERS:
         raise ValueError(f"{unique} distinct k-mers are more than the {MOST_KMERS} that are broadcast; correct by parts, or count with a higher min_quality")
-    kept = S.trusted(counts, floor).toArrow()
-    counters = None
-    if hybrid:
-        slots = S.bloom(counts).toArrow()
-        counters = np.zeros(shape.slots, np.uint8)
-        counters[slots["slot"].to_numpy()] = slots["cnt"].to_numpy()
-    keys, cnt = kept["kmer"].to_numpy(), kept["cnt"].to_numpy()
+    table = counts.select("kmer", "cnt").toArrow()  # two longs a k-mer, fewer than the slots of its filter
+    every, number = table["kmer"].to_numpy(), table["cnt"].to_numpy()
+    kept = np.flatnonzero(number >= floor)
+    kept = kept[np.argsort(every[kept])]
+    keys, cnt = every[kept], number[kept]
+    counters = S.counters(every, number, shape.slots, shape.hashes) if hybrid else None
     return Spectrum(k, floor, keys, cnt, counters, shape.hashes, graph)
 
 

@@ -6,12 +6,16 @@ by one; nothing is collected but the one row of a finished profile. Medians are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprep.functions import ramp
+from readprep.functions.packed import aligned, characters, forward_codes, places, window_starts
 from readprep.operators.adapters import tail_support
 
 #: Adapters that are looked for in every sample.
@@ -23,43 +27,87 @@ def head(reads: DataFrame, n: int) -> DataFrame:
     return reads.orderBy("read_ix").limit(max(n, 0))
 
 
+def walked(df: DataFrame, value: str) -> DataFrame:
+    """(v, n, upper): the distinct values, how often each occurs, and whether it is the upper median or beyond."""
+    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    walk = counts.select("v", "n", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    return walk.select("v", "n", (F.col("upto") >= F.floor(F.col("total") / 2) + 1).alias("upper"))
+
+
 def upper_median(df: DataFrame, value: str) -> DataFrame:
     """One row `median`: the middle value, of two the upper; null for none. Counts values first, then walks their counts."""
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    walk = counts.select("v", F.sum("n").over(Window.orderBy("v")).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    return walk.where(F.col("upto") >= F.floor(F.col("total") / 2) + 1).agg(F.min("v").alias("median"))
+    return walked(df, value).where("upper").agg(F.min("v").alias("median"))
 
 
 def length_stats(reads: DataFrame) -> DataFrame:
-    """n_reads, mean_length, median_length, sd_length."""
-    lengths = reads.select(F.length("sequence").cast("long").alias("len"))
-    sums = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("s"), F.coalesce(F.sum(F.col("len") * F.col("len")), F.lit(0)).alias("ss"))
+    """n_reads, mean_length, median_length, sd_length, from the distinct lengths and how often each occurs."""
+    lengths = walked(reads.select(F.length("sequence").cast("long").alias("len")), "len")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    n, v = F.col("n"), F.coalesce("v", F.lit(0))
+    sums = lengths.agg(total(n).alias("n"), total(n * v).alias("s"), total(n * v * v).alias("ss"), F.min(F.when(F.col("upper"), F.col("v"))).alias("median"))
     mean = F.coalesce(F.try_divide(F.col("s"), F.col("n")), F.lit(0.0))
     spread = F.sqrt(F.greatest(F.coalesce(F.try_divide(F.col("ss") * F.col("n") - F.col("s") * F.col("s"), F.col("n") * F.col("n")), F.lit(0.0)), F.lit(0.0)))
-    return sums.crossJoin(upper_median(lengths, "len")).select(F.col("n").alias("n_reads"), mean.alias("mean_length"), F.coalesce("median", F.lit(0)).cast("long").alias("median_length"), spread.alias("sd_length"))
+    return sums.select(F.col("n").alias("n_reads"), mean.alias("mean_length"), F.coalesce("median", F.lit(0)).cast("long").alias("median_length"), spread.alias("sd_length"))
+
 
+_CYCLE = ["n_bases", "phreds", "a", "c", "g", "t"]
 
-def cycles(reads: DataFrame, most: int | None = None) -> DataFrame:
-    """(cycle from 1, base, quality) of every base, or of the first cycles."""
-    zipped = F.arrays_zip(F.split("sequence", "").alias("b"), F.split("qualities", "").alias("q"))
-    rows = reads.where("sequence <> ''").select(F.posexplode(F.slice(zipped, 1, most) if most else zipped).alias("at", "x"))
-    return rows.select((F.col("at") + 1).cast("long").alias("cycle"), F.col("x.b").alias("base"), F.greatest(F.ascii("x.q") - 33, F.lit(0)).cast("long").alias("phred"))
+
+def _by_cycle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(c, pa.int64()) for c in ("cycle", *_CYCLE)])
+    for batch in batches:
+        (letters, ends), (marks, q_ends) = characters(batch["sequence"]), characters(batch["qualities"])
+        at = places(ends)
+        n = int(at.max(initial=-1)) + 1
+        phred = np.maximum(aligned(marks, q_ends, ends).astype(np.int64) - 33, 0)
+        sums = [np.bincount(at, minlength=n), np.bincount(at, weights=phred, minlength=n).astype(np.int64), *(np.bincount(at[letters == ord(b)], minlength=n) for b in "ACGT")]
+        whole = [np.append(np.int64(len(ends) - 1 if i == 0 else 0), x) for i, x in enumerate(sums)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + 1)), *(pa.array(x, pa.int64()) for x in whole)], schema=schema)
+
+
+def cycle_table(reads: DataFrame) -> DataFrame:
+    """(cycle from 1, n_bases, phreds, a, c, g, t): what all reads have at a cycle, and under cycle 0 the number of reads.
+
+    A task sums up whole batches at once, so a batch and cycle is one row of the shuffle, whatever the reads are.
+    """
+    found = reads.select("sequence", "qualities").mapInArrow(_by_cycle, ", ".join(f"{c} long" for c in ("cycle", *_CYCLE)))
+    return found.groupBy("cycle").agg(*(F.sum(c).alias(c) for c in _CYCLE))
 
 
 def cycle_quality(reads: DataFrame) -> DataFrame:
     """(cycle, n_bases, mean_phred)."""
-    sums = cycles(reads).groupBy("cycle").agg(F.count("*").alias("n_bases"), F.sum("phred").alias("s"))
-    return sums.select("cycle", "n_bases", (F.col("s") / F.col("n_bases")).alias("mean_phred"))
+    return cycle_table(reads).where("cycle > 0").select("cycle", "n_bases", (F.col("phreds") / F.col("n_bases")).alias("mean_phred"))
 
 
-def quality_profile(by_cycle: DataFrame) -> DataFrame:
-    """mean_phred over all bases and tail_drop: the first ten cycle means less the last ten, each cycle alike; 0 under ten."""
-    place = by_cycle.withColumn("last", F.max("cycle").over(Window.partitionBy(F.lit(0))))
-    sums = place.agg(
-        F.sum(F.col("mean_phred") * F.col("n_bases")).alias("s"), F.sum("n_bases").alias("n"), F.max("last").alias("last"),
-        F.avg(F.when(F.col("cycle") <= 10, F.col("mean_phred"))).alias("lead"), F.avg(F.when(F.col("cycle") > F.col("last") - 10, F.col("mean_phred"))).alias("tail"),
+def cycle_profile(table: DataFrame, lead: int = 12, gc_cycles: int = 10) -> DataFrame:
+    """One row of a cycle table: mean_phred, tail_drop, leading_bias, gc_bias.
+
+    mean_phred is over all bases. tail_drop is the mean of the first ten cycle means less that of the last ten, 0 under ten
+    cycles. leading_bias is half the summed distance of the shares of A, C, G, T and all else, cycle against overall, averaged
+    over the first cycles that all reads have; gc_bias the mean distance of the share of G and C over the first that any has.
+    """
+    every, cycle = Window.partitionBy(F.lit(0)), F.col("cycle")
+    of_all = lambda c: F.sum(F.when(cycle > 0, F.col(c))).over(every)
+    buckets = ["a", "c", "g", "t", "other"]
+    rows = table.withColumn("other", F.col("n_bases") - F.col("a") - F.col("c") - F.col("g") - F.col("t"))
+    rows = rows.select("*", *(F.try_divide(of_all(b), of_all("n_bases")).alias(f"{b}_all") for b in buckets), F.max("cycle").over(every).alias("last"), F.max(F.when(cycle == 0, F.col("n_bases"))).over(every).alias("n_reads"))
+    share = lambda b: F.try_divide(F.col(b), F.col("n_bases"))
+    mean = F.try_divide("phreds", "n_bases")
+    distance = sum((F.abs(share(b) - F.col(f"{b}_all")) for b in buckets), F.lit(0.0)) / 2
+    gc = F.abs(share("g") + share("c") - F.col("g_all") - F.col("c_all"))
+    real = cycle > 0
+    sums = rows.agg(
+        F.coalesce(F.try_divide(F.sum(F.when(real, F.col("phreds"))), F.sum(F.when(real, F.col("n_bases")))), F.lit(0.0)).alias("mean_phred"),
+        F.max("last").alias("last"), F.avg(F.when(real & (cycle <= 10), mean)).alias("head"), F.avg(F.when(real & (cycle > F.col("last") - 10), mean)).alias("tail"),
+        F.coalesce(F.avg(F.when(real & (cycle <= lead) & (F.col("n_bases") == F.col("n_reads")), distance)), F.lit(0.0)).alias("leading_bias"),
+        F.coalesce(F.avg(F.when(real & (cycle <= gc_cycles), gc)), F.lit(0.0)).alias("gc_bias"),
     )
-    return sums.select(F.coalesce(F.try_divide("s", "n"), F.lit(0.0)).alias("mean_phred"), F.when(F.col("last") >= 10, F.col("lead") - F.col("tail")).otherwise(0.0).alias("tail_drop"))
+    return sums.select("mean_phred", F.when(F.col("last") >= 10, F.col("head") - F.col("tail")).otherwise(0.0).alias("tail_drop"), "leading_bias", "gc_bias")
+
+
+def quality_profile(reads: DataFrame) -> DataFrame:
+    """mean_phred, tail_drop; see cycle_profile."""
+    return cycle_profile(cycle_table(reads)).select("mean_phred", "tail_drop")
 
 
 def poly_tail(reads: DataFrame) -> DataFrame:
@@ -84,35 +132,45 @@ def duplication(reads: DataFrame) -> DataFrame:
     return sums.select("n_reads", "n_distinct", F.coalesce(1 - F.try_divide("n_distinct", "n_reads"), F.lit(0.0)).alias("rate"))
 
 
+#: Four bits of each letter that a base may be named by; windows with other characters are told apart as strings.
+_SYMBOL = np.full(256, 16, np.uint8)
+_SYMBOL[[ord(c) for c in "ACGTNRYSWKMBDHV."]] = np.arange(16)
+
+
+def _raw_windows(k: int):
+    schema = pa.schema([("code", pa.int64()), ("text", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters, ends = characters(batch["sequence"])
+            symbol = _SYMBOL[np.minimum(letters, 255)]
+            odd = (symbol > 15) | (k > 15)
+            code, n = np.unique(forward_codes(symbol & 15, min(k, 15), 4)[window_starts(odd, ends, k)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.nulls(len(code), pa.string()), pa.array(n, pa.int64())], schema=schema)
+            if odd.any():
+                every, plain = window_starts(np.zeros(len(odd), bool), ends, k), window_starts(odd, ends, k)
+                texts = ["".join(map(chr, letters[i : i + k].tolist())) for i in np.setdiff1d(every, plain).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.string()), pa.array(np.ones(len(texts), np.int64))], schema=schema)
+
+    return run
+
+
 def kmer_diversity(reads: DataFrame, k: int = 15, most: int | None = None) -> DataFrame:
     """n_kmers, n_distinct, diversity over raw windows (no canonical form, N allowed), of the first `most` reads if given."""
     rows = head(reads, most) if most else reads
-    windows = rows.where(F.length("sequence") >= k).select(F.explode(F.expr(f"transform(sequence(1, length(sequence) - {k - 1}), i -> substr(sequence, i, {k}))")).alias("w"))
-    sums = windows.groupBy("w").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_kmers"), F.count("*").alias("n_distinct"))
+    windows = rows.select("sequence").mapInArrow(_raw_windows(k), "code long, text string, n long")
+    sums = windows.groupBy("code", "text").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_kmers"), F.count("*").alias("n_distinct"))
     return sums.select("n_kmers", "n_distinct", F.coalesce(F.try_divide("n_distinct", "n_kmers"), F.lit(1.0)).alias("diversity"))
 
 
 def leading_bias(reads: DataFrame, most: int = 12) -> DataFrame:
-    """bias: half the summed distance of base shares, cycle against overall, averaged over the first cycles that all reads have."""
-    bucket = F.when(F.col("base").isin("A", "C", "G", "T"), F.col("base")).otherwise(F.lit("other"))
-    counts = cycles(reads).groupBy("cycle", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    usable = reads.agg(F.least(F.coalesce(F.min(F.length("sequence")), F.lit(0)), F.lit(most)).cast("long").alias("usable"))
-    overall = counts.groupBy("bucket").agg(F.sum("n").alias("n"))
-    share = overall.select("bucket", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("overall"))
-    lead = counts.crossJoin(F.broadcast(usable)).where(F.col("cycle") <= F.col("usable"))
-    totals = lead.groupBy("cycle").agg(F.sum("n").alias("total"))
-    grid = totals.crossJoin(F.broadcast(share)).join(lead.select("cycle", "bucket", "n"), ["cycle", "bucket"], "left")
-    per_cycle = grid.groupBy("cycle").agg((F.sum(F.abs(F.coalesce("n", F.lit(0)) / F.col("total") - F.col("overall"))) / 2).alias("d"))
-    return per_cycle.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("bias"))
+    """bias; see cycle_profile."""
+    return cycle_profile(cycle_table(reads), lead=most).select(F.col("leading_bias").alias("bias"))
 
 
 def gc_bias(reads: DataFrame, most: int = 10) -> DataFrame:
-    """bias: mean distance of the share of G and C, cycle against overall, over the first cycles that any read has."""
-    gc = F.col("base").isin("G", "C").cast("long")
-    counts = cycles(reads).groupBy("cycle").agg(F.sum(gc).alias("gc"), F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    rated = counts.select("cycle", (F.col("gc") / F.col("n")).alias("own"), (F.sum("gc").over(every) / F.sum("n").over(every)).alias("overall"))
-    return rated.where(F.col("cycle") <= most).agg(F.coalesce(F.avg(F.abs(F.col("own") - F.col("overall"))), F.lit(0.0)).alias("bias"))
+    """bias; see cycle_profile."""
+    return cycle_profile(cycle_table(reads), gc_cycles=most).select(F.col("gc_bias").alias("bias"))
 
 
 def known_support(reads: DataFrame) -> DataFrame:
@@ -179,7 +237,7 @@ def auto_profile(reads: DataFrame) -> DataFrame:
     lengths = length_stats(reads)
     hint = barcode_hint(reads, lengths.select(F.col("median_length").alias("median"))).agg(F.max("umi_bases").alias("umi_bases"), F.max("rate").alias("barcode_rate"))
     row = lengths
-    for part in (quality_profile(cycle_quality(reads)), adapters, hint, poly_tail(reads).select(F.col("rate").alias("poly_tail_rate")), duplication(reads).select(F.col("rate").alias("duplication_rate")), leading_bias(reads).select(F.col("bias").alias("leading_bias")), gc_bias(reads).select(F.col("bias").alias("gc_bias")), kmer_diversity(reads).select(F.col("diversity").alias("kmer_diversity"))):
+    for part in (cycle_profile(cycle_table(reads)), adapters, hint, poly_tail(reads).select(F.col("rate").alias("poly_tail_rate")), duplication(reads).select(F.col("rate").alias("duplication_rate")), kmer_diversity(reads).select(F.col("diversity").alias("kmer_diversity"))):
         row = row.crossJoin(F.broadcast(part))  # a row each
     c = F.col
     row = row.withColumn("rna_evidence", rna_evidence(c("poly_tail_rate"), c("leading_bias"), c("duplication_rate"), c("gc_bias"), c("kmer_diversity")))

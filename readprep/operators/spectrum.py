@@ -1,15 +1,21 @@
 """The k-mer spectrum: canonical counts, the trusted floor, the counting Bloom filter, and support of positions.
 
-K-mers are strings here only until they are counted; tables hold them as two bits a base (kmer BIGINT), 3 <= k <= 31.
+Tables hold k-mers as two bits a base (kmer BIGINT), 3 <= k <= 31. Counting makes the codes of a whole Arrow batch of reads
+at once, counts them there, and shuffles two longs for each distinct k-mer of a batch or task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprep.functions import canonical, code, is_dna
-from readprep.operators.profile import upper_median
+from readprep.functions.packed import aligned, backward_codes, characters, forward_codes, window_starts
+from readprep.operators.profile import walked
 
 #: Fixed values of the slot hash.
 SEED, MULTIPLY_1, MULTIPLY_2, SHIFT = 0x517CC1B727220A95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 31
@@ -37,16 +43,43 @@ def windows(reads: DataFrame, k: int, min_quality: int = 0) -> DataFrame:
     return good.select("read_ix", "start", "kmer")
 
 
+#: Two bits of each base; all else is unknown.
+_BASE = np.full(256, 4, np.uint8)
+_BASE[[65, 67, 71, 84]] = [0, 1, 2, 3]
+
+
+def canonical_windows(sequences: pa.Array, qualities: pa.Array, k: int, min_quality: int) -> np.ndarray:
+    """Canonical codes of all windows of some reads without unknown bases whose qualities all reach the minimum."""
+    (letters, ends), (marks, q_ends) = characters(sequences), characters(qualities)
+    bases = _BASE[np.minimum(letters, 255)]
+    quality = aligned(marks, q_ends, ends)  # 0, and so too low, where a read has no quality
+    start = window_starts((bases > 3) | (quality < max(33 + min_quality, 1) if min_quality > 0 else quality == 0), ends, k)
+    known = bases & 3
+    return np.minimum(forward_codes(known, k)[start], backward_codes(known, k)[start])
+
+
+def _count(k: int, min_quality: int):
+    schema = pa.schema([("kmer", pa.int64()), ("cnt", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kmer, n = np.unique(canonical_windows(batch["sequence"], batch["qualities"], k, min_quality), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kmer, pa.int64()), pa.array(n, pa.int64())], schema=schema)
+
+    return run
+
+
 def kmer_counts(reads: DataFrame, k: int, min_quality: int = 0) -> DataFrame:
-    """(kmer, cnt): canonical k-mers. The shuffle carries two longs for each distinct k-mer of a task."""
-    return windows(reads, k, min_quality).groupBy(code(canonical(F.col("kmer"))).alias("kmer")).agg(F.count("*").alias("cnt"))
+    """(kmer, cnt): canonical k-mers of windows() by code."""
+    found = reads.select("sequence", "qualities").mapInArrow(_count(checked(k), min_quality), "kmer long, cnt long")
+    return found.groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 def summary(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """records (reads of at least k bases), unique_kmers, median_count."""
+    """records (reads of at least k bases), unique_kmers, median_count; counts are read once, as a histogram."""
     records = reads.where((F.length("sequence") >= checked(k)) & (F.length("qualities") >= checked(k))).agg(F.count("*").alias("records"))
-    unique = counts.agg(F.count("*").alias("unique_kmers"))
-    return records.crossJoin(unique).crossJoin(upper_median(counts, "cnt").select(F.col("median").alias("median_count")))
+    both = walked(counts, "cnt").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unique_kmers"), F.min(F.when(F.col("upper"), F.col("v"))).alias("median_count"))
+    return records.crossJoin(F.broadcast(both))
 
 
 def trusted_floor(row: DataFrame, fallback: int, sample: int) -> DataFrame:
@@ -119,6 +152,26 @@ def bloom(counts: DataFrame) -> DataFrame:
     return _hashed(counts, bloom_shape(counts)).groupBy("slot").agg(F.least(F.sum(F.least("cnt", F.lit(255))), F.lit(CEILING)).alias("cnt"))
 
 
+def slots_of(keys: np.ndarray, hash_: int, slots: int) -> np.ndarray:
+    """The slots of keys (unsigned) under one of the hashes."""
+    h = (keys ^ np.uint64(hash_ * SEED % 2**64)) * np.uint64(MULTIPLY_1)
+    h ^= h >> np.uint64(SHIFT)
+    h = h * np.uint64(MULTIPLY_2)
+    h ^= h >> np.uint64(SHIFT)
+    return (h % np.uint64(slots)).astype(np.int64)
+
+
+def counters(keys: np.ndarray, counts: np.ndarray, slots: int, hashes: int) -> np.ndarray:
+    """The filter of bloom() as one array of counters."""
+    sums, raw, each = np.zeros(slots, np.uint16), keys.astype(np.uint64), np.minimum(counts, CEILING).astype(np.uint16)
+    for i in range(hashes):
+        for lo in range(0, len(raw), 1 << 22):
+            part = slice(lo, lo + (1 << 22))
+            np.add.at(sums, slots_of(raw[part], i, slots), each[part])
+        np.minimum(sums, CEILING, out=sums)
+    return sums.astype(np.uint8)
+
+
 def bloom_lookup(keys: DataFrame, filter_: DataFrame, shape: DataFrame) -> DataFrame:
     """(kmer, estimate): the least counter among a key's slots."""
     hashed = _hashed(keys.select("kmer"), shape).join(filter_, "slot", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,27 @@ ORACLES: dict[str, str] = {}
 W = "with " + READS_SQL
 
 
+_HELD: list[DataFrame] = []
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, cached until the next query is asked for."""
+    _HELD.append(df.persist())
+    return df
+
+
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+            while _HELD:
+                _HELD.pop().unpersist()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = asked
         if sql:
             ORACLES[f.__name__] = sql
-        return f
+        return asked
 
     return add
 
@@ -72,7 +88,7 @@ def cycle_quality(spark, sf_dir):
 
 @query(f"{W}, {BASES}, {QUALITY} select round(mean_phred, 9) as mean_phred, round(tail_drop, 9) as tail_drop from quality_v")
 def quality_profile(spark, sf_dir):
-    return rounded(P.quality_profile(P.cycle_quality(reads(spark, sf_dir))), "mean_phred", "tail_drop")
+    return rounded(P.quality_profile(reads(spark, sf_dir)), "mean_phred", "tail_drop")
 
 
 POLY = "poly_v as (select count(*) as n_reads, coalesce(sum(regexp_matches(right(sequence, 20), 'A{8}|T{8}')::int), 0)::bigint as hits from reads_v)"
@@ -185,7 +201,7 @@ hit_v as (select read_ix, name as adapter_name, start as adapter_start, score as
 
 @query(f"{W}, {HITS} select read_ix, adapter_name, adapter_start, adapter_score from hit_v")
 def adapter_best_hit(spark, sf_dir):
-    rows = reads(spark, sf_dir).persist()
+    rows = held(reads(spark, sf_dir))
     return best_hit(rows, found_adapters(rows)).where("adapter_name is not null").select("read_ix", "adapter_name", "adapter_start", "adapter_score")
 
 
@@ -209,14 +225,14 @@ _PROFILE_DOUBLES = ["mean_length", "sd_length", "mean_phred", "tail_drop", "illu
 
 @query(f"{W}, {PROFILE} select n_reads, median_length, umi_bases, platform, experiment, {', '.join(f'round({c}, 8) as {c}' for c in _PROFILE_DOUBLES)} from profile_v")
 def auto_profile(spark, sf_dir):
-    return rounded(P.auto_profile(reads(spark, sf_dir).persist()), *_PROFILE_DOUBLES, digits=8)
+    return rounded(P.auto_profile(held(reads(spark, sf_dir))), *_PROFILE_DOUBLES, digits=8)
 
 
 @query(f"""{W}, {PROFILE} select platform, experiment, case when platform in ('ONT', 'PacBio') then 11 when mean_length < 75 then 13 else 15 end as kmer_size, case platform when 'ONT' then 10 when 'PacBio' then 15 else 20 end as min_quality,
   case when experiment like '10x%' then 3 when experiment = 'Long Read' then 2 else 4 end as trusted_floor, case when experiment like '10x%' then 20 when experiment = 'Long Read' then 200 else 35 end as min_length,
   platform in ('Illumina', 'MGI') and mean_length >= 75 as zero_copy, case when platform in ('Illumina', 'MGI') and mean_length >= 75 then 3 else 1 end as overlap_depth from profile_v""")
 def execution_plan(spark, sf_dir):
-    return P.execution_plan(P.auto_profile(reads(spark, sf_dir).persist()), accelerated=True)
+    return P.execution_plan(P.auto_profile(held(reads(spark, sf_dir))), accelerated=True)
 
 
 # --- spectrum --------------------------------------------------------------------------------------------------------
@@ -268,12 +284,12 @@ bloom_v as (select slot, least(sum(least(cnt, 255)), 15)::bigint as cnt from slo
 
 @query(f"{W}, {KMERS}, {BLOOM} select slot, cnt from bloom_v")
 def bloom_slots(spark, sf_dir):
-    return S.bloom(counts(spark, sf_dir).persist())
+    return S.bloom(held(counts(spark, sf_dir)))
 
 
 @query(f"{W}, {KMERS}, {BLOOM} select s.kmer, case when any_value(c.cnt) >= {FLOOR} then any_value(c.cnt) else min(b.cnt) end as support from slot_v s join bloom_v b using (slot) join counts_v c on c.kmer = s.kmer group by s.kmer")
 def bloom_lookup(spark, sf_dir):
-    every = counts(spark, sf_dir).persist()
+    every = held(counts(spark, sf_dir))
     return S.hybrid_lookup(every, S.trusted(every, FLOOR), S.bloom(every), S.bloom_shape(every))
 
 
@@ -312,7 +328,7 @@ EDGES = f"edges_v as (select kmer >> 2 as src, kmer & {(1 << 2 * (K - 1)) - 1} a
 
 @query(f"{W}, {KMERS}, {EDGES} select (select count(*) from (select src from edges_v union select dst from edges_v)) as nodes, (select count(*) from edges_v) as edges")
 def dbg_size(spark, sf_dir):
-    return S.graph_size(S.edges(counts(spark, sf_dir), K, FLOOR).persist())
+    return S.graph_size(held(S.edges(counts(spark, sf_dir), K, FLOOR)))
 
 
 @query(f"{W}, {KMERS}, {EDGES} select src, dst, label, cnt, row_number() over (partition by src order by cnt desc, label) as place from edges_v qualify place <= 3")
@@ -322,7 +338,7 @@ def dbg_top_edges(spark, sf_dir):
 
 @query(f"{W}, {KMERS}, {EDGES} select a.src, a.dst as via, b.dst, least(a.cnt, b.cnt) as least from edges_v a join edges_v b on a.dst = b.src")
 def dbg_two_hop(spark, sf_dir):
-    return S.two_hops(S.edges(counts(spark, sf_dir), K, FLOOR).persist())
+    return S.two_hops(held(S.edges(counts(spark, sf_dir), K, FLOOR)))
 
 
 # --- trimming and pairs ----------------------------------------------------------------------------------------------
@@ -351,7 +367,7 @@ trim_v as (select read_ix, header, n, adapter_name as trimmed_adapter, substr(se
 
 
 def trimmed(spark, sf_dir):
-    rows = reads(spark, sf_dir).persist()
+    rows = held(reads(spark, sf_dir))
     return T.trim(rows, found_adapters(rows), MIN_QUALITY)
 
 
@@ -386,21 +402,21 @@ def interleaved(spark, sf_dir):
 
 @query()
 def corrected_reads(spark, sf_dir):
-    rows = reads(spark, sf_dir).persist()
+    rows = held(reads(spark, sf_dir))
     plan = P.Plan(K, MIN_QUALITY, FLOOR, MIN_LENGTH, found_adapters(rows))
     return keep(prepare(rows, plan), plan)
 
 
 @query()
 def pipeline_report(spark, sf_dir):
-    rows = reads(spark, sf_dir).persist()
+    rows = held(reads(spark, sf_dir))
     plan = P.Plan(K, MIN_QUALITY, FLOOR, MIN_LENGTH, found_adapters(rows))
     return report(prepare(rows, plan), plan)
 
 
 @query()
 def corrected_pairs(spark, sf_dir):
-    first, second = (side.persist() for side in mates(spark, sf_dir))
+    first, second = (held(side) for side in mates(spark, sf_dir))
     plan = P.Plan(K, MIN_QUALITY, FLOOR, MIN_LENGTH, found_adapters(first))
     return T.filter_pairs(prepare_pairs(first, second, plan), MIN_LENGTH)
 
@@ -418,7 +434,7 @@ bestsub_v as (select * from (select *, row_number() over (partition by read_ix,
   (new_least > least or (new_least = least and new_total > total)) and ((new_least >= {FLOOR} and new_least > least) or new_total >= total + {FLOOR} * windows) as accepted from bestsub_v""")
 def substitution_candidates(spark, sf_dir):
     rows = reads(spark, sf_dir)
-    every = counts(spark, sf_dir).persist()
+    every = held(counts(spark, sf_dir))
     weak = T.attention(rows, S.position_support(rows, every, K), MIN_QUALITY, FLOOR)
     at = weak.join(rows.select("read_ix", "sequence"), "read_ix").withColumn("base", F.explode(F.array(*(F.lit(b) for b in "ACGT")))).where("substr(sequence, cast(pos as int) + 1, 1) <> base")
     changed = at.withColumn("s", F.expr("concat(substr(sequence, 1, cast(pos as int)), base, substr(sequence, cast(pos as int) + 2))")).drop("sequence")

@@ -1,7 +1,8 @@
 """Views over the given tables that stand for sequencing inputs, in Spark and as DuckDB SQL.
 
-Every document is turned into DNA, letter by letter, and cut into reads of 100 bases over its whole length; adapters, short
-inserts, unknown bases and qualities follow integer formulas, so both engines build the same rows.
+Every document is turned into DNA, letter by letter, and cut into reads of 100 bases over its whole length, the last of which
+holds what is left; adapters, short inserts, unknown bases and qualities follow integer formulas, so both engines build the
+same rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ reads_v as (
   r as (select doc_id, ch, substr(dna, (ch * {READ} + 1)::bigint, {READ}) as raw from c),
   a as (select doc_id, ch, case when length(raw) >= 56 and (doc_id + ch) % 10 = 0 then substr(raw, 1, 25) || '{UNIVERSAL}'
           when length(raw) >= 56 and (doc_id + ch) % 5 = 0 then substr(raw, 1, length(raw) - 20) || 'AGATCGGAAGAGCACACGTC' else raw end as s,
-          211 - (doc_id * 7 + ch * 3) % 211 as n_at from r where length(raw) >= 36)
+          211 - (doc_id * 7 + ch * 3) % 211 as n_at from r)
   select doc_id * {SPAN} + ch as read_ix, 'd' || doc_id || ':' || ch as header,
     case when n_at <= length(s) then substr(s, 1, (n_at - 1)::bigint) || 'N' || substr(s, (n_at + 1)::bigint) else s end as sequence,
     array_to_string(list_transform(range(1, length(s) + 1), lambda i: chr((33 + case when (doc_id * 31 + ch * 17 + i * 7) % 53 = 0 then 2
@@ -39,7 +40,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").repartition(2 * spark.sparkContext.defaultParallelism)
     dna = docs.select("doc_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, BASES).alias("dna")).where("dna <> ''")
     cut = dna.select("doc_id", "dna", F.explode(F.expr(f"sequence(0, (length(dna) + {READ - 1}) div {READ} - 1)")).alias("ch"))
-    raw = cut.select("doc_id", F.col("ch").cast("long").alias("ch"), F.expr(f"substr(dna, cast(ch * {READ} + 1 as int), {READ})").alias("raw")).where("length(raw) >= 36")
+    raw = cut.select("doc_id", F.col("ch").cast("long").alias("ch"), F.expr(f"substr(dna, cast(ch * {READ} + 1 as int), {READ})").alias("raw"))
     tailed = raw.selectExpr(
         "doc_id", "ch",
         f"case when length(raw) >= 56 and (doc_id + ch) % 10 = 0 then substr(raw, 1, 25) || '{UNIVERSAL}' when length(raw) >= 56 and (doc_id + ch) % 5 = 0 then substr(raw, 1, length(raw) - 20) || 'AGATCGGAAGAGCACACGTC' else raw end as s",

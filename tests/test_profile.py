@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from readprep.functions import packed
 from readprep.operators import profile as P
 
 SCHEMA = "read_ix long, header string, sequence string, qualities string"
@@ -72,3 +74,28 @@ def test_overrides(spark):
     df = frame(spark, [bases(r, 80) for _ in range(50)])
     plan = P.plan_of(df, adapter="acgtacgtacgt", min_quality=7, kmer_size=9, experiment_="10x v3")
     assert plan.adapters[0] == ("forced", "ACGTACGTACGT", 50) and (plan.min_quality, plan.kmer_size, plan.trusted_floor) == (7, 9, 3)
+
+
+def test_codes_of_windows_are_those_of_their_bases():
+    rng = np.random.default_rng(1)
+    bases = rng.integers(0, 4, 80)
+    for k in (1, 2, 3, 7, 15, 31):
+        plain = [sum(int(b) << 2 * (k - 1 - j) for j, b in enumerate(bases[i : i + k])) for i in range(80 - k + 1)]
+        turned = [sum(int(3 - b) << 2 * j for j, b in enumerate(bases[i : i + k])) for i in range(80 - k + 1)]
+        assert packed.forward_codes(bases, k).tolist() == plain and packed.backward_codes(bases, k).tolist() == turned
+    assert len(packed.forward_codes(bases[:3], 4)) == 0
+
+
+def test_counts_and_diversity_of_odd_reads(spark):
+    rows = [("ACGTNacgtA", "I" * 10), ("", ""), (None, None), ("ACGTACGT", "IIII"), ("ACGTéACGT", "I" * 9), ("AC", "II")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "read_ix long, sequence string, qualities string").repartition(2)
+    from readprep.operators import spectrum as S
+
+    for q in (0, 20):
+        want = {r.kmer: r["count"] for r in S.windows(df, 4, q).selectExpr("least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as kmer").selectExpr("cast(conv(translate(kmer, 'ACGT', '0123'), 4, 10) as long) as kmer").groupBy("kmer").count().collect()}
+        assert {r.kmer: r.cnt for r in S.kmer_counts(df, 4, q).collect()} == want
+    texts = [s[i : i + 4] for s, _ in rows if s for i in range(len(s) - 3)]
+    row = P.kmer_diversity(df, 4).first()
+    assert (row.n_kmers, row.n_distinct) == (len(texts), len(set(texts)))
+    by = {r.cycle: r for r in P.cycle_table(df).collect()}
+    assert by[0].n_bases == 6 and by[1].n_bases == 4 and by[9].n_bases == 2
