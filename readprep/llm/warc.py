@@ -4,21 +4,22 @@ Both derivatives name their response in WARC-Refers-To and WARC-Concurrent-To ea
 and date, and carry digests of their own blocks; the metadata record also holds the response's own headers, its HTTP
 status line and headers, and its block and payload digests as they were, with those computed here beside them.
 
-Responses are rows, read from WARC files by read_responses (members are parsed as streams, one file a task) or made from
-raw pages by responses_from_pages. HTML is read by a single pass over the markup that never goes back, so malformed pages
+Responses are rows, read from WARC files by read_responses (record by record through Spark's reader, which splits plain
+files) or made from raw pages by responses_from_pages. Bodies are freed of their transfer and content encodings before
+they are read; digests are of the body as it stands. HTML is read by a single pass over the markup that never goes back, so malformed pages
 cost no more than others.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -198,6 +199,67 @@ def charset(headers: dict[str, str]) -> str:
     return "utf-8"
 
 
+def _dechunked(body: bytes) -> tuple[bytes, bool]:
+    """The body of chunks, and whether all of them are there."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.match(rb"\s*([0-9A-Fa-f]+)", body[at : end if end >= 0 else len(body)])
+        if end < 0 or not size:
+            return b"".join(out), False
+        n = int(size[1], 16)
+        out.append(body[end + 2 : end + 2 + n])
+        if not n or len(out[-1]) < n:
+            return b"".join(out), not n
+        at = end + 2 + n + 2
+
+
+def _inflated(body: bytes, wbits: int) -> tuple[bytes, bool]:
+    """What can be unpacked of a body, and whether that is all of it."""
+    out = []
+    while body:
+        unpack = zlib.decompressobj(wbits)
+        try:
+            out.append(unpack.decompress(body))
+        except zlib.error:
+            return b"".join(out), False
+        if not unpack.eof:
+            return b"".join(out), False
+        body = unpack.unused_data if wbits > 15 else b""  # a gzip body may have several members
+    return b"".join(out), True
+
+
+def entity(http: dict[str, str], body: bytes) -> tuple[bytes, str | None]:
+    """The body without its encodings, and the encoding that couldn't be taken off in full, if any.
+
+    Archives often store bodies decoded under headers that say otherwise; such a body is taken as it is.
+    """
+    of = lambda name: [x.strip().lower() for k, v in http.items() if k.lower() == name for x in v.split(",") if x.strip()]
+    for name in [*reversed(of("content-encoding")), *reversed(of("transfer-encoding"))][::-1]:
+        if name == "chunked":
+            if not re.match(rb"\s*[0-9A-Fa-f]+\s*(;[^\r\n]*)?\r\n", body):
+                continue
+            body, whole = _dechunked(body)
+        elif name in ("gzip", "x-gzip"):
+            if body[:2] != b"\x1f\x8b":
+                continue
+            body, whole = _inflated(body, 31)
+        elif name == "deflate":
+            packed = body
+            body, whole = _inflated(packed, 15)
+            if not body and packed:
+                body, whole = _inflated(packed, -15)
+            if not body:
+                body, whole = packed, False
+        elif name == "identity":
+            continue
+        else:
+            return body, name
+        if not whole:
+            return body, name
+    return body, None
+
+
 def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     """A record as it stands in a file."""
     head = [VERSION, f"WARC-Type: {kind}", *(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}" for k, v in fields if v is not None), f"Content-Length: {len(block)}"]
@@ -210,13 +272,14 @@ def derive_one(headers: dict[str, str], block: bytes) -> list[dict]:
     status, http, body = split_http(block)
     own = digest(body)
     source, target, date = get("WARC-Record-ID") or identifier("response", digest(block)), get("WARC-Target-URI") or "", get("WARC-Date") or DATE
-    text, found = read_page(body.decode(charset(http), "replace"))
+    plain, stuck = entity(http, body)
+    text, found = read_page(plain.decode(charset(http), "replace"))
     ids = {kind: identifier(kind, source) for kind in ("metadata", "conversion")}
     about = {
         "Envelope": {
             "WARC-Header-Metadata": headers,
             "Payload-Metadata": {
-                "HTTP-Response-Metadata": {"Response-Line": status, "Headers": http, "HTML-Metadata": found, "Entity-Length": len(body), "Entity-Digest": own},
+                "HTTP-Response-Metadata": {"Response-Line": status, "Headers": http, "HTML-Metadata": found, "Entity-Length": len(body), "Entity-Digest": own, **({"Encoding-Left": stuck} if stuck else {})},
                 "Actual-Block-Digest": digest(block),
                 "Block-Digest": get("WARC-Block-Digest"),
                 "Payload-Digest": get("WARC-Payload-Digest"),
@@ -271,7 +334,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
     A response without a block (null) has no derivatives; an empty one has both, the conversion empty. Ids depend on the
     response's own id alone (on its digest, if it has none), so reruns agree and repeated rows give repeated records.
-    Missing headers are filled where a record needs them. An empty table gives an empty result.
+    Missing headers are filled where a record needs them. Where an encoding is unknown or broken, text is read from what could
+    be decoded, and the metadata name the encoding. An empty table gives an empty result.
     """
     ship(responses.sparkSession)
     rows = pick(responses, source_id="source_id", headers="headers", block="block")
@@ -290,7 +354,10 @@ def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of a file; what precedes a version line is skipped, a cut-off record ends it."""
+    """(headers, block) of every record of a stream; what precedes a version line is skipped.
+
+    A cut-off record has the block that is there, and the header WARC-Truncated if it had none.
+    """
     while True:
         line = stream.readline()
         if not line:
@@ -301,27 +368,55 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
             lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
         headers = _headers(lines)
-        size = next((int(v) for k, v in headers.items() if k.lower() == "content-length" and v.isdigit()), 0)
+        size = _length(headers)
         block = stream.read(size)
-        if len(block) < size:
-            return
+        if len(block) < size and not any(k.lower() == "warc-truncated" for k in headers):
+            headers["WARC-Truncated"] = "unspecified"
         yield headers, block
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _length(headers: dict[str, str]) -> int:
+    return next((int(v) for k, v in headers.items() if k.lower() == "content-length" and v.isdigit()), 0)
+
+
+#: What stands between records, with the start of the next one's version line.
+_BETWEEN = "\r\n\r\nWARC/1."
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Response rows from pieces (path, piece) in file order; a block that holds a border itself is put together again."""
     schema = _arrow(_RESPONSE)
+
+    def rows(path: str, raw: bytes) -> Iterator[pa.RecordBatch]:
+        for headers, block in parse(io.BytesIO(raw)):
+            if headers.get("WARC-Type", "").lower() == "response":
+                yield pa.RecordBatch.from_pylist([{"source_id": headers.get("WARC-Record-ID", path), "headers": list(headers.items()), "block": block}], schema=schema)
+
+    held, of, missing = [], None, 0
     for batch in batches:
-        for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-            raw = content.as_buffer()
-            stream = pa.BufferReader(raw)
-            if raw[:2].to_pybytes() == b"\x1f\x8b":
-                stream = gzip.GzipFile(fileobj=stream)
-            for headers, block in parse(io.BufferedReader(stream) if not isinstance(stream, gzip.GzipFile) else stream):
-                if headers.get("WARC-Type", "").lower() == "response":
-                    yield pa.RecordBatch.from_pylist([{"source_id": headers.get("WARC-Record-ID", path), "headers": list(headers.items()), "block": block}], schema=schema)
+        for path, piece in zip(batch["path"].to_pylist(), batch["piece"], strict=True):
+            piece = piece.as_py()
+            if of == path and missing > 0:
+                held.append(_BETWEEN.encode() + piece)
+                missing -= len(held[-1])
+                continue
+            if of is not None:
+                yield from rows(of, b"".join(held))
+            raw = piece if piece.startswith(b"WARC/") else b"WARC/1." + piece
+            head, _, block = raw.partition(b"\r\n\r\n")
+            of, held = path, [raw]
+            missing = _length(_headers(head.decode("utf-8", "replace").split("\r\n")[1:])) - len(block)
+    if of is not None:
+        yield from rows(of, b"".join(held))
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, plain or gzip with a member a record. Files are read by Spark, one in a task."""
+    """Response records of WARC files, plain or gzip, in any folder that Spark reads.
+
+    Spark's line reader, with the border between records as its line end, streams the files: plain ones are split over
+    tasks, gzip ones are a task each, and memory is that of a record. A record cut off by the end of its file is kept with
+    what is there and marked by WARC-Truncated; so is one that holds a border just where Spark splits the file.
+    """
     ship(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lambda batches: _batched(_read(batches)), _RESPONSE)
+    lines = spark.read.option("lineSep", _BETWEEN).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
+    return lines.where(F.octet_length("piece") > 0).mapInArrow(lambda batches: _batched(_records(batches)), _RESPONSE)
