@@ -7,7 +7,9 @@ follows another character; the best segmentation is then the concatenation of th
 distinct stretch of a group of rows is segmented once. Stretches advance together, one byte at a time, through numpy
 arrays of the trie; only stretches over LONG bytes (scripts without spaces) take a loop of their own.
 
-Models are files of public tokenizers, read at the driver and broadcast as arrays; nothing is trained here.
+Models are files of public tokenizers, read at the driver and broadcast as arrays; nothing is trained here. A unigram model's
+scores are log probabilities. The scores of a merge model are ranks; the log probabilities taken for them are those of the
+Zipf-Mandelbrot law for such ranks, so that sums of scores are those of a unigram language model there too.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ MARKER = "▁"
 _MARKER = MARKER.encode()
 LONG = 192
 UNKNOWN_PENALTY = 10.0
+#: Shift of the ranks in the Zipf-Mandelbrot law.
+ZIPF = 2.7
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 
 
@@ -123,8 +127,17 @@ def make_pieces(pieces: list[tuple[str, float, int]], prefix: bool = True, unkno
     return Pieces(*double_array(keys), score, byte_id, unknown_id, worst - UNKNOWN_PENALTY, prefix, not inner, np.frombuffer(b"".join(texts), np.uint8), first)
 
 
+def log_scores(scores: list[float]) -> list[float]:
+    """Log probabilities for ranks of merges (0, -1, -2 and so on; scores under -1e6 come after all others)."""
+    ranks = [-s for s in scores if s > -1e6]
+    last = max(ranks, default=0.0) + 1
+    weight = [1 / (min(-s, last) + ZIPF) for s in scores]
+    total = sum(weight)
+    return [float(np.log(w / total)) for w in weight]
+
+
 def load(path: str = MODEL) -> Pieces:
-    """A .model file, whatever its type; its normaliser must be identity."""
+    """A .model file of unigram pieces, or of merges, whose ranks become log_scores; its normaliser must be identity."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
@@ -133,7 +146,10 @@ def load(path: str = MODEL) -> Pieces:
     norm = proto.normalizer_spec
     if norm.precompiled_charsmap or norm.remove_extra_whitespaces:
         raise ValueError("only models with the identity normaliser are read")
-    return make_pieces([(p.piece, p.score, p.type) for p in proto.pieces], norm.add_dummy_prefix, proto.trainer_spec.unk_id)
+    normal = [p for p in proto.pieces if p.type == NORMAL]
+    merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
+    score = dict(zip((p.piece for p in normal), log_scores([p.score for p in normal]), strict=True)) if merges else {}
+    return make_pieces([(p.piece, score.get(p.piece, p.score), p.type) for p in proto.pieces], norm.add_dummy_prefix, proto.trainer_spec.unk_id)
 
 
 def _char_length(lead: np.ndarray) -> np.ndarray:
@@ -293,6 +309,8 @@ def encode(column: pa.Array, m: Pieces) -> tuple[np.ndarray, np.ndarray]:
     length = np.diff(np.append(start, len(stream)))
     key, check = _hashes(stream, start, length)
     _, at, inverse = np.unique(key ^ check, return_index=True, return_inverse=True)
+    if not _alike(stream, start, length, at[inverse]):  # two stretches under one hash: each is segmented by itself
+        at = inverse = np.arange(len(start))
     ids, first = segment(stream, start[at], length[at], m)
     count = np.diff(first)[inverse]
     upto = np.concatenate([[0], np.cumsum(count)])
@@ -300,6 +318,13 @@ def encode(column: pa.Array, m: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return out, upto[np.searchsorted(start, ends, "left")]
 
 
+def _alike(stream: np.ndarray, start: np.ndarray, length: np.ndarray, as_: np.ndarray) -> bool:
+    """Whether each stretch, which together make up the stream, has the bytes of the stretch it is taken as."""
+    if (length[as_] != length).any():
+        return False
+    return bool((stream[np.arange(len(stream)) + np.repeat(start[as_] - start, length)] == stream).all())
+
+
 def _hashes(stream: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(stream) + 1, U64)
     for i in range(0, len(stream), bytetext.PIECE):  # powers start anew in each piece, and the sums go on

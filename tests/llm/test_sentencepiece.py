@@ -133,3 +133,18 @@ def test_double_array_holds_exactly_its_keys():
     others = [bytes(r.choice(b"abcd\xe9\x00") for _ in range(r.randrange(1, 7))) for _ in range(2000)]
     assert all(look(o) == keys.get(o, -1) for o in others)
     assert np.iinfo(np.int32).max > base.max()
+
+
+def test_ranks_become_log_probabilities():
+    got = S.log_scores([0.0, -1.0, -2.0, -1e9, -7.0])
+    assert np.isclose(np.exp(got).sum(), 1) and got[0] > got[1] > got[2] > got[4] > got[3]
+    m = S.load()
+    assert -25 < m.score.min() and m.score.max() <= 0 and m.unknown_score == m.score[m.score < 0].min() - S.UNKNOWN_PENALTY
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    m = S.load()
+    column = pa.array(["one two three", "ab cd  ef", None, "", "two one"])
+    want = [x.tolist() for x in S.encode(column, m)]
+    monkeypatch.setattr(S, "_hashes", lambda stream, start, length: (np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)))
+    assert [x.tolist() for x in S.encode(column, m)] == want
