@@ -70,6 +70,8 @@ def balance(sizes: DataFrame, targets: DataFrame, tolerance: float = 1e-9, most_
         worst = now.agg(F.max("miss")).first()[0]
         if worst is None or worst < tolerance:
             break
+    else:
+        raise ArithmeticError(f"the multipliers did not settle in {most_steps} steps: a source misses its target by {worst:.3g} of it")
     rates = now.select(F.col("source").alias("s2"), "lam")
     joined = targets.join(small(rates, n), F.col("source").eqNullSafe(F.col("s2")), "left")
     return joined.select("source", "source_size", "target", "lam", F.coalesce(F.exp("lam"), F.lit(0.0)).alias("rate"))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
 
     size is the number of words (a null text has none); taken = copies * size. Null sources form a source of their own.
     Rows that repeat an id are documents of their own and are rounded one by one; rows equal in id, source and size are
-    interchangeable. A null id draws like any other value. An empty table gives an empty result.
+    interchangeable. Rows without an id draw one by one. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -117,8 +119,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
     rates = cut(balance(sizes, targets))
     counts = sizes.groupBy("source").agg(F.count("*").alias("rows"))
     per = cut(rates.alias("r").join(small(counts, n).alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).select(F.col("r.source").alias("s2"), "source_size", "target", "rate", F.ceil(F.col("rows") / F.lit(block_rows)).alias("blocks")))
-    draw = F.xxhash64("doc_id", "size")
-    rated = sizes.join(small(per, n), F.col("source").eqNullSafe(F.col("s2"))).drop("s2").withColumn("draw", draw)
+    # rows without an id draw by their place in the table of sizes, which is written by now
+    draw = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id(), "size")).otherwise(F.xxhash64("doc_id", "size"))
+    rated = sizes.withColumn("draw", draw).join(small(per, n), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     blocked = rated.withColumn("block", F.pmod(F.xxhash64("draw"), F.col("blocks")))
     schema = "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long"
 
