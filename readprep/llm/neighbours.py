@@ -329,8 +329,12 @@ def entries(table: DataFrame, n: int, longest: float) -> DataFrame:
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     band = F.least(F.floor(F.log2(F.lit(longest) / F.col("length")) * BANDS_OCTAVE), F.lit(BANDS - 1))
     banded = table.select("id", "vector", length.alias("length")).withColumn("band", F.coalesce(band, F.lit(BANDS - 1)))
-    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("length"), "id"))
-    return banded.withColumn("place", place).where(F.col("place") <= max(ENTRIES, math.isqrt(n))).select("id", "vector")
+    most = max(ENTRIES, math.isqrt(n))
+    banded = banded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))  # a band may hold most rows
+    for keys in (["band", "salt"], ["band"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("length"), "id"))
+        banded = banded.withColumn("place", place).where(F.col("place") <= most)
+    return banded.select("id", "vector")
 
 
 def search(queries: DataFrame, table: DataFrame, around: DataFrame, starts: DataFrame, limit: int, n: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
