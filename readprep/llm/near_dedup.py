@@ -13,8 +13,8 @@ they need, so by rising frequency they meet in short lists. No candidate link be
 bucket of many near copies costs about its size, not its square. Sets of up to TINY shingles, in which minimum and maximum
 of a permutation depend on each other so that bands miss more, all meet by rare shingles.
 
-Bands and shingles that over HOT rows share are joined apart from the others, so that their rows stay spread over tasks;
-long lists of a shingle are compared block by block.
+Bands, shingles and hubs that over HOT rows share are joined apart from the others, by a broadcast of checked size, so that
+their rows stay spread over tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprep.llm import bytetext
@@ -41,8 +41,8 @@ STAR_ROUNDS = 2
 PAIRWISE = 8
 #: Shingles up to which a set is compared by rare shingles whatever its bands say.
 TINY = 20
-#: Rows of a key from which on they are joined apart, and rows of a block of a long list.
-HOT, LIST_BLOCK = 500, 250
+#: Rows of a key from which on they are joined apart, and rows (of sets, shingles) up to which that is by a broadcast.
+HOT, APART = 250, 1_000_000
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 2**64, 256, U64) | U64(1)
 _ADD = _rng.integers(0, 2**64, 256, U64)
@@ -115,7 +115,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     a, b = sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     near = 100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)
-    return pairs.join(a, "u").join(b, "v").where(near).select("u", "v").distinct()
+    hot = [Hot(pairs.groupBy(side).count(), side, F.col("count") > HOT) for side in ("u", "v")]  # a hub has many pairs
+    return hot[1].join(hot[0].join(pairs, a, F.size("set_u")), b, F.size("set_v")).where(near).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -188,29 +189,29 @@ class Hot:
 
     def __init__(self, keys: DataFrame, key: str, hot):
         self.key, self.table = key, cut(keys.where(hot).select(key))
-        n = self.table.count()
-        self.apart = 0 < n <= 1_000_000
+        self.apart = 0 < self.table.count() <= APART
 
-    def join(self, rows: DataFrame, by_key: DataFrame) -> DataFrame:
-        """rows joined with one row for each key."""
-        if not self.apart:
-            return rows.join(by_key, self.key)
-        few = F.broadcast(by_key.join(F.broadcast(self.table), self.key, "left_semi"))
-        return rows.join(F.broadcast(self.table), self.key, "left_anti").join(by_key, self.key).unionByName(rows.join(few, self.key))
+    def of(self, rows: DataFrame) -> DataFrame:
+        """The rows of hot keys."""
+        return rows.join(F.broadcast(self.table), self.key, "left_semi")
+
+    def join(self, rows: DataFrame, by_key: DataFrame, size: Column | int = 1) -> DataFrame:
+        """rows joined with by_key, whose rows of hot keys are broadcast if their sizes add up to no more than APART."""
+        if self.apart:
+            few = cut(self.of(by_key))
+            if (few.agg(F.sum(size if isinstance(size, Column) else F.lit(size))).first()[0] or 0) <= APART:
+                rest = rows.join(F.broadcast(self.table), self.key, "left_anti")
+                return rest.join(by_key, self.key).unionByName(rows.join(F.broadcast(few), self.key))
+        return rows.join(by_key, self.key)
 
 
 def _across(members: DataFrame, fit) -> DataFrame:
     """(u, v) of different components under the same key, for keys that several components share."""
     mixed = cut(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows"))
-    rows = Hot(mixed, "key", F.col("rows") > HOT).join(members, mixed)
-    # block x of a list meets block y once, as part (x, y); rows of one block meet in part (x, x)
-    blocks = F.when(F.col("rows") > HOT, F.ceil(F.col("rows") / LIST_BLOCK)).otherwise(F.lit(1))
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-    meet = ["key", "x", "y"]
-    a, b = (dealt.select(*meet, *(F.col(c).alias(f"{c}_{side}") for c in [*members.columns, "own"] if c != "key")) for side in "uv")
-    once = (F.col("own_u") != F.col("own_v")) | (F.col("x") == F.col("y"))
-    return a.join(b, meet).where(once & (F.col("component_u") != F.col("component_v")) & (F.col("id_u") < F.col("id_v")) & fit).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+    hot = Hot(mixed, "key", F.col("rows") > HOT)
+    rows = hot.join(members, mixed.select("key"))
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "key")) for side in "uv")
+    return hot.join(a, b).where((F.col("component_u") != F.col("component_v")) & (F.col("id_u") < F.col("id_v")) & fit).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
 
 
 def _one_document(usable: DataFrame, classes: DataFrame) -> DataFrame:

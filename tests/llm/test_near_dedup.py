@@ -96,9 +96,10 @@ def test_bands_catch_pairs_at_the_threshold():
     assert met == 300
 
 
-def test_small_sets_and_long_lists(spark, monkeypatch):
+@pytest.mark.parametrize("apart", [1_000_000, 40])
+def test_small_sets_and_long_lists(spark, monkeypatch, apart):
     monkeypatch.setattr(N, "HOT", 6)
-    monkeypatch.setattr(N, "LIST_BLOCK", 3)
+    monkeypatch.setattr(N, "APART", apart)
     r = random.Random(31)
     base = [f"w{i}" for i in range(40)]
     rows = []
