@@ -13,8 +13,8 @@ they need, so by rising frequency they meet in short lists. No candidate link be
 bucket of many near copies costs about its size, not its square. Sets of up to TINY shingles, in which minimum and maximum
 of a permutation depend on each other so that bands miss more, all meet by rare shingles.
 
-Bands, shingles and hubs that over HOT rows share are joined apart from the others, by a broadcast of checked size, so that
-their rows stay spread over tasks.
+Bands and shingles that over HOT rows share are joined apart from the others, by a broadcast of checked size, so that their
+rows stay spread over tasks; the pairs of a hub are dealt to parts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readprep.llm import bytetext
@@ -41,7 +41,7 @@ STAR_ROUNDS = 2
 PAIRWISE = 8
 #: Shingles up to which a set is compared by rare shingles whatever its bands say.
 TINY = 20
-#: Rows of a key from which on they are joined apart, and rows (of sets, shingles) up to which that is by a broadcast.
+#: Rows of a key from which on they are joined apart, and rows up to which that is by a broadcast.
 HOT, APART = 250, 1_000_000
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 2**64, 256, U64) | U64(1)
@@ -112,11 +112,16 @@ def _sets(words: int):
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) whose full sets have at least that similarity; an id with several sets links by any of them."""
-    a, b = sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v"))
     both = F.size(F.array_intersect("set_u", "set_v"))
     near = 100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)
-    hot = [Hot(pairs.groupBy(side).count(), side, F.col("count") > HOT) for side in ("u", "v")]  # a hub has many pairs
-    return hot[1].join(hot[0].join(pairs, a, F.size("set_u")), b, F.size("set_v")).where(near).select("u", "v").distinct()
+    for side, other in ("uv", "vu"):  # a hub has many pairs: they are dealt, HOT to a part, and each part gets its set
+        hot = cut(pairs.groupBy(side).count().where(F.col("count") > HOT).select(F.col(side).alias("hub"), F.ceil(F.col("count") / HOT).alias("parts")))
+        n = hot.count()
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = sets.join(small(hot, n), F.col("id") == F.col("hub"), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        pairs = pairs.join(small(hot, n), F.col(side) == F.col("hub"), "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("hub", "parts")
+        pairs = pairs.join(dealt.select(F.col("id").alias(side), "part", F.col("shingles").alias(f"set_{side}")), [side, "part"]).drop("part")
+    return pairs.where(near).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -195,11 +200,11 @@ class Hot:
         """The rows of hot keys."""
         return rows.join(F.broadcast(self.table), self.key, "left_semi")
 
-    def join(self, rows: DataFrame, by_key: DataFrame, size: Column | int = 1) -> DataFrame:
-        """rows joined with by_key, whose rows of hot keys are broadcast if their sizes add up to no more than APART."""
+    def join(self, rows: DataFrame, by_key: DataFrame) -> DataFrame:
+        """rows joined with by_key, whose rows of hot keys are broadcast if they are no more than APART."""
         if self.apart:
             few = cut(self.of(by_key))
-            if (few.agg(F.sum(size if isinstance(size, Column) else F.lit(size))).first()[0] or 0) <= APART:
+            if few.count() <= APART:
                 rest = rows.join(F.broadcast(self.table), self.key, "left_anti")
                 return rest.join(by_key, self.key).unionByName(rows.join(F.broadcast(few), self.key))
         return rows.join(by_key, self.key)
