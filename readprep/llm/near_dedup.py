@@ -13,8 +13,8 @@ they need, so by rising frequency they meet in short lists. No candidate link be
 bucket of many near copies costs about its size, not its square. Sets of up to TINY shingles, in which minimum and maximum
 of a permutation depend on each other so that bands miss more, all meet by rare shingles.
 
-Bands and shingles that over HOT rows share are joined apart from the others, by a broadcast of checked size, so that their
-rows stay spread over tasks; the pairs of a hub are dealt to parts.
+Bands that over HOT rows share are joined apart from the others, by a broadcast of checked size, so that their rows stay
+spread over tasks; the pairs of a hub are dealt to parts.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ PAIRWISE = 8
 #: Shingles up to which a set is compared by rare shingles whatever its bands say.
 TINY = 20
 #: Rows of a key from which on they are joined apart, and rows up to which that is by a broadcast.
-HOT, APART = 250, 1_000_000
+HOT, APART = 500, 1_000_000
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 2**64, 256, U64) | U64(1)
 _ADD = _rng.integers(0, 2**64, 256, U64)
@@ -212,11 +212,10 @@ class Hot:
 
 def _across(members: DataFrame, fit) -> DataFrame:
     """(u, v) of different components under the same key, for keys that several components share."""
-    mixed = cut(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows"))
-    hot = Hot(mixed, "key", F.col("rows") > HOT)
-    rows = hot.join(members, mixed.select("key"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rows = cut(members.join(mixed, "key", "left_semi"))
     a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "key")) for side in "uv")
-    return hot.join(a, b).where((F.col("component_u") != F.col("component_v")) & (F.col("id_u") < F.col("id_v")) & fit).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
+    return a.join(b, "key").where((F.col("component_u") != F.col("component_v")) & (F.col("id_u") < F.col("id_v")) & fit).select(F.col("id_u").alias("u"), F.col("id_v").alias("v"))
 
 
 def _one_document(usable: DataFrame, classes: DataFrame) -> DataFrame:
