@@ -40,9 +40,9 @@ def parser() -> argparse.ArgumentParser:
     add("paper-artifacts", "output", reads_per_scenario=12)
     add("publication-bundle", "manifest", "output", annotations=None, reads_per_scenario=12)
     add("study-artifacts", "manifest", "output")
-    add("study-manifest", "inventory", "output")
-    add("study-fetch-metadata", "accessions", "output", url="https://www.ebi.ac.uk/ena/portal/api/filereport", cache=None, chunk=200, retries=2)
-    add("study-download", "inventory", "output", retries=2, overwrite=False)
+    add("study-manifest", "inventory", "output", root="reads")
+    add("study-fetch-metadata", "accessions", "output", url="https://www.ebi.ac.uk/ena/portal/api/filereport", cache=None, chunk=200, retries=2, geo_url="https://www.ncbi.nlm.nih.gov/geo/query/acc.cgi", resume=False)
+    add("study-download", "inventory", "output", manifest=None, retries=2, overwrite=False)
     add("study-discover", "input", "output", flat=False)
     add("study-annotate", "manifest", "annotations", "output", overwrite=False)
     add("study-ingest", "manifest", "results", "output", overwrite=False)
@@ -171,6 +171,7 @@ def study_artifacts(spark, args) -> dict:
 
     from readprep.operators import pipeline as L
     from readprep.operators import profile as P
+    from readprep.operators import trim as T
     from readprep.study import artifacts as A
     from readprep.study import manifest as M
 
@@ -178,6 +179,9 @@ def study_artifacts(spark, args) -> dict:
     for m in M.read_table(spark, args.manifest).collect():  # a data set is a run of its own, planned at the driver
         reads = _read(spark, m.input1)
         plan = P.plan_of(reads)
+        if m.input2:
+            second = _read(spark, m.input2)
+            plan, reads = P.plan_of(reads, mates=second), T.interleave(reads, second)
         began = time.perf_counter()
         total = L.report(L.prepare(reads, plan), plan).first()
         wall = time.perf_counter() - began
@@ -187,9 +191,10 @@ def study_artifacts(spark, args) -> dict:
     own = spark.createDataFrame(rows, "dataset_id string, platform string, experiment string, input_bases_per_sec double, trimmed_read_fraction double, discarded_read_fraction double, corrected_bases_per_mbase double")
     compared = M.compare(own.join(M.read_table(spark, args.manifest), "dataset_id")).persist()
     A.write_csv(f"{args.output}/datasets.csv", compared)
-    total = M.aggregate(compared).first().asDict()
-    A.write_json(f"{args.output}/study.json", {"aggregate": total, "datasets": [r.asDict() for r in compared.collect()]})
-    chart = A.bar_chart("Input bases per second", [(r.dataset_id, [r.input_bases_per_sec, r.baseline_input_bases_per_sec]) for r in compared.collect()], ["own", "baseline"], "bases/s")
+    total, each = M.aggregate(compared).first().asDict(), compared.collect()
+    compared.unpersist()
+    A.write_json(f"{args.output}/study.json", {"aggregate": total, "datasets": [r.asDict() for r in each]})
+    chart = A.bar_chart("Input bases per second", [(r.dataset_id, [r.input_bases_per_sec, r.baseline_input_bases_per_sec]) for r in each], ["own", "baseline"], "bases/s")
     if chart:
         with open(f"{args.output}/throughput.svg", "w", encoding="utf-8") as f:
             f.write(chart)
@@ -227,9 +232,21 @@ def study_discover(spark, args) -> dict:
 
 
 def study_manifest(spark, args) -> dict:
+    """A manifest out of an inventory, or out of public run metadata, which are told by their columns."""
+    from pyspark.sql import functions as F
+
     from readprep.study import manifest as M
+    from readprep.study.fetch import FIELDS
 
-    return {"datasets": _save(M.read_table(spark, args.inventory, require=None), args.output)}
+    with open(args.inventory, encoding="utf-8") as f:
+        head = f.readline().rstrip("\n").split("\t")
+    if not {"run_accession", "fastq_ftp"} <= set(head):
+        return {"datasets": _save(M.read_table(spark, args.inventory, require=None), args.output)}
+    rows = spark.read.option("header", True).option("sep", "\t").csv(args.inventory)
+    rows = rows.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c in head else F.lit("").alias(c) for c in FIELDS))
+    table = M.from_metadata(rows, args.root)
+    have = [c for c in M.MANIFEST if c in table.columns]
+    return {"datasets": _save(table.select(*(c if c in have else F.lit(None).cast("string").alias(c) for c in M.MANIFEST)), args.output)}
 
 
 def study_annotate(spark, args) -> dict:
@@ -242,7 +259,9 @@ def study_annotate(spark, args) -> dict:
     columns = [c for c in M.ANNOTATION if c != "dataset_id"]
     merged = M.annotate(manifest, found, columns, args.overwrite).persist()
     _save(merged.drop("outcomes", "at"), args.output)
-    return M.outcome_counts(merged).first().asDict() | {"unmatched": M.unmatched(M.target(manifest, found)).count()}
+    targets = M.target(manifest, found.withColumn("at", F.monotonically_increasing_id())).persist()
+    examples = [r.dataset_id or r.accession for r in M.first_unmatched(targets).collect()]
+    return M.outcome_counts(merged).first().asDict() | {"unmatched": M.unmatched(targets).count(), "unmatched_examples": examples}
 
 
 def study_ingest(spark, args) -> dict:
@@ -256,7 +275,8 @@ def study_ingest(spark, args) -> dict:
     files = spark.read.text(args.results, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     side = X.metric_side(F.col("path"))
     name = F.coalesce(X.dataset_hint(F.col("label")), X.dataset_hint(F.regexp_extract("path", "([^/]*)$", 1)))
-    long = R.read_all(files.persist()).select(name.alias("dataset_id"), side["side"].alias("side"), side["tool"].alias("tool"), "metric", "value").where("dataset_id is not null")
+    files = files.withColumn("kind", R.kind(F.col("content"), F.col("path"))).persist()
+    long = R.read_all(files).select(name.alias("dataset_id"), side["side"].alias("side"), side["tool"].alias("tool"), "metric", "value").where("dataset_id is not null")
     column = F.when(F.col("metric").isin(M.DOWNSTREAM), F.concat_ws("_", "side", "metric")).otherwise(F.concat(F.lit("baseline_"), "metric"))
     wide = long.withColumn("column", column)
     clash = wide.groupBy("dataset_id", "column").agg(F.countDistinct("value").alias("n")).where("n > 1").first()
@@ -267,35 +287,121 @@ def study_ingest(spark, args) -> dict:
     for c in M.ANNOTATION:
         if c not in table.columns:
             table = table.withColumn(c, F.lit(None).cast("string"))
+    plain = R.annotation_records(files, M.ANNOTATION, M.names_of).withColumns({c: F.col(c).cast("double") for c in M.NUMBERS})
+    same = lambda df, at: df.select(F.coalesce("dataset_id", "accession").alias("who"), at.alias("at"), *(F.col(c).cast("double" if c in M.NUMBERS else "string").alias(c) for c in M.ANNOTATION))
+    both = same(table, F.lit(0).cast("long")).unionByName(same(plain, F.col("at")))
+    merged = M.merge_records(both, "who", M.ANNOTATION).drop("who", "conflicts")
     annotations = args.output + ".annotations.tsv"
-    n = _save(table.select(*M.ANNOTATION), annotations)
-    return {"annotations": n} | study_annotate(spark, argparse.Namespace(manifest=args.manifest, annotations=annotations, output=args.output, overwrite=args.overwrite))
+    n = _save(merged, annotations)
+    counts = {r.kind or "ignored": r["count"] for r in files.groupBy("kind").count().collect()}
+    return {"annotations": n, "files": counts} | study_annotate(spark, argparse.Namespace(manifest=args.manifest, annotations=annotations, output=args.output, overwrite=args.overwrite))
+
+
+#: Columns of the tables that say what became of requests and downloads.
+FETCH_STATUS = ["accession", "status", "matched_run_rows", "matched_runs", "source", "attempts", "error", "geo_surface", "resolved_accessions"]
+DOWNLOAD_STATUS = ["dataset_id", "accession", "destination", "source_url", "status", "bytes", "attempts", "error"]
+
+
+def _rows_of(path: str, mark: str) -> list[dict]:
+    import csv
+
+    if not os.path.exists(path):
+        return []
+    with open(path, encoding="utf-8", newline="") as f:
+        return [{k: v or "" for k, v in r.items()} for r in csv.DictReader(f, delimiter=mark)]
+
+
+def _write_rows(path: str, columns: list[str], rows: list[dict], mark: str) -> None:
+    import csv
+
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        out = csv.DictWriter(f, columns, delimiter=mark, extrasaction="ignore", lineterminator="\n")
+        out.writeheader()
+        out.writerows(rows)
 
 
 def study_fetch_metadata(spark, args) -> dict:
-    import re
+    """Metadata of the accessions of a file, with a table of what became of each; --resume goes on where it was left."""
+    from pyspark.sql import functions as F
 
     from readprep.study import fetch as T
+    from readprep.study import manifest as M
 
-    with open(args.accessions, encoding="utf-8") as f:
-        names = list(dict.fromkeys(re.findall(r"\b(?:[SED]R[RPXS]|PRJ[NED][AB]|GS[EM])\d+\b", f.read().upper())))
-    got = T.fetch(names, args.url, chunk=int(args.chunk), cache=args.cache, retries=int(args.retries))
-    with open(args.output, "w", encoding="utf-8") as f:
-        f.write(got.body)
-    return {"requested": len(names), "rows": max(0, got.body.count("\n") - 1), "failed": sum(s["failed"] for s in got.status)}
+    transport = getattr(args, "transport", None) or T.open_address
+    status_path = args.output + ".status.csv"
+    text = spark.read.text(args.accessions).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    names = [r.accession.upper() for r in M.requested(text).orderBy("at").collect()]
+    columns = [c for c in T.FIELDS if c != "run_accession"]
+    frame = lambda rows, cols: spark.createDataFrame([["" if r.get(c) is None else str(r[c]) for c in cols] for r in rows], ", ".join(f"{c} string" for c in cols))
+    old = [r for r in _rows_of(status_path, ",") if args.resume and r["accession"] in names]
+    old_rows = [r for r in _rows_of(args.output, "\t") if args.resume and set(r.get("query_accessions", "").split(";")) & set(names)]
+    settled = {r.accession for r in M.resumable(frame(old, ["accession", "status"]), frame(old_rows, ["query_accessions"])).collect()}
+    status = {n: {"accession": n, "attempts": 0, "error": ""} for n in names} | {r["accession"]: r for r in old}
+    todo, ask, failed = [n for n in names if n not in settled], [], set()
+    for n in todo:
+        known = [x for x in status[n].get("resolved_accessions", "").split(";") if x]
+        if not T.GEO.fullmatch(n):
+            ask.append(n)
+            continue
+        found = {"resolved": known, "surface": status[n].get("geo_surface"), "source": status[n].get("source"), "attempts": 0, "error": ""} if known else T.bridge(n, args.geo_url, transport, args.cache, int(args.retries))
+        status[n] |= {"resolved_accessions": ";".join(found["resolved"]), "geo_surface": found["surface"], "source": found["source"], "attempts": found["attempts"], "error": found["error"]}
+        ask += found["resolved"]
+        failed |= {n} if found["error"] else set()
+    got = T.fetch(list(dict.fromkeys(ask)), args.url, transport, int(args.chunk), args.cache, int(args.retries))
+    for s in got.status:
+        if s["accession"] in status:
+            status[s["accession"]] |= {k: s[k] for k in ("source", "attempts", "error")}
+        failed |= {s["accession"]} if s["failed"] else set()
+    import csv
 
+    fresh = list(csv.DictReader(got.body.splitlines(), delimiter="\t"))
+    wanted = frame([{"at": i, "accession": n} for i, n in enumerate(names)], ["at", "accession"]).withColumn("at", F.col("at").cast("long"))
+    links = frame([{"geo": n, "accession": x} for n in names for x in str(status[n].get("resolved_accessions") or "").split(";") if x], ["geo", "accession"])
+    asked = M.expand_requests(wanted, links)
+    rows = frame(fresh, T.FIELDS).withColumn("bioproject", F.lit(None).cast("string"))
+    hits = M.match_metadata(rows.withColumn("study_accession", F.concat_ws(" ", "study_accession", "secondary_study_accession")), asked.select("accession", F.col("first_at").alias("at")))
+    by = hits.select("run_accession", F.explode(F.split("query_accessions", ";")).alias("accession")).join(asked, "accession").select("run_accession", F.explode(F.split("requested", ";")).alias("q"))
+    queried = by.groupBy("run_accession").agg(F.array_join(F.array_sort(F.collect_set("q")), ";").alias("query_accessions"))
+    new = rows.join(queried, "run_accession").withColumn("at", F.lit(1)).select("at", "run_accession", "query_accessions", *columns)
+    before = frame(old_rows, ["run_accession", "query_accessions", *columns]).withColumn("at", F.lit(0)).select(*new.columns)
+    merged = [r.asDict() for r in M.merge_fetched(before.union(new), columns).orderBy("run_accession").collect()]  # as many rows as were asked for
+    _write_rows(args.output, ["run_accession", "query_accessions", *columns], merged, "\t")
+    runs = {n: [r["run_accession"] for r in merged if n in r["query_accessions"].split(";")] for n in names}
+    for n in todo:
+        linked = [n, *str(status[n].get("resolved_accessions") or "").split(";")]
+        status[n]["status"] = "matched" if runs[n] else "fetch_failed" if failed & set(linked) else "unmatched"
+    for n in names:
+        status[n] |= {"matched_runs": ";".join(runs[n]), "matched_run_rows": len(runs[n])}
+    _write_rows(status_path, FETCH_STATUS, [status[n] for n in names], ",")
+    kinds = [status[n]["status"] for n in names]
+    return {"requested": len(names), "resumed": len(settled), "rows": len(merged), **{k: kinds.count(k) for k in ("matched", "unmatched", "fetch_failed")}}
 
-def study_download(spark, args) -> dict:
-    import csv
 
+def study_download(spark, args) -> dict:
+    """Files of a metadata table, into a folder a run, or onto the inputs of a manifest, with a table of what became of each."""
     from readprep.study import fetch as T
+    from readprep.study import manifest as M
 
+    inputs = {}
+    if args.manifest:
+        inputs = {(m.accession or m.dataset_id).upper(): (m.dataset_id, [x for x in (m.input1, m.input2) if x]) for m in M.read_table(spark, args.manifest).collect()}
     rows = []
-    with open(args.inventory, encoding="utf-8") as f:
-        for r in csv.DictReader(f, delimiter="\t"):
-            for location in filter(None, (r.get("fastq_ftp") or "").replace(",", ";").split(";")):
-                address = location if "://" in location else f"https://{location}"
-                rows.append(T.download(address, os.path.join(args.output, os.path.basename(location)), retries=int(args.retries), overwrite=args.overwrite))
+    for r in _rows_of(args.inventory, "\t"):
+        run = r.get("run_accession", "")
+        raw = [x.strip() for x in (r.get("fastq_ftp") or r.get("submitted_ftp") or "").replace(",", ";").split(";") if x.strip()]
+        addresses = [x if "://" in x else f"https://{x}" for x in raw]
+        name, wanted = inputs.get(run.upper(), (run, None))
+        if args.manifest and wanted is None:
+            continue
+        try:
+            pairs = T.destinations(wanted, addresses) if wanted else [(os.path.join(args.output, run, os.path.basename(a)), a) for a in addresses]
+        except ValueError as e:
+            rows.append({"dataset_id": name, "accession": run, "status": "failed", "bytes": 0, "attempts": 0, "error": str(e)})
+            continue
+        extra = {"stream": args.stream} if getattr(args, "stream", None) else {}
+        rows += [{"dataset_id": name, "accession": run} | T.download(a, d, retries=int(args.retries), overwrite=args.overwrite, **extra) for d, a in pairs]
+    _write_rows(os.path.join(args.output, "download_status.csv"), DOWNLOAD_STATUS, rows, ",")
     return {"files": len(rows), **{s: sum(r["status"] == s for r in rows) for s in ("downloaded", "resumed", "skipped_existing", "failed")}}
 
 

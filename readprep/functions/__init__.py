@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 
 def phred(char: Column) -> Column:
@@ -88,8 +89,19 @@ def report_number(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "[%,]", "").try_cast("double")
 
 
+class Kmers:
+    """The windows of a sequence without unknown bases, as rows (start from 0, kmer)."""
+
+    def eval(self, sequence: str, k: int):
+        for start in range(len(sequence or "") - k + 1):
+            kmer = sequence[start : start + k]
+            if not kmer.strip("ACGT"):
+                yield start, kmer
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions canonical_kmer(text), kmer_code(text), mean_phred(text)."""
+    """SQL functions canonical_kmer(text), kmer_code(text), mean_phred(text), and the table function kmers(text, k)."""
+    spark.udtf.register("kmers", udtf(Kmers, returnType="start int, kmer string"))
     spark.sql("create or replace temporary function canonical_kmer(k string) returns string return least(k, reverse(translate(k, 'ACGT', 'TGCA')))")
     spark.sql("create or replace temporary function kmer_code(k string) returns bigint return cast(conv(translate(k, 'ACGT', '0123'), 4, 10) as bigint)")
     spark.sql("create or replace temporary function mean_phred(q string) returns double return coalesce(try_divide(aggregate(transform(split(q, ''), c -> greatest(ascii(c) - 33, 0)), 0D, (a, x) -> a + x), length(q)), 0D)")

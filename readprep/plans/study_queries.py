@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from readprep.operators import evaluate as E
 from readprep.operators import history as H
+from readprep.operators.pipeline import keep, prepare, prepare_accelerated
+from readprep.operators.profile import Plan
 from readprep.plans.views import table
 from readprep.study import manifest as M
 from readprep.study import reports as R
@@ -313,13 +315,13 @@ def citation(spark, sf_dir):
 
 REPORTS = {
     "fastp": [("a/x.fastp.json", '{"summary": {"before_filtering": {"total_reads": 1000}, "after_filtering": {"total_reads": 920}}, "adapter_cutting": {"adapter_trimmed_reads": 180}}'), ("b.json", '{"summary": {"before_filtering": {"total_reads": 50}}, "filtering_result": {"passed_filter_reads": 40}, "adapter_cutting": {"adapter_trimmed_reads": 60}}')],
-    "flagstat": [("a.flagstat", "1000 + 0 in total (QC-passed reads + QC-failed reads)\n12 + 0 secondary\n980 + 0 mapped (98.00% : N/A)\n970 + 0 primary mapped (97.00% : N/A)"), ("b.flagstat", "10 + 10 in total (x)\n4 + 1 mapped (25.00% : N/A)")],
-    "quast": [("a/report.tsv", "Assembly\town_asm\tother\n# contigs\t3\t4\nN50\t45000\t-"), ("b/report.tsv", "Assembly\tassembly\nN50\t12,500")],
-    "picard": [("a.txt", "## METRICS CLASS\nLIBRARY\tUNPAIRED_READS_EXAMINED\tREAD_PAIRS_EXAMINED\tUNPAIRED_READ_DUPLICATES\tREAD_PAIR_DUPLICATES\tPERCENT_DUPLICATION\nlib1\t0\t500\t0\t60\t0.120000"), ("b.txt", "LIBRARY\tUNPAIRED_READS_EXAMINED\tREAD_PAIRS_EXAMINED\tUNPAIRED_READ_DUPLICATES\tREAD_PAIR_DUPLICATES\tPERCENT_DUPLICATION\nlib1\t100\t50\t10\t5\t-")],
-    "mosdepth": [("a.summary", "chrom\tlength\tbases\tmean\tmin\tmax\nchr1\t1000\t31000\t31.0\t0\t60\nchr2\t500\t16250\t32.5\t0\t50\ntotal\t1500\t47250\t31.5\t0\t60"), ("b.summary", "chrom\tlength\tbases\tmean\nchr1\t1000\t31000\t31.0\nchr2\t500\t16250\t32.5")],
-    "samtools_coverage": [("a.cov", "#rname\tstartpos\tendpos\tnumreads\tcovbases\tcoverage\tmeandepth\nchr1\t1\t1000\t9\t900\t90.0\t17\ntotal\t1\t1500\t20\t1380\t92.0\t18.5"), ("b.cov", "#rname\tstartpos\tendpos\tnumreads\tcovbases\tcoverage\tmeandepth\nchr1\t1\t1000\t9\t900\t90.0\t17\nchr2\t1\t500\t9\t700\t99.0\t20")],
-    "happy": [("a.csv", "Type,Filter,METRIC.Recall,METRIC.Precision,METRIC.F1_Score\nSNP,PASS,0.99,0.99,0.993486\nALL,PASS,0.99,0.99,0.992000"), ("b.csv", "Type,Filter,METRIC.Recall,METRIC.Precision,METRIC.F1_Score\nSNP,PASS,0.9,0.8,-\nINDEL,PASS,0.5,0.5,0.5\nSNP,ALL,0.9,0.8,0.1")],
-    "vcfeval": [("a.txt", "Threshold  True-pos-baseline  True-pos-call  False-pos  False-neg  Precision  Sensitivity  F-measure\n----------------------------------------------------\n3.000 970 970 10 30 0.98 0.97 0.975\nNone 978 978 22 22 0.978 0.978 0.978")],
+    "flagstat": [("a.flagstat", "2346 + 0 in total (QC-passed reads + QC-failed reads)\n31 + 0 secondary\n2211 + 0 mapped (94.25% : N/A)\n2180 + 0 primary mapped (94.17% : N/A)"), ("b.flagstat", "10 + 10 in total (x)\n4 + 1 mapped (25.00% : N/A)")],
+    "quast": [("a/report.tsv", "Assembly\town_asm\tother\n# contigs\t3\t4\nN50\t38211\t-"), ("b/report.tsv", "Assembly\tassembly\nN50\t17,340")],
+    "picard": [("a.txt", "## METRICS CLASS\nLIBRARY\tUNPAIRED_READS_EXAMINED\tREAD_PAIRS_EXAMINED\tUNPAIRED_READ_DUPLICATES\tREAD_PAIR_DUPLICATES\tPERCENT_DUPLICATION\nlib1\t0\t500\t0\t87\t0.174000"), ("b.txt", "LIBRARY\tUNPAIRED_READS_EXAMINED\tREAD_PAIRS_EXAMINED\tUNPAIRED_READ_DUPLICATES\tREAD_PAIR_DUPLICATES\tPERCENT_DUPLICATION\nlib1\t100\t50\t10\t5\t-")],
+    "mosdepth": [("a.summary", "chrom\tlength\tbases\tmean\tmin\tmax\nchr1\t1000\t27000\t27.0\t0\t60\nchr2\t500\t11750\t23.5\t0\t50\ntotal\t1500\t38750\t25.8\t0\t60"), ("b.summary", "chrom\tlength\tbases\tmean\nchr1\t1000\t27000\t27.0\nchr2\t500\t11750\t23.5")],
+    "samtools_coverage": [("a.cov", "#rname\tstartpos\tendpos\tnumreads\tcovbases\tcoverage\tmeandepth\nchr1\t1\t1000\t9\t900\t90.0\t17\ntotal\t1\t1500\t20\t1290\t86.0\t21.5"), ("b.cov", "#rname\tstartpos\tendpos\tnumreads\tcovbases\tcoverage\tmeandepth\nchr1\t1\t1000\t9\t900\t90.0\t17\nchr2\t1\t500\t9\t700\t99.0\t20")],
+    "happy": [("a.csv", "Type,Filter,METRIC.Recall,METRIC.Precision,METRIC.F1_Score\nSNP,PASS,0.99,0.99,0.971250\nALL,PASS,0.99,0.99,0.961300"), ("b.csv", "Type,Filter,METRIC.Recall,METRIC.Precision,METRIC.F1_Score\nSNP,PASS,0.9,0.8,-\nINDEL,PASS,0.5,0.5,0.5\nSNP,ALL,0.9,0.8,0.1")],
+    "vcfeval": [("a.txt", "Threshold  True-pos-baseline  True-pos-call  False-pos  False-neg  Precision  Sensitivity  F-measure\n----------------------------------------------------\n3.000 970 970 10 30 0.95 0.93 0.940\nNone 951 951 49 49 0.951 0.951 0.951")],
 }
 
 
@@ -490,8 +492,41 @@ def accession_manifest(spark, sf_dir):
 
 @query()
 def backend_parity(spark, sf_dir):
+    """Both modes of correction on the same reads."""
     truth = E.single_truth(spark, PER_SCENARIO)
-    cut = _simple(truth).where("length(output) >= 35").select("read_ix", "header", F.col("output").alias("sequence"))
-    right = truth.where("expected is not null").select("read_ix", "header", F.col("expected").alias("sequence"))
-    a, b = (E.summarise(E.scored(truth, E.last_by(x, F.col("header"), "read_ix"))) for x in (cut, right))
+    plan, rows = Plan(15, 20, 4, 35, [("illumina-short", E.ADAPTER, 3 * PER_SCENARIO)]), truth.drop("scenario", "expected")
+    done = [keep(mode(rows, plan, parity=True), plan) for mode in (prepare, prepare_accelerated)]
+    a, b = (E.summarise(E.scored(truth, E.last_by(x, F.col("header"), "read_ix"))) for x in done)
     return E.parity(a, b)
+
+
+@query()
+def truth_correction(spark, sf_dir):
+    """The truth scenarios, corrected."""
+    truth = E.single_truth(spark, PER_SCENARIO)
+    plan = Plan(15, 20, 4, 35, [("illumina-short", E.ADAPTER, 3 * PER_SCENARIO)])
+    out = keep(prepare(truth.drop("scenario", "expected"), plan, parity=True), plan)
+    digits = [f"{m}_{k}" for m in ("retention", "trimming", "correction") for k in ("precision", "recall", "f1")]
+    return rounded(E.summarise(E.scored(truth, E.last_by(out, F.col("header"), "read_ix"))), *digits)
+
+
+_FETCHED = "select 'R' || o_custkey as run_accession, o_orderkey as \"at\", case when o_orderkey % 3 = 0 then '' else 'C' || o_custkey end as study_accession, 'P' || (o_custkey % 7) as platform, 'Q' || (o_orderkey % 5) || ';Q' || (o_custkey % 3) as query_accessions from orders"
+
+
+@query(f"""with f as ({_FETCHED}), q as (select run_accession, unnest(string_split(query_accessions, ';')) as q from f)
+select f.run_accession, max(nullif(study_accession, '')) as study_accession, max(platform) as platform, any_value(n.qs) as queries, 0 as conflicts from f join (select run_accession, string_agg(distinct q, ';' order by q) as qs from q group by 1) n using (run_accession) group by f.run_accession""")
+def metadata_merge(spark, sf_dir):
+    """Fetched rows of a run as one; what they were asked by is sorted here, as SQL has no order of first mention."""
+    rows = table(spark, sf_dir, "orders").selectExpr("concat('R', o_custkey) as run_accession", "o_orderkey as at", "case when o_orderkey % 3 = 0 then '' else concat('C', o_custkey) end as study_accession", "concat('P', o_custkey % 7) as platform", "concat('Q', o_orderkey % 5, ';Q', o_custkey % 3) as query_accessions")
+    out = M.merge_fetched(rows, ["study_accession", "platform"])
+    return out.select("run_accession", "study_accession", "platform", F.array_join(F.array_sort(F.split("query_accessions", ";")), ";").alias("queries"), "conflicts")
+
+
+@query("""with s as (select 'A' || o_orderkey as accession, case o_orderstatus when 'F' then 'matched' when 'O' then 'unmatched' else 'fetch_failed' end as status, o_custkey from orders),
+n as (select distinct 'A' || (c_custkey * 4 + i) as accession from customer, (values (0), (1)) v(i))
+select accession from s where status = 'unmatched' or (status = 'matched' and accession in (select accession from n))""")
+def metadata_resume(spark, sf_dir):
+    """Requests that needn't be asked again."""
+    statuses = table(spark, sf_dir, "orders").selectExpr("concat('A', o_orderkey) as accession", "case o_orderstatus when 'F' then 'matched' when 'O' then 'unmatched' else 'fetch_failed' end as status")
+    rows = table(spark, sf_dir, "customer").selectExpr("concat('A', c_custkey * 4, ';A', c_custkey * 4 + 1) as query_accessions")
+    return M.resumable(statuses, rows)

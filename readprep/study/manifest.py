@@ -234,6 +234,7 @@ def from_metadata(rows: DataFrame, root: str) -> DataFrame:
     return input_paths(read, root).drop("paired", "locations")
 
 
+#: Columns of public metadata by which a row answers a request.
 MATCHED_BY = ["run_accession", "study_accession", "experiment_accession", "sample_accession", "bioproject"]
 
 
@@ -254,6 +255,43 @@ def match_metadata(rows: DataFrame, requests: DataFrame) -> DataFrame:
     return hits.groupBy("run_accession").agg(F.min("at").alias("first_at"), joined.alias("query_accessions"))
 
 
+def merge_fetched(rows: DataFrame, columns: list[str], strict: bool = True) -> DataFrame:
+    """One row for each run_accession out of many fetched ones (at, run_accession, query_accessions, columns).
+
+    Blanks are filled from other rows; different values of a column are an error, or are counted in conflicts. What the rows
+    were asked by is united in order.
+    """
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    asked = F.array_sort(F.collect_list(F.struct("at", F.split(F.coalesce("query_accessions", F.lit("")), ";").alias("names"))))
+    united = F.array_distinct(F.filter(F.flatten(F.transform(asked, lambda x: x["names"])), lambda x: x != ""))
+    values = [a for c in columns for a in (F.min_by(full(F.col(c)), F.when(full(F.col(c)).isNotNull(), F.col("at"))).alias(c), F.countDistinct(full(F.col(c))).alias(f"__n_{c}"))]
+    merged = rows.groupBy("run_accession").agg(F.array_join(united, ";").alias("query_accessions"), *values)
+    conflicts = sum(((F.col(f"__n_{c}") > 1).cast("int") for c in columns), F.lit(0))
+    if strict:
+        conflicts = F.when(conflicts > 0, F.raise_error(F.concat(F.lit("fetched rows disagree on "), F.col("run_accession"))).cast("int")).otherwise(conflicts)
+    return merged.withColumn("conflicts", conflicts).select("run_accession", "query_accessions", *columns, "conflicts")
+
+
+def resumable(statuses: DataFrame, rows: DataFrame) -> DataFrame:
+    """(accession) of earlier requests (accession, status) that needn't be asked again.
+
+    A matched one needs a row (query_accessions) that names it, an unmatched one is settled, a failed one is asked again.
+    """
+    named = rows.select(F.explode(F.split(F.coalesce("query_accessions", F.lit("")), ";")).alias("accession")).where("accession <> ''").distinct()
+    matched = statuses.where("status = 'matched'").select("accession").join(named, "accession", "left_semi")
+    return matched.union(statuses.where("status = 'unmatched'").select("accession")).distinct()
+
+
+def has_downstream(side: str) -> Column:
+    """Whether a row has any of the metrics of what follows cleaning."""
+    return F.coalesce(*(F.col(f"{side}_{c}").cast("string") for c in DOWNSTREAM)).isNotNull()
+
+
+def first_unmatched(targets: DataFrame, n: int = 5) -> DataFrame:
+    """The first annotations that are for no data set."""
+    return unmatched(targets).orderBy("at").limit(n).select("at", "dataset_id", "accession")
+
+
 def fetch_status(requests: DataFrame, matched: DataFrame, failed: DataFrame) -> DataFrame:
     """(accession, status, matched_run_rows): matched goes before failed, the rest is unmatched."""
     runs = matched.select("run_accession", F.explode(F.split("query_accessions", ";")).alias("accession")).groupBy("accession").agg(F.count("*").alias("n"))

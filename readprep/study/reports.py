@@ -5,6 +5,11 @@ Each parser is a DataFrame function: lines are exploded, a table's header is fou
 
 from __future__ import annotations
 
+import csv
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,3 +152,44 @@ def read_all(reports: DataFrame) -> DataFrame:
         each = found.select("path", label.alias("label"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in have))).alias("x")).select("path", "label", "x.*").where("value is not null")
         out = each if out is None else out.unionByName(each)
     return out
+
+
+def annotation_records(files: DataFrame, columns: list[str], names_of) -> DataFrame:
+    """(path, at, columns) as text out of JSON and tables of annotations (path, content, kind: json or table).
+
+    JSON is an array of objects, an object with one under records, datasets or items, or a single object. Headers and keys
+    are matched as letters and digits only. A record without dataset_id and accession is an error.
+    """
+    known = {alias: c for c in reversed(columns) for alias in reversed(names_of(c))}
+    fields = [pa.field("path", pa.string()), pa.field("at", pa.int64()), *(pa.field(c, pa.string()) for c in columns)]
+
+    def rows(path: str, content: str, kind_: str) -> Iterator[dict]:
+        if kind_ == "json":
+            value = json.loads(content)
+            if isinstance(value, dict):
+                value = next((value[k] for k in ("records", "datasets", "items") if isinstance(value.get(k), list)), [value])
+            if not isinstance(value, list) or not all(isinstance(x, dict) for x in value):
+                raise ValueError(f"{path}: neither an object nor an array of objects")
+            yield from value
+            return
+        lines = [x for x in content.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+        yield from csv.DictReader(lines, delimiter="\t" if lines and "\t" in lines[0] else ",")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, content, kind_ in zip(*(batch[c].to_pylist() for c in ("path", "content", "kind")), strict=True):
+                for at, record in enumerate(rows(path, content, kind_), 1):
+                    row: dict = {"path": path, "at": at}
+                    for k, v in record.items():
+                        column = known.get("".join(ch for ch in str(k).lower() if ch.isalnum()))
+                        text = "" if v is None else str(v).strip()
+                        if column and text and column not in row:
+                            row[column] = text
+                    if not row.get("dataset_id") and not row.get("accession"):
+                        raise ValueError(f"{path}: record {at} has neither dataset_id nor accession")
+                    out.append(row)
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
+
+    schema = "path string, at long, " + ", ".join(f"{c} string" for c in columns)
+    return files.where(F.col("kind").isin("json", "table")).select("path", "content", "kind").mapInArrow(run, schema)

@@ -15,10 +15,11 @@ PLATFORM_LABELS = {"illumina": "Illumina", "mgi": "MGI", "ont": "ONT", "oxfordna
 #: What results of tools append to the name of a data set.
 RESULT_WORDS = ["happy", "vcfeval", "fastp", "flagstat", "markdup", "markduplicates", "duplication_metrics", "duplicationmetrics", "coverage", "mosdepth", "quast", "report", "summary", "results", "metrics", "annotations", "baseline_metrics", "downstream_metrics"]
 RESULT_ENDINGS = ["txt", "log", "json", "csv", "tsv"]
+#: Names of files that say nothing of the data set.
 GENERIC = ["fastp", "quast", "report", "results", "result", "structuredresults", "structuredresult", "baseline", "metrics", "annotations", "summary", "txt", "log", "flagstat", "markdup", "markduplicates", "duplication", "picardmarkduplicates", "picard", "duplicationmetrics", "samtools", "samtoolscoverage", "coverage", "mosdepth", "happy", "happysummary", "vcfeval", "dataset", "assembly", "assemblies", "contigs", "contigs1", "contigs2", "scaffolds", "scaffold"]
 TOOLS = {"fastp": "fastp", "cutadapt": "cutadapt", "trimgalore": "trim-galore", "trimmomatic": "trimmomatic", "bbduk": "bbduk", "adapterremoval": "adapterremoval", "skewer": "skewer"}
 #: What stands for the tool under study in names of columns and paths.
-OWN = ["own", "readprep", "echo"]
+OWN = ["own", "readprep"]
 
 ACCESSION = f"^({'|'.join(PREFIXES)})[0-9]+$"
 MATE = r"(?i)^(.+?)(_r[12]_001|[_.\-]r[12]|[_.\-][12])$"

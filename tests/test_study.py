@@ -134,8 +134,131 @@ def test_manifest_of_public_metadata(spark):
     assert (got["SRR1"].citation, got["SRR2"].citation, got["SRR3"].citation) == ("SRP1 | A study", "SRP1", None)
 
 
-def test_parity_of_equal_outputs_is_zero(spark):
+def test_modes_of_correction_differ_only_where_indels_do(spark):
     from readprep.plans.study_queries import backend_parity
 
     rows = {r.scenario: r.largest for r in backend_parity(spark, "").collect()}
-    assert rows["clean_retention"] == 0 and rows["adapter_trim"] == 0 and rows["single_error_repair"] == 1
+    assert rows["clean_retention"] == 0 and rows["adapter_trim"] == 0 and len(rows) == 6
+
+
+def test_accelerated_mode_takes_four_adapters():
+    from readprep.operators.pipeline import accelerated
+    from readprep.operators.profile import Plan
+
+    names = [("a", "ACGT" * 3, 1), ("b", "ACG", 9), *((f"c{i}", "ACGT" * 2, 1) for i in range(5))]
+    assert [a[0] for a in accelerated(Plan(adapters=names)).adapters] == ["a", "c0", "c1", "c2"]
+
+
+def test_names_of_mates():
+    from readprep.sources import fastq
+
+    assert [fastq.mate_by_name(n) for n in ("x.r1.fastq", "x-r2.fq.gz", "x_r1_001.fastq", "x_R2_001.fastq.gz", "x.fastq", "x_2.fq")] == [1, 2, 1, 2, None, 2]
+
+
+def test_downloads_go_on_behind_a_part(tmp_path):
+    whole, target, asked = b"0123456789" * 50, str(tmp_path / "f.fastq.gz"), []
+
+    def stream(address, start):
+        asked.append(start)
+        if len(asked) == 1:
+            return 0, cut_off()
+        return start, [whole[start:]]
+
+    def cut_off():
+        yield whole[:100]
+        raise OSError("lost")
+
+    row = T.download("http://f", target, stream=stream)
+    assert (row["status"], row["bytes"], row["attempts"], asked) == ("resumed", 500, 2, [0, 100]) and open(target, "rb").read() == whole
+    open(target + "2.part", "wb").write(b"other")
+    row = T.download("http://f", target + "2", stream=lambda a, start: (0, [whole]))  # a server that starts over
+    assert row["status"] == "downloaded" and open(target + "2", "rb").read() == whole
+
+
+def test_files_are_told_apart():
+    two = ["h/b_2.fastq.gz", "h/b_1.fastq.gz"]
+    assert T.destinations(["d/x_1.fastq.gz", "d/x_2.fastq.gz"], two) == [("d/x_1.fastq.gz", two[1]), ("d/x_2.fastq.gz", two[0])]
+    assert T.destinations(["d/b_2.fastq.gz"], two) == [("d/b_2.fastq.gz", two[0])]
+    assert T.destinations(["p", "q"], ["h/m.fq", "h/n.fq", "h/x.md5"]) == [("p", "h/m.fq"), ("q", "h/n.fq")]
+    with pytest.raises(ValueError):
+        T.destinations(["d/one.fastq"], two)
+    with pytest.raises(ValueError):
+        T.destinations(["d/one.fastq"], [])
+
+
+def test_geo_bridge_reads_the_full_view_if_it_has_to(tmp_path):
+    asked = []
+
+    def transport(address):
+        asked.append(address.split("view=")[1])
+        return b"!Series_relation = SRA: x?term=SRP12 GSE7 SRP12 PRJNA9" if "full" in address else b"GSE7 only"
+
+    for source in ("remote", "cache"):
+        got = T.bridge("GSE7", "http://g", transport, str(tmp_path))
+        assert (got["resolved"], got["surface"], got["source"]) == (["SRP12", "PRJNA9"], "full_text_self", source)
+    assert asked == ["quick", "full"]
+    assert T.bridge("GSE8", "http://g", lambda a: 1 / 0, retries=1)["attempts"] == 2
+
+
+def test_merge_of_fetched_rows(spark):
+    rows = [(0, "R1", "Q1", "S", ""), (1, "R1", "Q2;Q1", "", "t"), (2, "R2", "", None, "u")]
+    schema = "at int, run_accession string, query_accessions string, study string, title string"
+    got = {r.run_accession: tuple(r)[1:] for r in M.merge_fetched(spark.createDataFrame(rows, schema), ["study", "title"]).collect()}
+    assert got == {"R1": ("Q1;Q2", "S", "t", 0), "R2": ("", None, "u", 0)}
+    clash = spark.createDataFrame([*rows, (3, "R1", "", "other", "")], schema)
+    assert {r.conflicts for r in M.merge_fetched(clash, ["study", "title"], strict=False).collect()} == {0, 1}
+    with pytest.raises(Exception, match="disagree on R1"):
+        M.merge_fetched(clash, ["study", "title"]).collect()
+
+
+def test_annotations_out_of_json_and_tables(spark):
+    files = [("a.json", '{"datasets": [{"Dataset ID": "d1", "own_mean_coverage": 31.5, "x": 1}]}'), ("b.json", '[{"run_accession": "SRR2", "notes": "n"}]'), ("c.json", '{"id": "d3"}'), ("d.csv", "# c\nname,tool\nd4,bt\nd5,\n"), ("e.tsv", "sample\tnotes\nd6\ta,b\n")]
+    df = spark.createDataFrame([(*f, "json" if "json" in f[0] else "table") for f in files], "path string, content string, kind string")
+    rows = R.annotation_records(df, M.ANNOTATION, M.names_of).collect()
+    got = {(r.path, r["at"]): (r.dataset_id, r.accession, r.baseline_name, r.own_mean_coverage, r.notes) for r in rows}
+    assert got == {("a.json", 1): ("d1", None, None, "31.5", None), ("b.json", 1): (None, "SRR2", None, None, "n"), ("c.json", 1): ("d3", None, None, None, None), ("d.csv", 1): ("d4", None, "bt", None, None), ("d.csv", 2): ("d5", None, None, None, None), ("e.tsv", 1): ("d6", None, None, None, "a,b")}
+    with pytest.raises(Exception, match="neither dataset_id nor accession"):
+        R.annotation_records(spark.createDataFrame([("x.json", '{"notes": "n"}', "json")], "path string, content string, kind string"), M.ANNOTATION, M.names_of).collect()
+
+
+def test_fetch_command_resumes_and_bridges(spark, tmp_path):
+    import argparse
+
+    from readprep import cli
+
+    asked = []
+
+    def transport(address):
+        asked.append(address)
+        if "acc=GSE" in address:
+            return b"links to SRP5"
+        names = address.split("accession=")[1].split("&")[0].split(",")
+        known = {"SRR1": "SRR1\tSRP1", "SRP5": "SRR5\tSRP5"}
+        if "SRR9" in names:
+            raise OSError("gone")
+        return ("run_accession\tstudy_accession\n" + "".join(known[n] + "\n" for n in names if n in known)).encode()
+
+    wanted, out = tmp_path / "names.txt", str(tmp_path / "out.tsv")
+    wanted.write_text("SRR1 and GSE7\nSRR8, SRR9\n")
+    args = argparse.Namespace(accessions=str(wanted), output=out, url="http://e", geo_url="http://g", cache=None, chunk=1, retries=0, resume=True, transport=transport)
+    first = cli.study_fetch_metadata(spark, args)
+    assert (first["matched"], first["unmatched"], first["fetch_failed"], first["resumed"], first["rows"]) == (2, 1, 1, 0, 2)
+    status = {r["accession"]: r for r in cli._rows_of(out + ".status.csv", ",")}
+    assert status["GSE7"]["matched_runs"] == "SRR5" and status["GSE7"]["resolved_accessions"] == "SRP5" and status["SRR9"]["status"] == "fetch_failed"
+    n = len(asked)
+    again = cli.study_fetch_metadata(spark, args)
+    assert again["resumed"] == 3 and again["rows"] == 2 and all("SRR9" in a for a in asked[n:])
+    manifest = str(tmp_path / "m.tsv")
+    (tmp_path / "runs.tsv").write_text("run_accession\tfastq_ftp\tlibrary_layout\nSRR1\th/SRR1_1.fastq.gz;h/SRR1_2.fastq.gz\tPAIRED\n")
+    assert cli.study_manifest(spark, argparse.Namespace(inventory=str(tmp_path / "runs.tsv"), output=manifest, root=str(tmp_path / "d")))["datasets"] == 1
+    args = argparse.Namespace(inventory=str(tmp_path / "runs.tsv"), output=str(tmp_path / "d"), manifest=manifest, retries=0, overwrite=False, stream=lambda a, start: (0, [a.encode()]))
+    assert cli.study_download(spark, args)["downloaded"] == 2
+    assert (tmp_path / "d" / "SRR1" / "SRR1_2.fastq.gz").read_text() == "https://h/SRR1_2.fastq.gz"
+    assert [r["status"] for r in cli._rows_of(str(tmp_path / "d" / "download_status.csv"), ",")] == ["downloaded"] * 2
+
+
+def test_kmers_in_sql(spark):
+    from readprep.functions import register
+
+    register(spark)
+    assert [tuple(r) for r in spark.sql("select * from kmers('ACGNACG', 3)").collect()] == [(0, "ACG"), (4, "ACG")]
