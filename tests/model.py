@@ -1,14 +1,17 @@
-"""A plain model of per-read correction, written from the description of the operators; slow and simple."""
+"""A plain model of per-read correction: every rule lists all candidates, and picks one by a key. Slow and simple.
+
+Reads are strings and lists of qualities. An edit is a new string; which of them wins is a matter of sorting.
+"""
 
 from __future__ import annotations
 
-COMP = {"A": "T", "C": "G", "G": "C", "T": "A"}
+from itertools import groupby, product
+
+OTHER_STRAND = str.maketrans("ACGT", "TGCA")
 
 
 def canonical(kmer: str) -> str | None:
-    if any(b not in COMP for b in kmer):
-        return None
-    return min(kmer, "".join(COMP[b] for b in reversed(kmer)))
+    return None if set(kmer) - set("ACGT") else min(kmer, kmer.translate(OTHER_STRAND)[::-1])
 
 
 def count_kmers(reads, k, q):
@@ -16,154 +19,127 @@ def count_kmers(reads, k, q):
     for seq, qual in reads:
         for i in range(len(seq) - k + 1):
             c = canonical(seq[i : i + k])
-            if c and all(ord(x) - 33 >= q for x in qual[i : i + k]):
+            if c and min(map(ord, qual[i : i + k])) - 33 >= q:
                 out[c] = out.get(c, 0) + 1
     return out
 
 
+def earliest_best(candidates, key):
+    """The first of the candidates with the greatest key."""
+    return max(candidates, key=key) if candidates else None
+
+
 class Model:
     def __init__(self, counts, k, floor, min_quality, adapters, lookup=None):
         self.k, self.floor, self.q, self.adapters = k, floor, min_quality, adapters
         trusted = {x: n for x, n in counts.items() if n >= floor}
         self.look = lookup or (lambda c: trusted.get(c, 0))
-        self.graph: dict[str, list[tuple[str, str, int]]] = {}
-        for c in sorted(trusted):
-            self.graph.setdefault(c[:-1], []).append((c[1:], c[-1], trusted[c]))
+        self.edges = {node: sorted(((n, x[-1], x[1:]) for x, n in trusted.items() if x[:-1] == node), key=lambda e: (-e[0], e[1])) for node in {x[:-1] for x in trusted}}
 
     def support(self, seq, at):
-        c = [canonical(seq[i : i + self.k]) for i in range(max(0, at - self.k + 1), min(at, len(seq) - self.k) + 1)]
-        n = [self.look(x) if x else 0 for x in c]
-        return (min(n), sum(n), len(n)) if n else (0, 0, 0)
-
-    def adapter(self, seq):
-        best = None
-        for cand, (name, adapter, support) in enumerate(self.adapters):
-            for start in range(max(0, len(seq) - max(28, len(adapter))), len(seq)):
-                n = min(len(seq) - start, len(adapter))
-                if n < 8 or len(adapter) < 8:
-                    continue
-                same = sum(a == b for a, b in zip(seq[start:], adapter))
-                if (n - same) * 100 > n * 15:
-                    continue
-                key = (4 * same - 3 * (n - same) + n + support, -start, -cand)
-                if best is None or key > best[0]:
-                    best = (key, name, start)
-        return best and best[1:]
+        """(least, total) over the windows that hold a position, and how many they are."""
+        found = [self.look(c) if (c := canonical(seq[i : i + self.k])) else 0 for i in range(len(seq) - self.k + 1) if i <= at < i + self.k]
+        return (min(found, default=0), sum(found)), len(found)
+
+    def adapter_start(self, seq):
+        hits = []
+        for order, (_, adapter, support) in enumerate(self.adapters):
+            for over in range(8, max(28, len(adapter)) + 1):
+                n = min(over, len(adapter))
+                same = sum(a == b for a, b in zip(seq[len(seq) - over :], adapter, strict=False))
+                if over <= len(seq) and len(adapter) >= 8 and 100 * (n - same) <= 15 * n:
+                    hits.append(((8 * same - 3 * n + n - same + support, over - len(seq), -order), len(seq) - over))
+        return max(hits)[1] if hits else None
+
+    def substituted(self, seq, at, quality):
+        """The sequence with another base at a position, or None."""
+        now, windows = self.support(seq, at)
+        if not windows or quality > self.q + 5 or (quality >= self.q and now[0] >= self.floor):
+            return None
+        tries = [(self.support(new, at)[0], new) for new in (seq[:at] + b + seq[at + 1 :] for b in "ACGT") if new != seq]
+        value, new = earliest_best(tries, key=lambda t: t[0])
+        enough = (value[0] >= self.floor and value[0] > now[0]) or value[1] >= now[1] + max(self.floor, 1) * windows
+        return new if value > now and enough else None
+
+    def indel(self, seq, at):
+        """(kind, bases) of the edit of a position, or None."""
+        now, windows = self.support(seq, at)
+        if not windows or now[0] >= self.floor:
+            return None
+
+        def value(edit):
+            kind, bases = edit
+            new = seq[:at] + seq[at + len(bases) :] if kind == "deletion" else seq[:at] + bases + seq[at:]
+            return self.support(new, min(at, len(new) - 1))[0]
+
+        longest = max([n for n in range(1, 6) if at + n <= len(seq) and len(seq) > self.k + (n if n > 1 else 0)], default=0)
+        tries = [("deletion", seq[at : at + n]) for n in range(1, longest + 1)] + [("insertion", b) for b in "ACGT"]
+        best = earliest_best([t for t in tries if value(t) > now], value)
+        while best and best[0] == "insertion" and len(best[1]) < 5:
+            longer = earliest_best([t for t in (("insertion", best[1] + b) for b in "ACGT") if value(t) > value(best)], value)
+            if not longer:
+                break
+            best = longer
+        return best if best and value(best)[0] >= 2 * self.floor else None
 
     def process(self, seq, qual, parity=True):
-        seq, q = list(seq), [max(ord(c) - 33, 0) for c in qual]
-        hit = self.adapter("".join(seq))
-        limit = hit[1] if hit else len(seq)
+        quality = [max(ord(c) - 33, 0) for c in qual]
+        hit = self.adapter_start(seq)
+        limit = len(seq) if hit is None else hit
         positions, indels = [], []
-        for at in range(min(limit, len(seq))):
-            now = self.support("".join(seq), at)
-            if not now[2] or not (q[at] < self.q or (q[at] <= self.q + 5 and now[0] < self.floor)):
-                continue
-            own, best, pick = seq[at], now, seq[at]
-            for b in "ACGT":
-                if b != own:
-                    seq[at] = b
-                    s = self.support("".join(seq), at)
-                    if s[0] > best[0] or (s[0] == best[0] and s[1] > best[1]):
-                        best, pick = s, b
-            seq[at] = own
-            if pick != own and ((best[0] >= self.floor and best[0] > now[0]) or best[1] >= now[1] + max(self.floor, 1) * max(now[2], 1)):
-                seq[at] = pick
+        for at in range(limit):
+            new = self.substituted(seq, at, quality[at])
+            if new:
+                seq = new
                 positions.append(at)
-        at, used = 0, None
+        at = 0
         while at < min(limit, len(seq)):
-            text = "".join(seq)
-            now = self.support(text, at)
-            if not (now[2] and now[0] < self.floor and q[at] < self.q) or used == at // 50:
+            free = quality[at] < self.q and all(before // 50 != at // 50 for before, _, _ in indels[-1:])
+            edit = self.indel(seq, at) if free else None
+            if edit is None:
                 at += 1
                 continue
-            best, found = now, None
-
-            def offer(s, what):
-                nonlocal best, found
-                if s[0] > best[0] or (s[0] == best[0] and s[1] > best[1]):
-                    best, found = s, what
-                    return True
-                return False
-
-            if len(seq) > self.k:
-                rest = text[:at] + text[at + 1 :]
-                offer(self.support(rest, min(at, len(rest) - 1)), ("deletion", text[at]))
-            for n in range(2, 6):
-                if at + n > len(seq) or len(seq) <= n + self.k:
-                    break
-                rest = text[:at] + text[at + n :]
-                offer(self.support(rest, min(at, len(rest) - 1)), ("deletion", text[at : at + n]))
-            for b in "ACGT":
-                offer(self.support(text[:at] + b + text[at:], at), ("insertion", b))
-            if found and found[0] == "insertion":
-                for _ in range(4):
-                    start, grew = found[1], False
-                    for b in "ACGT":
-                        grew |= offer(self.support(text[:at] + start + b + text[at:], at), ("insertion", start + b))
-                    if not grew:
-                        break
-            if not found or best[0] < 2 * self.floor:
-                at += 1
-                continue
-            used, n = at // 50, len(found[1])
-            indels.append((at, *found))
-            if found[0] == "deletion":
-                del seq[at : at + n], q[at : at + n]
-            else:
-                seq[at:at], q[at:at] = list(found[1]), [30] * n
-                at += n + 1
-        cut = limit if parity or hit else len(seq)
-        end = min(cut, len(q))
-        while end > 0 and q[end - 1] + 2 < self.q:
-            end -= 1
-        if min(cut, len(q)) - end >= 3:
-            cut = end
-        trimmed = max(0, len(seq) - cut)
-        seq, q = seq[:cut], q[:cut]
-        if self.graph and parity:
-            self.regions(seq, q, positions)
-        return "".join(seq), "".join(chr(33 + x) for x in q), positions, indels, trimmed
-
-    def path(self, start, end, length, branches):
-        best, stack, pops = None, [(start, "", 10**12)], 0
-        while stack and pops < 1000:
-            pops += 1
-            node, labels, least = stack.pop()
-            if len(labels) == length:
-                if node == end and (best is None or least > best[1]):
-                    best = (labels, least)
-                continue
-            for dst, label, n in sorted(self.graph.get(node, []), key=lambda e: -e[2])[:branches]:
-                stack.append((dst, labels + label, min(least, n)))
-        return best
-
-    def regions(self, seq, q, positions):
-        limit, i, start, found = len(seq), 0, None, []
-        while i <= limit:
-            low = i < limit and (q[i] if i < len(q) else 0) < self.q
-            if low and start is None:
-                start = i
-            if not low and start is not None:
-                self.region(seq, start, i, found)
-                start = None
-            i += 1
-        positions.extend(p for n, p in enumerate(found) if p not in positions and p not in found[:n])
-
-    def region(self, seq, start, end, found):
-        n, k = end - start, self.k
-        if not 2 <= n <= 10 or start < k - 1 or end + k - 1 > len(seq):
-            return
-        before, after = "".join(seq[start - k + 1 : start]), "".join(seq[end : end + k - 1])
-        if any(b not in COMP for b in before + after):
+            kind, bases = edit
+            n = len(bases)
+            indels.append((at, kind, bases))
+            inserted = kind == "insertion"
+            seq = seq[:at] + (bases + seq[at:] if inserted else seq[at + n :])
+            quality = quality[:at] + ([30] * n + quality[at:] if inserted else quality[at + n :])
+            at += n + 1 if inserted else 0
+        end = limit if parity or hit is not None else len(seq)
+        kept = quality[:end]
+        poor = next((i for i, x in enumerate(reversed(kept)) if x + 2 >= self.q), len(kept))
+        if poor >= 3:
+            end = len(kept) - poor
+        trimmed, seq, quality = max(0, len(seq) - end), seq[:end], quality[:end]
+        if self.edges and parity:
+            low = [(quality[i] if i < len(quality) else 0) < self.q for i in range(len(seq))]
+            at = 0
+            for poor, run in groupby(low):
+                n = len(list(run))
+                new = self.region(seq, at, n) if poor and 2 <= n <= 10 else None
+                if new:
+                    positions += [p for p in (at + j for j, b in enumerate(new) if j >= n or b != seq[at + j]) if p not in positions]
+                    seq = seq[:at] + new + seq[at + n :]
+                at += n
+        return seq, "".join(chr(33 + x) for x in quality), positions, indels, trimmed
+
+    def paths(self, node, length, branches):
+        """(weakest count, labels, last node) of all paths, those over later edges first."""
+        if not length:
+            yield float("inf"), "", node
             return
-        best = self.path(before, after, n, 4)
-        for d in range(1, min(5, n - 1) + 1):
-            for length in (n - d, n + d):
-                other = self.path(before, after, length, 3) if length <= 15 else None
-                if other and other[1] > (best[1] if best else 0):
-                    best = other
-        if best and best[0] != "".join(seq[start:end]):
-            old = seq[start:end]
-            seq[start:end] = list(best[0])
-            found.extend(start + j for j, b in enumerate(best[0]) if j >= len(old) or b != old[j])
+        for n, label, target in reversed(self.edges.get(node, [])[:branches]):
+            for weakest, labels, last in self.paths(target, length - 1, branches):
+                yield min(n, weakest), label + labels, last
+
+    def region(self, seq, start, n):
+        """Bases that fit better between the anchors of a region, or None."""
+        side = self.k - 1
+        before, after = seq[start - side : start] if start >= side else "", seq[start + n : start + n + side]
+        if len(before) < side or len(after) < side or set(before + after) - set("ACGT"):
+            return None
+        lengths = [n] + [m for d, sign in product(range(1, min(5, n - 1) + 1), (-1, 1)) if (m := n + sign * d) <= 15]
+        found = [(weakest, labels) for m in lengths for weakest, labels, last in self.paths(before, m, 4 if m == n else 3) if last == after]
+        best = earliest_best(found, key=lambda f: f[0])
+        return best[1] if best and best[1] != seq[start : start + n] else None
