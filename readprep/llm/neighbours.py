@@ -331,9 +331,9 @@ def entries(table: DataFrame, n: int, longest: float) -> DataFrame:
     banded = table.select("id", "vector", length.alias("length")).withColumn("band", F.coalesce(band, F.lit(BANDS - 1)))
     most = max(ENTRIES, math.isqrt(n))
     banded = banded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))  # a band may hold most rows
-    for keys in (["band", "salt"], ["band"]):
+    for keys, kept in ((["band", "salt"], most // 32 + 16), (["band"], most)):  # dealt evenly, a part has few of the longest
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("length"), "id"))
-        banded = banded.withColumn("place", place).where(F.col("place") <= most)
+        banded = banded.withColumn("place", place).where(F.col("place") <= kept)
     return banded.select("id", "vector")
 
 
