@@ -200,6 +200,9 @@ def adapter_candidates(reads: DataFrame) -> DataFrame:
     return known.unionByName(found).select(place.alias("place"), "name", "sequence", "support", "score")
 
 
+# The weights and thresholds of the next four functions.
+
+
 def rna_evidence(poly, lead, dup, gc, diversity):
     """Evidence for transcripts between 0 and 1."""
     p, b, d, g, v = ramp(poly, 0.05, 0.20), ramp(lead, 0.03, 0.10), ramp(dup, 0.08, 0.25), ramp(gc, 0.02, 0.08), ramp(1 - diversity, 0.05, 0.30)
