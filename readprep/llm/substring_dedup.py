@@ -9,7 +9,9 @@ kind is reported with its place.
 A first pass counts minimisers, which cuts and balances the second: super-k-mers whose minimiser occurs once can't repeat
 and stay at home (a bitmap of fixed size tells most of them), and the windows of a minimiser with very many super-k-mers
 (a line that a large part of the corpus shares) are dealt by their own content instead. Before travelling, equal
-super-k-mers of a batch are reduced to the earliest; the others are covered as a whole and need no bucket.
+super-k-mers of a batch are reduced to the earliest; the others are covered as a whole and need no bucket. A task also
+remembers the hot windows it sent and sends one again only from an earlier place, so the bucket of a line that a third of
+all documents share gets about a row from each task, a partial minimum, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ WINDOW = 20
 MINIMISER = 8
 #: Bits of the filter for repeated minimisers; its size doesn't depend on the input, only how much it keeps at home.
 FILTER_BITS = 1 << 27
-#: A minimiser is hot from this many super-k-mers on, and from this share of all; so there are at most 1/HOT_SHARE.
-HOT_COUNT, HOT_SHARE = 2000, 1 / 5000
+#: A minimiser is hot from this many super-k-mers on, and from this share of all; so at most 1/HOT_SHARE are (32 MB of
+#: keys), and no other bucket holds more than that share.
+HOT_COUNT, HOT_SHARE = 2000, 2.0**-22
+#: Hot windows that a task remembers as sent. One that it forgets is sent again, which costs a row and changes nothing.
+SENT = 1 << 15
 #: Windows in one packed string at most; a longer run goes on in another string to the same bucket.
 RUN = 4096
 _BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
@@ -137,11 +142,29 @@ def _earliest(groups: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) ->
     return order, first
 
 
+def _unsent(items: tuple[np.ndarray, ...], sent: tuple[np.ndarray, ...], single_from: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """As _earliest, among the items (a, b, doc, text, place) and what was sent; and what is sent by now.
+
+    Items from single_from on are hot windows, which are remembered.
+    """
+    n = len(items[0])
+    every = tuple(np.concatenate(x) for x in zip(items, sent, strict=True))
+    order, first = _earliest(every[:2], every[2:])
+    head = np.ones(len(order), bool)
+    head[1:] = (every[0][order][1:] != every[0][order][:-1]) | (every[1][order][1:] != every[1][order][:-1])
+    held = order[head & (order >= single_from)]
+    if len(held) > SENT:  # rather those of this batch
+        held = held[np.argsort(held >= n, kind="stable")][:SENT]
+    own = order < n
+    return order[own], first[own], tuple(x[held] for x in every)
+
+
 def _depart(window: int, minimiser: int, repeated, hot: np.ndarray):
     """Packs what may repeat. Rows without packed text report windows that are known to start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(repeated.value, np.uint8)
+        sent = tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64))  # a, b, doc, text, place
         for batch in bytetext.regroup(batches):
             doc_id, text_key = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy()
             for lo, hi in bytetext.row_slices(batch["text"]):
@@ -151,6 +174,7 @@ def _depart(window: int, minimiser: int, repeated, hot: np.ndarray):
                 stays = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 0
                 go = np.flatnonzero(~stays)
                 row, start, stop, key = row[go], start[go], stop[go], key[go]
+                single_from = len(row)
                 if len(hot) and len(key):
                     at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                     is_hot = hot[at] == key
@@ -158,6 +182,7 @@ def _depart(window: int, minimiser: int, repeated, hot: np.ndarray):
                         n = (stop - start)[is_hot]
                         single = np.repeat(start[is_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         content, _ = lanes(w.hash, single, single + window)
+                        single_from = int((~is_hot).sum())
                         row = np.concatenate([row[~is_hot], np.repeat(row[is_hot], n)])
                         key = np.concatenate([key[~is_hot], content])
                         start, stop = np.concatenate([start[~is_hot], single]), np.concatenate([stop[~is_hot], single + 1])
@@ -165,7 +190,7 @@ def _depart(window: int, minimiser: int, repeated, hot: np.ndarray):
                     continue
                 a, b = lanes(w.hash, start, stop + window - 1)
                 doc, text, place = doc_id[lo + row], text_key[lo + row], start - w.first[row]
-                order, first = _earliest((a, b), (doc, text, place))
+                order, first, sent = _unsent((a, b, doc, text, place), sent, single_from)
                 packed = _pack(w, start[order], stop[order] + window - 2, first)
                 bucket = np.where(first, key[order].view(np.int64), doc[order])
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), packed, pa.array(doc[order]), pa.array(text[order]), pa.array(place[order]), pa.array((stop - start)[order])], schema=_TRAVEL_ARROW)
@@ -322,7 +347,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     counts = cut(known.select("text").mapInArrow(_count(window, minimiser), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = np.array(sorted(int(r.key) % 2**64 for r in counts.where(F.col("n") > max(hot_count, int(total * HOT_SHARE))).select("key").collect()), U64)
+    hot = np.sort(counts.where(F.col("n") > max(hot_count, int(total * HOT_SHARE))).select("key").toArrow()["key"].to_numpy().view(U64))
     repeated = spark.sparkContext.broadcast(_bitmap(counts))
 
     travel = known.mapInArrow(_depart(window, minimiser, repeated, hot), _TRAVEL)

@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from readprep.llm import bytetext
 from readprep.llm import substring_dedup as S
 
 
@@ -74,3 +76,38 @@ def test_window_minima():
         for i in range(len(v) - width + 1):
             part = v[i : i + width]
             assert low[i] == part.min() and twice[i] == ((part == part.min()).sum() > 1)
+
+
+class Value:
+    def __init__(self, value):
+        self.value = value
+
+
+def depart(rows):
+    """Travelling rows of one task that finds every minimiser repeated and hot."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in rows], "text_key": [0] * len(rows), "text": [t for _, t in rows]})
+    hot = np.unique(S.super_kmers(bytetext.words(batch["text"]))[3])
+    return pa.Table.from_batches(S._depart(20, 8, Value(b"\xff" * (S.FILTER_BITS // 8)), hot)([batch]), S._TRAVEL_ARROW)
+
+
+@pytest.mark.parametrize("sent", [S.SENT, 7, 0])
+def test_hot_windows_batch_by_batch(monkeypatch, sent):
+    monkeypatch.setattr(bytetext, "row_slices", lambda column: ((i, i + 1) for i in range(len(column))))
+    monkeypatch.setattr(S, "SENT", sent)
+    rows = corpus(11)
+    random.Random(2).shuffle(rows)
+    travel = depart(rows).sort_by("bucket")
+    gone = {d: set() for d, _ in rows}
+    for ranges in S._arrive(20)(iter(travel.to_batches())):
+        for r in ranges.to_pylist():
+            gone[r["doc_id"]].update(range(r["from_word"], r["to_word"]))
+    assert sorted((d, len(x)) for d, x in gone.items()) == sorted((d, n) for d, _, n, _ in brute(rows, 20))
+
+
+def test_a_task_sends_a_shared_line_once(monkeypatch):
+    monkeypatch.setattr(bytetext, "row_slices", lambda column: ((i, i + 1) for i in range(len(column))))
+    line = " ".join(f"w{i}" for i in range(20))
+    rows = [(d, line) for d in range(50)]
+    assert depart(rows)["packed"].null_count == 49
+    # from the other end every document is the earliest so far, and all of them arrive
+    assert depart(rows[::-1])["packed"].null_count == 0
