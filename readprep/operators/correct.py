@@ -12,8 +12,10 @@ evidence. Regions of 2 to 10 low qualities are then replaced by the best path of
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,16 @@ from pyspark.sql import functions as F
 
 from readprep.functions.packed import characters
 from readprep.operators import spectrum as S
+from readprep.operators.shared import share
 
 GRACE = 5
 LONGEST_INDEL, INDEL_BUCKET, INSERTED_QUALITY = 5, 50, 30
 REGION = (2, 10)
 POPS, BRANCHES, BRANCHES_OTHER = 1000, 4, 3
-#: Distinct k-mers up to which a spectrum is broadcast: 32 bytes a trusted one and some 10 counters a k-mer.
-MOST_KMERS = 64_000_000
+#: Bytes of a piece of the counting filter, of two counters each; a k-mer has some 10 counters.
+PIECE = 1 << 26
+#: K-mers that come to the driver at once.
+PORTION = 1 << 20
 #: Bases of the matrix that is worked through at once, and places of an indel that are tried at once.
 CELLS, PLACES = 1 << 20, 1 << 15
 U64, I64 = np.uint64, np.int64
@@ -41,59 +46,89 @@ _LETTER = np.frombuffer(b"ACGTNN", np.uint8)
 
 
 class Table:
-    """Values of distinct keys (0 or more), looked up many at a time: open addressing in two arrays, at most half full."""
+    """Values of distinct keys (0 or more) under 2**width, looked up many at a time.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -2, I64), np.zeros(1 << self.bits, I64)
-        rest, slot = np.arange(len(keys)), self._slot(keys)
-        while len(rest):
-            free = self.keys[slot] == -2
-            self.keys[slot[free]] = keys[rest[free]]
-            placed = self.keys[slot] == keys[rest]
-            self.values[slot[placed]] = values[rest[placed]]
-            rest, slot = rest[~placed], self._next(slot[~placed])
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(U64) * U64(0x9E3779B97F4A7C15) >> U64(64 - self.bits)).astype(I64)
+    Keys are mixed by an odd factor modulo 2**width and sorted; the high bits of a mixed key name a bucket of one or two
+    entries, and of the rest only the low bits are kept.
+    """
 
-    def _next(self, slot: np.ndarray) -> np.ndarray:
-        return slot + 1 & (1 << self.bits) - 1
+    def __init__(self, keys: np.ndarray, values: np.ndarray, width: int, spark: SparkSession | None = None):
+        bits = min(max(len(keys).bit_length() - 1, 1), width)
+        self.width, self.rest = width, width - bits
+        mixed = self._mixed(keys)
+        order = np.argsort(mixed, kind="stable")
+        mixed, values = mixed[order], values[order]
+        del order
+        small = np.uint16 if self.rest <= 16 else np.uint32 if self.rest <= 32 else U64
+        self.first = share(spark, np.searchsorted(mixed, np.arange((1 << bits) + 1, dtype=U64) << U64(self.rest)).astype(np.uint32 if len(keys) < 1 << 32 else I64))
+        self.low = share(spark, (mixed & U64((1 << self.rest) - 1)).astype(small))
+        self.values = share(spark, values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else I64))
+
+    def _mixed(self, keys: np.ndarray) -> np.ndarray:
+        return keys.astype(U64) * U64(0x9E3779B97F4A7C15) & U64((1 << self.width) - 1)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key, -1 for those that aren't there."""
-        out, rest, slot, wanted = np.full(len(keys), -1, I64), np.arange(len(keys)), self._slot(keys), keys
+        first, low, values = self.first.array, self.low.array, self.values.array
+        out, mixed = np.full(len(keys), -1, I64), self._mixed(keys)
+        bucket = (mixed >> U64(self.rest)).astype(I64)
+        at, end, wanted = first[bucket].astype(I64), first[bucket + 1].astype(I64), (mixed & U64((1 << self.rest) - 1)).astype(low.dtype)
+        rest = np.flatnonzero((at < end) & (keys >= 0))
+        at, end, wanted = at[rest], end[rest], wanted[rest]
         while len(rest):
-            here = self.keys[slot]
+            here = low[at]
             same = here == wanted
-            out[rest[same]] = self.values[slot[same]]
-            more = ~same & (here != -2)
-            rest, slot, wanted = rest[more], self._next(slot[more]), wanted[more]
+            out[rest[same]] = values[at[same]]
+            at += 1
+            more = (here < wanted) & (at < end)
+            rest, at, end, wanted = rest[more], at[more], end[more], wanted[more]
         return out
 
 
+class Filter:
+    """The counters of S.bloom(), two to a byte, in pieces."""
+
+    def __init__(self, counters: np.ndarray, spark: SparkSession | None = None):
+        self.slots, self.piece, self.parts = len(counters), PIECE, []
+        for lo in range(0, len(counters), 2 * self.piece):
+            part = np.asarray(counters[lo : lo + 2 * self.piece])
+            low, high = part[0::2], part[1::2]
+            packed = low.copy()
+            packed[: len(high)] |= high << 4
+            self.parts.append(share(spark, packed))
+
+    def at(self, slot: np.ndarray) -> np.ndarray:
+        byte = slot >> 1
+        if len(self.parts) == 1:
+            both = self.parts[0].array[byte]
+        else:
+            both, part = np.zeros(len(slot), np.uint8), byte // self.piece
+            for i in range(len(self.parts)):
+                own = np.flatnonzero(part == i)
+                both[own] = self.parts[i].array[byte[own] - i * self.piece]
+        return both >> ((slot & 1) << 2).astype(np.uint8) & 15
+
+
 @dataclass
 class Spectrum:
-    """Trusted counts by sorted key, a counting filter for all others (or none), and the De Bruijn edges of the trusted."""
+    """Trusted counts by key, a counting filter for all others (or none); the trusted are the De Bruijn graph's edges.
+
+    An edge leads from the first k - 1 bases of a k-mer to the last. Made for a session, its arrays are shared by
+    broadcasts, so it travels within the functions that use it and must not be broadcast itself.
+    """
 
     k: int
     floor: int
-    keys: np.ndarray
-    counts: np.ndarray
-    counters: np.ndarray | None = None
+    keys: InitVar[np.ndarray]
+    counts: InitVar[np.ndarray]
+    counters: Filter | None = None
     hashes: int = 0
     graph: bool = False
+    spark: InitVar[SparkSession | None] = None
     table: Table = field(init=False, repr=False)
 
-    def __post_init__(self):
-        self.table = Table(self.keys, self.counts)
-        if self.graph:  # an edge leads from the first k - 1 bases to the last; of a node the strongest edges come first
-            order = np.lexsort((self.keys & 3, -self.counts, self.keys >> 2))
-            edges, self.strength = self.keys[order], self.counts[order]
-            source, self.target, self.label = edges >> 2, edges & ((1 << 2 * (self.k - 1)) - 1), edges & 3
-            first = np.flatnonzero(np.append(True, source[1:] != source[:-1])) if len(source) else np.zeros(0, I64)
-            self.first = np.append(first, len(source))
-            self.nodes = Table(source[first], np.arange(len(first)))
+    def __post_init__(self, keys: np.ndarray, counts: np.ndarray, spark: SparkSession | None):
+        self.table = Table(keys, counts, 2 * self.k, spark)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of canonical codes: exact if trusted, else the filter's, else 0; -1 (an unknown base) counts 0."""
@@ -102,7 +137,7 @@ class Spectrum:
             rest = np.flatnonzero((found < 0) & (keys >= 0))
             raw, least = keys[rest].astype(U64), np.full(len(rest), S.CEILING, I64)
             for seed in range(self.hashes):  # most absent keys meet an empty counter soon
-                least = np.minimum(least, self.counters[S.slots_of(raw, seed, len(self.counters))])
+                least = np.minimum(least, self.counters.at(S.slots_of(raw, seed, self.counters.slots)))
                 there = least > 0
                 rest, raw, least = rest[there], raw[there], least[there]
                 if not len(rest):
@@ -110,11 +145,19 @@ class Spectrum:
             found[rest] = least
         return np.maximum(found, 0)
 
+    def edges(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many, labels, counts) of the edges of nodes, four columns, of which the strongest edges come first."""
+        strength = self.table.find((nodes[:, None] << 2 | np.arange(4)).reshape(-1)).reshape(-1, 4)
+        label = np.argsort(-strength, 1, kind="stable")
+        return (strength >= 0).sum(1), label, np.take_along_axis(strength, label, 1)
+
+    def target(self, nodes: np.ndarray, label: np.ndarray) -> np.ndarray:
+        return (nodes << 2 | label) & (1 << 2 * (self.k - 1)) - 1
+
     def edges_from(self, node: int) -> list[tuple[int, int, int]]:
         """(target, label, count) of a node's edges, the strongest first."""
-        at = int(self.nodes.find(np.array([node], I64))[0])
-        own = slice(self.first[at], self.first[at + 1]) if at >= 0 else slice(0)
-        return list(zip(self.target[own].tolist(), self.label[own].tolist(), self.strength[own].tolist(), strict=True))
+        many, label, strength = (x[0] for x in self.edges(np.array([node], I64)))
+        return [(int(self.target(node, x)), x, n) for x, n in zip(label[:many].tolist(), strength[:many].tolist(), strict=True)]
 
 
 @dataclass
@@ -374,15 +417,13 @@ def best_paths(s: Spectrum, start: np.ndarray, end: np.ndarray, wanted: np.ndarr
     states = np.ones(n, I64)
     of, node, weak, code, rank = np.arange(n), start, np.full(n, HUGE, I64), np.zeros(n, I64), np.zeros(n, I64)
     for level in range(1, longest + 1):
-        at = s.nodes.find(node)
-        some = at >= 0
-        of, weak, code, rank, at = of[some], weak[some], code[some], rank[some], at[some]
-        first, many = s.first[at], np.minimum(s.first[at + 1] - s.first[at], branches)
+        many, label, strength = s.edges(node)
+        many = np.minimum(many, branches)
         up = np.repeat(np.arange(len(of)), many)
         child = np.arange(len(up)) - np.repeat(np.cumsum(many) - many, many)
-        edge = first[up] + child
-        of, node, weak = of[up], s.target[edge], np.minimum(weak[up], s.strength[edge])
-        code, rank = code[up] << 2 | s.label[edge], rank[up] << 2 | child
+        label = label[up, child]
+        of, node, weak = of[up], s.target(node[up], label), np.minimum(weak[up], strength[up, child])
+        code, rank = code[up] << 2 | label, rank[up] << 2 | child
         states += np.bincount(of, minlength=n)
         for i in np.flatnonzero((states > POPS) & wanted[:, level]).tolist():
             path = best_path(s.edges_from, int(start[i]), int(end[i]), level, branches)
@@ -562,11 +603,10 @@ def _process(codes, ends, marks, q_ends, rows, start, min_quality, s, parity, in
 _OUT = "read_ix long, header string, sequence string, qualities string, corrected_positions array<int>, indels array<struct<position: int, kind: string, bases: string>>, trimmed_bases long, trimmed_adapter string"
 
 
-def _run(shared, min_quality: int, parity: bool, indels: bool):
+def _run(s: Spectrum, min_quality: int, parity: bool, indels: bool):
     schema = pa.schema([("read_ix", pa.int64()), *((n, pa.string()) for n in ("header", "sequence", "qualities")), ("corrected_positions", pa.list_(pa.int32())), ("indels", pa.list_(_INDEL)), ("trimmed_bases", pa.int64()), ("trimmed_adapter", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s: Spectrum = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -577,23 +617,48 @@ def _run(shared, min_quality: int, parity: bool, indels: bool):
     return run
 
 
+def _portions(most: int):
+    """Rows (kmer, cnt) to rows of up to so many k-mers as bytes."""
+    schema = pa.schema([("kmers", pa.binary()), ("counts", pa.binary())])
+
+    def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        parts = [np.concatenate([b[c].to_numpy() for b in held]).astype(I64).tobytes() for c in ("kmer", "cnt")]
+        return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if held and n + batch.num_rows > most:
+                yield row(held)
+                held, n = [], 0
+            held, n = [*held, batch], n + batch.num_rows
+        if n:
+            yield row(held)
+
+    return run
+
+
 def collect_spectrum(counts: DataFrame, k: int, floor: int, hybrid: bool = True, graph: bool = True) -> Spectrum:
-    """Trusted k-mers, the filter and the graph as arrays at the driver, to be broadcast.
+    """Trusted k-mers and the filter of all as arrays that workers map.
 
-    Their size is checked first: a spectrum of more than MOST_KMERS distinct k-mers raises, with the advice to raise the
-    floor or correct by parts of the study, each with its own spectrum.
+    The counts come to the driver in portions, a partition at a time. The filter is filled in a file, and only the trusted
+    k-mers, two longs each, are held in memory, so the number of distinct k-mers is bounded by the driver's disk alone.
     """
-    shape = S.bloom_shape(counts).first()
-    unique = counts.count()
-    if unique > MOST_KMERS:
-        raise ValueError(f"{unique} distinct k-mers are more than the {MOST_KMERS} that are broadcast; correct by parts, or count with a higher min_quality")
-    table = counts.select("kmer", "cnt").toArrow()  # two longs a k-mer, fewer than the slots of its filter
-    every, number = table["kmer"].to_numpy(), table["cnt"].to_numpy()
-    kept = np.flatnonzero(number >= floor)
-    kept = kept[np.argsort(every[kept])]
-    keys, cnt = every[kept], number[kept]
-    counters = S.counters(every, number, shape.slots, shape.hashes) if hybrid else None
-    return Spectrum(k, floor, keys, cnt, counters, shape.hashes, graph)
+    spark, shape = counts.sparkSession, S.bloom_shape(counts).first()
+    keys, cnt = [np.zeros(0, I64)], [np.zeros(0, I64)]
+    with tempfile.TemporaryDirectory(prefix="readprep-filter-") as folder:
+        counters = np.memmap(os.path.join(folder, "counters"), np.uint8, "w+", shape=(shape.slots,)) if hybrid else None
+        for row in counts.select("kmer", "cnt").mapInArrow(_portions(PORTION), "kmers binary, counts binary").toLocalIterator(prefetchPartitions=True):
+            every, number = np.frombuffer(row.kmers, I64), np.frombuffer(row.counts, I64)
+            kept = number >= floor
+            keys.append(every[kept])
+            cnt.append(number[kept])
+            if hybrid:
+                S.add_to_counters(counters, every, number, shape.hashes)
+        filter_ = Filter(counters, spark) if hybrid else None
+        del counters
+    keys, cnt = np.concatenate(keys), np.concatenate(cnt)
+    return Spectrum(k, floor, keys, cnt, filter_, shape.hashes, graph, spark)
 
 
 def process_reads(hits: DataFrame, s: Spectrum, min_quality: int, parity: bool = False, indels: bool = True) -> DataFrame:
@@ -602,12 +667,10 @@ def process_reads(hits: DataFrame, s: Spectrum, min_quality: int, parity: bool =
     Reads whose qualities are all beyond the minimum by more than the grace can't be edited or trimmed at the tail; they
     are cut at the adapter in Spark and never enter Python.
     """
-    spark: SparkSession = hits.sparkSession
-    shared = spark.sparkContext.broadcast(s)
     hits = hits.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("sequence", "qualities")})  # a missing quality is the poorest
     weak = (F.length("qualities") < F.length("sequence")) | F.col("qualities").rlike("[\\x{0}-\\x{%x}]" % (33 + min_quality + GRACE))
     names = ["read_ix", "header", "sequence", "qualities", "adapter_start", "adapter_name"]
-    edited = hits.where(weak).select(*names).mapInArrow(_run(shared, min_quality, parity, indels), _OUT)
+    edited = hits.where(weak).select(*names).mapInArrow(_run(s, min_quality, parity, indels), _OUT)
     cut = F.coalesce("adapter_start", F.length("sequence"))
     empty = "cast(array() as array<int>) as corrected_positions", "cast(array() as array<struct<position: int, kind: string, bases: string>>) as indels"
     sound = hits.where(~weak).withColumns({"n": F.length("sequence"), "sequence": F.substring("sequence", F.lit(1), cut), "qualities": F.substring("qualities", F.lit(1), cut)})

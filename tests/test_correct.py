@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from readprep.operators import correct as C
 from readprep.operators import spectrum as S
@@ -81,6 +83,29 @@ def test_hybrid_lookup_matches_the_filter(spark):
     assert all(got[x] >= min(exact[x], 15) for x in exact)
 
 
+def test_spectrum_in_pieces_is_mapped_and_not_held_by_the_driver(spark, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(C, "PIECE", 1 << 18)
+    n = 2_000_000
+    counts = spark.range(n).selectExpr("id * 7919 as kmer", "1 + id % 5 as cnt").persist()
+    counts.count()
+    tracemalloc.start()
+    s = collect_spectrum(counts, 17, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(s.counters.parts) > 30 and peak < 60_000_000
+    keys = np.arange(n) * 7919
+    got = s.count(keys)
+    assert (got[4::5] == 5).all() and (got >= 1 + np.arange(n) % 5).all()
+    assert (s.count(keys + 1) > 0).mean() < 0.02
+    mapped = s.counters.parts[3].array.base
+    assert isinstance(mapped if isinstance(mapped, np.memmap) else mapped.base, (np.memmap, __import__("mmap").mmap))
+    # workers have the same values as the driver
+    told = spark.range(1000).repartition(3).select((F.col("id") * 7919).alias("id")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b["id"], pa.array(s.count(b["id"].to_numpy()))], names=["id", "n"]) for b in batches), "id long, n long")
+    assert {r.id: r.n for r in told.collect()} == dict(zip(keys[:1000].tolist(), got[:1000].tolist(), strict=True))
+
+
 def test_default_mode_keeps_lengths_equal(spark):
     rows = damaged_reads(4)
     df = spark.createDataFrame(rows, "read_ix long, header string, sequence string, qualities string")
