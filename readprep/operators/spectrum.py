@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readprep.functions import canonical, code, is_dna
-from readprep.functions.packed import aligned, backward_codes, characters, forward_codes, window_starts
+from readprep.functions import is_dna
+from readprep.functions.packed import aligned, backward_codes, characters, forward_codes, places, window_starts
+from readprep.operators import keyed
 from readprep.operators.profile import walked
 
 #: Fixed values of the slot hash.
@@ -71,8 +73,12 @@ def _count(k: int, min_quality: int):
 
 def kmer_counts(reads: DataFrame, k: int, min_quality: int = 0) -> DataFrame:
     """(kmer, cnt): canonical k-mers of windows() by code."""
-    found = reads.select("sequence", "qualities").mapInArrow(_count(checked(k), min_quality), "kmer long, cnt long")
-    return found.groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    k, rows = checked(k), reads.select("sequence", "qualities")
+    if reads.isStreaming:
+        return rows.mapInArrow(_count(k, min_quality), "kmer long, cnt long").groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    bits = keyed.bucket_bits(reads.sparkSession, 2 * k)
+    found = keyed.packing(lambda b: (canonical_windows(b["sequence"], b["qualities"], k, min_quality), None), 2 * k, bits)
+    return keyed.summed(rows.mapInArrow(found, keyed.PACKED), 2 * k, bits, "kmer", "cnt")
 
 
 def summary(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:
@@ -187,19 +193,121 @@ def hybrid_lookup(keys: DataFrame, trusted_: DataFrame, filter_: DataFrame, shap
     return exact.join(bloom_lookup(keys, filter_, shape), "kmer", "left").select("kmer", F.coalesce("cnt", "estimate", F.lit(0)).cast("long").alias("support"))
 
 
+#: Blocks of reads for each partition of a shuffle, and reads that a task holds before it files them.
+BLOCKS, HELD = 2, 100_000
+_READ = ["read_ix", "sequence", "qualities"]
+
+
+def in_blocks(reads: DataFrame, k: int) -> DataFrame:
+    """(block, reads): the reads that have a window, as compressed Arrow tables; a block is named by a hash of read_ix."""
+    n = BLOCKS * int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([("block", pa.int64()), ("reads", pa.binary())])
+
+    def filed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        rows = rows.filter(pc.greater_equal(pc.utf8_length(rows["sequence"]), k))
+        block = (keyed.mixed(rows["read_ix"].to_numpy(), 64) >> np.uint64(33)).astype(np.int64) % n
+        order = np.argsort(block, kind="stable")
+        rows, block = rows.take(order).combine_chunks(), block[order]
+        names, first = np.unique(block, return_index=True)
+        raw = []
+        for lo, hi in zip(first.tolist(), [*first.tolist()[1:], len(block)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(lo, hi - lo))
+            raw.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(raw, pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD:
+                yield filed(held)
+                held, size = [], 0
+        if size:
+            yield filed(held)
+
+    return reads.select(*_READ).mapInArrow(run, "block long, reads binary")
+
+
+def of_block(rows: pa.Table) -> pa.Table:
+    """The reads of a block's rows of in_blocks()."""
+    return pa.concat_tables([pa.ipc.open_stream(raw).read_all() for raw in rows["reads"].to_pylist()]).combine_chunks()
+
+
+class Windows:
+    """All windows of k bases of some reads, and their canonical codes, -1 for those with an unknown base."""
+
+    def __init__(self, sequences: pa.Array, k: int):
+        letters, self.ends = characters(sequences)
+        self.k, self.bases = k, _BASE[np.minimum(letters, 255)]
+        self.start = window_starts(np.zeros(len(letters), bool), self.ends, k)
+        known = self.bases & 3
+        self.codes = np.minimum(forward_codes(known, k)[self.start], backward_codes(known, k)[self.start]) if len(self.start) else np.zeros(0, np.int64)
+        odd = np.concatenate([[0], np.cumsum(self.bases > 3)])
+        self.codes[odd[self.start + k] > odd[self.start]] = -1
+
+    def support(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(least, total, windows) over the windows that cover each base."""
+        n, k = len(self.bases), self.k
+        huge = np.iinfo(np.int64).max
+        series, there = np.full(n + k - 1, huge), np.zeros(n + k - 1, np.int64)
+        series[self.start + k - 1], there[self.start + k - 1] = counts, 1
+        least, total, windows = np.full(n, huge), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for j in range(k):  # no window starts in the last k - 1 bases of a read, so none of another read is taken
+            part, own = series[j : j + n], there[j : j + n]
+            np.minimum(least, part, out=least)
+            total += np.where(own > 0, part, 0)
+            windows += own
+        return least, total, windows
+
+
+def window_answers(blocks: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """(block, bucket, n): the counts of the windows of each block's reads, to be read by keyed.told()."""
+    bits = keyed.bucket_bits(blocks.sparkSession, 2 * k)
+
+    def ask(rows: pa.Table) -> pa.Table:
+        return keyed.asked(rows["block"][0].as_py(), Windows(of_block(rows)["sequence"], k).codes, 2 * k, bits)
+
+    wanted = blocks.groupBy("block").applyInArrow(ask, keyed.ASKED)
+    return keyed.answers(wanted, keyed.table(counts, "kmer", "cnt", 2 * k, bits), 2 * k, bits)
+
+
+_SUPPORT = ["read_ix", "pos", "phred", "least", "total", "windows"]
+
+
+def _supported(reads: DataFrame, counts: DataFrame, k: int, wanted: list[str], chosen=None) -> DataFrame:
+    """The wanted columns of all positions, or of those that chosen(phred, least) says."""
+    k = checked(k)
+    blocks = in_blocks(reads, k)
+    schema = pa.schema([(c, pa.int64()) for c in wanted])
+
+    def run(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        rows = of_block(rows)
+        w = Windows(rows["sequence"], k)
+        least, total, windows = w.support(keyed.told(w.codes, answered, 2 * k))
+        phred = np.maximum(aligned(*characters(rows["qualities"]), w.ends).astype(np.int64)[: len(least)] - 33, 0)
+        at = np.flatnonzero(chosen(phred, least)) if chosen else slice(None)
+        made = {"read_ix": np.repeat(rows["read_ix"].to_numpy(), np.diff(w.ends)), "pos": places(w.ends), "phred": phred, "least": least, "total": total, "windows": windows}
+        return pa.Table.from_arrays([pa.array(made[c][at]) for c in wanted], schema=schema)
+
+    answered = window_answers(blocks, counts, k)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, ", ".join(f"{c} long" for c in wanted))
+
+
 def position_support(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     """(read_ix, pos from 0, least, total, windows): counts over the windows that cover a base; unknown k-mers count 0.
 
-    Windows join the counts by code; their counts come back to the read in one row, over which positions slide.
+    Blocks of reads ask for the counts of their distinct windows and get them back packed; positions never are shuffled.
     """
-    k = checked(k)
-    rows = reads.where(F.length("sequence") >= k).select("read_ix", F.length("sequence").alias("n"), F.posexplode(F.expr(f"transform(sequence(1, length(sequence) - {k - 1}), i -> substr(sequence, i, {k}))")).alias("start", "w"))
-    coded = rows.withColumn("kmer", F.when(is_dna(F.col("w")), code(canonical(F.col("w"))))).drop("w")
-    found = coded.join(counts, "kmer", "left").select("read_ix", "n", "start", F.coalesce("cnt", F.lit(0)).alias("cnt"))
-    series = found.groupBy("read_ix", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "cnt"))), lambda x: x["cnt"]).alias("c"))
-    at = series.select("read_ix", "c", F.explode(F.expr("sequence(0, n - 1)")).alias("pos"))
-    cover = at.withColumn("s", F.expr(f"slice(c, greatest(pos - {k - 1}, 0) + 1, least(pos, size(c) - 1) - greatest(pos - {k - 1}, 0) + 1)"))
-    return cover.select("read_ix", F.col("pos").cast("long").alias("pos"), F.array_min("s").alias("least"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("s").cast("long").alias("windows"))
+    return _supported(reads, counts, k, [c for c in _SUPPORT if c != "phred"])
+
+
+def attention(reads: DataFrame, counts: DataFrame, k: int, min_quality: int, floor: int) -> DataFrame:
+    """(read_ix, pos, phred, least, total, windows) of the positions that correction looks at; see trim.attention()."""
+    return _supported(reads, counts, k, _SUPPORT, lambda phred, least: (phred < min_quality) | ((phred <= min_quality + 5) & (least < floor)))
 
 
 def edges(counts: DataFrame, k: int, floor: int) -> DataFrame:

@@ -314,8 +314,7 @@ attention_v as (select read_ix, pos, phred, least, total, windows from possup_v
 
 @query(f"{W}, {KMERS}, {SUPPORT}, {BASES}, {ATTENTION} select read_ix, pos, phred, least, total, windows from attention_v")
 def attention_positions(spark, sf_dir):
-    rows = reads(spark, sf_dir)
-    return T.attention(rows, S.position_support(rows, counts(spark, sf_dir), K), MIN_QUALITY, FLOOR)
+    return S.attention(reads(spark, sf_dir), counts(spark, sf_dir), K, MIN_QUALITY, FLOOR)
 
 
 @query(f"{W}, {KMERS} select kmer >> 2 as src, kmer & {(1 << 2 * (K - 1)) - 1} as dst, kmer & 3 as label, cnt from counts_v where cnt >= {FLOOR}")

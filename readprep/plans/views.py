@@ -39,8 +39,9 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_ix, header, sequence, qualities): the reads of all documents."""
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").repartition(2 * spark.sparkContext.defaultParallelism)
     dna = docs.select("doc_id", F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, BASES).alias("dna")).where("dna <> ''")
-    cut = dna.select("doc_id", "dna", F.explode(F.expr(f"sequence(0, (length(dna) + {READ - 1}) div {READ} - 1)")).alias("ch"))
-    raw = cut.select("doc_id", F.col("ch").cast("long").alias("ch"), F.expr(f"substr(dna, cast(ch * {READ} + 1 as int), {READ})").alias("raw"))
+    # all pieces in one walk over the text: a substr of each would walk to its place, and a row of each would carry the text
+    cut = dna.select("doc_id", F.posexplode(F.expr(f"regexp_extract_all(dna, '.{{1,{READ}}}', 0)")).alias("ch", "raw"))
+    raw = cut.select("doc_id", F.col("ch").cast("long").alias("ch"), "raw")
     tailed = raw.selectExpr(
         "doc_id", "ch",
         f"case when length(raw) >= 56 and (doc_id + ch) % 10 = 0 then substr(raw, 1, 25) || '{UNIVERSAL}' when length(raw) >= 56 and (doc_id + ch) % 5 = 0 then substr(raw, 1, length(raw) - 20) || 'AGATCGGAAGAGCACACGTC' else raw end as s",
