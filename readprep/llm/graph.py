@@ -1,12 +1,18 @@
-"""Connected components of a table of links, by joins alone."""
+"""Connected components of a table of links: at the driver while they are few, by joins alone beyond."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readprep.llm.common import cut
 
+#: Distinct links up to which the driver joins them: two longs each, 8 MB. Rounds of joins over so few would cost hundreds
+#: of tasks and as many shuffle files each.
+FEW = 500_000
+
 
 def _lowest(edges: DataFrame) -> DataFrame:
     """(node, low): the smallest of a node and its neighbours; partial sums make this one row a node and task."""
@@ -17,15 +23,33 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def linked(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes in order, the smallest node that each one reaches) for the links u, v."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))  # a and b are roots: the larger one goes to a smaller one
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return nodes, nodes[root]
+
+
+def components(links: DataFrame, most_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, component) for every node of links (u, v); the component is its smallest node.
 
-    Alternates two star steps: every node hands its larger neighbours, then its smaller ones, to the smallest node it
+    Up to few links are joined at the driver. Of more, this alternates two star steps: every node hands its larger neighbours, then its smaller ones, to the smallest node it
     knows of. Paths shrink geometrically, so rounds grow with the logarithm of the longest path. A node with very many
     links is one large join key, which adaptive execution splits; nothing is gathered per node.
     """
     edges = cut(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
+    if state[0] <= few:
+        rows = edges.toArrow()
+        node, component = linked(rows["u"].to_numpy(), rows["v"].to_numpy())
+        return links.sparkSession.createDataFrame(pa.table({"node": pa.array(node, pa.int64()), "component": pa.array(component, pa.int64())}))
     for _ in range(most_rounds):
         if state[0] == 0:
             break

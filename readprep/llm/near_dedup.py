@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from readprep.llm import bytetext
 from readprep.llm.bytetext import U64, mix64
-from readprep.llm.common import cut, pick, ship, small
+from readprep.llm.common import cut, pick, release, ship, small
 from readprep.llm.graph import components
 
 WORDS = 5
@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried, links = pairs, cut(confirm(pairs, sets, percent).union(_one_document(usable, classes)))
     groups = cut(components(links))
     for step in range(star_rounds):
+        release(spark)
         known = members.join(groups, F.col("id") == F.col("node"), "left").select("band", "id", "n", "bucket", F.coalesce("component", "id").alias("component"))
         split = known.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component", "n"), F.xxhash64("id", F.lit(step + 17))).alias("hub")).where("lo < hi")
         left = cut(hot.join(known, cut(split.select("band", "hub"))))

@@ -77,6 +77,25 @@ def test_components_of_paths_stars_and_rings(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components_of_few_links_take_few_jobs(spark, few):
+    rng = random.Random(5)
+    links = [(rng.randrange(400) - 200, rng.randrange(400) - 200) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1200)] + [(2**62, -(2**62))]
+    best = {n: n for a, b in links if a != b for n in (a, b)}
+    for _ in best:
+        for a, b in links:
+            if a != b:
+                best[a] = best[b] = min(best[a], best[b])
+    tracker, group = spark.sparkContext.statusTracker(), f"components-{few}"
+    spark.sparkContext.setJobGroup(group, group)
+    table = spark.createDataFrame(links, "u long, v long")
+    found = components(table) if few else components(table, few=0)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {x.node: x.component for x in found.collect()} == best
+    assert few == 0 or jobs <= 8  # rounds of joins took 94
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**64, 3000, np.uint64)
