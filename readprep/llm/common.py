@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
@@ -65,12 +64,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files and checkpoints of frames that are gone deleted now, not when the driver's heap happens to fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """A broadcast hint for a table whose counted rows are within the limit, else the table as it is for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from readprep.llm import bytetext
 from readprep.llm.bytetext import U64, mix64
-from readprep.llm.common import cut, pick, release, ship, small
+from readprep.llm.common import cut, pick, ship, small
 from readprep.llm.graph import components
+from readprep.operators.shared import release
 
 WORDS = 5
 PERCENT = 75

@@ -6,6 +6,7 @@ memory of its own, neither at the driver nor in a worker.
 
 from __future__ import annotations
 
+import gc
 import os
 import pickle
 
@@ -52,3 +53,9 @@ class Plain:
 
 def share(spark: SparkSession | None, array: np.ndarray) -> Shared | Plain:
     return Shared(spark, array) if spark else Plain(array)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files and checkpoints of frames that are gone deleted now, not when the driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

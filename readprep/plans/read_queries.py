@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readprep.functions import canonical, code, is_dna
+from readprep.operators import counted as C
 from readprep.operators import profile as P
 from readprep.operators import spectrum as S
 from readprep.operators import trim as T
@@ -433,17 +433,6 @@ bestsub_v as (select * from (select *, row_number() over (partition by read_ix,
   (new_least > least or (new_least = least and new_total > total)) and ((new_least >= {FLOOR} and new_least > least) or new_total >= total + {FLOOR} * windows) as accepted from bestsub_v""")
 def substitution_candidates(spark, sf_dir):
     rows = reads(spark, sf_dir)
-    every = held(counts(spark, sf_dir))
-    weak = T.attention(rows, S.position_support(rows, every, K), MIN_QUALITY, FLOOR)
-    at = weak.join(rows.select("read_ix", "sequence"), "read_ix").withColumn("base", F.explode(F.array(*(F.lit(b) for b in "ACGT")))).where("substr(sequence, cast(pos as int) + 1, 1) <> base")
-    changed = at.withColumn("s", F.expr("concat(substr(sequence, 1, cast(pos as int)), base, substr(sequence, cast(pos as int) + 2))")).drop("sequence")
-    windows = changed.withColumn("start", F.explode(F.expr(f"sequence(greatest(cast(pos as int) - {K - 1}, 0), least(cast(pos as int), length(s) - {K}))")))
-    coded = windows.withColumn("w", F.expr(f"substr(s, start + 1, {K})")).drop("s").withColumn("kmer", F.when(is_dna(F.col("w")), code(canonical(F.col("w"))))).drop("w")
-    cnt = F.coalesce("cnt", F.lit(0))
-    scored = coded.join(every, "kmer", "left").groupBy("read_ix", "pos", "base", "least", "total", "windows").agg(F.min(cnt).alias("new_least"), F.sum(cnt).alias("new_total"))
-    best = scored.groupBy("read_ix", "pos", "least", "total", "windows").agg(F.min_by(F.struct("base", "new_least", "new_total"), F.struct(-F.col("new_least"), -F.col("new_total"), "base")).alias("b")).select("read_ix", "pos", "least", "total", "windows", "b.*")
-    better = (F.col("new_least") > F.col("least")) | ((F.col("new_least") == F.col("least")) & (F.col("new_total") > F.col("total")))
-    enough = ((F.col("new_least") >= FLOOR) & (F.col("new_least") > F.col("least"))) | (F.col("new_total") >= F.col("total") + FLOOR * F.col("windows"))
-    return best.select("read_ix", "pos", "base", "new_least", "new_total", (better & enough).alias("accepted"))
+    return C.substitutions(rows, C.collected(rows, K, MIN_QUALITY - 2), K, MIN_QUALITY, FLOOR)
 
 

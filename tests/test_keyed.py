@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pytest
 
+from readprep.operators import counted as C
 from readprep.operators import keyed
 from readprep.operators import spectrum as S
+from readprep.plans.read_queries import QUERIES
 from tests.model import canonical, count_kmers
 
 SCHEMA = "read_ix long, header string, sequence string, qualities string"
@@ -53,3 +55,43 @@ def test_support_and_attention_match_brute_force_and_shuffle_no_positions(spark,
     assert {tuple(x) for x in S.attention(df, counts, k, q, floor).collect()} == seen
     plan = support._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan  # no row for a window or a position is shuffled
+
+
+@pytest.mark.parametrize("pieces", [1 << 25, 40])
+def test_substitutions_match_brute_force_and_shuffle_nothing(spark, monkeypatch, pieces):
+    monkeypatch.setattr(C, "PIECE", pieces)
+    monkeypatch.setattr(C, "TRIED", 1 << 15 if pieces > 40 else 7)
+    r, k, floor, q = random.Random(4), 7, 3, 20
+    genome = "".join(r.choice("ACGT") for _ in range(150))
+    rows = []
+    for i in range(150):
+        at = r.randrange(100)
+        s = "".join(c if r.random() > 0.03 else r.choice("ACGTNa") for c in genome[at : at + r.randrange(3, 40)])
+        rows.append((i, f"r{i}", s, "".join(chr(33 + r.randrange(5, 41)) for _ in s)))
+    rows += [(200, "x", None, None), (201, "y", "", ""), (202, "z", "ACGTACG", "!!!!!!!"), (203, "u", "ACGTACéGTACGTAA", "+" * 15)]
+    rows += [(300 + i, "m", "ACCAGGTAC", "I" * 9) for i in range(300)] + [(700, "n", "ACCAGGTAC", "IIII!IIII")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    exact = count_kmers([(s, x) for _, _, s, x in rows if s], k, q - 2)
+    table = C.collected(df, k, q - 2)
+    assert max(exact.values()) > 255 and (len(table.pieces) > 1) == (pieces == 40)
+    names = list(exact) + [w for w in ("".join(r.choice("ACGT") for _ in range(k)) for _ in range(3000)) if canonical(w) == w]
+    assert table.find(np.array([number(w) for w in names] + [-1])).tolist() == [exact.get(w, 0) for w in names] + [0]
+    want = set()
+    for i, _, s, x in rows:
+        for p in range(len(s or "") if len(s or "") >= k else 0):
+            starts = range(max(p - k + 1, 0), min(p, len(s) - k) + 1)
+            support = lambda t: [exact.get(canonical(t[j : j + k]), 0) if set(t[j : j + k]) <= set("ACGT") else 0 for j in starts]  # noqa: B023, E731
+            own, phred = support(s), ord(x[p]) - 33
+            if phred < q or (phred <= q + 5 and min(own) < floor):
+                tried = [(-min(n), -sum(n), b) for b in "ACGT" if b != s[p] for n in [support(s[:p] + b + s[p + 1 :])]]
+                least, total, b = min(tried)
+                least, total = -least, -total
+                better = least > min(own) or (least == min(own) and total > sum(own))
+                want.add((i, p, b, least, total, better and ((least >= floor and least > min(own)) or total >= sum(own) + floor * len(own))))
+    got = C.substitutions(df, table, k, q, floor)
+    assert {tuple(x) for x in got.collect()} == want and {x[5] for x in want} == {True, False}
+
+
+def test_substitution_candidates_shuffles_no_window(spark):
+    plan = QUERIES["substitution_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan
