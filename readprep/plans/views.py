@@ -47,14 +47,26 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"case when length(raw) >= 56 and (doc_id + ch) % 10 = 0 then substr(raw, 1, 25) || '{UNIVERSAL}' when length(raw) >= 56 and (doc_id + ch) % 5 = 0 then substr(raw, 1, length(raw) - 20) || 'AGATCGGAAGAGCACACGTC' else raw end as s",
         "cast(211 - (doc_id * 7 + ch * 3) % 211 as int) as n_at",
     )
-    return tailed.selectExpr(
+    # a quality string is one of 36 by place, with a 2 where 53 divides (doc_id * 31 + ch * 17 + i * 7): at i = first, and 53 on
+    known = tailed.selectExpr(
+        "doc_id", "ch", "n_at", "s",
+        "if(doc_id < 0, null, array(" + ", ".join(f'"{_plain(b, c)}"' for b in range(4) for c in range(9)) + ")[cast((doc_id * 3 + ch) % 4 * 9 + (doc_id * 13 + ch * 5) % 9 as int)]) as plain",
+        "cast(53 - (doc_id * 31 + ch * 17) % 53 * 38 % 53 as int) as first",
+    )
+    return known.selectExpr(
         f"doc_id * {SPAN} + ch as read_ix", "concat('d', doc_id, ':', ch) as header",
         "case when n_at <= length(s) then substr(s, 1, n_at - 1) || 'N' || substr(s, n_at + 1) else s end as sequence",
-        """array_join(transform(sequence(1, length(s)), i -> chr(33 + case when (doc_id * 31 + ch * 17 + i * 7) % 53 = 0 then 2
-           else greatest(40 - (i * i) div (300 + 250 * ((doc_id * 3 + ch) % 4)) - (doc_id * 13 + ch * 5 + i * 11) % 9, 2) end)), '') as qualities""",
+        """case when doc_id >= 0 then substr(concat(substr(plain, 1, first - 1), '#', substr(plain, first + 1, 52), '#', substr(plain, first + 54)), 1, length(s)) else
+           array_join(transform(sequence(1, length(s)), i -> chr(33 + case when (doc_id * 31 + ch * 17 + i * 7) % 53 = 0 then 2
+           else greatest(40 - (i * i) div (300 + 250 * ((doc_id * 3 + ch) % 4)) - (doc_id * 13 + ch * 5 + i * 11) % 9, 2) end)), '') end as qualities""",
     )
 
 
+def _plain(b: int, c: int) -> str:
+    """The qualities of a read with (doc_id * 3 + ch) % 4 = b and (doc_id * 13 + ch * 5) % 9 = c, but for the places of a 2."""
+    return "".join(chr(33 + max(40 - i * i // (300 + 250 * b) - (c + i * 11) % 9, 2)) for i in range(1, 2 * READ + 1))
+
+
 def mates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two files of mates (read_ix, header, sequence, qualities): even chunks and the odd chunks that follow them."""
     chunk = F.pmod("read_ix", F.lit(SPAN))

@@ -3,6 +3,10 @@ import os
 import subprocess
 import sys
 
+import duckdb
+
+from readprep.plans.views import READS_SQL, reads
+
 TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -49,3 +53,12 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["study-ingest", str(tmp_path / "m.tsv"), str(tmp_path / "res"), str(tmp_path / "out.tsv"), "--json"])
     assert json.loads(capsys.readouterr().out)["changed"] == 1
     assert "fastp" in (tmp_path / "out.tsv").read_text() and "0.800000" in (tmp_path / "out.tsv").read_text()
+
+
+def test_reads_match_their_sql_for_ids_of_any_sign(spark, tmp_path):
+    con = duckdb.connect()
+    text = "repeat('the quick brown fox jumps over a lazy dog ', 1 + (abs(i) % 40)::int) || substr('some more words', 1, (abs(i) % 14)::int)"
+    con.execute(f"copy (select i as doc_id, {text} as text from range(-300, 900) t(i) union all select 5000, null union all select 5001, '12') to '{tmp_path}/documents.parquet' (format parquet)")
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    got = {tuple(r) for r in reads(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(f"with {READS_SQL} select read_ix, header, sequence, qualities from reads_v").fetchall()) and len(got) > 5000
