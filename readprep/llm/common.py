@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readprep.operators.shared import checkpoint_dir, cut  # noqa: F401  the operators here take them from this module
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,23 +49,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. A local one only where none is named and all runs on one machine."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="readprep-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, written to the shared folder, and read from there by whoever follows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """A broadcast hint for a table whose counted rows are within the limit, else the table as it is for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

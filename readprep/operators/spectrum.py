@@ -18,6 +18,7 @@ from readprep.functions import is_dna
 from readprep.functions.packed import aligned, backward_codes, characters, forward_codes, places, window_starts
 from readprep.operators import keyed
 from readprep.operators.profile import walked
+from readprep.operators.shared import cut, release
 
 #: Fixed values of the slot hash.
 SEED, MULTIPLY_1, MULTIPLY_2, SHIFT = 0x517CC1B727220A95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 31
@@ -149,8 +150,13 @@ def _hashed(keys: DataFrame, size: DataFrame) -> DataFrame:
 
 def bloom_shape(counts: DataFrame) -> DataFrame:
     """One row: slots, hashes."""
+    return bloom_shape_of(counts.agg(F.count("*").alias("n")))
+
+
+def bloom_shape_of(number: DataFrame) -> DataFrame:
+    """The same for a row with the number of keys, n."""
     slots, hashes = bloom_size(F.col("n"))
-    return counts.agg(F.count("*").alias("n")).select(slots.cast("long").alias("slots"), hashes.alias("hashes"))
+    return number.select(slots.cast("long").alias("slots"), hashes.alias("hashes"))
 
 
 def bloom(counts: DataFrame) -> DataFrame:
@@ -193,6 +199,106 @@ def hybrid_lookup(keys: DataFrame, trusted_: DataFrame, filter_: DataFrame, shap
     return exact.join(bloom_lookup(keys, filter_, shape), "kmer", "left").select("kmer", F.coalesce("cnt", "estimate", F.lit(0)).cast("long").alias("support"))
 
 
+#: K-mers from which on slots are shuffled in shares, one after another: one more for each so many, up to so many shares.
+ROUND, ROUNDS = 1 << 24, 8
+_SLOTS, _LEVELS = "block int, bucket int, keys binary, n binary", "block int, bucket int, levels binary"
+_ZSTD = pa.Codec("zstd")
+
+
+def _zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unzipped(raw: bytes) -> bytes:
+    return _ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
+def supports(reads: DataFrame, k: int, min_quality: int, floor: int) -> DataFrame:
+    """(kmer, support) of all k-mers: hybrid_lookup() of the counts of kmer_counts() in themselves and their filter.
+
+    A block of k-mers sends the distinct slots of all its keys as sorted gaps, with what it adds to each; the part of the
+    filter that has them sends back their counters, in that order and four bits each. Many k-mers do so for one range of
+    slots after another, so that no more than a share of the slots is on disk at once.
+    """
+    spark, width = reads.sparkSession, 2 * checked(k)
+    bits = keyed.bucket_bits(spark, width)
+    found = keyed.packing(lambda b: (canonical_windows(b["sequence"], b["qualities"], k, min_quality), None), width, bits)
+    packed = reads.select("sequence", "qualities").mapInArrow(found, keyed.PACKED)
+    blocks = cut(packed.groupBy("bucket").applyInArrow(lambda rows: _one_row(rows, width, bits), "block int, m long, keys binary, n binary"))
+    release(spark)
+    shape = bloom_shape_of(blocks.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))).first()
+    many, slots, hashes = blocks.agg(F.sum("m")).first()[0] or 0, shape.slots, shape.hashes
+    rounds, wide = min(ROUNDS, 1 + many // ROUND), max(slots - 1, 1).bit_length()
+    fine = min(bits + (rounds - 1).bit_length(), 14, wide)
+    edges_ = [-(-(i * slots // rounds) >> wide - fine) << wide - fine for i in range(rounds)] + [1 << wide]  # ranges of whole buckets
+
+    def keys_of(block: int, raw: bytes) -> np.ndarray:
+        return keyed.unmixed(keyed.joined(block, _unzipped(raw), width, bits), width)
+
+    def ask(lo: int, hi: int):
+        schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, raw, raw_n in (r for b in batches for r in zip(*(b[c].to_pylist() for c in ("block", "keys", "n")), strict=True)):
+                keys, n = keys_of(block, raw).astype(np.uint64), np.minimum(keyed.unsqueeze(_unzipped(raw_n)), CEILING).astype(np.int64)
+                slot, add = [], []
+                for i in range(hashes):
+                    s = slots_of(keys, i, slots)
+                    own = np.flatnonzero((s >= lo) & (s < hi))
+                    slot.append(s[own])
+                    add.append(n[own])
+                slot, add = keyed.added(np.concatenate(slot).astype(np.uint64), np.concatenate(add))
+                bucket, at, gaps = keyed.split(slot, wide, fine)
+                each = np.minimum(add, CEILING).astype(np.uint8)  # a counter that is full stays so
+                pairs = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), block, np.int32)), pa.array(bucket), pa.array([_zipped(g) for g in gaps.to_pylist()], pa.binary()), pa.array([_zipped(each[a:b].tobytes()) for a, b in pairs], pa.binary())], schema=schema)
+
+        return run
+
+    def answer(rows: pa.Table) -> pa.Table:
+        bucket = rows["bucket"][0].as_py()
+        base, held = bucket << wide - fine, []
+        counters = np.zeros(1 << wide - fine, np.uint8)
+        for raw, n in zip(rows["keys"].to_pylist(), rows["n"].to_pylist(), strict=True):
+            at = keyed.joined(bucket, _unzipped(raw), wide, fine).astype(np.int64) - base
+            held.append(at.astype(np.uint32))
+            counters[at] = np.minimum(counters[at] + np.frombuffer(_unzipped(n), np.uint8), CEILING)  # slots of a row are distinct
+        levels = []
+        for at in held:
+            c = np.append(counters[at], np.uint8(0)) if len(at) % 2 else counters[at]
+            levels.append(_zipped((c[0::2] | c[1::2] << 4).tobytes()))
+        return pa.table({"block": rows["block"], "bucket": rows["bucket"], "levels": pa.array(levels, pa.binary())})
+
+    def least(rows: pa.Table, told: pa.Table) -> pa.Table:
+        block = rows["block"][0].as_py()
+        keys, n = keys_of(block, rows["keys"][0].as_py()), keyed.unsqueeze(_unzipped(rows["n"][0].as_py())).astype(np.int64)
+        raw = keys.astype(np.uint64)
+        slot, of = np.unique(np.concatenate([slots_of(raw, i, slots) for i in range(hashes)]), return_inverse=True)
+        bucket, at, _ = keyed.split(slot.astype(np.uint64), wide, fine)
+        levels, place = np.empty(len(slot), np.uint8), {b: i for i, b in enumerate(bucket.tolist())}
+        for b, both in zip(told["bucket"].to_pylist(), told["levels"].to_pylist(), strict=True):
+            lo, hi = at[place[b]], at[place[b] + 1]
+            two = np.frombuffer(_unzipped(both), np.uint8)
+            levels[lo:hi] = np.stack([two & 15, two >> 4], 1).reshape(-1)[: hi - lo]
+        estimate = levels[of].reshape(hashes, len(keys)).min(0)
+        return pa.table({"kmer": pa.array(keys), "support": pa.array(np.where(n >= floor, n, estimate.astype(np.int64)))})
+
+    told = None
+    for lo, hi in zip(edges_, edges_[1:], strict=False):
+        part = cut(blocks.mapInArrow(ask(lo, hi), _SLOTS).groupBy("bucket").applyInArrow(answer, _LEVELS))
+        told = part if told is None else told.union(part)
+        release(spark)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(least, "kmer long, support long")
+
+
+def _one_row(rows: pa.Table, width: int, bits: int) -> pa.Table:
+    """All of a bucket's packed rows as one, compressed."""
+    bucket = rows["bucket"][0].as_py()
+    keys, n = keyed._merged(rows, width, bits)
+    gaps = keyed.split(keys, width, bits)[2][0].as_py()
+    return pa.table({"block": pa.array([bucket], pa.int32()), "m": pa.array([len(keys)], pa.int64()), "keys": pa.array([_zipped(gaps)], pa.binary()), "n": pa.array([_zipped(keyed.squeeze(n)[0].tobytes())], pa.binary())})
+
+
 #: Blocks of reads for each partition of a shuffle, and reads that a task holds before it files them.
 BLOCKS, HELD = 2, 100_000
 _READ = ["read_ix", "sequence", "qualities"]

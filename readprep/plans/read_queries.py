@@ -289,8 +289,7 @@ def bloom_slots(spark, sf_dir):
 
 @query(f"{W}, {KMERS}, {BLOOM} select s.kmer, case when any_value(c.cnt) >= {FLOOR} then any_value(c.cnt) else min(b.cnt) end as support from slot_v s join bloom_v b using (slot) join counts_v c on c.kmer = s.kmer group by s.kmer")
 def bloom_lookup(spark, sf_dir):
-    every = held(counts(spark, sf_dir))
-    return S.hybrid_lookup(every, S.trusted(every, FLOOR), S.bloom(every), S.bloom_shape(every))
+    return S.supports(reads(spark, sf_dir), K, MIN_QUALITY - 2, FLOOR)
 
 
 SUPPORT = f"""

@@ -95,3 +95,19 @@ def test_substitutions_match_brute_force_and_shuffle_nothing(spark, monkeypatch,
 def test_substitution_candidates_shuffles_no_window(spark):
     plan = QUERIES["substitution_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "HashAggregate" not in plan
+
+
+@pytest.mark.parametrize("share", [1 << 25, 60])
+def test_supports_are_those_of_the_filter_and_join_no_slots(spark, monkeypatch, share):
+    monkeypatch.setattr(S, "ROUND", share)
+    r, k, floor = random.Random(6), 9, 4
+    genome = "".join(r.choice("ACGT") for _ in range(400))
+    rows = [(i, "", s, "I" * len(s)) for i in range(200) for at in [r.randrange(360)] for s in [genome[at : at + 40]]] + [(900, "", "ACGTACGTACGT", "I" * 12), (901, "", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    counts = S.kmer_counts(df, k, 0)
+    want = S.hybrid_lookup(counts, S.trusted(counts, floor), S.bloom(counts), S.bloom_shape(counts)).collect()
+    got = S.supports(df, k, 0, floor)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 300
+    assert S.supports(df.where("read_ix = 901"), k, 0, floor).collect() == []
+    plan = QUERIES["bloom_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
