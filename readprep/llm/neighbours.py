@@ -1,56 +1,48 @@
-"""Approximate nearest neighbours by inner product: NN-descent builds a neighbour graph, queries walk it greedily.
+"""Approximate nearest neighbours by inner product: NN-descent builds neighbour graphs, queries walk them greedily.
 
 Equal vectors form one node, so a vector that a large part of the table repeats is one node with its smallest ids as
-members. Edges go to the nodes of the largest inner products of the original vectors, so they lead to longer vectors too.
-
-Build: random-hyperplane leaves give first neighbours, wider leaves those of nodes that stood alone; then, in rounds, every node joins its neighbours and its reverse
-neighbours (of them a sample of REVERSE) with their vectors, and tells each of them of nearer ones among the others. Only
-pairs with an edge that is new since the last round are compared. Codes of one byte a component travel in these joins.
-
-Search: all queries advance together. A walk starts at the query's own node and at the best of the entry nodes, which are
-the longest of every band of length and are compared with all queries in blocks; nodes that no list names are entries too. A round expands the EXPAND best nodes of each query's beam that it hasn't expanded,
-joins their neighbours with the vectors, scores them exactly against a bounded block of query vectors that is broadcast,
-and keeps the BEAM best, until none of these is left to expand. A query
-left with too few rows is compared with all nodes. A sample of queries is checked against exact search by blocks; the beam
-widens until it reaches RECALL, and where that costs more than exact search, exact search answers. The result's scores are inner products of the original vectors in double precision.
+members, and queries with equal vectors walk once. Nodes are dealt by a hash into shards of bounded size, each a task of
+its own with a graph of its own (`descent.py`); a query walks every shard, and the best of all shards are its answer. So
+recall doesn't fall as shards are added, and no task's memory grows with the table.
+
+Build: leaves of random halvings give first neighbours; then, in rounds, every node joins its neighbours and its reverse
+neighbours (of them a sample of REVERSE), and tells each of them of nearer ones among the others, as long as an edge is new.
+
+Search: a walk starts at the query's own node and at the best of the entry nodes, which are the longest of every band of
+length and those that no list names. A round expands the EXPAND best nodes of its beam that it hasn't expanded, scores their neighbours, and keeps the
+BEAM best, until none of these is left to expand; the beam is then scored on the original vectors in double precision. A
+query left with too few rows is compared with all nodes. A sample of queries is checked against exact search by blocks; the
+beam widens until it reaches RECALL, and where it would hold a large part of the shards, exact search answers.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readprep.llm import bytetext
-from readprep.llm.common import cut, partitions, pick, ship, small
-
-NEIGHBOURS = 24
-REVERSE = 24
-TABLES = 4
-LEAF = 96
-#: Rows of a leaf that are compared at once; larger leaves are dealt into parts by a hash.
-LEAF_PART = 512
-#: Partners that a node reports for each of its neighbours until edges settle; then all that can be among its best.
-REPORTS = 6
-#: Updates, as a share of all edges, below which edges count as settled.
-SETTLED = 0.02
-#: Recall that a sample of so many queries has to reach against exact search. The beam is doubled until it does; from a
-#: width of 1/READ of all nodes on, a walk costs more than exact search, which then answers all queries.
-RECALL, CHECKED, READ = 0.95, 200, 100
-BEAM, EXPAND = 400, 128
-#: Bytes up to which codes, lists or vectors are broadcast, by their counted rows.
-SHARED = 8 << 20
-#: Queries of a block, whose vectors are broadcast.
-BLOCK = 50_000
+from readprep.llm.common import cut, pick, ship, small
+from readprep.llm.descent import LEAF, NEIGHBOURS, REVERSE, descend, reverse, walk
+from readprep.operators.shared import release
+
+#: Nodes of a shard at most, fewer if their vectors take over so many bytes. Shards are of like size, and of FEW nodes or
+#: more; their number grows with the root of the nodes until they are full.
+SHARD, SHARD_BYTES, FEW = 65536, 64 << 20, 4096
+#: Recall that a sample of so many queries has to reach against exact search. The beam grows by half until it does; from a
+#: width of 1/READ of a shard's nodes on, exact search answers all queries.
+RECALL, CHECKED, READ = 0.95, 200, 16
+BEAM, EXPAND = 128, 8
+#: Bytes up to which answers are broadcast to the queries that share them, and bytes of a block of query vectors.
+SHARED, BLOCK = 8 << 20, 32 << 20
 #: Entry nodes of a band of length (at least; the square root of the nodes counts beyond), a band's share of an octave, the
 #: number of bands, of which the last holds all shorter vectors, and the best entries at which a walk starts.
-ENTRIES, BANDS_OCTAVE, BANDS, STARTS = 1024, 2, 16, 64
+ENTRIES, BANDS_OCTAVE, BANDS, STARTS = 256, 2, 16, 16
 #: Queries and vectors that are compared at once by blocks.
 SLICE = 512, 4096
 
@@ -96,277 +88,196 @@ def _decode(codes: list[bytes], scales: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float32) * scales[:, None]
 
 
-def _leaves(tables: int, bits: int):
-    schema = pa.schema([("id", pa.int64()), ("tree", pa.int64()), ("leaf", pa.int64()), ("code", pa.binary()), ("scale", pa.float32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bytetext.regroup(batches):
-            if not batch.num_rows:
-                continue
-            x = _decode(batch["code"].to_pylist(), batch["scale"].to_numpy())
-            for t in range(tables):
-                planes = np.random.default_rng(1000 + t).normal(size=(x.shape[1], bits))
-                leaf = ((x @ planes > 0) * (1 << np.arange(bits))).sum(1)
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(np.full(len(leaf), t)), pa.array(leaf), batch["code"], batch["scale"]], schema=schema)
-
-    return run
-
-
 _EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float32())])
 
 
-def _within(k: int):
-    """Each row's k nearest within its part of a leaf."""
-
-    def run(part: pa.Table) -> pa.Table:
-        ids, x = part["id"].to_numpy(), _decode(part["code"].to_pylist(), part["scale"].to_numpy())
-        out = []
-        for i in range(0, len(ids), LEAF_PART * 4):  # parts vary in size; memory doesn't
-            j = min(i + LEAF_PART * 4, len(ids))
-            out.append(_nearest(ids[i:j], x[i:j] @ x[i:j].T, k))
-        return pa.concat_tables(out)
-
-    return run
-
-
-def _nearest(ids: np.ndarray, sims: np.ndarray, k: int) -> pa.Table:
-    np.fill_diagonal(sims, -np.inf)
-    k = min(k, len(ids) - 1)
-    if k < 1:
-        return _EDGES.empty_table()
-    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    return pa.Table.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[best].reshape(-1)), pa.array(np.take_along_axis(sims, best, 1).reshape(-1).astype(np.float32))], schema=_EDGES)
-
-
-def _join_local(reports: int):
-    """Rows (v, u, new, code, scale, kth) sorted by v: for each u of a v, so many of the nearest other u's that beat its worst neighbour."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in bytetext.regroup(batches):
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table]).combine_chunks()
-            v = table["v"].to_numpy()
-            split = int(np.searchsorted(v, v[-1], "left"))
-            if split:
-                yield _reports(table.slice(0, split), reports)
-            held = table.slice(split)
-        if held is not None:
-            yield _reports(held, reports)
-
-    return run
-
-
-def _reports(table: pa.Table, reports: int) -> pa.RecordBatch:
-    v, u, new, kth = (table[c].to_numpy() for c in ("v", "u", "new", "kth"))
-    x = _decode(table["code"].to_pylist(), table["scale"].to_numpy())
-    edge = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-    src, dst, sim = [], [], []
-    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(v)], strict=True):
-        fresh = new[i:j]
-        if j - i < 2 or not fresh.any():
-            continue
-        s = x[i:j] @ x[i:j].T
-        s[~(fresh[:, None] | fresh[None, :])] = -np.inf
-        np.fill_diagonal(s, -np.inf)
-        s[s <= kth[i:j, None]] = -np.inf
-        k = min(reports, j - i - 1)
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        value = np.take_along_axis(s, best, 1)
-        row, col = np.nonzero(value > -np.inf)
-        src.append(u[i + row])
-        dst.append(u[i + best[row, col]])
-        sim.append(value[row, col])
-    join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-    return pa.RecordBatch.from_arrays([pa.array(join(src, np.int64)), pa.array(join(dst, np.int64)), pa.array(join(sim, np.float32))], schema=_EDGES)
-
-
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best of each src, old edges before new ones of the same pair; kth is what a better one has to beat.
-
-    One shuffle: by src, which the pairs and the ranking share.
-    """
-    pairs = edges.repartition(partitions(edges.sparkSession), "src").groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    of = Window.partitionBy("src")
-    kept = pairs.withColumn("place", F.row_number().over(of.orderBy(F.desc("sim"), "dst"))).where(F.col("place") <= k)
-    return kept.withColumn("kth", F.when(F.count("*").over(of) >= k, F.min("sim").over(of)).otherwise(F.lit(-2.0)).cast("float"))
-
-
-def _around(graph: DataFrame, most: int, seed: int) -> DataFrame:
-    """(v, u, new): every node with its neighbours and a sample of the nodes whose neighbour it is; one shuffle, by v."""
-    n = partitions(graph.sparkSession)
-    ahead = graph.select(F.col("src").alias("v"), F.col("dst").alias("u"), "new", F.lit(False).alias("back"))
-    back = graph.select(F.col("dst").alias("v"), F.col("src").alias("u"), "new", F.lit(True).alias("back"))
-    rows = ahead.union(back).repartition(n, "v")
-    place = F.row_number().over(Window.partitionBy("v", "back").orderBy(F.desc("new"), F.xxhash64("v", "u", F.lit(seed))))
-    return rows.withColumn("place", place).where(~F.col("back") | (F.col("place") <= most)).groupBy("v", "u").agg(F.max("new").alias("new"))
-
+def _dealt(rows: DataFrame, n: int, width: int) -> DataFrame:
+    """n rows (id, ..) with a column shard, each shard in a partition of its own."""
+    most = min(SHARD, max(FEW, SHARD_BYTES // (4 * max(width, 1))))
+    shards = max(1, math.ceil(n / most), math.ceil(math.sqrt(n / FEW)))
+    keys = _keys(rows.sparkSession, shards)
+    at = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    return rows.withColumn("shard", F.element_at(F.array(*map(F.lit, keys)), at + 1)).repartition(shards, "shard")
 
-_LEAVES = "id long, tree long, leaf long, code binary, scale float"
 
-
-def _firsts(leaves: DataFrame, k: int) -> DataFrame:
-    """First neighbours (src, dst, sim) of the nodes of leaves."""
-    large = cut(leaves.groupBy("tree", "leaf").count().where(F.col("count") > LEAF_PART))
-    parts = leaves.join(small(large, large.count()), ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.coalesce("count", F.lit(1)) / F.lit(LEAF_PART))))
-    return parts.select("id", "tree", "leaf", "part", "code", "scale").groupBy("tree", "leaf", "part").applyInArrow(_within(k), "src long, dst long, sim float")
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers that repartition(n) deals to n different partitions."""
+    found: dict[int, int] = {}
+    size = 16 * n
+    while len(found) < n:
+        rows = spark.range(size).select(F.col("id").cast("int").alias("key")).select("key", F.pmod(F.hash("key"), F.lit(n)).alias("part"))
+        found = {r.part: r.key for r in rows.groupBy("part").agg(F.min("key").alias("key")).collect()}
+        size *= 4
+    return [found[i] for i in range(n)]
 
 
 def build(codes: DataFrame, n: int, width: int, k: int = NEIGHBOURS) -> DataFrame:
-    """The neighbour graph (src, dst, sim, new, kth) of n codes (id, code, scale) of so many bytes.
-
-    Codes up to SHARED bytes in all are broadcast to the local joins; beyond that they are joined by a shuffle.
-    """
-    bits = max(0, math.ceil(math.log2(max(n, 1) / LEAF)))
-    leaves = cut(codes.mapInArrow(_leaves(TABLES, bits), _LEAVES))
-    graph = cut(_best(_firsts(leaves, k).withColumn("new", F.lit(True)), k))
-    while bits:  # nodes alone in their leaves get wider ones, at last one of all nodes
-        few = cut(codes.select("id").join(graph.groupBy(F.col("src").alias("id")).count().where(F.col("count") >= min(k, n - 1)), "id", "left_anti"))
-        if few.isEmpty():
-            break
-        bits = max(0, bits - 3)
-        leaves = cut(codes.mapInArrow(_leaves(1, bits), _LEAVES))
-        leaves = leaves.join(leaves.join(few, "id").select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
-        graph = cut(_best(graph.select("src", "dst", "sim").union(_firsts(leaves, k)).withColumn("new", F.lit(True)), k))
-    limit = SHARED // (width + 24)
-    reports = min(REPORTS, k)
-    for r in itertools.count():
-        worst = graph.groupBy(F.col("src").alias("u")).agg(F.first("kth").alias("kth"))
-        known = codes.withColumnRenamed("id", "u").join(small(worst, n, limit), "u", "left").select("u", "code", "scale", F.coalesce("kth", F.lit(-2.0).cast("float")).alias("kth"))
-        placed = _around(graph, REVERSE, r).join(small(known, n, limit), "u").select("v", "u", "new", "code", "scale", "kth")
-        if n > limit:
-            placed = placed.repartition(partitions(graph.sparkSession), "v")
-        told = placed.sortWithinPartitions("v").mapInArrow(_join_local(reports), "src long, dst long, sim float")
-        graph = cut(_best(graph.select("src", "dst", "sim").withColumn("new", F.lit(False)).union(told.withColumn("new", F.lit(True))), k))
-        if graph.where("new").count() <= SETTLED * n * k:
-            if reports == k:  # of more partners at one node none could stay among the k best
-                break
-            reports, graph = k, graph.withColumn("new", F.lit(True))
-    return graph
-
-
-_SCORED = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-
-
-def _score(shared):
-    """Rows (id, vector, q) to exact inner products with the block's query vectors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value
-        for batch in bytetext.regroup(batches):
-            if not batch.num_rows:
-                continue
-            at = np.searchsorted(ids, batch["q"].to_numpy())
-            score = np.einsum("ij,ij->i", matrix(batch["vector"]).astype(np.float64), queries[at])
-            yield pa.RecordBatch.from_arrays([batch["q"], batch["id"], pa.array(score)], schema=_SCORED)
-
-    return run
-
-
-def _compare(shared, k: int):
-    """Rows (id, vector) to the k best of a task for each of the block's query vectors; ties go to the smaller id."""
+    """The neighbour graph (src, dst, sim) within the shards of n codes (id, code, scale) of so many bytes."""
+    leaf = LEAF
+
+    def edges(part: pa.Table) -> pa.Table:
+        ids = part["id"].to_numpy()
+        nbr, sim = descend(_decode(part["code"].to_pylist(), part["scale"].to_numpy()), k, leaf)
+        src, at = np.nonzero(nbr >= 0)
+        return pa.Table.from_arrays([pa.array(ids[src]), pa.array(ids[nbr[src, at]]), pa.array(sim[src, at])], schema=_EDGES)
+
+    return cut(_dealt(codes, n, width).groupBy("shard").applyInArrow(edges, "src long, dst long, sim float"))
+
+
+def _short(vectors: np.ndarray) -> np.ndarray:
+    """32-bit vectors in proportion to the given ones, none of whose components is over 1."""
+    return (vectors / (np.abs(vectors).max(initial=0) or 1)).astype(np.float32)
+
+
+def _entries(x: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """The longest nodes of every band of length, and those that no list names."""
+    length = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+    with np.errstate(divide="ignore"):
+        band = np.minimum(np.floor(np.log2(length.max(initial=0) / length) * BANDS_OCTAVE), BANDS - 1)
+    order = np.lexsort((-length, band))
+    first = np.searchsorted(band[order], np.arange(BANDS))
+    place = np.arange(len(x)) - first[band[order].astype(np.int64)]
+    alone = np.ones(len(x), bool)
+    alone[around[around >= 0]] = False
+    return np.union1d(order[place < max(ENTRIES, math.isqrt(len(x)))], np.flatnonzero(alone))
+
+
+def graphs(table: DataFrame, n: int, width: int, k: int = NEIGHBOURS) -> DataFrame:
+    """(shard, at, id, vector, members, next): the nodes of every shard in their places, with the places they lead to."""
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    leaf = LEAF
+
+    def linked(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        part = part.take(pa.array(np.argsort(part["id"].to_numpy())))
+        nbr, _ = descend(_short(matrix(part["vector"].combine_chunks())), k, leaf)
+        back, _ = reverse(nbr, np.zeros(nbr.shape, bool), REVERSE, 99)
+        around = np.hstack([nbr, back])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((around >= 0).sum(1))).astype(np.int32)), pa.array(around[around >= 0]))
+        vector, members = (part[c].cast(pa.list_(part[c].type.value_type)) for c in ("vector", "members"))  # elements may be null, as Spark has it
+        return pa.table({"shard": part["shard"], "at": pa.array(np.arange(len(part), dtype=np.int32)), "id": part["id"], "vector": vector, "members": members, "next": lists})
+
+    return cut(_dealt(table, n, width).groupBy("shard").applyInArrow(linked, f"shard int, at int, id long, vector {kinds['vector']}, members array<long>, next array<int>"))
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each shard, which follow each other, in their places."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        shard = batch["shard"].to_numpy()
+        edge = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            if held and i < j and held[-1]["shard"][0] != batch["shard"][i]:
+                yield _whole(held)
+                held = []
+            if i < j:
+                held.append(pa.Table.from_batches([batch.slice(i, j - i)]))
+    if held:
+        yield _whole(held)
+
+
+def _whole(parts: list[pa.Table]) -> pa.Table:
+    table = pa.concat_tables(parts).combine_chunks()
+    at = table["at"].to_numpy()
+    if not np.array_equal(np.sort(at), np.arange(len(at))):
+        raise RuntimeError("rows of a shard lie apart")
+    return table if (at[1:] > at[:-1]).all() else table.take(pa.array(np.argsort(at)))
+
+
+_FOUND = "node long, found array<struct<less:double,vec_id:long>>"
+
+
+def _answers(shared, k: int, width: int):
+    """Rows of graphs() to (node, found): a shard's k best rows for each of the block's queries, found by walks with a beam
+    of that width, or by comparing all if it is 0; less is the score's negative, so found is in rising order."""
+    starts_at = STARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, queries = shared.value
-        held, score = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
-        for batch in bytetext.regroup(batches):
-            every, own = matrix(batch["vector"]).astype(np.float64), batch["id"].to_numpy()
-            for i in range(0, len(own), SLICE[1]):
-                x, ids = every[i : i + SLICE[1]], own[i : i + SLICE[1]]
-                take = min(k, len(ids))
-                width = min(k, held.shape[1] + take)
-                next_held, next_score = np.empty((len(asked), width), np.int64), np.empty((len(asked), width))
-                for lo in range(0, len(asked), SLICE[0]):
-                    part = slice(lo, lo + SLICE[0])
-                    q = queries[part]
-                    s = q @ x.T
-                    best = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                    worst = np.take_along_axis(s, best, 1).min(1)
-                    for r in np.flatnonzero((s >= worst[:, None]).sum(1) > take):  # equal ones at the border
-                        best[r] = np.lexsort((ids, -s[r]))[:take]
-                    exact = np.einsum("ij,ij->i", x[best.reshape(-1)], np.repeat(q, take, 0)).reshape(-1, take)
-                    both_id, both = np.hstack([held[part], ids[best]]), np.hstack([score[part], exact])
-                    order = np.lexsort((both_id, -both))[:, :width]
-                    next_held[part], next_score[part] = np.take_along_axis(both_id, order, 1), np.take_along_axis(both, order, 1)
-                held, score = next_held, next_score
-        if held.shape[1]:
-            for lo in range(0, len(asked), 8 * SLICE[0]):
-                part = slice(lo, lo + 8 * SLICE[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[part], held.shape[1])), pa.array(held[part].reshape(-1)), pa.array(score[part].reshape(-1))], schema=_SCORED)
+        for part in _shards(batches):
+            ids, vectors = part["id"].to_numpy(), matrix(part["vector"].combine_chunks())
+            members = part["members"].combine_chunks()
+            holds = members.offsets.to_numpy(), members.values.to_numpy()
+            if width:
+                x, lists = _short(vectors), part["next"].combine_chunks()
+                size = np.diff(lists.offsets.to_numpy())
+                around = np.full((len(ids), max(1, size.max(initial=0))), -1, np.int32)
+                around[np.arange(around.shape[1]) < size[:, None]] = lists.values.to_numpy()
+                own = np.searchsorted(ids, asked).clip(max=len(ids) - 1)
+                own[ids[own] != asked] = -1
+                short = (queries / np.abs(queries).max(1, initial=1e-300)[:, None]).astype(np.float32)
+                found = walk(x, around, _entries(x, around), short, own, width, EXPAND, starts_at)
+            else:
+                found = _compared(vectors.astype(np.float64), queries, k)
+            for lo, places, _ in found:
+                row, col = np.nonzero(places >= 0)
+                at = places[row, col]
+                score = np.einsum("ij,ij->i", vectors[at].astype(np.float64), queries[lo + row])
+                yield _rows(asked[lo : lo + len(places)], row, at, score, holds, k)
 
     return run
 
 
-def _vectors(queries: DataFrame):
-    """The ids and vectors of a block of queries, broadcast."""
-    rows = sorted((r.q, r.vector) for r in queries.select("q", "vector").collect())  # a block of bounded size
-    return queries.sparkSession.sparkContext.broadcast((np.array([q for q, _ in rows], np.int64), np.array([v for _, v in rows], np.float64)))
+def _rows(asked: np.ndarray, row: np.ndarray, at: np.ndarray, score: np.ndarray, holds: tuple, k: int) -> pa.RecordBatch:
+    """The k best rows of each query, from nodes with their members; ties go to smaller ids."""
+    start, values = holds
+    times = np.diff(start)[at]
+    first = np.repeat(start[at], times)
+    ids = values[first + np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times)]
+    row, score = np.repeat(row, times), np.repeat(score, times)
+    order = np.lexsort((ids, -score, row))
+    row, score, ids = row[order], score[order], ids[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, np.arange(len(asked)))[row] < k
+    row, score, ids = row[kept], score[kept], ids[kept]
+    found = pa.StructArray.from_arrays([pa.array(-score), pa.array(ids)], ["less", "vec_id"])
+    offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(asked)))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(asked), pa.ListArray.from_arrays(pa.array(offsets), found)], ["node", "found"])
+
+
+def _compared(vectors: np.ndarray, queries: np.ndarray, k: int):
+    """Yields (lo, places, scores) like walk(), of all nodes; nodes are in the order of their ids, and ties go to smaller ones."""
+    for lo in range(0, len(queries), SLICE[0]):
+        q = queries[lo : lo + SLICE[0]]
+        held, score = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for i in range(0, len(vectors), SLICE[1]):
+            x = vectors[i : i + SLICE[1]]
+            s = q @ x.T
+            take = min(k, len(x))
+            best = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            worst = np.take_along_axis(s, best, 1).min(1)
+            for r in np.flatnonzero((s >= worst[:, None]).sum(1) > take):  # equal ones at the border
+                best[r] = np.argsort(-s[r], kind="stable")[:take]
+            exact = np.einsum("ij,ij->i", x[best.reshape(-1)], np.repeat(q, take, 0)).reshape(-1, take)
+            held, score = np.hstack([held, i + best]), np.hstack([score, exact])
+            order = np.lexsort((held, -score))[:, :k]
+            held, score = np.take_along_axis(held, order, 1), np.take_along_axis(score, order, 1)
+        yield lo, held, score
 
 
-def _first(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+def _vectors(queries: DataFrame):
+    """The ids in order and the vectors of a block of queries (id, vector), broadcast."""
+    rows = queries.select("id", "vector").orderBy("id").toArrow().combine_chunks()  # a block of bounded size
+    vectors = matrix(rows["vector"].combine_chunks()).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    return queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), vectors))
 
 
-def exact(shared, table: DataFrame, k: int) -> DataFrame:
-    """(q, id, score): of all nodes of table the k best for each query of a block, compared with every one."""
-    return _first(table.select("id", "vector").mapInArrow(_compare(shared, k), "q long, id long, score double"), k)
+def search(queries: DataFrame, graph: DataFrame, k: int, width: int) -> DataFrame:
+    """(node, found): the k best rows of all shards for a block of queries (id, vector); see _answers()."""
+    found = graph.mapInArrow(_answers(_vectors(queries), k, width), _FOUND)
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k)
+    return found.groupBy("node").agg(best.alias("found"))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:
-    """The share of truth (q, id, score) that found has too, or equals in score; 1 without any."""
-    least = truth.groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("wanted"))
-    hits = least.join(found, "q", "left").groupBy("q", "wanted").agg(F.count(F.when(F.col("score") >= F.col("least") - F.abs("least") * 1e-9, 1)).alias("hits"))
-    total = hits.agg(F.sum(F.least("hits", "wanted")), F.sum("wanted")).first()
+    """The share of truth (node, found) that found has too, or equals in score, without a node's own row; 1 without any."""
+    other = lambda of: F.filter(of, lambda x: x.vec_id != F.col("node"))
+    both = truth.select("node", other("found").alias("true")).where(F.size("true") > 0).join(found.select("node", other("found").alias("got")), "node", "left")
+    least = F.element_at("true", -1).less
+    hits = F.coalesce(F.size(F.filter("got", lambda x: x.less <= least + F.abs(least) * 1e-9)), F.lit(0))
+    total = both.agg(F.sum(F.when(F.col("got").isNull(), 0).otherwise(F.least(hits, F.size("true")))), F.sum(F.size("true"))).first()
     return total[0] / total[1] if total[1] else 1.0
 
 
-def entries(table: DataFrame, n: int, longest: float) -> DataFrame:
-    """(id, vector): the longest nodes of every band of length."""
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    band = F.least(F.floor(F.log2(F.lit(longest) / F.col("length")) * BANDS_OCTAVE), F.lit(BANDS - 1))
-    banded = table.select("id", "vector", length.alias("length")).withColumn("band", F.coalesce(band, F.lit(BANDS - 1)))
-    most = max(ENTRIES, math.isqrt(n))
-    banded = banded.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))  # a band may hold most rows
-    for keys, kept in ((["band", "salt"], most // 32 + 16), (["band"], most)):  # dealt evenly, a part has few of the longest
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("length"), "id"))
-        banded = banded.withColumn("place", place).where(F.col("place") <= kept)
-    return banded.select("id", "vector")
-
-
-def search(queries: DataFrame, table: DataFrame, around: DataFrame, starts: DataFrame, limit: int, n: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
-    """(q, id, score): the best nodes found for queries (q, id of its node, vector) by walks over around (id, next).
-
-    Walks start at the query's own node and the best of starts (id, vector). They end when nothing is left to expand; a node
-    that falls out of a beam can't come back, since the beam's worst only gets better, so they do end. Rows stay partitioned by query through a round. The n nodes' lists and vectors are broadcast up to the limit of rows,
-    and joined by shuffles beyond it.
-    """
-    spark = queries.sparkSession
-    shared = _vectors(queries)
-    vectors, lists = small(table.select("id", "vector"), n, limit), small(around, n, limit)
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors, "id").select("id", "vector", "q").mapInArrow(_score(shared), "q long, id long, score double")
-
-    begin = scored(queries.select("q", "id")).union(exact(shared, starts, STARTS))
-    state = cut(begin.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("done", F.lit(False)))
-    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    while True:
-        placed = state.repartition(partitions(spark), "q")
-        turn = placed.withColumn("turn", F.row_number().over(Window.partitionBy("q", "done").orderBy(F.desc("score"), "id")))
-        turn = turn.withColumn("now", ~F.col("done") & (F.col("turn") <= expand))
-        reached = turn.where("now").select("q", "id").join(lists, "id").select("q", F.explode("next").alias("id")).distinct()
-        fresh = scored(reached.join(placed.select("q", "id"), ["q", "id"], "left_anti")).withColumn("done", F.lit(False))
-        every = turn.select("q", "id", "score", (F.col("done") | F.col("now")).alias("done")).union(fresh)
-        state = cut(every.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= beam).drop("place"))
-        if state.where("not done").isEmpty():
-            break
-    return state.select("q", "id", "score")
-
-
 def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", neighbours: int = NEIGHBOURS, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by every, its k nearest other rows found (all, if fewer).
 
@@ -378,40 +289,39 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     ship(spark)
     vectors = cut(usable(rows, id_col, vector_col))
     table = cut(nodes(vectors, k + 1))
-    n = table.count()
-    longest = table.select(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0] or 1.0
-    codes = cut(table.select("id", "vector").mapInArrow(_encode(longest), "id long, code binary, scale float"))
-    width = (vectors.select(F.max(F.size("vector"))).first()[0] or 0)
-    graph = build(codes, n, width, neighbours)
-    around = cut(_around(graph, 2 * REVERSE, 99).groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("next")))
-    limit = SHARED // (8 * max(width, 3 * REVERSE))
-    reached = around.select(F.explode("next").alias("id")).distinct()
-    starts = cut(entries(table, n, longest).union(table.select("id", "vector").join(reached, "id", "left_anti")).dropDuplicates(["id"]))
-
-    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).join(table.select("id", F.col("vector").alias("v2")), F.col("vector") == F.col("v2")).select(F.col("vec_id").alias("q"), "id", "vector")
-    blocks = max(1, math.ceil(asked.count() / BLOCK))
-    enough = min(k + 1, vectors.count())
-    held = table.select("id", F.size("members").alias("rows"))
-
-    def walked(some: DataFrame, width: int) -> DataFrame:
-        top = _first(search(some, table, around, starts, limit, n, width), k + 1)
-        whole = top.join(held, "id").groupBy("q").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= enough).select("q")
-        short = cut(some.join(whole, "q", "left_anti"))
-        return top if short.isEmpty() else top.join(whole, "q", "left_semi").union(exact(_vectors(short), table, k + 1))
-
-    def answered(width: int) -> DataFrame:
-        parts = [asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [asked]
-        return cut(reduce(DataFrame.union, [walked(part, width) if width else exact(_vectors(part), table, k + 1) for part in parts]))
-
-    width = max(beam, k + 1)
-    found = answered(width)
-    sample = cut(asked.orderBy(F.xxhash64("q", F.lit(7)), "q").limit(CHECKED))
-    truth = cut(exact(_vectors(sample), table, k + 1))
-    if recall(found, truth) < RECALL:
-        width *= 2
-        while width * READ < n and recall(walked(sample, width), truth) < RECALL:
-            width *= 2
-        found = answered(width if width * READ < n else 0)
-    full = found.join(table.select("id", "members"), "id").select("q", F.explode("members").alias("vec_id"), "score").where(F.col("q") != F.col("vec_id"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return full.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
+    n, n_rows = table.count(), vectors.count()
+    width = vectors.select(F.max(F.size("vector"))).first()[0] or 0
+    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    if n < n_rows:
+        asked = asked.join(table.select("id", F.col("vector").alias("v2")), F.col("vector") == F.col("v2")).select(F.col("vec_id").alias("q"), "id")
+    else:
+        asked = asked.select(F.col("vec_id").alias("q"), F.col("vec_id").alias("id"))
+    asked = cut(asked)
+    walkers = cut(table.select("id", "vector").join(asked.select("id").distinct(), "id", "left_semi"))
+    graph = graphs(table, n, width, neighbours)
+    del vectors, table
+    release(spark)
+
+    n_walkers = walkers.count()
+    blocks = max(1, math.ceil(n_walkers * 8 * width / BLOCK))
+    size = n / graph.select("shard").distinct().count() if n else 0
+    enough = min(k + 1, n_rows)
+
+    def walked(some: DataFrame, beam: int) -> DataFrame:
+        found = cut(search(some, graph, k + 1, beam))
+        whole = found.where(F.size("found") >= enough)
+        short = cut(some.join(whole.select(F.col("node").alias("id")), "id", "left_anti"))
+        return found if short.isEmpty() else whole.union(search(short, graph, k + 1, 0))
+
+    sample = cut(walkers.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CHECKED))
+    truth = cut(search(sample, graph, k + 1, 0))
+    beam = max(beam, k + 1)
+    while beam * READ < size and recall(walked(sample, beam), truth) < RECALL:
+        beam += beam // 2
+    if beam * READ >= size and recall(walked(sample, beam), truth) < RECALL:
+        beam = 0
+    parts = [walkers.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [walkers]
+    lists = reduce(DataFrame.union, [walked(part, beam) for part in parts]).withColumnRenamed("node", "id")
+    own = F.slice(F.filter("found", lambda x: x.vec_id != F.col("q")), 1, k)
+    ranked = asked.join(small(lists, n_walkers, SHARED // (24 * (k + 1))), "id").select("q", F.posexplode(own).alias("at", "one"))
+    return ranked.select(F.col("q").alias("query_id"), (F.col("at") + 1).alias("rank"), "one.vec_id", (0.0 - F.col("one.less")).alias("score"))

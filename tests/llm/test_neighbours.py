@@ -99,3 +99,20 @@ def test_recall_is_checked_and_made_up_for(spark, monkeypatch):
     monkeypatch.setattr(N, "STARTS", 1)
     rows, df = scattered(spark, np.ones(400), 5, 48)
     assert share(N.nearest(df, neighbours=2, beam=1).collect(), brute(rows)) >= 0.95
+
+
+def test_many_shards_and_equal_queries_take_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(N, "FEW", 64, raising=False)  # four shards
+    rows = rows_of(900, 16, 21, norms=True)
+    rows += [(1000 + 20 * i, rows[i % 3][1]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    tracker, group = spark.sparkContext.statusTracker(), "neighbours"
+    spark.sparkContext.setJobGroup(group, group)
+    got = N.nearest(df).collect()
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = brute(rows)
+    assert len(got) == 20 * len(want) and share(got, want) >= 0.95
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, i + 1) for q in sorted(want) for i in range(20)]
+    assert [(r.vec_id, r["rank"]) for r in got if r.query_id == 1600 and r["rank"] <= 3] == [(i, n + 1) for n, (i, _) in enumerate(want[1600][:3])]
+    assert jobs <= 100  # rounds of joins over walks of every query took 156
