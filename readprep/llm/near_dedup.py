@@ -44,6 +44,8 @@ PAIRWISE = 8
 TINY = 20
 #: Rows of a key from which on they are joined apart, and rows up to which that is by a broadcast.
 HOT, APART = 500, 1_000_000
+#: Ids that are broadcast to pick their sets.
+ASKED = 4_000_000
 _rng = np.random.Generator(np.random.PCG64(99))
 _MULTIPLY = _rng.integers(0, 2**64, 256, U64) | U64(1)
 _ADD = _rng.integers(0, 2**64, 256, U64)
@@ -115,16 +117,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     """The pairs (u, v) whose full sets have at least that similarity; an id with several sets links by any of them."""
     both = F.size(F.array_intersect("set_u", "set_v"))
     near = 100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)
+    named = pairs
     for side, other in ("uv", "vu"):  # a hub has many pairs: they are dealt, HOT to a part, and each part gets its set
-        hot = cut(pairs.groupBy(side).count().where(F.col("count") > HOT).select(F.col(side).alias("hub"), F.ceil(F.col("count") / HOT).alias("parts")))
+        hot = cut(named.groupBy(side).count().where(F.col("count") > HOT).select(F.col(side).alias("hub"), F.ceil(F.col("count") / HOT).alias("parts")))
         n = hot.count()
         parts = F.coalesce("parts", F.lit(1))
-        dealt = sets.join(small(hot, n), F.col("id") == F.col("hub"), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        dealt = _of(sets, named.select(F.col(side).alias("id"))).join(small(hot, n), F.col("id") == F.col("hub"), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         pairs = pairs.join(small(hot, n), F.col(side) == F.col("hub"), "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("hub", "parts")
         pairs = pairs.join(dealt.select(F.col("id").alias(side), "part", F.col("shingles").alias(f"set_{side}")), [side, "part"]).drop("part")
     return pairs.where(near).select("u", "v").distinct()
 
 
+def _of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of those ids, picked before a shuffle, since sets are large; all sets if there are too many ids for a broadcast."""
+    asked = cut(ids.distinct())
+    return sets.join(F.broadcast(asked), "id", "left_semi") if asked.count() <= ASKED else sets
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = BAND_ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -152,7 +161,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tiny = cut(classes.where(F.col("n") <= TINY).select("id"))
     wanted = cut(members.select("id").union(tiny).distinct())
     n_wanted = wanted.count()
-    texts = rows_in.join(small(wanted.withColumnRenamed("id", "doc_id"), n_wanted, 4_000_000), "doc_id", "left_semi")
+    texts = rows_in.join(small(wanted.withColumnRenamed("id", "doc_id"), n_wanted, ASKED), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets(words), "id long, shingles array<long>").distinct() if _repeats(classes) else texts.mapInArrow(_sets(words), "id long, shingles array<long>"))
 
     pairs = cut(hot.join(members, hubs).where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct())
@@ -231,7 +240,8 @@ def _one_document(usable: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components among members (id, component) that can reach the similarity, found by rare shingles."""
-    shingles = members.join(sets, "id").select("id", F.xxhash64("shingles").alias("set"), "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    members = cut(members)
+    shingles = members.join(_of(sets, members.select("id")), "id").select("id", F.xxhash64("shingles").alias("set"), "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
     often = shingles.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     by_rarity = Window.partitionBy("id", "set").orderBy(F.coalesce("df", F.lit(1)), "g")
     placed = shingles.join(often, "g", "left").withColumn("place", F.row_number().over(by_rarity)).where((100 - percent) * F.col("n") >= 100 * (F.col("place") - 1))

@@ -133,3 +133,17 @@ def test_rows_of_one_id_share_their_links(spark):
     rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (2, "something else that stands alone here"), (3, "something else that stands alone here"), (4, "q r s t u v")]
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(x) for x in got), key=repr) == brute(rows)
+
+
+def test_only_sets_of_pairs_are_shuffled(spark):
+    sets = N.cut(spark.range(3000).selectExpr("id", "array(id, id + 1, id + 2, id + 3) as shingles").union(spark.createDataFrame([(5000, [7, 8, 9, 10]), (5000, [1, 2])], "id long, shingles array<long>")))
+    pairs = spark.createDataFrame([(7, 5000), (8, 5000), (7, 8)], "u long, v long")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    assert [tuple(x) for x in N.confirm(pairs, sets).collect()] == [(7, 5000)]
+    assert written() - before < 200  # both sides took every set: 6004 rows
