@@ -14,17 +14,18 @@ from __future__ import annotations
 import math
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import InitVar, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readprep.functions.packed import characters
+from readprep.operators import keyed
 from readprep.operators import spectrum as S
-from readprep.operators.shared import share
+from readprep.operators.shared import Long, Store, Writer
 
 GRACE = 5
 LONGEST_INDEL, INDEL_BUCKET, INSERTED_QUALITY = 5, 50, 30
@@ -32,8 +33,10 @@ REGION = (2, 10)
 POPS, BRANCHES, BRANCHES_OTHER = 1000, 4, 3
 #: Bytes of a piece of the counting filter, of two counters each; a k-mer has some 10 counters.
 PIECE = 1 << 26
+#: Bytes of it that are packed at once; entries of a piece of the table of trusted k-mers; bits that name a file of its spool.
+PACKED, ENTRIES, FILES = 1 << 22, 1 << 22, 7
 #: K-mers that come to the driver at once.
-PORTION = 1 << 20
+PORTION = 1 << 19
 #: Bases of the matrix that is worked through at once, and places of an indel that are tried at once.
 CELLS, PLACES = 1 << 20, 1 << 15
 U64, I64 = np.uint64, np.int64
@@ -49,86 +52,134 @@ class Table:
     """Values of distinct keys (0 or more) under 2**width, looked up many at a time.
 
     Keys are mixed by an odd factor modulo 2**width and sorted; the high bits of a mixed key name a bucket of one or two
-    entries, and of the rest only the low bits are kept.
+    entries, and of the rest only the low bits are kept. Made from a spool, it never is in memory as a whole.
     """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, width: int, spark: SparkSession | None = None):
-        bits = min(max(len(keys).bit_length() - 1, 1), width)
-        self.width, self.rest = width, width - bits
-        mixed = self._mixed(keys)
-        order = np.argsort(mixed, kind="stable")
-        mixed, values = mixed[order], values[order]
-        del order
-        small = np.uint16 if self.rest <= 16 else np.uint32 if self.rest <= 32 else U64
-        self.first = share(spark, np.searchsorted(mixed, np.arange((1 << bits) + 1, dtype=U64) << U64(self.rest)).astype(np.uint32 if len(keys) < 1 << 32 else I64))
-        self.low = share(spark, (mixed & U64((1 << self.rest) - 1)).astype(small))
-        self.values = share(spark, values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else I64))
+    def __init__(self, keys: np.ndarray, values: np.ndarray, width: int):
+        self._laid(Store(None), [(keyed.mixed(keys, width), values)], len(keys), int(values.max(initial=0)), width, 0)
+
+    @classmethod
+    def of(cls, spool: Spool, store: Store) -> Table:
+        """The same from a spool, one of its files after another."""
+        table = cls.__new__(cls)
+        table._laid(store, spool.read(), spool.n, spool.most, spool.width, spool.high)
+        return table
 
-    def _mixed(self, keys: np.ndarray) -> np.ndarray:
-        return keys.astype(U64) * U64(0x9E3779B97F4A7C15) & U64((1 << self.width) - 1)
+    def _laid(self, store: Store, parts: Iterable[tuple[np.ndarray, np.ndarray]], n: int, most: int, width: int, high: int) -> None:
+        """parts: the mixed keys and values, by the high bits of mixed keys if there are any."""
+        bits = min(max(n.bit_length() - 1, high, 1), width)
+        self.width, self.rest = width, width - bits
+        small = np.uint8 if self.rest <= 8 else np.uint16 if self.rest <= 16 else np.uint32 if self.rest <= 32 else U64
+        kinds = {"first": np.uint32 if n < 1 << 32 else I64, "low": small, "values": np.uint32 if most < 1 << 32 else I64}
+        columns = {c: Long(store, c, kind, (1 << bits) + 1 if c == "first" else n, ENTRIES) for c, kind in kinds.items()}
+        self.first, self.low, self.values = columns.values()
+        first, low, value = (Writer(store, x) for x in columns.values())
+        done, each = 0, 1 << bits - high
+        for i, (mixed, values) in enumerate(parts):
+            order = np.argsort(mixed)
+            mixed = mixed[order]
+            first.add(np.searchsorted(mixed, np.arange(i * each, (i + 1) * each, dtype=U64) << U64(self.rest)) + done)
+            low.add((mixed & U64((1 << self.rest) - 1)).astype(small))
+            value.add(values[order])
+            done += len(mixed)
+        first.add(np.array([done]))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key, -1 for those that aren't there."""
-        first, low, values = self.first.array, self.low.array, self.values.array
-        out, mixed = np.full(len(keys), -1, I64), self._mixed(keys)
+        out, mixed = np.full(len(keys), -1, I64), keyed.mixed(keys, self.width)
         bucket = (mixed >> U64(self.rest)).astype(I64)
-        at, end, wanted = first[bucket].astype(I64), first[bucket + 1].astype(I64), (mixed & U64((1 << self.rest) - 1)).astype(low.dtype)
+        at, end, wanted = self.first.at(bucket).astype(I64), self.first.at(bucket + 1).astype(I64), (mixed & U64((1 << self.rest) - 1)).astype(self.low.kind)
         rest = np.flatnonzero((at < end) & (keys >= 0))
         at, end, wanted = at[rest], end[rest], wanted[rest]
         while len(rest):
-            here = low[at]
+            here = self.low.at(at)
             same = here == wanted
-            out[rest[same]] = values[at[same]]
+            out[rest[same]] = self.values.at(at[same])
             at += 1
             more = (here < wanted) & (at < end)
             rest, at, end, wanted = rest[more], at[more], end[more], wanted[more]
         return out
 
 
+class Spool:
+    """Mixed keys and values that are added in any order, in files by the high bits of a mixed key."""
+
+    def __init__(self, folder: str, width: int):
+        self.width, self.high, self.n, self.most = width, min(FILES, width), 0, 0
+        self.kind = np.dtype(np.uint32 if width - self.high <= 32 else U64)
+        self.paths = [os.path.join(folder, f"keys-{i}") for i in range(1 << self.high)]
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        mixed, rest = keyed.mixed(keys, self.width), U64(self.width - self.high)
+        order = np.argsort(mixed)
+        mixed, values = mixed[order], values[order]
+        low, edges = (mixed & (U64(1) << rest) - U64(1)).astype(self.kind), np.searchsorted(mixed, np.arange(1 << self.high, dtype=U64) << rest)
+        for path, lo, hi in zip(self.paths, edges.tolist(), [*edges[1:].tolist(), len(mixed)], strict=True):
+            if lo < hi:
+                with open(path, "ab") as f, open(f"{path}-n", "ab") as g:
+                    low[lo:hi].tofile(f)
+                    keyed.squeeze(values[lo:hi])[0].tofile(g)
+        self.n, self.most = self.n + len(mixed), max(self.most, int(values.max(initial=0)))
+
+    def read(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What each file has, which is deleted then."""
+        for i, path in enumerate(self.paths):
+            if not os.path.exists(path):
+                yield np.zeros(0, U64), np.zeros(0, I64)
+                continue
+            with open(f"{path}-n", "rb") as f:
+                low, values = np.fromfile(path, self.kind), keyed.unsqueeze(f.read()).astype(I64)
+            os.remove(path)
+            os.remove(f"{path}-n")
+            yield low.astype(U64) + (U64(i) << U64(self.width - self.high)), values
+
+
 class Filter:
     """The counters of S.bloom(), two to a byte, in pieces."""
 
-    def __init__(self, counters: np.ndarray, spark: SparkSession | None = None):
-        self.slots, self.piece, self.parts = len(counters), PIECE, []
-        for lo in range(0, len(counters), 2 * self.piece):
-            part = np.asarray(counters[lo : lo + 2 * self.piece])
-            low, high = part[0::2], part[1::2]
-            packed = low.copy()
-            packed[: len(high)] |= high << 4
-            self.parts.append(share(spark, packed))
+    def __init__(self, path: str, slots: int, store: Store):
+        """path: a file of a byte for each counter, which is used up: it shrinks from its end as the pieces are made."""
+        self.slots = slots
+        self.bytes = Long(store, "filter", np.uint8, (slots + 1) // 2, PIECE)
+        for i in reversed(range(len(self.bytes.parts))):
+            lo, size = i * PIECE, min(PIECE, self.bytes.size - i * PIECE)
+            packed = np.empty(size, np.uint8)
+            for at in range(0, size, PACKED):
+                part = np.fromfile(path, np.uint8, 2 * min(PACKED, size - at), offset=2 * (lo + at))
+                low, high = part[0::2], part[1::2]
+                packed[at : at + len(low)] = low
+                packed[at : at + len(high)] |= high << 4
+            self.bytes.put(store, i, packed)
+            os.truncate(path, 2 * lo)
+
+    @property
+    def parts(self) -> list:
+        return self.bytes.parts
 
     def at(self, slot: np.ndarray) -> np.ndarray:
-        byte = slot >> 1
-        if len(self.parts) == 1:
-            both = self.parts[0].array[byte]
-        else:
-            both, part = np.zeros(len(slot), np.uint8), byte // self.piece
-            for i in range(len(self.parts)):
-                own = np.flatnonzero(part == i)
-                both[own] = self.parts[i].array[byte[own] - i * self.piece]
-        return both >> ((slot & 1) << 2).astype(np.uint8) & 15
+        return self.bytes.at(slot >> 1) >> ((slot & 1) << 2).astype(np.uint8) & 15
 
 
 @dataclass
 class Spectrum:
     """Trusted counts by key, a counting filter for all others (or none); the trusted are the De Bruijn graph's edges.
 
-    An edge leads from the first k - 1 bases of a k-mer to the last. Made for a session, its arrays are shared by
-    broadcasts, so it travels within the functions that use it and must not be broadcast itself.
+    An edge leads from the first k - 1 bases of a k-mer to the last. Made for a session, its arrays are mapped from shared
+    files or broadcasts, so it travels within the functions that use it and must not be broadcast itself. keys and counts
+    are those of a table that isn't made yet.
     """
 
     k: int
     floor: int
-    keys: InitVar[np.ndarray]
-    counts: InitVar[np.ndarray]
+    keys: InitVar[np.ndarray | None]
+    counts: InitVar[np.ndarray | None]
     counters: Filter | None = None
     hashes: int = 0
     graph: bool = False
-    spark: InitVar[SparkSession | None] = None
-    table: Table = field(init=False, repr=False)
+    table: Table | None = field(default=None, repr=False)
 
-    def __post_init__(self, keys: np.ndarray, counts: np.ndarray, spark: SparkSession | None):
-        self.table = Table(keys, counts, 2 * self.k, spark)
+    def __post_init__(self, keys: np.ndarray | None, counts: np.ndarray | None):
+        self.table = self.table or Table(keys, counts, 2 * self.k)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
         """Counts of canonical codes: exact if trusted, else the filter's, else 0; -1 (an unknown base) counts 0."""
@@ -617,13 +668,13 @@ def _run(s: Spectrum, min_quality: int, parity: bool, indels: bool):
     return run
 
 
-def _portions(most: int):
-    """Rows (kmer, cnt) to rows of up to so many k-mers as bytes."""
-    schema = pa.schema([("kmers", pa.binary()), ("counts", pa.binary())])
+def _portions(most: int, width: int):
+    """Rows (kmer, cnt) to rows of up to so many k-mers: codes of four or eight bytes, and counts of 7 bits a byte."""
+    schema, kind = pa.schema([("kmers", pa.binary()), ("counts", pa.binary())]), _code_kind(width)
 
     def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        parts = [np.concatenate([b[c].to_numpy() for b in held]).astype(I64).tobytes() for c in ("kmer", "cnt")]
-        return pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], schema=schema)
+        kmer, cnt = (np.concatenate([b[c].to_numpy() for b in held]).astype(I64) for c in ("kmer", "cnt"))
+        return pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in (kmer.astype(kind), keyed.squeeze(cnt)[0])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -638,27 +689,31 @@ def _portions(most: int):
     return run
 
 
+def _code_kind(width: int) -> np.dtype:
+    return np.dtype(np.uint32 if width <= 32 else I64)
+
+
 def collect_spectrum(counts: DataFrame, k: int, floor: int, hybrid: bool = True, graph: bool = True) -> Spectrum:
     """Trusted k-mers and the filter of all as arrays that workers map.
 
-    The counts come to the driver in portions, a partition at a time. The filter is filled in a file, and only the trusted
-    k-mers, two longs each, are held in memory, so the number of distinct k-mers is bounded by the driver's disk alone.
+    The counts come to the driver in portions, a partition at a time. The filter is filled in a file, and trusted k-mers go to
+    files too, of which one at a time is sorted into the table; so the number of distinct k-mers is bounded by disk alone.
     """
     spark, shape = counts.sparkSession, S.bloom_shape(counts).first()
-    keys, cnt = [np.zeros(0, I64)], [np.zeros(0, I64)]
+    store = Store(spark)
     with tempfile.TemporaryDirectory(prefix="readprep-filter-") as folder:
-        counters = np.memmap(os.path.join(folder, "counters"), np.uint8, "w+", shape=(shape.slots,)) if hybrid else None
-        for row in counts.select("kmer", "cnt").mapInArrow(_portions(PORTION), "kmers binary, counts binary").toLocalIterator(prefetchPartitions=True):
-            every, number = np.frombuffer(row.kmers, I64), np.frombuffer(row.counts, I64)
+        path, spool = os.path.join(folder, "counters"), Spool(folder, 2 * k)
+        counters = np.memmap(path, np.uint8, "w+", shape=(shape.slots,)) if hybrid else None
+        for row in counts.select("kmer", "cnt").mapInArrow(_portions(PORTION, 2 * k), "kmers binary, counts binary").toLocalIterator(prefetchPartitions=True):
+            every, number = np.frombuffer(row.kmers, _code_kind(2 * k)).astype(I64), keyed.unsqueeze(row.counts).astype(I64)
             kept = number >= floor
-            keys.append(every[kept])
-            cnt.append(number[kept])
+            spool.add(every[kept], number[kept])
             if hybrid:
                 S.add_to_counters(counters, every, number, shape.hashes)
-        filter_ = Filter(counters, spark) if hybrid else None
         del counters
-    keys, cnt = np.concatenate(keys), np.concatenate(cnt)
-    return Spectrum(k, floor, keys, cnt, filter_, shape.hashes, graph, spark)
+        table = Table.of(spool, store)
+        filter_ = Filter(path, shape.slots, store) if hybrid else None
+    return Spectrum(k, floor, None, None, filter_, shape.hashes, graph, table)
 
 
 def process_reads(hits: DataFrame, s: Spectrum, min_quality: int, parity: bool = False, indels: bool = True) -> DataFrame:

@@ -135,6 +135,28 @@ def summed(packed: DataFrame, width: int, bits: int, key: str, value: str, most:
     return packed.groupBy("bucket").applyInArrow(run, f"{key} long, {value} long")
 
 
+def merged(packed: DataFrame, width: int, bits: int) -> DataFrame:
+    """packed with one row for each bucket: some three bytes a key, to be kept and read by rows_of() several times."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, n = _merged(rows, width, bits)
+        return pa.Table.from_arrays([rows["bucket"][:1].combine_chunks(), split(keys, width, bits)[2], pa.array([squeeze(n)[0].tobytes()], pa.binary())], schema=_PACKED)
+
+    return packed.groupBy("bucket").applyInArrow(run, PACKED)
+
+
+def rows_of(packed: DataFrame, width: int, bits: int, key: str, value: str) -> DataFrame:
+    """(key, value) of merged()."""
+    schema = pa.schema([(key, pa.int64()), (value, pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, keys, n in (row for b in batches for row in zip(*(b[c] for c in ("bucket", "keys", "n")), strict=True)):
+            every = unmixed(joined(bucket.as_py(), keys.as_py(), width, bits), width)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(unsqueeze(n.as_py()).astype(I64))], schema=schema)
+
+    return packed.mapInArrow(run, f"{key} long, {value} long")
+
+
 def table(counts: DataFrame, key: str, value: str, width: int, bits: int) -> DataFrame:
     """A table of keys and values, packed for look-ups."""
     return counts.select(key, value).mapInArrow(packing(lambda b: (b[key].to_numpy(), b[value].to_numpy().astype(I64)), width, bits), PACKED)

@@ -20,10 +20,10 @@ EASE = 2
 
 
 def build_spectrum(reads: DataFrame, plan: Plan, sample: int = SAMPLE):
-    """(counts, floor): the k-mer table, and the plan's floor raised for inputs larger than the sample."""
-    counts = S.kmer_counts(reads, plan.kmer_size, max(plan.min_quality - EASE, 0)).persist()
+    """(counts, floor, kept): the k-mer table, the plan's floor raised for inputs larger than the sample, and what to unpersist."""
+    counts, kept = S.kept_counts(reads, plan.kmer_size, max(plan.min_quality - EASE, 0))
     row = S.trusted_floor(S.summary(reads, counts, plan.kmer_size), plan.trusted_floor, sample).first()
-    return counts, row.floor
+    return counts, row.floor, kept
 
 
 def prepare(reads: DataFrame, plan: Plan | None = None, sample: int = SAMPLE, parity: bool = False, hybrid: bool = True, indels: bool = True) -> DataFrame:
@@ -32,9 +32,9 @@ def prepare(reads: DataFrame, plan: Plan | None = None, sample: int = SAMPLE, pa
     For the mode of accelerators see prepare_accelerated.
     """
     plan = plan or plan_of(reads, sample)
-    counts, floor = build_spectrum(reads, plan, sample)
+    counts, floor, kept = build_spectrum(reads, plan, sample)
     s = collect_spectrum(counts, plan.kmer_size, floor, hybrid)
-    counts.unpersist()
+    kept.unpersist()
     return process_reads(best_hit(reads, plan.adapters), s, plan.min_quality, parity, indels)
 
 
@@ -87,9 +87,9 @@ def benchmark(reads: DataFrame, rounds: int = 3, reuse: bool = False, plan: Plan
         began = time.perf_counter()
         if ready is None or not reuse:
             own = plan or plan_of(reads, sample)
-            counts, floor = build_spectrum(reads, own, sample)
+            counts, floor, kept = build_spectrum(reads, own, sample)
             ready = replace(own), collect_spectrum(counts, own.kmer_size, floor)
-            counts.unpersist()
+            kept.unpersist()
         setup = time.perf_counter() - began
         own, s = ready
         began = time.perf_counter()

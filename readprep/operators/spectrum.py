@@ -77,9 +77,22 @@ def kmer_counts(reads: DataFrame, k: int, min_quality: int = 0) -> DataFrame:
     k, rows = checked(k), reads.select("sequence", "qualities")
     if reads.isStreaming:
         return rows.mapInArrow(_count(k, min_quality), "kmer long, cnt long").groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    packed, bits = _packed(rows, k, min_quality)
+    return keyed.summed(packed, 2 * k, bits, "kmer", "cnt")
+
+
+def _packed(reads: DataFrame, k: int, min_quality: int) -> tuple[DataFrame, int]:
     bits = keyed.bucket_bits(reads.sparkSession, 2 * k)
     found = keyed.packing(lambda b: (canonical_windows(b["sequence"], b["qualities"], k, min_quality), None), 2 * k, bits)
-    return keyed.summed(rows.mapInArrow(found, keyed.PACKED), 2 * k, bits, "kmer", "cnt")
+    return reads.select("sequence", "qualities").mapInArrow(found, keyed.PACKED), bits
+
+
+def kept_counts(reads: DataFrame, k: int, min_quality: int = 0) -> tuple[DataFrame, DataFrame]:
+    """kmer_counts() for several passes, and what is persisted for them: packed rows instead of two longs a k-mer."""
+    k = checked(k)
+    packed, bits = _packed(reads, k, min_quality)
+    kept = keyed.merged(packed, 2 * k, bits).persist()
+    return keyed.rows_of(kept, 2 * k, bits, "kmer", "cnt"), kept
 
 
 def summary(reads: DataFrame, counts: DataFrame, k: int) -> DataFrame:

@@ -106,6 +106,54 @@ def test_spectrum_in_pieces_is_mapped_and_not_held_by_the_driver(spark, monkeypa
     assert {r.id: r.n for r in told.collect()} == dict(zip(keys[:1000].tolist(), got[:1000].tolist(), strict=True))
 
 
+@pytest.mark.parametrize("mode", ["folder", "broadcasts"])
+def test_trusted_kmers_are_not_held_by_the_driver(spark, monkeypatch, mode):
+    import os
+    import tracemalloc
+
+    from readprep.operators import shared
+
+    shared.checkpoint_dir(spark)
+    if mode == "broadcasts":
+        def store(session):
+            made = shared.Store(None)
+            made.spark = session
+            return made
+
+        monkeypatch.setattr(C, "Store", store)
+    monkeypatch.setattr(C, "ENTRIES", 1 << 18)
+    monkeypatch.setattr(C, "PORTION", 1 << 16)
+    n = 3_000_000
+    counts = spark.range(n).selectExpr("id * 300 as kmer", "if(id % 1000 = 0, 5000000000, 5 + id % 300) as cnt").persist()
+    counts.count()
+    tracemalloc.start()
+    s = collect_spectrum(counts, 15, 5, hybrid=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000  # two longs for each trusted k-mer alone are 48 million
+    assert bool(s.table.low.whole) == (mode == "folder") and len(s.table.low.parts) > 10
+    keys = np.arange(n) * 300
+    want = np.where(np.arange(n) % 1000 == 0, 5_000_000_000, 5 + np.arange(n) % 300)
+    assert (s.count(keys) == want).all() and not s.count(keys + 1).any()
+    done = spark.range(1000).repartition(3).select((F.col("id") * 300).alias("id")).mapInArrow(lambda batches, s=s: (pa.RecordBatch.from_arrays([b["id"], pa.array(s.count(b["id"].to_numpy()))], names=["id", "n"]) for b in batches), "id long, n long")
+    path = s.table.low.whole.path if mode == "folder" else None
+    del s
+    shared.release(spark)
+    shared.sweep()
+    assert {r.id: r.n for r in done.collect()} == dict(zip(keys[:1000].tolist(), want[:1000].tolist(), strict=True))  # a plan keeps its folder
+    shared.sweep(True)
+    assert path is None or not os.path.exists(path)
+
+
+def test_kept_counts_are_the_counts(spark):
+    df = spark.createDataFrame(damaged_reads(7), "read_ix long, header string, sequence string, qualities string")
+    counts, kept = S.kept_counts(df, 9, 18)
+    want = sorted(map(tuple, S.kmer_counts(df, 9, 18).collect()))
+    assert sorted(map(tuple, counts.collect())) == want and kept.count() < len(want) > 100
+    kept.unpersist()
+    assert S.kept_counts(df.limit(0), 9)[0].collect() == []
+
+
 def test_default_mode_keeps_lengths_equal(spark):
     rows = damaged_reads(4)
     df = spark.createDataFrame(rows, "read_ix long, header string, sequence string, qualities string")
