@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from readprep.functions.packed import characters
 from readprep.operators import keyed
 from readprep.operators import spectrum as S
-from readprep.operators.shared import Long, Store, Writer
+from readprep.operators.shared import Long, Store, Writer, release
 
 GRACE = 5
 LONGEST_INDEL, INDEL_BUCKET, INSERTED_QUALITY = 5, 50, 30
@@ -700,6 +700,7 @@ def collect_spectrum(counts: DataFrame, k: int, floor: int, hybrid: bool = True,
     files too, of which one at a time is sorted into the table; so the number of distinct k-mers is bounded by disk alone.
     """
     spark, shape = counts.sparkSession, S.bloom_shape(counts).first()
+    release(spark)  # shuffles of what has been counted before
     store = Store(spark)
     with tempfile.TemporaryDirectory(prefix="readprep-filter-") as folder:
         path, spool = os.path.join(folder, "counters"), Spool(folder, 2 * k)

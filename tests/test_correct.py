@@ -145,6 +145,19 @@ def test_trusted_kmers_are_not_held_by_the_driver(spark, monkeypatch, mode):
     assert path is None or not os.path.exists(path)
 
 
+@pytest.mark.parametrize("query", ["pipeline_report"])
+def test_queries_map_their_spectrum_from_files(spark, monkeypatch, query):
+    from readprep.operators import pipeline, shared
+    from readprep.plans.read_queries import QUERIES
+
+    shared.checkpoint_dir(spark)
+    made = []
+    monkeypatch.setattr(pipeline, "collect_spectrum", lambda *a: made.append(collect_spectrum(*a)) or made[-1])
+    assert QUERIES[query](spark, "/root/testdata/sf0.001").count() > 0
+    s = made[0]
+    assert len(made) == 1 and all(x.whole and not any(isinstance(p, shared.Shared) for p in x.parts) for x in (s.table.first, s.table.low, s.table.values, s.counters.bytes))
+
+
 def test_kept_counts_are_the_counts(spark):
     df = spark.createDataFrame(damaged_reads(7), "read_ix long, header string, sequence string, qualities string")
     counts, kept = S.kept_counts(df, 9, 18)
