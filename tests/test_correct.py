@@ -145,7 +145,7 @@ def test_trusted_kmers_are_not_held_by_the_driver(spark, monkeypatch, mode):
     assert path is None or not os.path.exists(path)
 
 
-@pytest.mark.parametrize("query", ["pipeline_report"])
+@pytest.mark.parametrize("query", ["pipeline_report", "corrected_pairs"])
 def test_queries_map_their_spectrum_from_files(spark, monkeypatch, query):
     from readprep.operators import pipeline, shared
     from readprep.plans.read_queries import QUERIES
